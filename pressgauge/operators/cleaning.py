@@ -145,10 +145,21 @@ def candidate_filter(df: DataFrame, exclude_url: str = "", min_len: int = 100) -
     return out.filter(~F.col("source_url").contains(exclude_url)) if exclude_url else out
 
 
+def unseen(batch: DataFrame, seen: DataFrame, key: str) -> DataFrame:
+    """Rows of ``batch`` whose key is not in ``seen``.
+
+    The large seen side is first cut to the batch's keys by a semi join, in
+    which the small batch can be the broadcast side; an anti join alone could
+    only build on the seen side and would shuffle or broadcast all of it.
+    """
+    hits = seen.select(key).join(batch.select(key).distinct(), key, "left_semi")
+    return batch.join(hits, key, "left_anti")
+
+
 def exclude_seen(df: DataFrame, seen: DataFrame, key: str = "source_url") -> DataFrame:
     """Rows whose cleaned URL is not among the seen ones."""
-    seen_keys = seen.select(U.clean_url(F.col(key)).alias("_seen")).distinct()
-    return df.join(seen_keys, U.clean_url(F.col(key)) == F.col("_seen"), "left_anti")
+    keyed = lambda d: d.withColumn("_seen", U.clean_url(F.col(key)))
+    return unseen(keyed(df), keyed(seen), "_seen").drop("_seen").select(*df.columns)
 
 
 def credible_first(df: DataFrame, reliable: str = "is_reliable", title: str = "title",

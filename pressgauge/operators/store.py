@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pressgauge.functions import ladders, urls as U
+from pressgauge.operators.cleaning import dedup_first, unseen
 
 # Longest request list turned into one literal array; longer lists go in blocks.
 REQUEST_BLOCK = 500
@@ -28,9 +29,10 @@ def upsert_articles(existing: DataFrame, batch: DataFrame, key: str = "id",
     return both.groupBy(key).agg(newest.alias("_row")).select(key, "_row.*").select(*columns)
 
 
-def insert_if_absent(existing: DataFrame, batch: DataFrame, key: str = "url") -> DataFrame:
-    """Existing rows plus those of the batch whose key is new."""
-    fresh = batch.join(existing.select(key), key, "left_anti")
+def insert_if_absent(existing: DataFrame, batch: DataFrame, key: str = "url",
+                     order: Sequence[str] = ("id",)) -> DataFrame:
+    """Existing rows plus the first row of the batch per new key."""
+    fresh = dedup_first(unseen(batch, existing, key), key, order)
     return existing.unionByName(fresh, allowMissingColumns=True)
 
 

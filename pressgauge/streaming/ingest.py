@@ -39,26 +39,24 @@ def ingest_summary(scraped: DataFrame, stored: DataFrame, total: DataFrame | Non
 def store_batch(batch: DataFrame, batch_id: int, store: str, ingested_at: Column | None = None) -> None:
     """Write the unseen articles of one micro-batch.
 
-    ``<store>/seen`` holds ids only, split by the first id digit pair, so the
-    exclusion reads 32 bytes per stored article, not article text. Both writes replace the
-    batch's own partition: a micro-batch that is run again after a lost
-    executor or a restart leaves the same store.
+    ``<store>/seen`` holds ids only, so the exclusion reads 32 bytes per stored
+    article, not article text. Both writes replace the batch's own folder: a
+    micro-batch that is run again after a lost executor or a restart leaves
+    the same store.
     """
     spark = batch.sparkSession
     stamp = ingested_at if ingested_at is not None else F.current_timestamp()
     articles, seen, runs = f"{store}/articles", f"{store}/seen", f"{store}/runs"
-    fresh = ingest_batch(None, batch, stamp).withColumn("bucket", F.substring("id", 1, 2))
+    fresh = ingest_batch(None, batch, stamp)
     if _exists(spark, f"{seen}/ingest_batch=*"):
-        known = spark.read.option("basePath", seen).schema("id string, bucket string, ingest_batch long").parquet(
-            seen).filter(F.col("ingest_batch") < batch_id)
-        fresh = fresh.join(known.select("id", "bucket"), ["id", "bucket"], "left_anti")
+        known = spark.read.option("basePath", seen).schema("id string, ingest_batch long").parquet(seen)
+        fresh = N.unseen(fresh, known.filter(F.col("ingest_batch") < batch_id), "id")
     part = F.lit(batch_id).cast("long")
     target = f"{articles}/ingest_batch={batch_id}"
-    fresh.drop("bucket").write.mode("overwrite").parquet(target)
+    fresh.write.mode("overwrite").parquet(target)
     # The written articles are the batch's record: ids and counts are read back from them, not recomputed.
     written = spark.read.parquet(target)
-    written.select("id", F.substring("id", 1, 2).alias("bucket")).write.mode("overwrite").partitionBy(
-        "bucket").parquet(f"{seen}/ingest_batch={batch_id}")
+    written.select("id").write.mode("overwrite").parquet(f"{seen}/ingest_batch={batch_id}")
     ingest_summary(batch, written).withColumn("batch_id", part).write.mode("overwrite").parquet(
         f"{runs}/ingest_batch={batch_id}")
 
