@@ -204,7 +204,7 @@ def credibility_details(df: DataFrame, key: str) -> DataFrame:
         return F.struct(F.lit(kind).alias("metric"), score.cast("int").alias("score"),
                         ladders.metric_status(kind, score).alias("status"), text.alias("description"))
 
-    return df.select(key, F.inline(F.array(*[row(k) for k in METRICS])))
+    return df.select(key, F.inline_outer(F.array(*[row(k) for k in METRICS])))
 
 
 def domain_age_description() -> Column:
@@ -257,7 +257,7 @@ def credibility_chart(df: DataFrame, key: str) -> DataFrame:
     names = {"domain_age": "Domain Age", "url_structure": "URL Structure",
              "site_structure": "Site Structure", "content_format": "Content Format"}
     rows = [F.struct(F.lit(v).alias("label"), F.round(F.col(k), 1).alias("value")) for k, v in names.items()]
-    return df.select(key, F.inline(F.array(*rows)))
+    return df.select(key, F.inline_outer(F.array(*rows)))
 
 
 def enhanced_info(df: DataFrame) -> Column:

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pressgauge.functions import ladders, lexicons as L, urls as U
 from pressgauge.operators.ranking import top_k
+from pressgauge.operators.similarity import settled
 from pressgauge.operators.tfidf import CROSSCHECK, RELATED, TfidfSettings, tfidf_cosine
+from pressgauge.session import small_side
 
 
 def corroboration_metrics(pairs: DataFrame, group: str = "query_id") -> DataFrame:
@@ -61,14 +63,19 @@ def self_match(query_url: Column, cand_url: Column) -> Column:
 
 
 def describe_candidates(pairs: DataFrame, corpus: DataFrame, reliable: Sequence[str], key: str = "id",
-                        url: str = "url") -> DataFrame:
-    """Attach title, URL, domain and reliability of the candidates.
+                        url: str = "url", hold: str = "requests") -> DataFrame:
+    """Attach title, URL, domain and reliability of the candidates; corpus text is not read.
 
-    ``pairs`` has k rows per request, so it is the small side; corpus text is not read.
+    ``hold`` tells which side is bounded: the candidates themselves, or the
+    pairs, which are k rows per request.
     """
     cands = corpus.select(F.col(key).cast("long").alias("cand_id"), F.col(url).alias("cand_url"),
                           F.col("title").alias("cand_title"), U.domain_of(F.col(url)).alias("domain"))
-    return pairs.join(cands, "cand_id").withColumn("is_reliable", U.is_reliable(F.col("domain"), reliable))
+    if hold == "corpus":
+        joined = pairs.join(small_side(cands), "cand_id")
+    else:
+        joined = cands.join(settled(pairs), "cand_id")
+    return joined.withColumn("is_reliable", U.is_reliable(F.col("domain"), reliable))
 
 
 def crosscheck_score(requests: DataFrame, pairs: DataFrame, compared: DataFrame | None = None,
@@ -112,7 +119,7 @@ def crosscheck(requests: DataFrame, corpus: DataFrame, reliable: Sequence[str] =
                key: str = "id", text: str = "content") -> DataFrame:
     """Text path of the cross-check: joint tf-idf, k best candidates, score formula."""
     pairs = tfidf_cosine(requests, corpus, key, text, k, settings, hold=hold)
-    return crosscheck_score(requests, describe_candidates(pairs, corpus, reliable, key), key=key)
+    return crosscheck_score(requests, describe_candidates(pairs, corpus, reliable, key, hold=hold), key=key)
 
 
 def crosscheck_points(candidates: DataFrame, similarities: DataFrame, shown: int = 50) -> DataFrame:
@@ -144,7 +151,7 @@ def related_articles(queries: DataFrame, corpus: DataFrame, reliable: Sequence[s
     pairs = tfidf_cosine(asked, cards, key, "_card", k, settings, domain="domain", hold=hold)
     shown = cards.select(F.col(key).cast("long").alias("cand_id"), F.substring("title", 1, 150).alias("title"),
                          F.col("domain").alias("source"), "url", F.substring("content", 1, 250).alias("snippet"))
-    return pairs.join(shown, "cand_id").select(
+    return shown.join(settled(pairs), "cand_id").select(
         "query_id", "rank", "cand_id", "title", "source", "url", "snippet",
         F.round(ladders.relevance_scale(F.col("similarity")), 2).alias("relevance"),
         U.source_tier(F.col("source")).alias("source_credibility"))
@@ -154,8 +161,8 @@ def similarity_plot(article: DataFrame, others: DataFrame, k: int, key: str = "i
                     own_point: float = 1.0, settings: TfidfSettings = CROSSCHECK) -> DataFrame:
     """Plot rows: the articles themselves at ``own_point`` and their candidates with a credibility band."""
     pairs = tfidf_cosine(article, others, key, text, k, settings)
-    rows = pairs.join(others.select(F.col(key).cast("long").alias("cand_id"), "title", "source", "credibility_score"),
-                      "cand_id").select(
+    shown = others.select(F.col(key).cast("long").alias("cand_id"), "title", "source", "credibility_score")
+    rows = shown.join(settled(pairs), "cand_id").select(
         "query_id", "similarity", F.col("credibility_score").alias("credibility"), "title", "source",
         ladders.credibility_band(F.col("credibility_score")).alias("type"))
     own = article.select(F.col(key).cast("long").alias("query_id"), F.lit(own_point).alias("similarity"),

@@ -192,7 +192,7 @@ def language_chart(df: DataFrame, key: str) -> DataFrame:
     """Bar-chart rows: label and value in percent."""
     rows = [F.struct(F.lit(n.capitalize()).alias("label"), F.round(F.col(n) * 100, 1).alias("value"))
             for n in ("capitalization", "punctuation", "complexity", "grammar")]
-    return df.select(key, F.inline(F.array(*rows)))
+    return df.select(key, F.inline_outer(F.array(*rows)))
 
 
 def language_score_simple(df: DataFrame, content: str = "content") -> DataFrame:

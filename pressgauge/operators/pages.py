@@ -182,7 +182,7 @@ def extract_dates(pages: DataFrame, html: str = "html", default_date: Column | N
 def discover_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Distinct article links of each site: absolute, same base domain, no query or fragment."""
     hrefs = F.regexp_extract_all(F.col(html), F.lit(r"(?i)<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"']"))
-    links = pages.select(F.col(url).alias("page_url"), F.explode(hrefs).alias("href"))
+    links = pages.select(F.col(url).alias("page_url"), F.explode_outer(hrefs).alias("href"))
     links = links.filter((F.col("href") != "") & ~F.col("href").startswith("#")
                          & ~F.col("href").startswith("javascript:"))
     full = links.select("page_url", U.absolute_url(F.col("page_url"), F.col("href")).alias("full"))
@@ -203,7 +203,7 @@ def feed_links(feeds: DataFrame, xml: str = "xml") -> DataFrame:
     doc = _xml(xml)
     rss = F.xpath(doc, F.lit('//*[local-name()="item"]/*[local-name()="link"][1]/text()'))
     atom = F.xpath(doc, F.lit('//*[local-name()="entry"]/*[local-name()="link"][1]/@href'))
-    links = feeds.select(F.explode(F.concat(rss, atom)).alias("link")).select(F.trim("link").alias("link"))
+    links = feeds.select(F.explode_outer(F.concat(rss, atom)).alias("link")).select(F.trim("link").alias("link"))
     return links.filter(F.col("link").startswith("http")).select(
         F.regexp_replace("link", r"(?s)[?#].*$", "").alias("link")).distinct()
 
@@ -214,7 +214,7 @@ def feed_items(feeds: DataFrame, key: str, xml: str = "xml") -> DataFrame:
     Every item is cut out of the feed once; its fields are read from the item.
     """
     items = F.regexp_extract_all(_xml(xml), F.lit(r"(?s)(<(?:item|entry)[\s>].*?</(?:item|entry)>)"))
-    rows = feeds.select(key, F.posexplode(items).alias("pos", "item"))
+    rows = feeds.select(key, F.posexplode_outer(items).alias("pos", "item"))
 
     def field(*names: str) -> Column:
         body = [F.regexp_extract("item", rf"(?s)<{n}(?:\s[^>]*)?>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</{n}>", 1)
@@ -237,7 +237,7 @@ def feed_items(feeds: DataFrame, key: str, xml: str = "xml") -> DataFrame:
 def sitemap_links(sitemaps: DataFrame, key: str, xml: str = "xml", scanned: int = 200, kept: int = 100) -> DataFrame:
     """Article-like locations: the first ``scanned`` are looked at, at most ``kept`` are kept."""
     locations = F.xpath(_xml(xml), F.lit('//*[local-name()="url"]/*[local-name()="loc"]/text()'))
-    rows = sitemaps.select(key, F.posexplode(F.slice(locations, 1, scanned)).alias("pos", "link")).select(
+    rows = sitemaps.select(key, F.posexplode_outer(F.slice(locations, 1, scanned)).alias("pos", "link")).select(
         key, "pos", F.trim("link").alias("link"))
     good = rows.filter(U.is_article_url_quick(F.col("link"))).groupBy(key, "link").agg(F.min("pos").alias("pos"))
     order = Window.partitionBy(key).orderBy("pos")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pressgauge.session import small_side
+
 # Hash prefix length in hex digits: 4096 buckets per group.
 _PREFIX = 3
 
@@ -26,7 +28,7 @@ def hash_rank(df: DataFrame, group: str, key: str, seed: int | str) -> DataFrame
         F.sum("_n").over(by_group).alias("group_size"))
     within = Window.partitionBy(group, "_b").orderBy("_h", key)
     ranked = hashed.withColumn("_r", F.row_number().over(within))
-    joined = ranked.join(offsets, (F.col(group) == F.col("_g")) & (F.col("_b") == F.col("_gb")))
+    joined = ranked.join(small_side(offsets), (F.col(group) == F.col("_g")) & (F.col("_b") == F.col("_gb")))
     return joined.withColumn("hash_rank", F.col("_before") + F.col("_r")).drop(
         "_h", "_b", "_r", "_g", "_gb", "_before")
 

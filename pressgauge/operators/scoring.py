@@ -28,7 +28,7 @@ def chart_rows(df: DataFrame, key: str, chart: str, values: dict[str, Column]) -
     """Long rows ``key, chart, label, value`` from named columns."""
     rows = [F.struct(F.lit(label).alias("label"), value.cast("double").alias("value"))
             for label, value in values.items()]
-    return df.select(key, F.lit(chart).alias("chart"), F.inline(F.array(*rows)))
+    return df.select(key, F.lit(chart).alias("chart"), F.inline_outer(F.array(*rows)))
 
 
 def score_columns(df: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pressgauge.functions import lexicons as L, text as X
+from pressgauge.session import small_side
 
 # Longest phrase boosters, looked up on the two or three words before.
 _PHRASE_BOOSTERS = [p for p in L.BOOSTERS_DOWN if " " in p]
@@ -30,50 +31,75 @@ def _negates(word: Column) -> Column:
     return F.coalesce(F.lower(word).isin(*L.NEGATIONS) | F.lower(word).contains("n't"), F.lit(False))
 
 
-def sentiment_scores(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
-    """``compound``, ``pos``, ``neg``, ``neu`` per document.
+# Lexicon words up to which membership is tested inside the row.
+_INLINE_WORDS = 50_000
 
-    ``lexicon`` is a dictionary table ``(word, valence)``. Every token carries
-    its three predecessors and its successors along, so the neighbour rules
-    need lexicon joins but no window. Only tokens found in the lexicon and one
-    summary row per document survive the first join; the final aggregate folds
-    them inside the scan partition before anything is shuffled.
 
-    The contrast rule for "but" weighs words by position in the text.
+def _charged_tokens(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
+    """Lexicon tokens of every document, with neighbours, and one summary row (``i`` = -1) per document.
+
+    ``w, low`` is the token, ``p1 p2 p3`` the words before and ``n1 n2`` the
+    words after it, ``lv`` its valence, ``k_*`` whether a neighbour is in the
+    lexicon. With a lexicon of ordinary size the words enter the plan as a
+    hash set, so only lexicon tokens are exploded; a larger one is joined.
     """
-    lex = lexicon.select(F.lower("word").alias("lw"), F.col("valence").cast("double").alias("lv"))
+    lex = lexicon.groupBy(F.lower("word").alias("lw")).agg(F.max(F.col("valence").cast("double")).alias("lv"))
+    inline = lex.select("lw").limit(_INLINE_WORDS + 1).collect()
+    known = [r.lw for r in inline] if len(inline) <= _INLINE_WORDS else None
+    lex = F.broadcast(lex) if known is not None else lex
+
     staged = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn(
         "_w", _tokens(F.col("_t"))).withColumn("_l", F.transform("_w", F.lower))
     w, low, n = F.col("_w"), F.col("_l"), F.size("_w")
     caps = F.size(F.filter(w, X.is_upper))
-    marks = X.count_char(F.col("_t"), "!")
     asks = X.count_char(F.col("_t"), "?")
-    emphasis = F.least(marks, F.lit(4)) * 0.292 + (
+    emphasis = F.least(X.count_char(F.col("_t"), "!"), F.lit(4)) * 0.292 + (
         F.when(asks <= 1, F.lit(0.0)).when(asks <= 3, asks * 0.18).otherwise(F.lit(0.96)))
-
-    def at(i: Column, shift: int) -> Column:
-        return F.when(i + shift >= 0, F.get(w, i + shift))
-
-    def row(word: Column, i: Column) -> Column:
-        return F.struct(
-            i.alias("i"), word.alias("w"), F.lower(word).alias("low"),
-            at(i, -1).alias("p1"), at(i, -2).alias("p2"), at(i, -3).alias("p3"),
-            at(i, 1).alias("n1"), at(i, 2).alias("n2"))
-
-    summary = F.array(F.struct(
-        F.lit(-1).alias("i"), F.lit(None).cast("string").alias("w"), F.lit(None).cast("string").alias("low"),
-        *[F.lit(None).cast("string").alias(c) for c in ("p1", "p2", "p3", "n1", "n2")]))
-    exploded = staged.select(
+    neighbours = {"p1": -1, "p2": -2, "p3": -3, "n1": 1, "n2": 2}
+
+    def at(words: Column, i: Column, shift: int) -> Column:
+        return F.when(i + shift >= 0, F.get(words, i + shift))
+
+    def row(i: Column) -> Column:
+        return F.struct(i.alias("i"), F.get(w, i).alias("w"), F.get(low, i).alias("low"),
+                        *[at(w, i, s).alias(c) for c, s in neighbours.items()])
+
+    places = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
+    if known is not None:
+        places = F.filter(places, lambda i: F.get(low, i).isin(*known)) if known else F.array().cast("array<int>")
+    text_null = F.lit(None).cast("string")
+    summary = F.array(F.struct(F.lit(-1).alias("i"), text_null.alias("w"), text_null.alias("low"),
+                               *[text_null.alias(c) for c in neighbours]))
+    # Document figures and the token rows are settled before the explode, so
+    # that a token row carries a few small columns and not the text.
+    per_doc = staged.select(
         key, n.alias("n"), (F.array_position(low, "but") - 1).cast("int").alias("but"),
         ((caps > 0) & (caps < n)).alias("cap_diff"), emphasis.alias("emphasis"),
-        F.explode(F.concat(summary, F.transform(w, row))).alias("x"),
-    ).select(key, "n", "but", "cap_diff", "emphasis", "x.*")
-
+        F.concat(summary, F.transform(places, row)).alias("_x"))
+    exploded = per_doc.select(key, "n", "but", "cap_diff", "emphasis", F.explode_outer("_x").alias("x")).select(
+        key, "n", "but", "cap_diff", "emphasis", "x.*")
     hit = exploded.join(lex, exploded.low == lex.lw, "left").filter((F.col("i") == -1) | F.col("lv").isNotNull())
     for name in ("p1", "p2", "p3", "n1"):
-        other = lex.select(F.col("lw").alias(f"k_{name}"))
-        hit = hit.join(other, F.lower(F.col(name)) == F.col(f"k_{name}"), "left")
+        if known is not None:
+            member = F.lower(F.col(name)).isin(*known) if known else F.lit(False)
+            hit = hit.withColumn(f"k_{name}", F.when(member, True))
+        else:
+            other = lex.select(F.col("lw").alias(f"k_{name}"))
+            hit = hit.join(other, F.lower(F.col(name)) == F.col(f"k_{name}"), "left")
+    return hit
+
+
+def sentiment_scores(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
+    """``compound``, ``pos``, ``neg``, ``neu`` per document.
+
+    ``lexicon`` is a dictionary table ``(word, valence)``. Every lexicon token
+    carries its neighbours along, so the neighbour rules need no window. All
+    rows of a document stay in its scan partition, where the partial aggregate
+    folds them before anything is shuffled.
 
+    The contrast rule for "but" weighs words by position in the text.
+    """
+    hit = _charged_tokens(df, key, text, lexicon)
     word, lower = F.col("w"), F.col("low")
     p = [F.lower(F.col(c)) for c in ("p1", "p2", "p3")]
     is_no = lambda c: F.coalesce(c == "no", F.lit(False))
@@ -164,7 +190,7 @@ def sentiment_features(scores: DataFrame) -> DataFrame:
 def subjectivity(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
     """Mean subjectivity of the lexicon words in a document; 0 where there are none."""
     tokens = df.select(key, F.explode_outer(X.word_tokens(F.col(text))).alias("word"))
-    return tokens.join(lexicon.select("word", "subjectivity"), "word", "left").groupBy(key).agg(
+    return tokens.join(small_side(lexicon.select("word", "subjectivity")), "word", "left").groupBy(key).agg(
         F.coalesce(F.avg("subjectivity"), F.lit(0.0)).alias("sentiment_subjectivity"))
 
 
@@ -174,7 +200,7 @@ def split_sentences(df: DataFrame, key: str, text: str, limit: int | None = None
     parts = X.sentences(F.col(text))
     if limit is not None:
         parts = F.slice(parts, 1, limit)
-    rows = df.select(key, F.posexplode(parts).alias("pos", "sentence"))
+    rows = df.select(key, F.posexplode_outer(parts).alias("pos", "sentence")).filter(F.col("pos").isNotNull())
     sentence = F.substring("sentence", 1, cut) if cut else F.col("sentence")
     return rows.select(key, (F.col("pos") + 1).alias("sentence_number"), sentence.alias("sentence"))
 

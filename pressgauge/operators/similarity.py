@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from pressgauge.operators.ranking import top_k
+from pressgauge.session import cut_lineage, small_side
 
 # Numbers (8 bytes each) in one held block: 64 MB per task.
 BLOCK_NUMBERS = 8_000_000
@@ -210,8 +211,9 @@ def word_sets(df: DataFrame, key: str, text: str, vocabulary: DataFrame) -> Data
     from pressgauge.functions import text as X
 
     tokens = df.select(F.col(key).cast("long").alias("id"), F.array_distinct(X.word_tokens(F.col(text))).alias("_w"))
-    flat = tokens.select("id", F.size("_w").alias("size"), F.explode_outer("_w").alias("term"))
-    hit = flat.join(vocabulary, "term", "left")
+    sized = tokens.select("id", F.size("_w").alias("size"), "_w")
+    flat = sized.select("id", "size", F.explode_outer("_w").alias("term"))
+    hit = flat.join(small_side(vocabulary), "term", "left")
     return hit.groupBy("id").agg(
         F.sort_array(F.collect_list("idx")).alias("idx"), F.max("size").alias("size")).withColumn(
         "val", F.transform("idx", lambda i: F.lit(1.0)))
@@ -227,14 +229,15 @@ def jaccard_map(queries: DataFrame, corpus: DataFrame, key: str, text: str, show
     """
     from pressgauge.functions import text as X
 
-    words = queries.select(F.explode(F.array_distinct(X.word_tokens(F.col(text)))).alias("term")).distinct()
-    vocabulary = indexed(words, "term")
+    words = queries.select(F.explode_outer(F.array_distinct(X.word_tokens(F.col(text)))).alias("term")).filter(
+        F.col("term").isNotNull()).distinct()
+    # Numbered once: both sides and the vector width refer to it.
+    vocabulary = cut_lineage(indexed(words, "term"))
     width = vocabulary.count()
     q = word_sets(queries, key, text, vocabulary)
     c = word_sets(corpus.filter(F.length(text) > 0), key, text, vocabulary)
-    pairs = top_matches(q, c, shown - 1, sparse_jaccard(width), width=width)
+    pairs = settled(top_matches(q, c, shown - 1, sparse_jaccard(width), width=width))
     score = lambda c: F.coalesce(c.cast("double"), F.lit(0.5))
-    # The pairs are at most shown × queries rows: the optimizer picks the join.
     others = pairs.join(corpus, pairs.cand_id == corpus[key]).select(
         "query_id", (F.col("rank") + 1).alias("point"), F.col("similarity").alias("x"),
         score(F.col("credibility_score")).alias("y"), F.substring("title", 1, 50).alias("title"),
@@ -246,6 +249,11 @@ def jaccard_map(queries: DataFrame, corpus: DataFrame, key: str, text: str, show
     return own.unionByName(others)
 
 
+def settled(pairs: DataFrame) -> DataFrame:
+    """Computed match rows (k per request), ready to be joined to a large corpus from the small side."""
+    return small_side(cut_lineage(pairs))
+
+
 def indexed(df: DataFrame, column: str) -> DataFrame:
     """Dense 0-based ``idx`` in value order, for a bounded vocabulary."""
     from pyspark.sql import Window

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pressgauge.functions import text as X
+from pressgauge.session import small_side
 
 
 def label_distribution(df: DataFrame) -> DataFrame:
@@ -84,7 +85,7 @@ def profile_source(df: DataFrame, label: str | None = None) -> DataFrame:
                      F.col(f"s{i}").alias("sample_value"),
                      (F.col("labels") if label == name else F.lit(None).cast("long")).alias("distinct_labels"))
             for i, name in enumerate(names)]
-    return one.select(F.inline(F.array(*rows)))
+    return one.select(F.inline_outer(F.array(*rows)))
 
 
 def store_stats(df: DataFrame) -> DataFrame:
@@ -116,7 +117,7 @@ def phrase_counts(df: DataFrame, phrases: Sequence[str]) -> DataFrame:
     per_label = df.groupBy("label").agg(F.count(F.lit(1)).alias("documents"), *sums)
     rows = [F.struct(F.lit(p).alias("phrase"), F.col(f"p{i}").alias("occurrences"))
             for i, p in enumerate(phrases)]
-    return per_label.select("label", "documents", F.inline(F.array(*rows)))
+    return per_label.select("label", "documents", F.inline_outer(F.array(*rows)))
 
 
 def phrase_lift(df: DataFrame, phrases: Sequence[str], top: int = 20) -> DataFrame:
@@ -133,40 +134,45 @@ def phrase_lift(df: DataFrame, phrases: Sequence[str], top: int = 20) -> DataFra
             .orderBy(F.desc("lift"), "phrase").limit(top))
 
 
-def word_frequency(df: DataFrame, key: str, text: str, credible: Sequence[str],
-                   suspicious: Sequence[str]) -> DataFrame:
-    """Per document: word totals and the counts of listed words.
+def with_word_frequency(df: DataFrame, text: str, credible: Sequence[str], suspicious: Sequence[str]) -> DataFrame:
+    """Add word totals and the counts of listed words.
 
     Works inside the row: nothing is exploded or shuffled. Listed phrases that
     no single token can equal are counted in ``listed_phrases``.
     """
-    plain = lambda words: [w for w in words if w.replace("_", "a").isalnum()]
-    phrases = [w for w in [*credible, *suspicious] if w not in plain([w])]
+    single = lambda words: [w for w in words if w.replace("_", "a").isalnum()]
+    phrases = [w for w in [*credible, *suspicious] if not single([w])]
 
-    def counts(tokens: Column, listed: Sequence[str]) -> Column:
-        hits = F.filter(tokens, lambda w: w.isin(*listed))
+    def counts(hits: Column) -> Column:
         return F.map_from_entries(F.transform(
             F.array_sort(F.array_distinct(hits)),
             lambda w: F.struct(w, F.size(F.filter(hits, lambda x: x == w)))))
 
     tokens = F.col("_tokens")
-    phrase_total = X.count_words(F.col(text), phrases) if phrases else F.lit(0)
-    return df.select(key, text, X.word_tokens(F.col(text)).alias("_tokens")).select(
-        key,
-        F.size(tokens).alias("total_words"),
-        F.size(F.array_distinct(tokens)).alias("unique_words"),
-        counts(tokens, plain(credible)).alias("credible_words"),
-        counts(tokens, plain(suspicious)).alias("suspicious_words"),
-        phrase_total.alias("listed_phrases"),
-    )
+    listed = lambda words: F.filter(tokens, lambda w: w.isin(*words))
+    return df.withColumn("_tokens", X.word_tokens(F.col(text))).withColumns({
+        "total_words": F.size(tokens),
+        "unique_words": F.size(F.array_distinct(tokens)),
+        "_credible": listed(single(credible)),
+        "_suspicious": listed(single(suspicious)),
+        "listed_phrases": X.count_words(F.col(text), phrases) if phrases else F.lit(0),
+    }).withColumns({
+        "credible_words": counts(F.col("_credible")), "suspicious_words": counts(F.col("_suspicious")),
+    }).drop("_tokens", "_credible", "_suspicious")
+
+
+def word_frequency(df: DataFrame, key: str, text: str, credible: Sequence[str],
+                   suspicious: Sequence[str]) -> DataFrame:
+    """Per document: word totals and listed-word counts only."""
+    out = with_word_frequency(df.select(key, text), text, credible, suspicious)
+    return out.select(key, "total_words", "unique_words", "credible_words", "suspicious_words", "listed_phrases")
 
 
 def lexicon_matches(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
     """Occurrences of lexicon words per document and category.
 
-    The lexicon is a dictionary of fixed size; whether it is broadcast is left
-    to the optimizer's size estimate. All tokens of one document sit in one
+    The lexicon is broadcast if its checked size allows. All tokens of one document sit in one
     partition, so the partial aggregate already folds them before the shuffle.
     """
-    tokens = df.select(key, F.explode(X.word_tokens(F.col(text))).alias("word"))
-    return tokens.join(lexicon, "word").groupBy(key, "category").agg(F.count(F.lit(1)).alias("hits"))
+    tokens = df.select(key, F.explode_outer(X.word_tokens(F.col(text))).alias("word"))
+    return tokens.join(small_side(lexicon), "word").groupBy(key, "category").agg(F.count(F.lit(1)).alias("hits"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pressgauge.functions import text as X
 from pressgauge.operators.similarity import different_site, sparse_dot, top_matches
+from pressgauge.session import SMALL_ROWS, cut_lineage
 
 
 @dataclass(frozen=True)
@@ -72,7 +73,8 @@ def vocabulary(lists: DataFrame, settings: TfidfSettings, documents: int | None
     n = documents if documents is not None else lists.count()
     marked = F.concat(F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("c"), F.lit(0).alias("d"))),
                       F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("c"), F.lit(1).alias("d"))))
-    counts = lists.select(F.explode(marked).alias("m")).select("m.*").groupBy("term").agg(
+    counts = lists.select(F.explode_outer(marked).alias("m")).select("m.*").filter(
+        F.col("term").isNotNull()).groupBy("term").agg(
         F.sum("c").alias("cf"), F.sum("d").alias("df"))
     kept = counts.filter((F.col("df") >= settings.min_df) & (F.col("df") <= settings.max_df * n))
     best = kept.orderBy(F.desc("cf"), "term").limit(settings.max_features)
@@ -81,14 +83,19 @@ def vocabulary(lists: DataFrame, settings: TfidfSettings, documents: int | None
         (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
+def _held(vocab: DataFrame, settings: TfidfSettings) -> DataFrame:
+    """The vocabulary has at most ``max_features`` rows; broadcast it where that is few."""
+    return F.broadcast(vocab) if settings.max_features <= SMALL_ROWS else vocab
+
+
 def tfidf_weights(lists: DataFrame, vocab: DataFrame, settings: TfidfSettings) -> DataFrame:
     """``id, term, idx, weight``, L2-normalised per document.
 
     The vocabulary is small by construction (``max_features``), so the join
     keeps the documents in place; only vocabulary hits go on to the aggregates.
     """
-    hits = lists.select("id", F.explode("terms").alias("term")).join(
-        F.broadcast(vocab) if settings.max_features <= 200_000 else vocab, "term")
+    hits = lists.select("id", F.explode_outer("terms").alias("term")).join(
+        _held(vocab, settings), "term")
     counted = hits.groupBy("id", "term", "idx", "idf").agg(F.count(F.lit(1)).alias("tf"))
     tf = (1.0 + F.log("tf")) if settings.sublinear else F.col("tf").cast("double")
     weighted = counted.withColumn("w", tf * F.col("idf"))
@@ -108,7 +115,7 @@ def sparse_vectors(lists: DataFrame, vocab: DataFrame, settings: TfidfSettings)
     Hits carry their idf; counting and normalising happen inside the collected
     array, so there is one shuffle, of vocabulary hits only.
     """
-    small = F.broadcast(vocab.select("term", "idx", "idf"))
+    small = _held(vocab.select("term", "idx", "idf"), settings)
     hits = lists.select("id", F.explode_outer("terms").alias("term")).join(small, "term", "left")
     counted = hits.groupBy("id", "idx", "idf").agg(F.count(F.lit(1)).alias("tf"))
     tf = (1.0 + F.log("tf")) if settings.sublinear else F.col("tf").cast("double")
@@ -131,8 +138,6 @@ def tfidf_cosine(queries: DataFrame, corpus: DataFrame, key: str, text: str, k:
     q = term_lists(queries, key, query_text or text, settings)
     c = term_lists(corpus, key, text, settings)
     joint = q.select("terms").unionByName(c.select("terms"))
-    from pressgauge.session import cut_lineage
-
     # The vocabulary feeds both sides and sizes the vectors: fit it once.
     vocab = cut_lineage(vocabulary(joint, settings))
     width = max(1, vocab.count())

@@ -41,15 +41,13 @@ def analyze_articles(articles: DataFrame, corpus: DataFrame, settings: AnalysisS
     scored = G.language_scores(articles)
     scored = C.credibility(scored, st.sources, whois)
     scored = Z.sensationalism_heuristic(scored, words=tuple(st.suspicious_words))
+    scored = ST.with_word_frequency(scored, "content", st.credible_words, st.suspicious_words)
     checked = K.crosscheck(articles, corpus, tuple(st.sources.reliable), st.k, st.tfidf, st.hold)
-    counts = ST.word_frequency(articles.select("id", "content"), "id", "content", st.credible_words,
-                               st.suspicious_words)
     slim = scored.select(
         "id", "url", "title", "source", "domain", "known_source", "language_score", "credibility", "sensationalism",
-        "capitalization", "punctuation", "complexity", "grammar", *C.METRICS,
-        X.whitespace_words(F.col("content")).alias("word_count"))
-    joined = slim.join(checked.withColumnRenamed("query_id", "id").withColumnRenamed("status", "cross_check_status"),
-                       "id").join(counts, "id")
+        "capitalization", "punctuation", "complexity", "grammar", *C.METRICS, "total_words", "unique_words",
+        "credible_words", "suspicious_words", X.whitespace_words(F.col("content")).alias("word_count"))
+    joined = slim.join(checked.withColumnRenamed("query_id", "id").withColumnRenamed("status", "cross_check_status"), "id")
     out = S.score_columns(joined)
     label = lambda c, v: F.struct(F.lit(c).alias("label"), F.round(v, 1).alias("value"))
     return out.select(

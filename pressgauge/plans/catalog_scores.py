@@ -248,7 +248,7 @@ def _(t: Tables):
 def _(t: Tables):
     feats = G.linguistic_features(t.texts.select("doc_id", "text"), "text", stand_in_lists()).drop("text")
     out = Z.sensationalism_zscore(feats, Z.feature_statistics(feats), by_name=True)
-    return out.select("doc_id", F.posexplode("top_contributors").alias("pos", "c")).select(
+    return out.select("doc_id", F.posexplode_outer("top_contributors").alias("pos", "c")).select(
         "doc_id", "pos", F.col("c.feature").alias("feature"), F.round("c.contribution", 5).alias("contribution"))
 
 
@@ -317,16 +317,16 @@ def _(t: Tables):
 WITH {ARTICLES_SQL}, {LANGUAGE_SQL}, {CREDIBILITY_SQL}, {heuristic_sql('content', 'title')},
 j AS (SELECT a.id, round(l.language_score, 3) AS ls, round(s.credibility, 3) AS cs, round((n_chars % 101) / 100.0::DOUBLE, 3) AS xs, h.sensationalism AS se
   FROM articles a JOIN lang l USING (id) JOIN scored s USING (id) JOIN heuristic h USING (id))
-SELECT id, round(ls * 0.25::DOUBLE + cs * 0.25::DOUBLE + xs * 0.25::DOUBLE + (1.0::DOUBLE - se) * 0.25::DOUBLE, 5) AS inverted,
-  round(ls * 0.25::DOUBLE + cs * 0.25::DOUBLE + xs * 0.25::DOUBLE + se * 0.25::DOUBLE, 5) AS plain FROM j""")
+SELECT id, round(ls * 0.25::DOUBLE + cs * 0.25::DOUBLE + xs * 0.25::DOUBLE + (1.0::DOUBLE - se) * 0.25::DOUBLE, 9) AS inverted,
+  round(ls * 0.25::DOUBLE + cs * 0.25::DOUBLE + xs * 0.25::DOUBLE + se * 0.25::DOUBLE, 9) AS plain FROM j""")
 def _(t: Tables):
     df = G.language_scores(t.articles)
     df = C.credibility(df, SOURCES)
     df = Z.sensationalism_heuristic(df, words=tuple(HEURISTIC_WORDS))
     parts = [F.round("language_score", 3), F.round("credibility", 3), F.round(F.col("n_chars") % 101 / 100.0, 3),
              F.col("sensationalism")]
-    return df.select("id", F.round(S.overall_score(*parts), 5).alias("inverted"),
-                     F.round(S.overall_score(*parts, invert=False), 5).alias("plain"))
+    return df.select("id", F.round(S.overall_score(*parts), 9).alias("inverted"),
+                     F.round(S.overall_score(*parts, invert=False), 9).alias("plain"))
 
 
 def analysis_settings() -> AN.AnalysisSettings:

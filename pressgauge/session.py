@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def build_session(app: str = "pressgauge", master: str | None = None, **conf: str) -> SparkSession:
@@ -39,6 +39,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# Rows up to which a narrow table may be broadcast (about 20 MB at 100 bytes a row).
+SMALL_ROWS = 200_000
+
+
+def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is.
+
+    Meant for narrow tables that do not grow with the corpus: dictionaries,
+    vocabularies, counts. Beyond the limit the join is left to the optimizer,
+    which shuffles both sides.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rebalance an input that has fewer splits than the session has cores.
 
