@@ -8,13 +8,14 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (LinearSVC, LinearSVCModel, LogisticRegression, NaiveBayes,
                                        RandomForestClassifier)
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import (IDF, CountVectorizer, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer,
                                 StandardScaler, StopWordsRemover, Tokenizer, VectorAssembler)
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pressgauge.functions import lexicons as L
 from pressgauge.operators.ranking import class_weights, kfold, stratified_split
+from pressgauge.session import cut_lineage, small_side
 
 SEED = 42
 
@@ -56,7 +57,7 @@ def combine_stage(tfidf: bool = True, scaled: bool = True) -> VectorAssembler:
 
 def with_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Balanced class weights as a column; the weight table has one row per class."""
-    return df.join(F.broadcast(class_weights(df, label).select(label, "weight")), label)
+    return df.join(small_side(class_weights(df, label).select(label, "weight")), label)
 
 
 def feature_pipeline(classifier, tfidf: bool = True, columns: Sequence[str] = tuple(L.FEATURE_NAMES),
@@ -97,7 +98,8 @@ def train(df: DataFrame, pipeline: Pipeline, key: str = "doc_id", test: float =
 
     ``fit_on="all"`` fits every stage, scaler and idf included, on all rows.
     """
-    split = stratified_split(df, "label", key, test, SEED)
+    # Training passes over the rows many times: the text features are computed once and written.
+    split = cut_lineage(stratified_split(df, "label", key, test, SEED))
     fit_rows, test_rows = split.filter(~F.col("is_test")), split.filter("is_test")
     model = pipeline.fit(split if fit_on == "all" else fit_rows)
     return Trained(model, fit_rows, test_rows)
@@ -118,20 +120,33 @@ def binary_metrics(confusion: DataFrame) -> DataFrame:
         "f1_score": safe(2 * tp, 2 * tp + fp + fn)})
 
 
+def weighted_metrics(metrics: DataFrame) -> DataFrame:
+    """Class-weighted precision, recall and F1 from confusion counts."""
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    safe = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    n = tp + tn + fp + fn
+    both = lambda pos, neg: safe(pos * (tp + fn) + neg * (tn + fp), n)
+    return metrics.withColumns({
+        "weighted_precision": both(safe(tp, tp + fp), safe(tn, tn + fn)),
+        "weighted_recall": both(safe(tp, tp + fn), safe(tn, tn + fp)),
+        "weighted_f1": both(safe(2 * tp, 2 * tp + fp + fn), safe(2 * tn, 2 * tn + fp + fn))})
+
+
 def evaluate(predictions: DataFrame) -> DataFrame:
-    """ROC-AUC, weighted precision, recall, F1 and the confusion counts as one row."""
-    spark = predictions.sparkSession
+    """ROC-AUC, weighted and positive-class precision, recall, F1 and the confusion counts as one row.
+
+    Two passes over the predictions: one sorts scores for the area, one counts.
+    """
+    scored = predictions.select("label", "prediction", "rawPrediction").persist()
     auc = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction",
-                                        metricName="areaUnderROC").evaluate(predictions)
-    many = MulticlassClassificationEvaluator(labelCol="label")
-    weighted = {n: many.setMetricName(m).evaluate(predictions) for n, m in (
-        ("weighted_precision", "weightedPrecision"), ("weighted_recall", "weightedRecall"), ("weighted_f1", "f1"))}
-    row = binary_metrics(confusion_counts(predictions)).first()
-    return spark.createDataFrame(
-        [(float(auc), *[float(v) for v in weighted.values()], row.accuracy, row.precision, row.recall, row.f1_score,
-          row.tn, row.fp, row.fn, row.tp)],
-        "roc_auc double, weighted_precision double, weighted_recall double, weighted_f1 double, accuracy double, "
-        "precision double, recall double, f1_score double, tn long, fp long, fn long, tp long")
+                                        metricName="areaUnderROC").evaluate(scored)
+    row = weighted_metrics(binary_metrics(confusion_counts(scored)))
+    names = ["weighted_precision", "weighted_recall", "weighted_f1", "accuracy", "precision", "recall", "f1_score"]
+    values = row.select(*names, "tn", "fp", "fn", "tp").first()
+    scored.unpersist()
+    return predictions.sparkSession.createDataFrame(
+        [(float(auc), *values)], "roc_auc double, " + ", ".join(f"{n} double" for n in names)
+        + ", tn long, fp long, fn long, tp long")
 
 
 def cross_validate(df: DataFrame, pipeline: Pipeline, k: int = 5, metric: str = "f1", key: str = "doc_id") -> DataFrame:
@@ -181,5 +196,5 @@ def prepared(df: DataFrame, tfidf: bool, columns: Sequence[str], num_features: i
     """Rows with a fitted ``features`` vector, key, label and weight, computed once and kept."""
     stages = (tfidf_stages(num_features=num_features) if tfidf else []) + (scale_stages(columns) if columns else [])
     pipe = Pipeline(stages=[*stages, combine_stage(tfidf, bool(columns))])
-    weighted = with_weights(df)
+    weighted = cut_lineage(with_weights(df))
     return pipe.fit(weighted).transform(weighted).select("doc_id", "label", "weight", "features")

@@ -4,56 +4,68 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pressgauge.session import small_side
+from pressgauge.session import cut_lineage, small_side
 
 # Hash prefix length in hex digits: 4096 buckets per group.
 _PREFIX = 3
 
 
+def _order(key: str, seed: int | str) -> Column:
+    """Hashed key, then the key itself."""
+    return F.struct(F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed)))).alias("h"), F.col(key).alias("k"))
+
+
 def hash_rank(df: DataFrame, group: str, key: str, seed: int | str) -> DataFrame:
-    """Add ``hash_rank`` (1-based) and ``group_size`` by hashed key order within ``group``.
+    """``group, key, order, hash_rank, group_size``: 1-based rank by hashed key within a group.
 
     A window over the group itself would sort a whole class in one task. The
     hash is uniform, so its prefix cuts a group of any size into equal buckets:
     rows are ranked within a bucket and the bucket's offset is added. The
     bucket table has at most 4096 rows per group value.
     """
-    hashed = df.withColumn("_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))))).withColumn(
-        "_b", F.substring("_h", 1, _PREFIX))
+    hashed = df.select(group, key, _order(key, seed).alias("order")).withColumn(
+        "_b", F.substring("order.h", 1, _PREFIX))
     counts = hashed.groupBy(group, "_b").agg(F.count(F.lit(1)).alias("_n"))
     by_group = Window.partitionBy(group)
     offsets = counts.select(
         F.col(group).alias("_g"), F.col("_b").alias("_gb"),
         (F.sum("_n").over(by_group.orderBy("_b")) - F.col("_n")).alias("_before"),
         F.sum("_n").over(by_group).alias("group_size"))
-    within = Window.partitionBy(group, "_b").orderBy("_h", key)
+    within = Window.partitionBy(group, "_b").orderBy("order")
     ranked = hashed.withColumn("_r", F.row_number().over(within))
-    joined = ranked.join(small_side(offsets), (F.col(group) == F.col("_g")) & (F.col("_b") == F.col("_gb")))
-    return joined.withColumn("hash_rank", F.col("_before") + F.col("_r")).drop(
-        "_h", "_b", "_r", "_g", "_gb", "_before")
+    joined = ranked.join(small_side(cut_lineage(offsets)), (F.col(group) == F.col("_g")) & (F.col("_b") == F.col("_gb")))
+    return joined.select(group, key, "order", (F.col("_before") + F.col("_r")).alias("hash_rank"), "group_size")
 
 
 def stratified_split(df: DataFrame, label: str = "label", key: str = "doc_id", test: float = 0.2,
                      seed: int = 42) -> DataFrame:
     """Mark ``is_test`` for the first ``test`` share of every class in hashed order.
 
-    The mark depends on key and seed only, so it does not change with the
-    number of partitions.
+    Only keys are ranked. The last test key of each class, one row per class,
+    is then compared with every row in place, so wide rows are not shuffled.
+    The mark depends on key and seed only, not on partitioning.
     """
     ranked = hash_rank(df, label, key, seed)
     percent_rank = (F.col("hash_rank") - 1) / F.greatest(F.lit(1), F.col("group_size") - 1)
-    return ranked.withColumn("is_test", percent_rank < test).drop("hash_rank", "group_size")
+    cut = ranked.filter(percent_rank < test).groupBy(label).agg(F.max("order").alias("_cut"))
+    marked = df.join(small_side(cut_lineage(cut)), label, "left")
+    return marked.withColumn("is_test", F.coalesce(_order(key, seed) <= F.col("_cut"), F.lit(False))).select(
+        *df.columns, "is_test")
 
 
 def kfold(df: DataFrame, k: int, label: str = "label", key: str = "doc_id", seed: int = 42) -> DataFrame:
-    """Stratified fold number 1..k, as ``ntile`` would give it."""
+    """Stratified fold number 1..k, as ``ntile`` would give it; wide rows stay in place."""
     ranked = hash_rank(df, label, key, seed)
     small = F.floor(F.col("group_size") / k)
     extra = F.col("group_size") % k
     in_large = F.col("hash_rank") <= extra * (small + 1)
     tile = F.when(in_large, F.floor((F.col("hash_rank") - 1) / (small + 1))).otherwise(
         extra + F.floor((F.col("hash_rank") - 1 - extra * (small + 1)) / F.greatest(F.lit(1), small)))
-    return ranked.withColumn("fold", (tile + 1).cast("int")).drop("hash_rank", "group_size")
+    ends = ranked.groupBy(label, tile.alias("_tile")).agg(F.max("order").alias("_end"))
+    cuts = ends.groupBy(label).agg(F.collect_list("_end").alias("_ends"))
+    marked = df.join(small_side(cut_lineage(cuts)), label, "left").withColumn("_o", _order(key, seed))
+    fold = F.size(F.filter("_ends", lambda end: end < F.col("_o"))) + 1
+    return marked.select(*df.columns, fold.cast("int").alias("fold"))
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:

@@ -95,7 +95,7 @@ def _(t: Tables):
 
 @query("compare_models", "K9 F5")
 def _(t: Tables):
-    return E.compare_models(features(t), E.baselines((10, 20), (5, 6)), FEATURES, tfidf=False)
+    return E.compare_models(features(t), E.baselines((10, 20), (5, 6), 20), FEATURES, tfidf=False)
 
 
 @query("ablation", "K10 F5")
