@@ -63,16 +63,29 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD}+)"))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize_text(text: Column) -> Column:
     """Clean text for the linguistic features.
 
     The order matters and is kept: white space is collapsed first, so the
-    spaces put in by the later removals stay.
+    spaces put in by the later removals stay. A pass that needs a certain
+    character is skipped for texts without it.
     """
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE}+", " ")
-    out = F.regexp_replace(out, rf"https?://{NOT_SPACE}+|www\.{NOT_SPACE}+", " ")
-    out = F.regexp_replace(out, rf"{NOT_SPACE}+@{NOT_SPACE}+", " ")
-    out = F.regexp_replace(out, "<[^\n]*?>", " ")
+    def gated(found, pattern: str):
+        return lambda t: F.when(found(t), F.regexp_replace(t, pattern, " ")).otherwise(t)
+
+    # Single blanks need no change, so only other white space and longer runs match.
+    out = F.regexp_replace(F.coalesce(text, F.lit("")),
+                           rf"[\t-\r\x1c-\x1f\x{{85}}\p{{Z}}&&[^ ]]{SPACE}*| {SPACE}+", " ")
+    out = let(out, gated(lambda t: t.contains("http") | t.contains("www."),
+                         rf"https?://{NOT_SPACE}+|www\.{NOT_SPACE}+"))
+    # A match can only begin where a run of non-space characters begins.
+    out = let(out, gated(lambda t: t.contains("@"), rf"(?<!{NOT_SPACE}){NOT_SPACE}+@{NOT_SPACE}+"))
+    out = let(out, gated(lambda t: t.contains("<"), "<[^\n]*?>"))
     out = F.regexp_replace(out, r"[^\p{L}\p{N}_\t-\r\x1c-\x20\x{85}\p{Z}.!?]", " ")
     return strip(out)
 
@@ -106,30 +119,58 @@ def count_listed(tokens: Column, lowered: Column, entries: Sequence[str]) -> Col
     """``count_words`` on already split tokens.
 
     Entries made of word characters only are looked up in the token array (one
-    hash probe per token); only phrases need a pass over the text.
+    hash probe per token); phrases that cannot overlap share one pass.
     """
-    plain = [e for e in entries if re.fullmatch(r"\w+", e)]
-    phrases = [e for e in entries if e not in plain]
-    terms = [_count_in(tokens, group) for group in _layers(plain)]
-    terms += [count_matches(lowered, whole([p])) for p in phrases]
-    return _total(terms)
+    return count_alternations(tokens, lowered, [[e] for e in entries])
 
 
 def count_alternations(tokens: Column, lowered: Column, groups: Sequence[Sequence[str]]) -> Column:
     """``count_patterns`` for alternations of literal words and phrases.
 
-    Single words are counted on the token array. The phrases of one group
-    form one pattern, so they are matched without overlap as an alternation is.
+    Single words are counted on the token array. Phrases that cannot overlap
+    are counted in one pass over the text, whatever group they come from; a
+    group whose own phrases can overlap keeps its own pattern, in which they
+    exclude each other.
     """
     plain = [w for g in groups for w in g if re.fullmatch(r"\w+", w)]
     terms = [_count_in(tokens, layer) for layer in _layers(plain)]
+    loose: list[str] = []
     for group in groups:
         phrases = [p for p in group if not re.fullmatch(r"\w+", p)]
-        if phrases:
+        if any(_overlap(p, q) for p in phrases for q in phrases if p != q):
             terms.append(count_matches(lowered, whole(phrases)))
+        else:
+            loose += phrases
+    terms += [count_matches(lowered, whole(batch)) for batch in _batches(loose)]
     return _total(terms)
 
 
+def _overlap(a: str, b: str) -> bool:
+    """Whether occurrences of two different phrases can share text."""
+    shorter = min(len(a), len(b))
+    return a in b or b in a or any(a[-n:] == b[:n] or b[-n:] == a[:n] for n in range(1, shorter)
+                                   if _edge(a, n, True) and _edge(b, n, False) or _edge(b, n, True) and _edge(a, n, False))
+
+
+def _edge(phrase: str, n: int, tail: bool) -> bool:
+    """Whether the last (or first) ``n`` characters are cut at a word boundary."""
+    pair = phrase[-n - 1:][:2] if tail else phrase[n - 1:n + 1]
+    return len(pair) == 2 and not (pair[0].isalnum() and pair[1].isalnum())
+
+
+def _batches(phrases: Sequence[str]) -> list[list[str]]:
+    """Phrases in batches without overlaps; a repeated phrase goes to another batch."""
+    batches: list[list[str]] = []
+    for phrase in phrases:
+        for batch in batches:
+            if all(phrase != q and not _overlap(phrase, q) for q in batch):
+                batch.append(phrase)
+                break
+        else:
+            batches.append([phrase])
+    return batches
+
+
 def _count_in(tokens: Column, entries: Sequence[str]) -> Column:
     return F.size(F.filter(tokens, lambda w: w.isin(*entries)))
 

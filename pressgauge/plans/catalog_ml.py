@@ -142,7 +142,9 @@ def _(t: Tables):
         m.model.transform(m.test).select("doc_id", F.col("prediction").alias("p1")), "doc_id")
     agree = same.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("p1") == F.col("p2")).alias("equal_predictions"))
     info = M.model_info(t.spark, again)
-    return agree.withColumn("k", F.lit(1)).join(info.withColumn("k", F.lit(1)), "k").drop("k", "intercept")
+    row = info.first()
+    return agree.select("*", F.lit(row.stages).alias("stages"), F.lit(row.classifier).alias("classifier"),
+                        F.lit(row.coefficients).alias("coefficients"))
 
 
 @query("predict_batch", "J11 J17 B24")
