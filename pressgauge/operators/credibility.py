@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pressgauge.functions import ladders, lexicons as L, text as X, urls as U
 from pressgauge.schema import WHOIS_JSON
+from pressgauge.session import small_side
 
 
 @dataclass
@@ -172,14 +173,16 @@ METRICS = ["domain_age", "url_structure", "site_structure", "content_format"]
 def credibility(df: DataFrame, lists: SourceLists | None = None, whois: DataFrame | None = None) -> DataFrame:
     """Add the four metrics (0-100), ``credibility`` (0-1, unrounded) and ``known_source``.
 
-    ``df`` has ``url, title, content``. ``whois`` has one row per domain; its
-    size follows the number of domains, so the join strategy is left open.
+    ``df`` has ``url, title, content``. ``whois`` has one row per domain; it
+    is broadcast where its checked size allows, so that a domain with many
+    articles does not gather them in one task. Beyond that adaptive execution
+    splits the large join partitions.
     """
     lists = lists or SourceLists()
     out = df.withColumn("domain", U.domain_of(F.col("url"))).withColumn("base_domain", U.base_domain(F.col("domain")))
     out = with_source_lists(out, lists)
     if whois is not None:
-        out = out.join(whois, "domain", "left")
+        out = out.join(small_side(whois), "domain", "left")
     else:
         out = out.withColumns({"verified": F.lit(False), "age_years": F.lit(None).cast("double")})
     out = out.withColumns({

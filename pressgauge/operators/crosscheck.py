@@ -13,21 +13,23 @@ from pressgauge.operators.tfidf import CROSSCHECK, RELATED, TfidfSettings, tfidf
 from pressgauge.session import small_side
 
 
-def corroboration_metrics(pairs: DataFrame, group: str = "query_id") -> DataFrame:
+def corroboration_metrics(pairs: DataFrame, group: str = "query_id", extra: Sequence[Column] = ()) -> DataFrame:
     """Similarity, credible-source and domain figures per query.
 
-    ``pairs`` has ``similarity, is_reliable, domain``.
+    ``pairs`` has ``similarity, is_reliable, domain``; rows without a
+    similarity do not count. ``extra`` aggregates ride along in the same pass.
     """
-    s, ok = F.col("similarity"), F.col("is_reliable")
+    s, ok = F.col("similarity"), F.col("is_reliable") & F.col("similarity").isNotNull()
+    named = s.isNotNull() & (F.col("domain") != "")
     return pairs.groupBy(group).agg(
-        F.count(F.lit(1)).alias("total_compared"),
+        F.count(s).alias("total_compared"),
         F.max(s).alias("max_similarity"), F.avg(s).alias("avg_similarity"),
         F.count_if(s > 0.6).alias("similar_count"), F.count_if(ok & (s > 0.6)).alias("credible_similar_count"),
         F.count_if(ok).alias("credible_sources_count"),
         F.coalesce(F.max(F.when(ok, s)), F.lit(0.0)).alias("credible_max_similarity"),
         F.coalesce(F.avg(F.when(ok, s)), F.lit(0.0)).alias("credible_avg_similarity"),
         F.coalesce(F.sum(F.when(ok, s)), F.lit(0.0)).alias("_credible_sum"), F.sum(s).alias("_sum"),
-        F.count_distinct(F.when(F.col("domain") != "", F.col("domain"))).alias("source_diversity"))
+        F.count_distinct(F.when(named, F.col("domain"))).alias("source_diversity"), *extra)
 
 
 def corroboration(metrics: DataFrame) -> DataFrame:
@@ -36,7 +38,9 @@ def corroboration(metrics: DataFrame) -> DataFrame:
     share = F.when(F.col("_sum") > 0, F.col("_credible_sum") / F.col("_sum")).otherwise(F.lit(0.0))
     weight = F.when(F.col("credible_sources_count") > 0, 0.7 + 0.3 * share).otherwise(F.lit(0.5))
     out = metrics.withColumns({"diversity_boost": boost, "credibility_weight": weight})
-    score = F.least(F.lit(1.0), F.col("max_similarity") * F.col("credibility_weight") * (1 + F.col("diversity_boost")))
+    formula = F.col("max_similarity") * F.col("credibility_weight") * (1 + F.col("diversity_boost"))
+    # ``least`` skips nulls: a query without compared candidates has no score.
+    score = F.when(formula.isNotNull(), F.least(F.lit(1.0), formula))
     return out.withColumn("score", score).withColumn("status", ladders.corroboration_status(F.col("score"))).drop(
         "_sum", "_credible_sum")
 
@@ -87,13 +91,15 @@ def crosscheck_score(requests: DataFrame, pairs: DataFrame, compared: DataFrame
     candidates (``compared``: request ids) could not be compared 0.40.
     """
     wanted = requests.select(F.col(key).cast("long").alias("query_id"), F.col(url).alias("query_url"))
-    flagged = pairs.join(wanted, "query_id").withColumn(
-        "is_self", self_match(F.col("query_url"), F.col("cand_url"))).withColumn(
-        "_same", U.normalized_url(F.col("query_url")) == U.normalized_url(F.col("cand_url")))
-    perfect = flagged.filter(F.col("is_self") & (F.col("similarity") > 0.95)).groupBy("query_id").agg(
-        F.max("similarity").alias("self_similarity"))
-    scored = corroboration(corroboration_metrics(flagged.filter(~F.col("_same"))))
-    out = wanted.join(perfect, "query_id", "left").join(scored, "query_id", "left")
+    # The wanted requests and their k candidates meet once; all figures come from that one aggregate.
+    both = pairs.join(wanted, "query_id")
+    same = U.normalized_url(F.col("query_url")) == U.normalized_url(F.col("cand_url"))
+    perfect = F.when(self_match(F.col("query_url"), F.col("cand_url")) & (F.col("similarity") > 0.95), F.col("similarity"))
+    flagged = both.select("query_id", "is_reliable", "domain", perfect.alias("_self"),
+                          F.when(~same, F.col("similarity")).alias("similarity"))
+    scored = corroboration(corroboration_metrics(flagged, extra=[F.max("_self").alias("self_similarity")]))
+    scored = scored.withColumn("status", F.when(F.col("score").isNotNull(), F.col("status")))
+    out = wanted.join(scored, "query_id", "left")
     found = F.lit(False)
     if compared is not None:
         out = out.join(compared.select(F.col("query_id"), F.lit(True).alias("_found")), "query_id", "left")

@@ -22,6 +22,8 @@ from pressgauge.session import cut_lineage, small_side
 
 # Numbers (8 bytes each) in one held block: 64 MB per task.
 BLOCK_NUMBERS = 8_000_000
+# Numbers in one dense slice of a batch: 32 MB.
+SLICE_NUMBERS = 4_000_000
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:
@@ -47,25 +49,34 @@ def _sparse_rows(idx: pd.Series, val: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def dense_cosine(held: pd.DataFrame, batch: pd.DataFrame) -> np.ndarray:
-    """Scores of dense ``vec`` columns: held rows × batch rows."""
-    return _unit(_dense(held["vec"])) @ _unit(_dense(batch["vec"])).T
+Scorer = Callable[[pd.DataFrame], Callable[[pd.DataFrame], np.ndarray]]
 
 
-def sparse_dot(width: int) -> Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]:
+def dense_cosine(held: pd.DataFrame) -> Callable[[pd.DataFrame], np.ndarray]:
+    """Scores of dense ``vec`` columns: held rows × batch rows. The held side is normalised once."""
+    units = _unit(_dense(held["vec"]))
+    return lambda batch: units @ _unit(_dense(batch["vec"])).T
+
+
+def sparse_dot(width: int) -> Scorer:
     """Scores of sparse rows (``idx``, ``val``) over ``width`` terms."""
-    def score(held: pd.DataFrame, batch: pd.DataFrame) -> np.ndarray:
-        return _sparse_rows(held["idx"], held["val"], width) @ _sparse_rows(batch["idx"], batch["val"], width).T
-    return score
+    def prepare(held: pd.DataFrame) -> Callable[[pd.DataFrame], np.ndarray]:
+        rows = _sparse_rows(held["idx"], held["val"], width)
+        return lambda batch: rows @ _sparse_rows(batch["idx"], batch["val"], width).T
+    return prepare
 
 
-def sparse_jaccard(width: int) -> Callable[[pd.DataFrame, pd.DataFrame], np.ndarray]:
+def sparse_jaccard(width: int) -> Scorer:
     """Shared over all distinct words; ``size`` is a row's number of distinct words."""
-    def score(held: pd.DataFrame, batch: pd.DataFrame) -> np.ndarray:
-        shared = _sparse_rows(held["idx"], held["val"], width) @ _sparse_rows(batch["idx"], batch["val"], width).T
-        union = held["size"].to_numpy()[:, None] + batch["size"].to_numpy()[None, :] - shared
-        return np.where(union > 0, shared / np.maximum(union, 1), 0.0)
-    return score
+    def prepare(held: pd.DataFrame) -> Callable[[pd.DataFrame], np.ndarray]:
+        rows, sizes = _sparse_rows(held["idx"], held["val"], width), held["size"].to_numpy()[:, None]
+
+        def score(batch: pd.DataFrame) -> np.ndarray:
+            shared = rows @ _sparse_rows(batch["idx"], batch["val"], width).T
+            union = sizes + batch["size"].to_numpy()[None, :] - shared
+            return np.where(union > 0, shared / np.maximum(union, 1), 0.0)
+        return score
+    return prepare
 
 
 def different_site(held: pd.DataFrame, batch: pd.DataFrame) -> np.ndarray:
@@ -102,7 +113,7 @@ def top_matches(requests: DataFrame, corpus: DataFrame, k: int, scorer, allowed=
     held_df, stream = (requests, corpus) if hold == "requests" else (corpus, requests)
     parts = []
     for block in held_blocks(held_df, width):
-        parts.append(_one_pass(stream, block, k, scorer, allowed, hold, digits))
+        parts.append(_one_pass(stream, block, k, scorer, allowed, hold, digits, width))
     if not parts:
         return requests.sparkSession.createDataFrame([], "query_id long, cand_id long, similarity double, rank int")
     merged = parts[0]
@@ -135,11 +146,19 @@ _PASS_SCHEMA = T.StructType([T.StructField("query_id", T.LongType()), T.StructFi
                              T.StructField("similarity", T.DoubleType())])
 
 
-def _one_pass(stream: DataFrame, block: pd.DataFrame, k: int, scorer, allowed, hold: str, digits: int) -> DataFrame:
+def _one_pass(stream: DataFrame, block: pd.DataFrame, k: int, scorer: Scorer, allowed, hold: str, digits: int,
+              width: int | None) -> DataFrame:
     shared = stream.sparkSession.sparkContext.broadcast(block)
+    # A batch is scored in slices, so that a wide vocabulary does not make a large dense matrix.
+    step = max(1, SLICE_NUMBERS // max(width or 1, len(block)))
 
-    def scores_of(held: pd.DataFrame, batch: pd.DataFrame) -> np.ndarray:
-        out = np.round(scorer(held, batch), digits)
+    def slices(batches):
+        for batch in batches:
+            for start in range(0, len(batch), step):
+                yield batch.iloc[start:start + step]
+
+    def scores_of(score, held: pd.DataFrame, batch: pd.DataFrame) -> np.ndarray:
+        out = np.round(score(batch), digits)
         if allowed is not None:
             out = np.where(allowed(held, batch), out, -np.inf)
         return out
@@ -147,13 +166,12 @@ def _one_pass(stream: DataFrame, block: pd.DataFrame, k: int, scorer, allowed, h
     def by_request(batches):
         # Held side = requests: running k best per request over the partition.
         held = shared.value
+        score = scorer(held)
         best_s = [np.empty(0)] * len(held)
         best_i = [np.empty(0, dtype=np.int64)] * len(held)
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in slices(batches):
             ids = batch["id"].to_numpy()
-            table = scores_of(held, batch)
+            table = scores_of(score, held, batch)
             for q in range(len(held)):
                 pick = _best(table[q], ids, k)
                 s = np.concatenate([best_s[q], table[q][pick]])
@@ -167,11 +185,10 @@ def _one_pass(stream: DataFrame, block: pd.DataFrame, k: int, scorer, allowed, h
     def by_corpus(batches):
         # Held side = corpus: the batch rows are requests and are finished here.
         held = shared.value
+        score = scorer(held)
         ids = held["id"].to_numpy()
-        for batch in batches:
-            if not len(batch):
-                continue
-            table = scores_of(held, batch).T
+        for batch in slices(batches):
+            table = scores_of(score, held, batch).T
             out = [(qid, _best(table[r], ids, k), r) for r, qid in enumerate(batch["id"])]
             yield pd.DataFrame({
                 "query_id": np.concatenate([np.full(len(p), q, dtype=np.int64) for q, p, _ in out]),

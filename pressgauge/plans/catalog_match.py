@@ -146,13 +146,13 @@ def _(t: Tables):
 
 
 @query("crosscheck_points", "J10 C5 F4", f"""
-WITH {PAIRS_SQL}, c AS (SELECT *, CASE WHEN similarity > 0.5 THEN similarity END AS known FROM pairs)
+WITH {PAIRS_SQL}, c AS (SELECT *, CASE WHEN rank % 2 = 0 THEN similarity END AS known FROM pairs)
 SELECT query_id, cand_id, round(coalesce(known, 0), 3) AS x, CASE WHEN is_reliable THEN 0.85::DOUBLE ELSE 0.50::DOUBLE END AS y,
   domain, is_reliable, known IS NOT NULL AS has_similarity_data FROM c
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(known, 0), 3) DESC, cand_id) <= 15""")
 def _(t: Tables):
     pairs = top_pairs(t).withColumn("title", F.col("cand_url"))
-    known = pairs.filter(F.col("similarity") > 0.5)
+    known = pairs.filter(F.col("rank") % 2 == 0)
     out = K.crosscheck_points(pairs.drop("similarity", "rank"), known, 15)
     return out.select("query_id", "cand_id", "x", "y", "domain", "is_reliable", "has_similarity_data")
 

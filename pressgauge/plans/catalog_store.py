@@ -245,9 +245,9 @@ def _(t: Tables):
 
 @query("needs_embedding", "B20", f"""
 WITH {STORE_SQL} SELECT s.id FROM store s WHERE article_type = 'scraped_news' AND length(content) >= 100
-  AND id NOT IN (SELECT vec_id FROM embeddings)""")
+  AND id NOT IN (SELECT vec_id FROM embeddings WHERE label < 5)""")
 def _(t: Tables):
-    e = t.embeddings.select(F.col("vec_id").alias("id"), "embedding")
+    e = t.embeddings.select(F.col("vec_id").alias("id"), F.when(F.col("label") < 5, F.col("embedding")).alias("embedding"))
     return N.needs_embedding(t.store.join(e, "id", "left")).select("id")
 
 
@@ -417,12 +417,12 @@ def _(t: Tables):
 
 @query("extract_articles", "M1 H25 H26 H29")
 def _(t: Tables):
-    return P.extract_articles(t.pages, default_date=F.to_date(F.lit("2024-06-01")))
+    return P.extract_articles(t.html_pages, default_date=F.to_date(F.lit("2024-06-01")))
 
 
 @query("extract_dates", "M2 H28")
 def _(t: Tables):
-    return P.extract_dates(t.pages, default_date=F.to_date(F.lit("2024-06-01"))).select("page_id", "published_on")
+    return P.extract_dates(t.html_pages, default_date=F.to_date(F.lit("2024-06-01"))).select("page_id", "published_on")
 
 
 _HREF = "regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1)"
@@ -444,7 +444,7 @@ WHERE {base_sql(host_sql('u'))} = {base_sql(host_sql('url'))} AND {rule}"""
 @query("discover_links", "M3 B19", _links_sql(_RULES["link"], "/news/2024/05/01/"))
 def _(t: Tables):
     # The fixture's own links are short; the same pages with dated paths give matches.
-    deep = t.pages.withColumn("html", F.regexp_replace("html", r"(?i)(<a\s[^>]*?href\s*=\s*[\"'])([^\"'#][^\"']*)([\"'])",
+    deep = t.html_pages.withColumn("html", F.regexp_replace("html", r"(?i)(<a\s[^>]*?href\s*=\s*[\"'])([^\"'#][^\"']*)([\"'])",
                                                        "$1$2/news/2024/05/01/$3"))
     return P.discover_links(deep)
 

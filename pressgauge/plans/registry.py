@@ -50,6 +50,11 @@ class Tables:
         """Documents with enough splits for CPU-bound text work."""
         return spread(self.documents)
 
+    @property
+    def html_pages(self) -> DataFrame:
+        """Pages with enough splits for parsing."""
+        return spread(self.pages)
+
     @property
     def articles(self) -> DataFrame:
         """``id, title, content, source, lang, n_chars, url`` from documents."""

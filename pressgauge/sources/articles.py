@@ -46,16 +46,14 @@ def write_features(df: DataFrame, path: str) -> None:
 def append_articles(df: DataFrame, path: str, partition_by: str | None = "domain") -> None:
     """Append, partitioned by domain when there is one.
 
-    Rows are clustered by domain and a hash salt, so that a domain with a
-    third of all rows is written by several tasks and a small one by few.
+    The rebalance hint clusters rows by domain and lets adaptive execution
+    split a large domain over as many tasks as its size asks for.
     """
-    writer = df
     if partition_by and partition_by in df.columns:
-        salt = F.pmod(F.xxhash64(*[c for c in ("id", "source_url") if c in df.columns] or [partition_by]), F.lit(16))
-        writer = df.repartition(F.col(partition_by), salt)
-        writer.write.mode("append").partitionBy(partition_by).parquet(path)
+        balanced = df.hint("rebalance", F.col(partition_by))
+        balanced.write.mode("append").partitionBy(partition_by).parquet(path)
         return
-    writer.write.mode("append").parquet(path)
+    df.write.mode("append").parquet(path)
 
 
 def export_articles_csv(store: DataFrame, path: str) -> None:

@@ -121,7 +121,7 @@ PAGE = """<html><head><title>Site | T</title><meta property="og:site_name" conte
 
 def test_extract_articles(spark):
     html = PAGE.format(a="First paragraph with enough words to count. " * 3, b="Second paragraph")
-    rows = [(1, "https://www.news.org/a", html), (2, "https://x.org/b", "<html><body>" + "<p>no</p>" * 20 + "</body></html>"),
+    rows = [(1, "https://www.news.org/a", html), (2, "https://x.org/b", "<html><body>" + "<p>no</p>" * 10 + "</body></html>"),
             (3, "https://y.org/c", "<div><p>Plain paragraph that is long enough to keep on its own.</p>"
                                     "<p>We use a cookie to remember that you have been here before now.</p>"
                                     "<p>Another plain paragraph that is also long enough to keep.</p></div>")]
