@@ -10,13 +10,14 @@ from pyspark.ml.feature import IDF, HashingTF, StopWordsRemover, Tokenizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pressgauge.functions import text as X
+from pressgauge.operators.linguistic import english_stop_words
 from pressgauge.operators.similarity import different_site, sparse_dot, top_matches
 from pressgauge.session import SMALL_ROWS, cut_lineage
 
 
 @dataclass(frozen=True)
 class TfidfSettings:
-    """``max_df`` is a share of documents, ``min_df`` a count."""
+    """``max_df`` is a share of documents, ``min_df`` a count; ``english`` adds Spark's English stop words."""
 
     max_features: int = 50000
     ngrams: tuple[int, int] = (1, 2)
@@ -25,14 +26,18 @@ class TfidfSettings:
     sublinear: bool = True
     strip_accents: bool = True
     stop_words: tuple[str, ...] = ()
+    english: bool = False
+
+    def stops(self) -> list[str]:
+        return [*self.stop_words, *(english_stop_words() if self.english else [])]
 
 
 # Named settings (fixed values).
 TRAINER = TfidfSettings(50000, (1, 2), 2, 0.95)
 CONFIG_FILE = TfidfSettings(100000, (1, 3), 1, 0.90)
 EXPERIMENT = TfidfSettings(5000, (1, 2), 5, 0.7)
-CROSSCHECK = TfidfSettings(500, (1, 2), 1, 1.0, sublinear=False, strip_accents=False)
-RELATED = TfidfSettings(200, (1, 2), 1, 1.0, sublinear=False, strip_accents=False)
+CROSSCHECK = TfidfSettings(500, (1, 2), 1, 1.0, sublinear=False, strip_accents=False, english=True)
+RELATED = TfidfSettings(200, (1, 2), 1, 1.0, sublinear=False, strip_accents=False, english=True)
 
 
 def terms(text: Column, settings: TfidfSettings) -> Column:
@@ -42,8 +47,9 @@ def terms(text: Column, settings: TfidfSettings) -> Column:
         # Split letters from their marks is not built in; the letters that carry marks in Latin text are mapped.
         body = F.translate(body, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
     single = F.regexp_extract_all(body, F.lit(f"({X.WORD}{{2,}})"))
-    if settings.stop_words:
-        single = F.filter(single, lambda w: ~w.isin(*settings.stop_words))
+    stops = settings.stops()
+    if stops:
+        single = F.filter(single, lambda w: ~w.isin(*stops))
     low, high = settings.ngrams
     grams = []
     for n in range(low, high + 1):

@@ -11,7 +11,8 @@ from pressgauge.plans.catalog_corpus import LANGUAGE_SQL, WORDS_A, WORDS_B, feat
 from pressgauge.plans.registry import (ARTICLES_SQL, REQUESTS_SQL, Tables, base_sql, char_count, contains_any_sql,
                                        domain_sql, path_sql, query, sql_count_phrases, sql_count_words, sql_in, tok,
                                        ws_count)
-from pressgauge.operators.tfidf import CROSSCHECK
+from pressgauge.plans.catalog_match import CROSS, METRICS_SQL, cosine_sql
+from pressgauge.plans.catalog_store import reliable_sql
 
 # Stand-in source lists over the fixture's own domains.
 SOURCES = C.SourceLists(
@@ -331,10 +332,35 @@ def _(t: Tables):
 
 def analysis_settings() -> AN.AnalysisSettings:
     return AN.AnalysisSettings(words=stand_in_lists(), sources=SOURCES, credible_words=WORDS_A,
-                               suspicious_words=HEURISTIC_WORDS, tfidf=CROSSCHECK, k=20, hold="corpus")
-
-
-@query("analyze_articles", "J16 J15 J9")
+                               suspicious_words=HEURISTIC_WORDS, tfidf=CROSS, k=20, hold="corpus")
+
+
+ANALYSIS_SQL = f"""
+WITH {ARTICLES_SQL}, {REQUESTS_SQL}, {LANGUAGE_SQL}, {CREDIBILITY_SQL}, {heuristic_sql('content', 'title')},
+l AS (SELECT id, content AS body FROM articles), r AS (SELECT id, content AS body FROM requests), {cosine_sql(CROSS, 'l', 'r', 20)},
+described AS (SELECT b.*, {domain_sql('n.url')} AS domain, n.url AS cand_url, a.url AS query_url, {reliable_sql(domain_sql('n.url'), SOURCES.reliable)} AS is_reliable
+  FROM best b JOIN requests n ON n.id = b.cand_id JOIN articles a ON a.id = b.query_id),
+perfect AS (SELECT query_id FROM described WHERE similarity > 0.95 AND (contains(cand_url, query_url) OR contains(query_url, cand_url)) GROUP BY query_id),
+pairs AS (SELECT * FROM described WHERE cand_url <> query_url), {METRICS_SQL},
+checked AS (SELECT a.id, CASE WHEN p.query_id IS NOT NULL THEN 1.0::DOUBLE WHEN score IS NOT NULL THEN score ELSE 0.30::DOUBLE END AS cross_check,
+  CASE WHEN p.query_id IS NOT NULL THEN 'Perfect Match' WHEN score IS NULL THEN 'No Corroboration Found' WHEN score >= 0.7 THEN 'Strong Corroboration'
+    WHEN score >= 0.5 THEN 'Moderate Corroboration' WHEN score >= 0.3 THEN 'Weak Corroboration' ELSE 'No Corroboration' END AS cross_check_status
+  FROM articles a LEFT JOIN sc ON sc.query_id = a.id LEFT JOIN perfect p ON p.query_id = a.id),
+parts AS (SELECT a.id, a.url, a.title, a.source, s.domain, s.known_source, round(g.language_score, 3) AS language_score,
+  round(s.credibility, 3) AS credibility_score, round(c.cross_check, 3) AS cross_check_score, h.sensationalism, c.cross_check_status,
+  {ws_count('a.content')} AS word_count, {tok('a.content')} AS words
+  FROM articles a JOIN lang g USING (id) JOIN scored s USING (id) JOIN heuristic h USING (id) JOIN checked c USING (id)),
+total AS (SELECT *, round(language_score * 0.25::DOUBLE + credibility_score * 0.25::DOUBLE + cross_check_score * 0.25::DOUBLE
+  + (1.0::DOUBLE - sensationalism) * 0.25::DOUBLE, 3) AS overall_score FROM parts)
+SELECT id, md5(url) AS article_key, title, source, domain, language_score, credibility_score, cross_check_score, sensationalism, overall_score,
+  CASE WHEN floor(overall_score * 100 + 0.5) >= 70 THEN 'HIGH CREDIBILITY' WHEN floor(overall_score * 100 + 0.5) >= 40
+    THEN 'MEDIUM CREDIBILITY' ELSE 'LOW CREDIBILITY' END AS verdict,
+  CASE WHEN sensationalism < 0.3 THEN 'Low' WHEN sensationalism < 0.7 THEN 'Moderate' ELSE 'High' END AS sensationalism_level,
+  CASE WHEN credibility_score >= 0.7 THEN 'real' WHEN credibility_score >= 0.4 THEN 'mixed' ELSE 'fake' END AS band,
+  known_source, cross_check_status, word_count, len(words) AS total_words, len(list_distinct(words)) AS unique_words FROM total"""
+
+
+@query("analyze_articles", "J16 J15 J9", ANALYSIS_SQL)
 def _(t: Tables):
     """Every document scored against the benchmark items as stored news."""
     out = AN.analyze_articles(t.articles, t.requests, analysis_settings(), analyzed_at=F.lit("2024-06-01"))

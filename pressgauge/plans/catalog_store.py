@@ -388,7 +388,8 @@ def _(t: Tables):
     return I.read_store(t.spark, f"{folder}/store").select("id", "source_url", "domain", "article_type")
 
 
-@query("ingest_pipeline", "L4 I12")
+@query("ingest_pipeline", "L4 I12", f"""
+WITH {SCRAPED_SQL} SELECT id, source_url, {domain_sql('source_url')} AS domain, {ws_count('content')} AS word_count, 64 AS dimensions FROM firsts""")
 def _(t: Tables):
     out = I.ingest_pipeline(*scraped(t), F.lit("2024-06-01 00:00:00"))
     return out.select("id", "source_url", "domain", "word_count", F.size("embedding").alias("dimensions"))
@@ -404,9 +405,11 @@ def _(t: Tables):
     return e.select("doc_id", F.size("embedding").alias("dimensions"), F.round(F.sqrt(size), 4).alias("length"))
 
 
-@query("backfill_embeddings", "I13")
+@query("backfill_embeddings", "I13", f"""
+WITH {STORE_SQL} SELECT md5(url) AS id, article_type, CASE WHEN vec_id IS NOT NULL OR (article_type = 'scraped_news'
+  AND length(content) >= 100) THEN 64 END AS dimensions FROM store LEFT JOIN embeddings ON vec_id = store.id AND label < 5""")
 def _(t: Tables):
-    vectors = t.embeddings.select(F.col("vec_id").alias("n"), "embedding")
+    vectors = t.embeddings.filter("label < 5").select(F.col("vec_id").alias("n"), "embedding")
     store = t.store.withColumnRenamed("id", "n").join(vectors, "n", "left").withColumn("id", F.md5("url")).withColumn(
         "ingested_at", F.lit(0)).drop("n")
     out = E.backfill_embeddings(store)
