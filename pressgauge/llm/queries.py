@@ -36,3 +36,11 @@ def token_output(spark: SparkSession, folder: str) -> DataFrame:
     from pressgauge.llm.rans import decode_documents, write_token_ids
 
     return decode_documents(write_token_ids(table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json")))
+
+
+@register("op9_simhash")
+def simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and near-duplicate class of every document."""
+    from pressgauge.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"))
