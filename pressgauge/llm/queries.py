@@ -44,3 +44,11 @@ def simhash(spark: SparkSession, folder: str) -> DataFrame:
     from pressgauge.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, folder, "documents"))
+
+
+@register("op4_packing")
+def packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed along the curve into sequences of 4096 ids."""
+    from pressgauge.llm.packing import pack
+
+    return pack(table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"))
