@@ -52,3 +52,11 @@ def packing(spark: SparkSession, folder: str) -> DataFrame:
     from pressgauge.llm.packing import pack
 
     return pack(table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+@register("op2_toxicity")
+def toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every document."""
+    from pressgauge.llm.toxicity import judge
+
+    return judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
