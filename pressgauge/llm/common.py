@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _OWN: dict[str, str] = {}
@@ -33,7 +34,7 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_stage(df: DataFrame, task: Callable[..., Iterator[pa.RecordBatch]], schema: str, *args) -> DataFrame:
+def arrow_stage(df: DataFrame, task: Callable[..., Iterator[pa.RecordBatch]], schema: str | StructType, *args) -> DataFrame:
     """``mapInArrow`` with a top-level function ``task(batches, *args)``.
 
     The function is named, not shipped: a worker imports its module, so that caches kept there (vocabularies, distinct

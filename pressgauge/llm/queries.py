@@ -60,3 +60,11 @@ def toxicity(spark: SparkSession, folder: str) -> DataFrame:
     from pressgauge.llm.toxicity import judge
 
     return judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@register("op7_decontamination")
+def decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item and its edit distance."""
+    from pressgauge.llm.decontam import contaminated
+
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
