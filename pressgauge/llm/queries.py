@@ -68,3 +68,11 @@ def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     from pressgauge.llm.decontam import contaminated
 
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@register("op1_secrets")
+def secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document."""
+    from pressgauge.llm.secret_scan import findings
+
+    return findings(table(spark, folder, "documents"))
