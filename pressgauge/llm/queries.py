@@ -76,3 +76,17 @@ def secrets(spark: SparkSession, folder: str) -> DataFrame:
     from pressgauge.llm.secret_scan import findings
 
     return findings(table(spark, folder, "documents"))
+
+
+def _url_sql() -> str:
+    from pressgauge.llm.urlmodel import oracle_sql
+
+    return oracle_sql()
+
+
+@register("op8_url_filter", _url_sql())
+def url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page's URL."""
+    from pressgauge.llm.urlmodel import judge
+
+    return judge(table(spark, folder, "pages"))
