@@ -90,3 +90,21 @@ def url_filter(spark: SparkSession, folder: str) -> DataFrame:
     from pressgauge.llm.urlmodel import judge
 
     return judge(table(spark, folder, "pages"))
+
+
+TOP_SQL = """
+WITH whole AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+               WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+          FROM whole q JOIN whole c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs) WHERE rank <= 10
+"""
+
+
+@register("op5_exact_search", TOP_SQL)
+def exact_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best matches of every hundredth vector."""
+    from pressgauge.llm.vafile import top_k
+
+    return top_k(table(spark, folder, "embeddings"))
