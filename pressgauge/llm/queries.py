@@ -108,3 +108,11 @@ def exact_search(spark: SparkSession, folder: str) -> DataFrame:
     from pressgauge.llm.vafile import top_k
 
     return top_k(table(spark, folder, "embeddings"))
+
+
+@register("op6_language_id")
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document."""
+    from pressgauge.llm.langid import identify
+
+    return identify(table(spark, folder, "documents"))
