@@ -116,3 +116,22 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
     from pressgauge.llm.langid import identify
 
     return identify(table(spark, folder, "documents"))
+
+
+CHAT_SQL = """
+WITH rolled AS (SELECT conv_id, row_number() OVER w AS n, lead(turn) OVER w IS NULL AS whole,
+                       string_agg(coalesce(role, chr(29)) || chr(31) || coalesce(text, chr(29)), chr(30)) OVER w AS said,
+                       string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '') OVER w AS rendered
+                FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)
+                WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ends AS (SELECT said, min(conv_id) AS conv_id, any_value(n) AS n_turns, any_value(rendered) AS rendered FROM rolled WHERE whole GROUP BY said)
+SELECT conv_id, n_turns, rendered FROM ends WHERE said NOT IN (SELECT said FROM rolled WHERE NOT whole)
+"""
+
+
+@register("op3_chat_format", CHAT_SQL)
+def chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Maximal conversations, rendered."""
+    from pressgauge.llm.snapshots import render
+
+    return render(table(spark, folder, "conversations"))
