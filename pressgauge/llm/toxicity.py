@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from pressgauge.llm.common import arrow_stage, bounded_sample, fold
 
@@ -218,14 +219,18 @@ def score_batches(batches: Iterator[pa.RecordBatch], parts: tuple) -> Iterator[p
                                          names=[*batch.schema.names, "_score"])
 
 
+def _marked(docs: DataFrame, machine: Machine, text_col: str) -> DataFrame:
+    """``docs`` under neutral column names, and ``_score``."""
+    own = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+    marked = own.withColumn("_text", own[docs.columns.index(text_col)].cast("string"))
+    schema = StructType([*marked.schema.fields, StructField("_score", DoubleType())])
+    parts = (machine.terms, machine.weights, machine.factors, machine.bias, machine.slope, machine.shift)
+    return arrow_stage(marked, score_batches, schema, parts).drop("_text")
+
+
 def scored(docs: DataFrame, machine: Machine, *, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with the column ``name``, a probability; all other columns stay as they are."""
-    own = [f"_c{i}" for i in range(len(docs.columns))]
-    text = own[docs.columns.index(text_col)]
-    marked = docs.toDF(*own).withColumn("_text", F.col(text).cast("string"))
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in marked.schema.fields), "_score double"])
-    parts = (machine.terms, machine.weights, machine.factors, machine.bias, machine.slope, machine.shift)
-    return arrow_stage(marked, score_batches, schema, parts).drop("_text").toDF(*docs.columns, name)
+    return _marked(docs, machine, text_col).toDF(*docs.columns, name)
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = PER_CLASS, *,
@@ -240,4 +245,5 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class:
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = PER_CLASS) -> DataFrame:
     """The rows of ``docs`` below the threshold."""
-    return scored(docs, fit(docs, labels, per_class), name="_toxic").where(F.col("_toxic") < threshold).drop("_toxic")
+    marked = _marked(docs, fit(docs, labels, per_class), "text")
+    return marked.where(F.col("_score") < threshold).drop("_score").toDF(*docs.columns)

@@ -152,7 +152,7 @@ def exact_batches(batches: Iterator[pa.RecordBatch], dims: int, k: int, low: lis
             for s in range(0, len(cells), SLAB):
                 upper = bounds(cells[s:s + SLAB], q, lo, wide)[0]
                 _not_own(upper, own, chunk, s)
-                row, nth = np.nonzero(upper >= floors)
+                row, nth = np.nonzero((upper >= floors) & (upper > -np.inf))
                 for r, n in zip(row.tolist(), nth.tolist()):
                     near[n].append((upper[r, n], s + r))
             rows = []
