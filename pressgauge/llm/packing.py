@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pressgauge.llm.common import arrow_stage, written
@@ -71,6 +72,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int) ->
     """Task: (doc_id, text) to ids, their number and the projected vector."""
     code, end = encoder(path), np.array([end_id], dtype="<u2").tobytes()
     cell, matrix = projection()
+    squeeze = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
         ids = [code.ids(t.as_py() or "") + end for t in batch.column(1)]
         points = np.empty((len(ids), DIMS), dtype=np.float64)
@@ -81,7 +83,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int) ->
             points[i] = (weight @ matrix[used]) / np.sqrt(weight @ weight)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(list(points), pa.list_(pa.float64())),
-             pa.array([zlib.compress(x, 1) for x in ids], pa.binary())], names=["doc_id", "n", "point", "ids"])
+             pa.array([squeeze(x) for x in ids], pa.binary())], names=["doc_id", "n", "point", "ids"])
 
 
 def key_batches(batches: Iterator[pa.RecordBatch], mean: list[float], spread: list[float],
@@ -117,6 +119,7 @@ def piece_batches(batches: Iterator[pa.RecordBatch], base: dict[int, int], total
     full = total // length
     tail = tail_starts(total - full * length)
     run, at = None, 0
+    unpack = zstandard.ZstdDecompressor().decompress
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
                         ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
     for batch in batches:
@@ -124,7 +127,7 @@ def piece_batches(batches: Iterator[pa.RecordBatch], base: dict[int, int], total
         for r, d, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             if r != run:
                 run, at = r, base[r]
-            ids = np.frombuffer(zlib.decompress(blob.as_py()), "<u2").astype("<u4")
+            ids = np.frombuffer(unpack(blob.as_py()), "<u2").astype("<u4")
             raw, n, done = memoryview(ids).cast("B"), len(ids), 0
             while done < n:
                 sequence, offset = divmod(at, length)

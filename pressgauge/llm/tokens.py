@@ -9,20 +9,18 @@ from __future__ import annotations
 
 import json
 import re
-
-import numpy as np
+import sys
+from array import array
 
 # The letters, digits and spaces below U+0250, and the two split patterns over them.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 DIGITS = "0-9²³¹¼½¾"
 SPACES = "\\t-\\r \\x85\\xa0"
-TAILS = "'s|'t|'re|'ve|'m|'ll|'d"
-BYTE_SPLIT = re.compile(f"{TAILS}| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^{SPACES}{LETTERS}{DIGITS}]+"
+BYTE_SPLIT = re.compile(f" ?[{LETTERS}]+| ?[{DIGITS}]+|'(?:[stmd]|re|ve|ll)| ?[^{SPACES}{LETTERS}{DIGITS}]+"
                         f"|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
-WORD_SPLIT = re.compile(f"{TAILS}|[{LETTERS}]+|[{DIGITS}]|[^{SPACES}{LETTERS}{DIGITS}]+")
-OUTSIDE = re.compile("[^\x00-ɏ]")
-# Control characters that the libraries' white-space classes may treat differently.
-ODD = re.compile("[\x1c-\x1fİ]")
+WORD_SPLIT = re.compile(f"[{LETTERS}]+|[{DIGITS}]|'(?:[stmd]|re|ve|ll)|[^{SPACES}{LETTERS}{DIGITS}]+")
+# Anything else, control characters that the libraries' white-space classes may treat differently, and the dotted I.
+OUTSIDE = re.compile("[^\x00-\x1b\x20-įı-ɏ]")
 CACHE_WORDS = 400_000
 
 
@@ -37,8 +35,23 @@ def _byte_letters() -> dict[int, str]:
     return table
 
 
+class Words(dict):
+    """Ids of distinct words; a missing word goes through the model. Emptied when full."""
+
+    def __init__(self, model) -> None:
+        super().__init__()
+        self.tokenize, self.letters = model.tokenize, _byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        ids = array("H", [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        self[word] = ids
+        return ids
+
+
 class Encoder:
-    """``ids(text)`` returns the ids as little-endian unsigned 16-bit integers in bytes."""
+    """``ids(text)`` returns the ids as unsigned 16-bit integers in bytes, least byte first."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -47,30 +60,16 @@ class Encoder:
             spec = json.load(f)
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
-        if self.whole.get_vocab_size() > 1 << 16:
-            raise ValueError("ids of more than 16 bits")
+        if self.whole.get_vocab_size() > 1 << 16 or sys.byteorder != "little":
+            raise ValueError("ids must fit 16 bits, least byte first")
         self.lower = bool(spec.get("normalizer"))
         self.split = (WORD_SPLIT if self.lower else BYTE_SPLIT).findall
-        self.model, self.letters, self.cache = self.whole.model, _byte_letters(), {}
-
-    def __missing(self, words: list[str]) -> None:
-        cache, table, tokenize = self.cache, self.letters, self.model.tokenize
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        for w in words:
-            if w not in cache:
-                ids = [t.id for t in tokenize(w.encode().decode("latin-1").translate(table))]
-                cache[w] = np.array(ids, dtype="<u2").tobytes()
+        self.of_word = Words(self.whole.model).__getitem__
 
     def ids(self, text: str) -> bytes:
-        if OUTSIDE.search(text) or ODD.search(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
-        words = self.split(text.lower() if self.lower else text)
-        try:
-            return b"".join(map(self.cache.__getitem__, words))
-        except KeyError:
-            self.__missing(words)
-            return b"".join(map(self.cache.__getitem__, words))
+        if OUTSIDE.search(text):
+            return array("H", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.of_word, self.split(text.lower() if self.lower else text)))
 
 
 _ENCODERS: dict[str, Encoder] = {}
