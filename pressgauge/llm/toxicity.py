@@ -191,8 +191,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, *, id_co
     chosen = bounded_sample(marked, "label", F.col("k"), per_class).withColumn("w", F.lit(1.0))
     # At most four times per_class rows of 12 bytes: a proven bound.
     texts = (docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("text"))
-             .join(F.broadcast(chosen), "k").select("label", "w", F.xxhash64("k").alias("k"), "text").limit(4 * per_class))
-    got = arrow_stage(texts, sample_batches, "label int, w double, k long, terms binary").collect()
+             .join(F.broadcast(chosen), "k").select("label", "w", F.xxhash64("k").alias("k"), "text"))
+    got = arrow_stage(texts, sample_batches, "label int, w double, k long, terms binary").limit(4 * per_class).collect()
     got.sort(key=lambda r: (r.k, r.terms))
     y = np.array([r.label for r in got], dtype=int)
     if not len(y) or y.min() == y.max():
