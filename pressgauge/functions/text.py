@@ -7,8 +7,11 @@ white space mean here, so the meaning does not depend on a regex dialect's own
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
+from functools import cache
+from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
@@ -248,28 +251,35 @@ def word_jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, shared / union).otherwise(F.lit(0.0))
 
 
-_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
-             ("&#39;", "'"), ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"),
-             ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"),
-             ("&hellip;", "…"), ("&eacute;", "é"), ("&euro;", "€"), ("&amp;", "&")]
+@cache
+def _named_entities() -> dict[str, str]:
+    """Every named character reference that ends in a semicolon, from the standard library's table."""
+    return {"&" + name: value for name, value in html5.items() if name.endswith(";")}
 
 
 def decode_entities(text: Column) -> Column:
-    """Numeric character references and the common named ones."""
+    """Numeric and named character references, each decoded once; unknown ones stay.
+
+    All references of a text are found in one pass; each distinct one is then replaced, "&amp;" last, so that what it
+    uncovers is not decoded again.
+    """
+    table = F.from_json(F.lit(json.dumps(_named_entities())), "map<string,string>")
+
     def one(ref: Column) -> Column:
         hexed = ref.rlike("^&#[xX]")
         digits = F.regexp_extract(ref, "([0-9A-Fa-f]+);$", 1)
-        code = F.when(hexed, F.conv(digits, 16, 10)).otherwise(digits).cast("int")
+        code = F.when(hexed, F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+        valid = code.isNotNull() & (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        code = F.when(valid, code).otherwise(F.lit(0xFFFD))
         utf16 = F.when(code < 0x10000, F.lpad(F.hex(code), 4, "0")).otherwise(
             F.concat(F.lpad(F.hex(F.lit(0xD800) + ((code - 0x10000) / 1024).cast("int")), 4, "0"),
                      F.lpad(F.hex(F.lit(0xDC00) + F.pmod(code - 0x10000, F.lit(1024))), 4, "0")))
-        return F.decode(F.unhex(utf16), "UTF-16BE")
+        return F.when(ref.startswith("&#"), F.decode(F.unhex(utf16), "UTF-16BE")).otherwise(F.coalesce(table[ref], ref))
 
-    refs = F.array_distinct(F.regexp_extract_all(text, F.lit("(&#(?:[xX][0-9A-Fa-f]{1,5}|[0-9]{1,6});)")))
-    out = F.aggregate(refs, text, lambda acc, ref: F.replace(acc, ref, one(ref)))
-    for name, value in _ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(value))
-    return out
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit("(&(?:#(?:[xX][0-9A-Fa-f]{1,12}|[0-9]{1,15})|[A-Za-z][A-Za-z0-9]{1,31});)")))
+    last = F.array(F.lit("&amp;"), F.lit("&AMP;"), F.lit("&#38;"), F.lit("&#x26;"))
+    refs = F.concat(F.array_except(found, last), F.array_intersect(found, last))
+    return F.when(F.size(refs) > 0, F.aggregate(refs, text, lambda acc, ref: F.replace(acc, ref, one(ref)))).otherwise(text)
 
 
 def clean_html(text: Column) -> Column:

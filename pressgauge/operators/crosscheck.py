@@ -61,9 +61,9 @@ def corroboration_description(score: Column) -> Column:
 
 
 def self_match(query_url: Column, cand_url: Column) -> Column:
-    """The same page: equal or contained either way when normalised."""
+    """The same page: equal or contained either way when normalised. An empty URL is no page and never the same."""
     q, c = U.normalized_url(query_url), U.normalized_url(cand_url)
-    return (q == c) | c.contains(q) | q.contains(c)
+    return (q != "") & (c != "") & ((q == c) | c.contains(q) | q.contains(c))
 
 
 def describe_candidates(pairs: DataFrame, corpus: DataFrame, reliable: Sequence[str], key: str = "id",
@@ -86,24 +86,31 @@ def crosscheck_score(requests: DataFrame, pairs: DataFrame, compared: DataFrame
                      key: str = "id", url: str = "url") -> DataFrame:
     """Cross-check score per request from its described candidate pairs.
 
-    A self-match above 0.95 scores 1; otherwise the formula over the other
+    A self-match above 0.95 scores 1 and counts as one source, credible if the
+    matched candidate is reliable; otherwise the formula over the other
     candidates. A request with nothing found scores 0.30, one whose found
-    candidates (``compared``: request ids) could not be compared 0.40.
+    candidates (``compared``: request ids, and their number ``found`` where
+    that column is there) could not be compared 0.40.
     """
     wanted = requests.select(F.col(key).cast("long").alias("query_id"), F.col(url).alias("query_url"))
     # The wanted requests and their k candidates meet once; all figures come from that one aggregate.
     both = pairs.join(wanted, "query_id")
-    same = U.normalized_url(F.col("query_url")) == U.normalized_url(F.col("cand_url"))
+    q, c = U.normalized_url(F.col("query_url")), U.normalized_url(F.col("cand_url"))
+    same = F.coalesce((q == c) & (q != ""), F.lit(False))
     perfect = F.when(self_match(F.col("query_url"), F.col("cand_url")) & (F.col("similarity") > 0.95), F.col("similarity"))
     flagged = both.select("query_id", "is_reliable", "domain", perfect.alias("_self"),
                           F.when(~same, F.col("similarity")).alias("similarity"))
-    scored = corroboration(corroboration_metrics(flagged, extra=[F.max("_self").alias("self_similarity")]))
+    own_source = F.max(F.when(F.col("_self").isNotNull(), F.struct("_self", F.col("is_reliable").cast("int").alias("r"))))
+    scored = corroboration(corroboration_metrics(flagged, extra=[F.max("_self").alias("self_similarity"),
+                                                                 own_source.getField("r").alias("_own_reliable")]))
     scored = scored.withColumn("status", F.when(F.col("score").isNotNull(), F.col("status")))
     out = wanted.join(scored, "query_id", "left")
-    found = F.lit(False)
+    number = F.lit(0)
     if compared is not None:
-        out = out.join(compared.select(F.col("query_id"), F.lit(True).alias("_found")), "query_id", "left")
-        found = F.coalesce("_found", F.lit(False))
+        seen = F.col("found") if "found" in compared.columns else F.lit(1)
+        out = out.join(compared.select(F.col("query_id"), seen.cast("long").alias("_found")), "query_id", "left")
+        number = F.coalesce("_found", F.lit(0))
+    found = number > 0
     is_self = F.col("self_similarity").isNotNull()
     score = (F.when(is_self, F.lit(1.0)).when(F.col("score").isNotNull(), F.col("score"))
              .when(found, F.lit(0.40)).otherwise(F.lit(0.30)))
@@ -113,18 +120,18 @@ def crosscheck_score(requests: DataFrame, pairs: DataFrame, compared: DataFrame
     return out.select(
         "query_id", score.alias("cross_check_score"), status.alias("status"),
         F.when(is_self, 1).otherwise(zero("similar_count")).alias("similar_count"),
-        F.when(is_self, 1).otherwise(zero("total_compared")).alias("total_compared"),
+        F.when(is_self, 1).when(F.col("score").isNull() & found, number).otherwise(zero("total_compared")).alias("total_compared"),
         F.when(is_self, F.col("self_similarity")).otherwise(F.coalesce("max_similarity", F.lit(0.0))).alias("max_similarity"),
         F.when(is_self, F.col("self_similarity")).otherwise(F.coalesce("avg_similarity", F.lit(0.0))).alias("avg_similarity"),
-        zero("credible_sources_count").alias("credible_sources_count"),
+        F.when(is_self, zero("_own_reliable")).otherwise(zero("credible_sources_count")).alias("credible_sources_count"),
         F.when(is_self, 1).otherwise(zero("source_diversity")).alias("source_diversity"))
 
 
 def crosscheck(requests: DataFrame, corpus: DataFrame, reliable: Sequence[str] = tuple(L.RELIABLE_SOURCES),
                k: int = 20, settings: TfidfSettings = CROSSCHECK, hold: str = "requests",
                key: str = "id", text: str = "content") -> DataFrame:
-    """Text path of the cross-check: joint tf-idf, k best candidates, score formula."""
-    pairs = tfidf_cosine(requests, corpus, key, text, k, settings, hold=hold)
+    """Text path of the cross-check: joint tf-idf, k best candidates that share a term, score formula."""
+    pairs = tfidf_cosine(requests, corpus, key, text, k, settings, hold=hold).where("similarity > 0")
     return crosscheck_score(requests, describe_candidates(pairs, corpus, reliable, key, hold=hold), key=key)
 
 
@@ -148,11 +155,11 @@ def related_articles(queries: DataFrame, corpus: DataFrame, reliable: Sequence[s
                      k: int = 8, settings: TfidfSettings = RELATED, key: str = "id", hold: str = "requests") -> DataFrame:
     """Cards of the k most relevant corpus articles from reliable domains other than the query's.
 
-    Both sides have ``key, url, title, content``; a card's text is title and snippet.
+    Both sides have ``key, url, title, content``; title and whole content are compared, the snippet is for display.
     """
     cards = corpus.withColumn("domain", U.domain_of(F.col("url"))).filter(
         (F.col("domain") != "") & F.col("url").startswith("http") & U.is_reliable(F.col("domain"), reliable))
-    cards = cards.withColumn("_card", F.concat(F.col("title"), F.lit(" "), F.substring("content", 1, 250)))
+    cards = cards.withColumn("_card", F.concat(F.col("title"), F.lit(" "), F.col("content")))
     asked = queries.withColumn("domain", U.domain_of(F.col("url"))).withColumn("_card", F.col("content"))
     pairs = tfidf_cosine(asked, cards, key, "_card", k, settings, domain="domain", hold=hold)
     shown = cards.select(F.col(key).cast("long").alias("cand_id"), F.substring("title", 1, 150).alias("title"),

@@ -150,18 +150,20 @@ def evaluate(predictions: DataFrame) -> DataFrame:
 
 
 def cross_validate(df: DataFrame, pipeline: Pipeline, k: int = 5, metric: str = "f1", key: str = "doc_id") -> DataFrame:
-    """Mean, deviation, minimum and maximum of a metric over stratified folds."""
-    folded = kfold(df, k, "label", key, SEED).persist()
+    """Mean, deviation, minimum and maximum of a metric over stratified folds.
+
+    All stages of ``pipeline``, and the class weights, are fitted on the other folds.
+    """
+    folded = cut_lineage(kfold(df.drop("weight"), k, "label", key, SEED))
     scores = []
     for fold in range(1, k + 1):
-        model = pipeline.fit(folded.filter(F.col("fold") != fold))
+        model = pipeline.fit(with_weights(folded.filter(F.col("fold") != fold)))
         predictions = model.transform(folded.filter(F.col("fold") == fold))
         if metric == "auc":
             score = BinaryClassificationEvaluator(labelCol="label").evaluate(predictions)
         else:
             score = binary_metrics(confusion_counts(predictions)).first().f1_score
         scores.append((fold, float(score)))
-    folded.unpersist()
     table = df.sparkSession.createDataFrame(scores, "fold int, score double")
     return table.agg(F.lit(metric).alias("metric"), F.count(F.lit(1)).alias("folds"), F.avg("score").alias("mean"),
                      F.stddev_pop("score").alias("std"), F.min("score").alias("min"), F.max("score").alias("max"))
@@ -192,9 +194,15 @@ def feature_summary(df: DataFrame, vector: str = "features") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size(vector_to_array(vector))).alias("vector_size"))
 
 
-def prepared(df: DataFrame, tfidf: bool, columns: Sequence[str], num_features: int = 50000) -> DataFrame:
-    """Rows with a fitted ``features`` vector, key, label and weight, computed once and kept."""
+def split_and_prepared(df: DataFrame, tfidf: bool = True, columns: Sequence[str] = tuple(L.FEATURE_NAMES),
+                       num_features: int = 50000, key: str = "doc_id", test: float = 0.2) -> DataFrame:
+    """``key, label, weight, features, is_test``: vectors of all rows by stages and class weights that only the training
+    part has fitted. Rows are split first and written once; the test part has a weight too, that of its class.
+    """
+    split = cut_lineage(stratified_split(df, "label", key, test, SEED))
+    train_rows = split.filter(~F.col("is_test"))
+    weights = class_weights(train_rows).select("label", "weight")
     stages = (tfidf_stages(num_features=num_features) if tfidf else []) + (scale_stages(columns) if columns else [])
-    pipe = Pipeline(stages=[*stages, combine_stage(tfidf, bool(columns))])
-    weighted = cut_lineage(with_weights(df))
-    return pipe.fit(weighted).transform(weighted).select("doc_id", "label", "weight", "features")
+    fitted = Pipeline(stages=[*stages, combine_stage(tfidf, bool(columns))]).fit(train_rows)
+    out = fitted.transform(split).join(small_side(weights), "label", "left")
+    return cut_lineage(out.select(key, "label", F.coalesce("weight", F.lit(1.0)).alias("weight"), "features", "is_test"))

@@ -234,12 +234,13 @@ def feed_items(feeds: DataFrame, key: str, xml: str = "xml") -> DataFrame:
     ).filter(F.col("link") != "")
 
 
-def sitemap_links(sitemaps: DataFrame, key: str, xml: str = "xml", scanned: int = 200, kept: int = 100) -> DataFrame:
-    """Article-like locations: the first ``scanned`` are looked at, at most ``kept`` are kept."""
+def sitemap_links(sitemaps: DataFrame, key: str, xml: str = "xml", scanned: int | None = None,
+                  kept: int | None = None) -> DataFrame:
+    """Article-like locations: the first ``scanned`` are looked at, at most ``kept`` are kept; None for all."""
     locations = F.xpath(_xml(xml), F.lit('//*[local-name()="url"]/*[local-name()="loc"]/text()'))
-    rows = sitemaps.select(key, F.posexplode_outer(F.slice(locations, 1, scanned)).alias("pos", "link")).select(
+    rows = sitemaps.select(key, F.posexplode_outer(F.slice(locations, 1, scanned) if scanned else locations).alias("pos", "link")).select(
         key, "pos", F.trim("link").alias("link"))
     good = rows.filter(U.is_article_url_quick(F.col("link"))).groupBy(key, "link").agg(F.min("pos").alias("pos"))
     order = Window.partitionBy(key).orderBy("pos")
-    return good.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= kept).select(
-        key, "position", "link")
+    placed = good.withColumn("position", F.row_number().over(order))
+    return (placed.filter(F.col("position") <= kept) if kept else placed).select(key, "position", "link")

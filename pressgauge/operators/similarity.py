@@ -22,7 +22,11 @@ from pressgauge.session import cut_lineage, small_side
 
 # Numbers (8 bytes each) in one held block: 64 MB per task.
 BLOCK_NUMBERS = 8_000_000
-# Numbers in one dense slice of a batch: 32 MB.
+# Hash buckets in which a vocabulary is numbered.
+NUMBER_BUCKETS = 4_096
+# Rows of a held block.
+BLOCK_ROWS = 50_000
+# Scores held at once: 32 MB.
 SLICE_NUMBERS = 4_000_000
 
 
@@ -42,11 +46,32 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-8)
 
 
-def _sparse_rows(idx: pd.Series, val: pd.Series, width: int) -> np.ndarray:
-    out = np.zeros((len(idx), width))
-    for row, (i, v) in enumerate(zip(idx, val)):
-        out[row, np.asarray(i, dtype=np.int64)] = v
-    return out
+class Postings:
+    """Held sparse rows turned round: for each term the rows that have it, with their values."""
+
+    def __init__(self, idx: pd.Series, val: pd.Series) -> None:
+        sizes = np.array([len(i) for i in idx], dtype=np.int64)
+        terms = np.concatenate([np.asarray(i, dtype=np.int64) for i in idx]) if len(idx) else np.zeros(0, np.int64)
+        order = np.argsort(terms, kind="stable")
+        self.count = len(idx)
+        self.rows = np.repeat(np.arange(len(idx)), sizes)[order]
+        self.values = (np.concatenate([np.asarray(v, dtype=np.float64) for v in val]) if len(val) else np.zeros(0))[order]
+        self.terms, self.starts, self.sizes = np.unique(terms[order], return_index=True, return_counts=True)
+
+    def dot(self, idx: pd.Series, val: pd.Series) -> np.ndarray:
+        """Held rows × batch rows; the work is one product for each term that two rows share."""
+        out = np.zeros((len(idx), self.count))
+        for row, (i, v) in enumerate(zip(idx, val)):
+            if not len(i) or not len(self.terms):
+                continue
+            i, v = np.asarray(i, dtype=np.int64), np.asarray(v, dtype=np.float64)
+            at = np.minimum(np.searchsorted(self.terms, i), len(self.terms) - 1)
+            hit = self.terms[at] == i
+            at, v = at[hit], v[hit]
+            sizes = self.sizes[at]
+            where = np.repeat(self.starts[at] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            out[row] = np.bincount(self.rows[where], weights=self.values[where] * np.repeat(v, sizes), minlength=self.count)
+        return out.T
 
 
 Scorer = Callable[[pd.DataFrame], Callable[[pd.DataFrame], np.ndarray]]
@@ -58,25 +83,21 @@ def dense_cosine(held: pd.DataFrame) -> Callable[[pd.DataFrame], np.ndarray]:
     return lambda batch: units @ _unit(_dense(batch["vec"])).T
 
 
-def sparse_dot(width: int) -> Scorer:
-    """Scores of sparse rows (``idx``, ``val``) over ``width`` terms."""
-    def prepare(held: pd.DataFrame) -> Callable[[pd.DataFrame], np.ndarray]:
-        rows = _sparse_rows(held["idx"], held["val"], width)
-        return lambda batch: rows @ _sparse_rows(batch["idx"], batch["val"], width).T
-    return prepare
+def sparse_dot(held: pd.DataFrame) -> Callable[[pd.DataFrame], np.ndarray]:
+    """Scores of sparse rows (``idx``, ``val``)."""
+    postings = Postings(held["idx"], held["val"])
+    return lambda batch: postings.dot(batch["idx"], batch["val"])
 
 
-def sparse_jaccard(width: int) -> Scorer:
+def sparse_jaccard(held: pd.DataFrame) -> Callable[[pd.DataFrame], np.ndarray]:
     """Shared over all distinct words; ``size`` is a row's number of distinct words."""
-    def prepare(held: pd.DataFrame) -> Callable[[pd.DataFrame], np.ndarray]:
-        rows, sizes = _sparse_rows(held["idx"], held["val"], width), held["size"].to_numpy()[:, None]
+    postings, sizes = Postings(held["idx"], held["val"]), held["size"].to_numpy()[:, None]
 
-        def score(batch: pd.DataFrame) -> np.ndarray:
-            shared = rows @ _sparse_rows(batch["idx"], batch["val"], width).T
-            union = sizes + batch["size"].to_numpy()[None, :] - shared
-            return np.where(union > 0, shared / np.maximum(union, 1), 0.0)
-        return score
-    return prepare
+    def score(batch: pd.DataFrame) -> np.ndarray:
+        shared = postings.dot(batch["idx"], batch["val"])
+        union = sizes + batch["size"].to_numpy()[None, :] - shared
+        return np.where(union > 0, shared / np.maximum(union, 1), 0.0)
+    return score
 
 
 def different_site(held: pd.DataFrame, batch: pd.DataFrame) -> np.ndarray:
@@ -100,20 +121,21 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def top_matches(requests: DataFrame, corpus: DataFrame, k: int, scorer, allowed=None, hold: str = "requests",
-                width: int | None = None, digits: int = 9) -> DataFrame:
+                digits: int = 9) -> DataFrame:
     """``query_id, cand_id, similarity, rank`` of the k best candidates per request.
 
     ``requests`` and ``corpus`` have ``id`` (long) and the scorer's columns.
     ``hold`` names the side that is brought to the tasks. ``allowed`` is an
     optional mask function of (held, batch). Scores are rounded to ``digits``
-    before ranking, so summation order cannot change a rank.
+    before ranking, so summation order cannot change a rank. The streamed side
+    is written once, so a further block reads rows, not their making.
     """
     if hold not in ("requests", "corpus"):
         raise ValueError("hold must be 'requests' or 'corpus'")
     held_df, stream = (requests, corpus) if hold == "requests" else (corpus, requests)
-    parts = []
-    for block in held_blocks(held_df, width):
-        parts.append(_one_pass(stream, block, k, scorer, allowed, hold, digits, width))
+    stream, parts = cut_lineage(stream), []
+    for block in held_blocks(held_df):
+        parts.append(_one_pass(stream, block, k, scorer, allowed, hold, digits))
     if not parts:
         return requests.sparkSession.createDataFrame([], "query_id long, cand_id long, similarity double, rank int")
     merged = parts[0]
@@ -123,21 +145,19 @@ def top_matches(requests: DataFrame, corpus: DataFrame, k: int, scorer, allowed=
     return top_k(merged, "query_id", [F.desc("similarity"), F.asc("cand_id")], k)
 
 
-def held_blocks(df: DataFrame, width: int | None = None) -> Iterator[pd.DataFrame]:
-    """The held side in blocks of at most ``BLOCK_NUMBERS`` numbers.
+def held_blocks(df: DataFrame) -> Iterator[pd.DataFrame]:
+    """The held side in blocks of at most ``BLOCK_NUMBERS`` stored numbers and ``BLOCK_ROWS`` rows.
 
-    ``width`` is the row width of sparse rows; dense rows give their own.
     Rows come over one partition at a time, and only one block is kept here.
     """
     rows: list = []
-    limit = max(1, BLOCK_NUMBERS // width) if width else None
+    numbers, of = 0, "vec" if "vec" in df.columns else "idx"
     for row in df.toLocalIterator():
-        if limit is None:
-            limit = max(1, BLOCK_NUMBERS // max(1, len(row.vec)))
-        rows.append(row.asDict())
-        if len(rows) >= limit:
+        if rows and (numbers + len(row[of]) > BLOCK_NUMBERS or len(rows) >= BLOCK_ROWS):
             yield pd.DataFrame(rows)
-            rows = []
+            rows, numbers = [], 0
+        rows.append(row.asDict())
+        numbers += len(row[of])
     if rows:
         yield pd.DataFrame(rows)
 
@@ -146,11 +166,11 @@ _PASS_SCHEMA = T.StructType([T.StructField("query_id", T.LongType()), T.StructFi
                              T.StructField("similarity", T.DoubleType())])
 
 
-def _one_pass(stream: DataFrame, block: pd.DataFrame, k: int, scorer: Scorer, allowed, hold: str, digits: int,
-              width: int | None) -> DataFrame:
+def _one_pass(stream: DataFrame, block: pd.DataFrame, k: int, scorer: Scorer, allowed, hold: str,
+              digits: int) -> DataFrame:
     shared = stream.sparkSession.sparkContext.broadcast(block)
-    # A batch is scored in slices, so that a wide vocabulary does not make a large dense matrix.
-    step = max(1, SLICE_NUMBERS // max(width or 1, len(block)))
+    # A batch is scored in slices, so that the table of scores stays small.
+    step = max(1, SLICE_NUMBERS // len(block))
 
     def slices(batches):
         for batch in batches:
@@ -250,10 +270,9 @@ def jaccard_map(queries: DataFrame, corpus: DataFrame, key: str, text: str, show
         F.col("term").isNotNull()).distinct()
     # Numbered once: both sides and the vector width refer to it.
     vocabulary = cut_lineage(indexed(words, "term"))
-    width = vocabulary.count()
     q = word_sets(queries, key, text, vocabulary)
     c = word_sets(corpus.filter(F.length(text) > 0), key, text, vocabulary)
-    pairs = settled(top_matches(q, c, shown - 1, sparse_jaccard(width), width=width))
+    pairs = settled(top_matches(q, c, shown - 1, sparse_jaccard))
     score = lambda c: F.coalesce(c.cast("double"), F.lit(0.5))
     others = pairs.join(corpus, pairs.cand_id == corpus[key]).select(
         "query_id", (F.col("rank") + 1).alias("point"), F.col("similarity").alias("x"),
@@ -272,7 +291,12 @@ def settled(pairs: DataFrame) -> DataFrame:
 
 
 def indexed(df: DataFrame, column: str) -> DataFrame:
-    """Dense 0-based ``idx`` in value order, for a bounded vocabulary."""
+    """A number for every distinct value: 0-based within its hash bucket, times the buckets, plus the bucket.
+
+    No task sees more than its buckets, so the vocabulary may be of any size; numbers are distinct, not dense.
+    """
     from pyspark.sql import Window
 
-    return df.select(column, (F.row_number().over(Window.orderBy(column)) - 1).cast("int").alias("idx"))
+    bucket = F.pmod(F.xxhash64(column), F.lit(NUMBER_BUCKETS))
+    within = F.row_number().over(Window.partitionBy("_b").orderBy(column)) - 1
+    return df.withColumn("_b", bucket).select(*df.columns, (within * NUMBER_BUCKETS + F.col("_b")).cast("long").alias("idx"))

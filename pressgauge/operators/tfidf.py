@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cache
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, HashingTF, StopWordsRemover, Tokenizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pressgauge.functions import text as X
 from pressgauge.operators.linguistic import english_stop_words
-from pressgauge.operators.similarity import different_site, sparse_dot, top_matches
+from pressgauge.operators.similarity import different_site, indexed, sparse_dot, top_matches
 from pressgauge.session import SMALL_ROWS, cut_lineage
 
 
 @dataclass(frozen=True)
 class TfidfSettings:
-    """``max_df`` is a share of documents, ``min_df`` a count; ``english`` adds Spark's English stop words."""
+    """``max_features`` keeps the commonest terms, None all; ``max_df`` is a share of documents, ``min_df`` a
+    count; ``english`` adds Spark's English stop words."""
 
-    max_features: int = 50000
+    max_features: int | None = 50000
     ngrams: tuple[int, int] = (1, 2)
     min_df: int = 2
     max_df: float = 0.95
@@ -32,20 +33,34 @@ class TfidfSettings:
         return [*self.stop_words, *(english_stop_words() if self.english else [])]
 
 
-# Named settings (fixed values).
+# Named settings (fixed values). Matching keeps every term: a limit that suits one text and its few candidates would
+# leave little but common words of a large corpus.
 TRAINER = TfidfSettings(50000, (1, 2), 2, 0.95)
 CONFIG_FILE = TfidfSettings(100000, (1, 3), 1, 0.90)
 EXPERIMENT = TfidfSettings(5000, (1, 2), 5, 0.7)
-CROSSCHECK = TfidfSettings(500, (1, 2), 1, 1.0, sublinear=False, strip_accents=False, english=True)
-RELATED = TfidfSettings(200, (1, 2), 1, 1.0, sublinear=False, strip_accents=False, english=True)
+CROSSCHECK = TfidfSettings(None, (1, 2), 1, 1.0, sublinear=False, strip_accents=False, english=True)
+RELATED = TfidfSettings(None, (1, 2), 1, 1.0, sublinear=False, strip_accents=False, english=True)
+
+
+@cache
+def plain_letters() -> tuple[str, str]:
+    """Every character of the basic plane whose decomposition starts with one other letter and goes on with marks, and
+    that letter. Letters without a decomposition (ł, ø, đ) stay as they are."""
+    letters, plain = [], []
+    for point in range(0xA0, 0xD800):
+        parts = unicodedata.normalize("NFD", chr(point))
+        if len(parts) > 1 and all(unicodedata.category(c) == "Mn" for c in parts[1:]) and unicodedata.category(parts[0])[0] == "L":
+            letters.append(chr(point))
+            plain.append(parts[0])
+    return "".join(letters), "".join(plain)
 
 
 def terms(text: Column, settings: TfidfSettings) -> Column:
     """n-gram array of words with two or more characters."""
     body = F.lower(text)
     if settings.strip_accents:
-        # Split letters from their marks is not built in; the letters that carry marks in Latin text are mapped.
-        body = F.translate(body, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+        # Splitting letters from their marks is not built in: composed letters are mapped, loose marks dropped.
+        body = F.regexp_replace(F.translate(body, *plain_letters()), "\\p{Mn}", "")
     single = F.regexp_extract_all(body, F.lit(f"({X.WORD}{{2,}})"))
     stops = settings.stops()
     if stops:
@@ -83,15 +98,15 @@ def vocabulary(lists: DataFrame, settings: TfidfSettings, documents: int | None
         F.col("term").isNotNull()).groupBy("term").agg(
         F.sum("c").alias("cf"), F.sum("d").alias("df"))
     kept = counts.filter((F.col("df") >= settings.min_df) & (F.col("df") <= settings.max_df * n))
-    best = kept.orderBy(F.desc("cf"), "term").limit(settings.max_features)
-    return best.select(
-        "term", (F.row_number().over(Window.orderBy("term")) - 1).cast("int").alias("idx"), "df",
-        (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    if settings.max_features is not None:
+        kept = kept.orderBy(F.desc("cf"), "term").limit(settings.max_features)
+    return indexed(kept.select("term", "df"), "term").select(
+        "term", "idx", "df", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
 def _held(vocab: DataFrame, settings: TfidfSettings) -> DataFrame:
-    """The vocabulary has at most ``max_features`` rows; broadcast it where that is few."""
-    return F.broadcast(vocab) if settings.max_features <= SMALL_ROWS else vocab
+    """The vocabulary has at most ``max_features`` rows; broadcast it where that is few, else leave the join to Spark."""
+    return F.broadcast(vocab) if settings.max_features is not None and settings.max_features <= SMALL_ROWS else vocab
 
 
 def tfidf_weights(lists: DataFrame, vocab: DataFrame, settings: TfidfSettings) -> DataFrame:
@@ -144,26 +159,13 @@ def tfidf_cosine(queries: DataFrame, corpus: DataFrame, key: str, text: str, k:
     q = term_lists(queries, key, query_text or text, settings)
     c = term_lists(corpus, key, text, settings)
     joint = q.select("terms").unionByName(c.select("terms"))
-    # The vocabulary feeds both sides and sizes the vectors: fit it once.
+    # The vocabulary feeds both sides: fit it once.
     vocab = cut_lineage(vocabulary(joint, settings))
-    width = max(1, vocab.count())
     qv, cv = sparse_vectors(q, vocab, settings), sparse_vectors(c, vocab, settings)
     if domain:
         names = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(domain).alias("domain"))
         qv, cv = qv.join(names(queries), "id"), cv.join(names(corpus), "id")
-    return top_matches(qv, cv, k, sparse_dot(width), allowed=different_site if domain else None, hold=hold,
-                       width=width)
-
-
-def hashed_tfidf(num_features: int = 50000, text: str = "text_full", output: str = "tfidf_features",
-                 min_df: int = 0) -> Pipeline:
-    """Tokenizer → stop words → hashed counts → idf."""
-    return Pipeline(stages=[
-        Tokenizer(inputCol=text, outputCol="words"),
-        StopWordsRemover(inputCol="words", outputCol="filtered_words"),
-        HashingTF(inputCol="filtered_words", outputCol="raw_features", numFeatures=num_features),
-        IDF(inputCol="raw_features", outputCol=output, minDocFreq=min_df),
-    ])
+    return top_matches(qv, cv, k, sparse_dot, allowed=different_site if domain else None, hold=hold)
 
 
 def experiment_settings(stop_words: Sequence[str] = ()) -> TfidfSettings:

@@ -208,11 +208,11 @@ def _(t: Tables):
 
 
 @query("title_overlap", "I9", f"""
-WITH {ARTICLES_SQL}, w AS (SELECT id, list_distinct({tok('title')}) AS a, list_distinct({tok("array_to_string(list_slice(string_split(content, ' '), 1, 12), ' ')")}) AS q FROM articles)
+WITH {ARTICLES_SQL}, w AS (SELECT id, list_distinct({tok('title')}) AS a, list_distinct({tok('content')}) AS q FROM articles)
 SELECT id, CASE WHEN len(q) > 0 THEN round(least(0.9::DOUBLE, greatest(0.3::DOUBLE, len(list_intersect(a, q)) / len(q)::DOUBLE * 0.8)), 6) ELSE 0.5 END AS relevance FROM w""")
 def _(t: Tables):
-    head = F.array_join(F.slice(F.split("content", " "), 1, 12), " ")
-    return t.articles.select("id", F.round(B.title_overlap(X.word_tokens(F.col("title")), X.word_tokens(head)), 6).alias("relevance"))
+    words = X.word_tokens(F.col("content"))
+    return t.articles.select("id", F.round(B.title_overlap(X.word_tokens(F.col("title")), words), 6).alias("relevance"))
 
 
 @query("relevance_scale", "I7 I8", """
@@ -230,15 +230,16 @@ def _(t: Tables):
 
 # --- tf-idf ---------------------------------------------------------------------------------
 
-TRAINER = TF.TfidfSettings(5000, (1, 2), 5, 0.7, stop_words=STOPS)
-CROSS = TF.TfidfSettings(500, (1, 2), 1, 1.0, sublinear=False, strip_accents=False, stop_words=STOPS)
-RELATED = TF.TfidfSettings(200, (1, 2), 1, 1.0, sublinear=False, strip_accents=False, stop_words=STOPS)
+TRAINER = TF.TfidfSettings(stop_words=STOPS)
+CROSS = TF.TfidfSettings(None, (1, 2), 1, 1.0, sublinear=False, strip_accents=False, stop_words=STOPS)
+RELATED = TF.TfidfSettings(None, (1, 2), 1, 1.0, sublinear=False, strip_accents=False, stop_words=STOPS)
 
 
 def terms_sql(settings: TF.TfidfSettings, rows: str) -> str:
     """CTEs terms(id, side, term) .. weights(id, side, term, weight) over ``rows`` = (id, side, body)."""
     body = "strip_accents(lower(body))" if settings.strip_accents else "lower(body)"
     tf = "1 + ln(tf)" if settings.sublinear else "tf::DOUBLE"
+    limit = f" ORDER BY cf DESC, term LIMIT {settings.max_features}" if settings.max_features else ""
     return f"""
 uni AS (SELECT id, side, list_filter(regexp_extract_all({body}, '{W}{{2,}}'), lambda w: w NOT IN {sql_in(settings.stop_words)}) AS u FROM {rows}),
 grams AS (SELECT id, side, unnest(list_concat(u, list_transform(range(1, len(u)), lambda i: u[i] || ' ' || u[i + 1]))) AS term FROM uni),
@@ -246,7 +247,7 @@ tfs AS (SELECT id, side, term, count(*) AS tf FROM grams GROUP BY id, side, term
 docs_n AS (SELECT count(*) AS n FROM {rows}),
 dfs AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tfs GROUP BY term),
 vocab AS (SELECT term, df, ln((1 + n)::DOUBLE / (1 + df)) + 1 AS idf FROM dfs, docs_n
-  WHERE df >= {settings.min_df} AND df <= {settings.max_df}::DOUBLE * n ORDER BY cf DESC, term LIMIT {settings.max_features}),
+  WHERE df >= {settings.min_df} AND df <= {settings.max_df}::DOUBLE * n{limit}),
 raw AS (SELECT id, side, term, ({tf}) * idf AS w FROM tfs JOIN vocab USING (term)),
 weights AS (SELECT id, side, term, w / sqrt(sum(w * w) OVER (PARTITION BY side, id)) AS weight FROM raw)"""
 
@@ -279,7 +280,7 @@ def _(t: Tables):
 
 CROSSCHECK_SQL = f"""
 pairs AS (SELECT b.*, {domain_sql('a.url')} AS domain, a.url AS cand_url, {reliable_sql(domain_sql('a.url'), RELIABLE)} AS is_reliable
-  FROM best b JOIN articles a ON a.id = b.cand_id), {METRICS_SQL}"""
+  FROM best b JOIN articles a ON a.id = b.cand_id WHERE b.similarity > 0), {METRICS_SQL}"""
 
 
 @query("crosscheck", "J9 J8 D12", f"""
@@ -296,7 +297,7 @@ def _(t: Tables):
 
 @query("related_articles", "I10 C10 B14 B16", f"""
 WITH {ARTICLES_SQL}, {REQUESTS_SQL}, l AS (SELECT id, content AS body, {domain_sql('url')} AS domain FROM requests),
-r AS (SELECT id, title || ' ' || substr(content, 1, 250) AS body, {domain_sql('url')} AS domain FROM articles WHERE {reliable_sql(domain_sql('url'), RELIABLE)}),
+r AS (SELECT id, title || ' ' || content AS body, {domain_sql('url')} AS domain FROM articles WHERE {reliable_sql(domain_sql('url'), RELIABLE)}),
 {cosine_sql(RELATED, 'l', 'r', 8, "NOT (q.domain = c.domain OR contains(q.domain, c.domain) OR contains(c.domain, q.domain) OR split_part(q.domain, '.', 1) = split_part(c.domain, '.', 1))")}
 SELECT query_id, rank::INTEGER AS rank, cand_id, r.domain AS source, round(least(0.9::DOUBLE, greatest(0.1::DOUBLE, CASE WHEN similarity > 0.1 THEN 0.7::DOUBLE + (similarity - 0.1::DOUBLE) * 2
   WHEN similarity > 0.05 THEN 0.4::DOUBLE + (similarity - 0.05::DOUBLE) * 6 ELSE 0.1::DOUBLE + similarity * 6 END)), 2) AS relevance

@@ -14,8 +14,6 @@ from pressgauge.plans.catalog_corpus import stand_in_lists
 from pressgauge.plans.catalog_store import _scratch
 from pressgauge.plans.registry import CORPUS_SQL, Tables, query
 
-FEATURES = 2000
-
 
 def features(t: Tables):
     """Labelled corpus with the 28 features; the clean columns' own counts are left out."""
@@ -23,13 +21,13 @@ def features(t: Tables):
 
 
 def trained(t: Tables) -> M.Trained:
-    return M.train(features(t), M.feature_pipeline(M.linear_svc(20), num_features=FEATURES))
+    return M.train(features(t), M.feature_pipeline(M.linear_svc()))
 
 
 @query("tfidf_hashed", "I4")
 def _(t: Tables):
     df = t.corpus
-    out = Pipeline(stages=M.tfidf_stages(num_features=FEATURES)).fit(df).transform(df)
+    out = Pipeline(stages=M.tfidf_stages()).fit(df).transform(df)
     return out.select("doc_id", F.size("words").alias("words"), F.size("filtered_words").alias("kept_words"),
                       F.size(F.filter(vector_to_array("tfidf_features"), lambda x: x != 0)).alias("terms"))
 
@@ -37,7 +35,7 @@ def _(t: Tables):
 @query("tfidf_vocabulary_vectors", "I5")
 def _(t: Tables):
     df = t.corpus.select("doc_id", "text_full")
-    out = Pipeline(stages=M.vocabulary_stages(max_features=FEATURES)).fit(df).transform(df)
+    out = Pipeline(stages=M.vocabulary_stages()).fit(df).transform(df)
     v = vector_to_array("tfidf_features")
     return out.select("doc_id", F.size(F.filter(v, lambda x: x != 0)).alias("terms"),
                       F.round(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)), 6).alias("length"))
@@ -54,7 +52,7 @@ def _(t: Tables):
 
 @query("combine_features", "K2 D7")
 def _(t: Tables):
-    return M.feature_summary(M.prepared(features(t), True, L.FEATURE_NAMES, FEATURES))
+    return M.feature_summary(M.split_and_prepared(features(t)))
 
 
 @query("train_svc", "K3 K6 D8")
@@ -65,10 +63,9 @@ def _(t: Tables):
 
 @query("train_others", "K5 K6")
 def _(t: Tables):
-    data = M.stratified_split(M.prepared(features(t), False, L.FEATURE_NAMES), "label", "doc_id", 0.2, M.SEED).persist()
+    data = M.split_and_prepared(features(t))
     rows = []
-    for name, make in (("logistic", lambda: M.logistic(50)), ("forest", lambda: M.forest(10, 5)),
-                       ("naive_bayes", M.gaussian_bayes)):
+    for name, make in (("logistic", M.logistic), ("forest", M.forest), ("naive_bayes", M.gaussian_bayes)):
         model = make().fit(data.filter(~F.col("is_test")))
         rows.append(M.evaluate(model.transform(data.filter("is_test"))).withColumn("model_name", F.lit(name)))
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
@@ -89,18 +86,17 @@ def _(t: Tables):
 
 @query("cross_validate", "K8 E3")
 def _(t: Tables):
-    data = M.prepared(features(t), False, L.FEATURE_NAMES)
-    return M.cross_validate(data, Pipeline(stages=[M.linear_svc(20, 0.01, weighted=True)]), 5)
+    return M.cross_validate(features(t), M.feature_pipeline(M.linear_svc(weighted=True)))
 
 
 @query("compare_models", "K9 F5")
 def _(t: Tables):
-    return E.compare_models(features(t), E.baselines((10, 20), (5, 6), 20), FEATURES, tfidf=False)
+    return E.compare_models(features(t))
 
 
 @query("ablation", "K10 F5")
 def _(t: Tables):
-    return E.ablation(features(t), FEATURES, 10)
+    return E.ablation(features(t))
 
 
 @query("ablation_deltas", "K10", f"""
@@ -116,11 +112,11 @@ def _(t: Tables):
 
 @query("training_report", "K11")
 def _(t: Tables):
-    data = M.prepared(features(t), False, L.FEATURE_NAMES)
-    m = M.train(data, Pipeline(stages=[M.linear_svc(20, 0.01, weighted=True)]))
-    cv = M.cross_validate(data, Pipeline(stages=[M.linear_svc(10, 0.01, weighted=True)]), 3)
+    data = features(t)
+    m = M.train(data, M.feature_pipeline(M.linear_svc()))
+    cv = M.cross_validate(data, M.feature_pipeline(M.linear_svc()))
     report = E.training_report(M.evaluate(m.model.transform(m.test)), M.evaluate(m.model.transform(m.train)), cv,
-                               data.count(), len(L.FEATURE_NAMES), 0.0, F.lit("2024-06-01"))
+                               t.corpus.count(), len(L.FEATURE_NAMES), 0.0, F.lit("2024-06-01"))
     return report.select("finished_at", "dataset.samples", "features.count", "test.f1_score",
                          F.col("train.accuracy").alias("train_accuracy"), F.col("cross_validation.mean").alias("cv_mean"))
 

@@ -293,7 +293,7 @@ def _(t: Tables):
 
 @query("sentiment_flow", "H24 D16 E5")
 def _(t: Tables):
-    flow = M.sentiment_flow(t.texts, "doc_id", "text", lexicon(t), limit=10, cut=100)
+    flow = M.sentiment_flow(t.texts, "doc_id", "text", lexicon(t))
     return flow.select("doc_id", "sentence_number", "compound", "pos", "neg", "neu")
 
 
@@ -339,7 +339,7 @@ ANALYSIS_SQL = f"""
 WITH {ARTICLES_SQL}, {REQUESTS_SQL}, {LANGUAGE_SQL}, {CREDIBILITY_SQL}, {heuristic_sql('content', 'title')},
 l AS (SELECT id, content AS body FROM articles), r AS (SELECT id, content AS body FROM requests), {cosine_sql(CROSS, 'l', 'r', 20)},
 described AS (SELECT b.*, {domain_sql('n.url')} AS domain, n.url AS cand_url, a.url AS query_url, {reliable_sql(domain_sql('n.url'), SOURCES.reliable)} AS is_reliable
-  FROM best b JOIN requests n ON n.id = b.cand_id JOIN articles a ON a.id = b.query_id),
+  FROM best b JOIN requests n ON n.id = b.cand_id JOIN articles a ON a.id = b.query_id WHERE b.similarity > 0),
 perfect AS (SELECT query_id FROM described WHERE similarity > 0.95 AND (contains(cand_url, query_url) OR contains(query_url, cand_url)) GROUP BY query_id),
 pairs AS (SELECT * FROM described WHERE cand_url <> query_url), {METRICS_SQL},
 checked AS (SELECT a.id, CASE WHEN p.query_id IS NOT NULL THEN 1.0::DOUBLE WHEN score IS NOT NULL THEN score ELSE 0.30::DOUBLE END AS cross_check,

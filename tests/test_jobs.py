@@ -152,9 +152,9 @@ def test_feeds(spark):
 def test_sitemap_limits(spark):
     urls = "".join(f"<url><loc>https://a.com/news/2024/{i}</loc></url>" for i in range(250))
     df = spark.createDataFrame([(1, f"<urlset>{urls}</urlset>")], "id int, xml string")
-    got = P.sitemap_links(df, "id")
+    got = P.sitemap_links(df, "id", scanned=200, kept=100)
     assert got.count() == 100 and got.agg(F.max("position")).first()[0] == 100
-    assert P.sitemap_links(df, "id", kept=1000).count() == 200
+    assert P.sitemap_links(df, "id", scanned=200, kept=1000).count() == 200
 
 
 def test_embeddings(spark):
@@ -260,3 +260,44 @@ def test_class_weights_and_folds(spark):
     assert {r.label: r.weight for r in R.class_weights(df).collect()} == {0: 10 / 16, 1: 2.5}
     pipe = Pipeline(stages=M.scale_stages(["label"]))
     assert pipe.fit(df).transform(df).count() == 10
+
+
+def test_matching_in_several_blocks(spark, monkeypatch):
+    from pressgauge.operators import similarity as V
+
+    rows = [(i, f"w{i} w{i + 1} common w{i % 7}") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    settings = TF.TfidfSettings(None, (1, 2), 1, 1.0)
+    one = sorted(map(tuple, TF.tfidf_cosine(df, df, "id", "t", 4, settings).collect()))
+    monkeypatch.setattr(V, "BLOCK_ROWS", 7)
+    many = TF.tfidf_cosine(df, df, "id", "t", 4, settings)
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and plan.count("MapInPandas") > 5
+    assert sorted(map(tuple, many.collect())) == one
+    for q, c, s, r in one:
+        if r == 1:
+            assert q == c and s == pytest.approx(1.0)
+
+
+def test_features_are_fitted_on_the_training_part(spark):
+    from pressgauge.operators import ml as M
+
+    rows = [(i, i % 2, f"word{i % 5} other", float(i % 3)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, label int, text_full string, x double")
+    test = {r.doc_id for r in M.stratified_split(df, "label", "doc_id", 0.2, M.SEED).where("is_test").collect()}
+    odd = df.withColumn("x", F.when(F.col("doc_id").isin(*test), 1e6).otherwise(F.col("x")))
+    got = [{r.doc_id: r.features for r in M.split_and_prepared(d, True, ["x"], 64).where("not is_test").collect()} for d in (df, odd)]
+    assert got[0] == got[1]
+
+
+def test_named_references(spark):
+    from pressgauge.functions import text as T
+
+    row = spark.range(1).select(T.decode_entities(F.lit("&copy; &agrave; &amp;lt; &#9999999; &nosuch; &#233;")).alias("t")).first()
+    assert row.t == "© à &lt; � &nosuch; é"
+
+
+def test_accents(spark):
+    df = spark.createDataFrame([(1, "česko źąle őr łódź ét")], "id long, t string")
+    got = TF.term_lists(df, "id", "t", TF.TfidfSettings(None, (1, 1), 1, 1.0)).first().terms
+    assert got == ["cesko", "zale", "or", "łodz", "et"]

@@ -127,9 +127,10 @@ def test_crosscheck_special_cases(spark):
     requests = spark.createDataFrame([(1, "https://a.com/x"), (2, "https://b.com/y"), (3, "https://c.com/z")], "id long, url string")
     pairs = spark.createDataFrame([(1, 9, 0.99, True, "a.com", "https://A.com/x/")],
                                   "query_id long, cand_id long, similarity double, is_reliable boolean, domain string, cand_url string")
-    compared = spark.createDataFrame([(3,)], "query_id long")
+    compared = spark.createDataFrame([(3, 4)], "query_id long, found long")
     out = {r.query_id: r for r in K.crosscheck_score(requests, pairs, compared).collect()}
     assert out[1].cross_check_score == 1.0 and out[1].status == "Perfect Match"
+    assert out[1].credible_sources_count == 1 and out[3].total_compared == 4
     assert out[2].cross_check_score == 0.30 and out[3].cross_check_score == 0.40
 
 
