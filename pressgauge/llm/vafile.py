@@ -5,12 +5,13 @@ between the least and the largest value of its dimension; rows lie in chunks of
 apart, its exact vectors. A query's inner product with anything in a cell box has an upper and a lower bound from one
 matrix product over the cells.
 
-First pass: chunks give, per query, the k largest lower bounds; their global kth is a score that the kth result cannot
+First pass: tasks give, per query, the k largest lower bounds of their chunks; their global kth is a score that the kth result cannot
 fall below. Second pass: a chunk's rows whose upper bound reaches it are read exactly, in descending order of the bound,
 until the next bound lies under the kth exact score found. The best k per chunk and query meet in a rank.
 
 Queries and chunks meet as packed blocks on a grid, never as rows: each chunk row is copied once for each query block
-(``query_rows`` queries), each query block once for each of ``lanes`` groups of chunks.
+(about ``query_rows`` queries, dealt by hash), each query block once for each of ``lanes`` groups of chunks. No side goes
+through the driver.
 
 Defined cases: vectors that are null, or hold a null or non-finite component, take no part; missing trailing components
 count as zero; repeated rows and rows of null id are candidates of their own (null ids sort last among ties and are no
@@ -32,9 +33,10 @@ from pressgauge.llm.common import arrow_stage, written
 SCALE = 1024
 BITS = 6
 CHUNK_ROWS = 4096
-QUERY_ROWS = 1024
+QUERY_ROWS = 4096
 LANES = 64
-SLAB = 1024               # rows of a chunk whose bounds are held at once
+SLAB = 512                # rows of a chunk whose bounds are held at once
+HELD_BLOCKS = 64          # query blocks whose best bounds a task keeps
 LARGEST = 1 << 26
 
 
@@ -68,34 +70,38 @@ def chunk_batches(batches: Iterator[pa.RecordBatch], dims: int, scale: int, low:
             number += 1
 
 
-def query_batches(batches: Iterator[pa.RecordBatch], dims: int, divisor: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """Task: chunks to the packed queries among their vectors, at most ``rows`` in a block."""
-    part, number = TaskContext.get().partitionId(), 0
-    held: list[tuple] = []
+def query_batches(batches: Iterator[pa.RecordBatch], dims: int, divisor: int) -> Iterator[pa.RecordBatch]:
+    """Task: chunks to the queries among their vectors, a narrow row each."""
+    for batch in batches:
+        for chunk, ids, known, exact in zip(*(batch.column(k).to_pylist() for k in ("chunk", "ids", "known", "exact"))):
+            ids, known = np.frombuffer(ids, "<i8"), np.frombuffer(known, np.uint8)
+            asked = np.flatnonzero((known == 1) & (ids % divisor == 0))
+            x = np.frombuffer(exact, "<i4").reshape(-1, dims)[asked]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[asked]), pa.array(np.full(len(asked), chunk)), pa.array(asked.astype(np.int64)),
+                 pa.array([r.tobytes() for r in x], pa.binary())], names=["q_id", "own_chunk", "own_row", "q"])
 
-    def close(some: list[tuple]) -> pa.RecordBatch:
+
+def block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task: queries sorted by block to one packed row for each block."""
+    block, held = None, []
+
+    def close() -> pa.RecordBatch:
+        own = np.array([h[1:3] for h in held], dtype="<i8")
         return pa.RecordBatch.from_arrays(
-            [pa.array([(part << 32) + number], pa.int64()), pa.array([b"".join(s[k] for s in some) for k in (0,)], pa.binary()),
-             pa.array([b"".join(s[1] for s in some)], pa.binary()), pa.array([b"".join(s[2] for s in some)], pa.binary())],
+            [pa.array([block], pa.int64()), pa.array([np.array([h[0] for h in held], dtype="<i8").tobytes()], pa.binary()),
+             pa.array([own.tobytes()], pa.binary()), pa.array([b"".join(h[3] for h in held)], pa.binary())],
             names=["block", "q_ids", "q_own", "q_exact"])
 
-    count = 0
     for batch in batches:
-        for i in range(batch.num_rows):
-            chunk, ids, known, exact = (batch.column(k)[i].as_py() for k in ("chunk", "ids", "known", "exact"))
-            ids, known = np.frombuffer(ids, "<i8"), np.frombuffer(known, np.uint8)
-            asked = np.flatnonzero((known == 1) & (ids % divisor == 0))
-            x = np.frombuffer(exact, "<i4").reshape(-1, dims)
-            for lo in range(0, len(asked), rows):
-                some = asked[lo:lo + rows]
-                if count + len(some) > rows and held:
-                    yield close(held)
-                    held, count, number = [], 0, number + 1
-                own = np.stack([np.full(len(some), chunk), some], 1).astype("<i8")
-                held.append((ids[some].tobytes(), own.tobytes(), x[some].tobytes()))
-                count += len(some)
+        for b, *query in zip(*(batch.column(k).to_pylist() for k in ("block", "q_id", "own_chunk", "own_row", "q"))):
+            if b != block and held:
+                yield close()
+                held = []
+            block = b
+            held.append(query)
     if held:
-        yield close(held)
+        yield close()
 
 
 def bounds(cells: np.ndarray, q: np.ndarray, lo: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,20 +126,31 @@ def _not_own(value: np.ndarray, own: np.ndarray, chunk: int, start: int) -> None
 
 
 def lower_batches(batches: Iterator[pa.RecordBatch], dims: int, k: int, low: list[int], width: list[int]) -> Iterator[pa.RecordBatch]:
-    """Task: chunk with query block to the k largest lower bounds of each query in the chunk."""
+    """Task: chunks with query blocks to the k largest lower bounds of each query in all chunks of the task."""
     lo, wide = np.array(low, np.float64), np.array(width, np.float64)
+    best: dict[int, np.ndarray] = {}
+
+    def emptied() -> Iterator[pa.RecordBatch]:
+        for block, b in best.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(b.shape[1], block)), pa.array(np.arange(b.shape[1])),
+                 pa.array([x[x > -np.inf].tolist() for x in b.T], pa.list_(pa.float64()))], names=["block", "nth", "lowers"])
+        best.clear()
+
     for batch in batches:
         for i in range(batch.num_rows):
             q_ids, own, q, cells = _unpacked(batch, i, dims)
-            chunk, best = batch.column("chunk")[i].as_py(), np.full((0, len(q_ids)), -np.inf)
+            chunk, block = batch.column("chunk")[i].as_py(), batch.column("block")[i].as_py()
+            if len(best) >= HELD_BLOCKS and block not in best:
+                yield from emptied()
+            top = best.get(block, np.full((0, len(q_ids)), -np.inf))
             for s in range(0, len(cells), SLAB):
                 lower = bounds(cells[s:s + SLAB], q, lo, wide)[1]
                 _not_own(lower, own, chunk, s)
-                both = np.concatenate([best, lower])
-                best = np.partition(both, len(both) - k, axis=0)[-k:] if len(both) > k else both
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(batch.column("block")[i].as_py(), len(q_ids))), pa.array(np.arange(len(q_ids))),
-                 pa.array([b[b > -np.inf].tolist() for b in best.T], pa.list_(pa.float64()))], names=["block", "nth", "lowers"])
+                both = np.concatenate([top, lower])
+                top = np.partition(both, len(both) - k, axis=0)[-k:] if len(both) > k else both
+            best[block] = top
+    yield from emptied()
 
 
 def exact_batches(batches: Iterator[pa.RecordBatch], dims: int, k: int, low: list[int], width: list[int]) -> Iterator[pa.RecordBatch]:
@@ -198,8 +215,12 @@ def top_k(vectors: DataFrame, k: int = 10, divisor: int = 100, scale: int = SCAL
     width = [(int(row[2 * d + 1] or 0) - low[d]) // (1 << bits) + 1 for d in range(dims)]
     chunks = written(arrow_stage(narrow, chunk_batches, "chunk long, size int, ids binary, known binary, cells binary, "
                                  "exact binary", dims, scale, low, width, chunk_rows), "va-file", "none")
-    blocks = written(arrow_stage(chunks.select("chunk", "ids", "known", "exact"), query_batches,
-                                 "block long, q_ids binary, q_own binary, q_exact binary", dims, divisor, query_rows), "queries", "none")
+    asked = written(arrow_stage(chunks.select("chunk", "ids", "known", "exact"), query_batches,
+                                "q_id long, own_chunk long, own_row long, q binary", dims, divisor), "queries", "none")
+    count = -(-asked.count() // query_rows) or 1
+    numbered = asked.withColumn("block", F.pmod(F.xxhash64("own_chunk", "own_row"), F.lit(count)))
+    blocks = written(arrow_stage(numbered.repartition("block").sortWithinPartitions("block"), block_batches,
+                                 "block long, q_ids binary, q_own binary, q_exact binary"), "query-blocks", "none")
     # One number per query block: the grid's columns.
     names = blocks.select("block").orderBy("block")
     lane = F.pmod(F.xxhash64("chunk"), F.lit(lanes)).cast("int")
