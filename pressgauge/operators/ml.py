@@ -195,8 +195,8 @@ def feature_summary(df: DataFrame, vector: str = "features") -> DataFrame:
 
 
 def split_and_prepared(df: DataFrame, tfidf: bool = True, columns: Sequence[str] = tuple(L.FEATURE_NAMES),
-                       num_features: int = 50000, key: str = "doc_id", test: float = 0.2) -> DataFrame:
-    """``key, label, weight, features, is_test``: vectors of all rows by stages and class weights that only the training
+                       num_features: int = 5000, key: str = "doc_id", test: float = 0.2) -> DataFrame:
+    """For experiments, which hash terms to 5,000 features: ``key, label, weight, features, is_test``: vectors of all rows by stages and class weights that only the training
     part has fitted. Rows are split first and written once; the test part has a weight too, that of its class.
     """
     split = cut_lineage(stratified_split(df, "label", key, test, SEED))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pressgauge.functions import lexicons as L, text as X
 from pressgauge.operators import cleaning as N, linguistic as G, ranking as R, statistics as ST
 from pressgauge.plans.registry import (ARTICLES_SQL, CORPUS_SQL, S, Tables, W, char_count, query, sql_count_phrases,
-                                       sql_count_words, sql_in, sql_list, tok, ws, ws_count)
+                                       sql_count_words, sql_in, tok, ws, ws_count)
 
 # Stand-in lists: words and phrases that do occur in the fixture texts.
 WORDS_A = ["the", "and", "of", "that", "with"]
@@ -521,6 +521,3 @@ def _(t: Tables):
 
     return t.documents.select("doc_id", F.round(F.col("n_chars") / 7919.0, 3).alias("three_places"),
                               percent(F.col("n_chars") % 1001 / 1000.0).alias("percent"))
-
-
-_ = sql_list

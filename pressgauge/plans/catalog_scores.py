@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pressgauge.functions import ladders as B, lexicons as L, text as X, urls as U
+from pressgauge.functions import lexicons as L, urls as U
 from pressgauge.operators import credibility as C, linguistic as G, scoring as S, sensationalism as Z, sentiment as M
 from pressgauge.plans import analysis as AN
-from pressgauge.plans.catalog_corpus import LANGUAGE_SQL, WORDS_A, WORDS_B, features_sql, stand_in_lists
+from pressgauge.plans.catalog_corpus import LANGUAGE_SQL, WORDS_A, features_sql, stand_in_lists
 from pressgauge.plans.registry import (ARTICLES_SQL, REQUESTS_SQL, Tables, base_sql, char_count, contains_any_sql,
                                        domain_sql, path_sql, query, sql_count_phrases, sql_count_words, sql_in, tok,
                                        ws_count)
@@ -109,8 +109,6 @@ def _(t: Tables):
 
 
 _SIMPLE = f"replace({domain_sql('url')}, 'www.', '')"
-_PICK = lambda a, b, c: (f"CASE WHEN domain IN {sql_in(['src1.com', 'src4.com'])} THEN {a} WHEN "
-                         f"{contains_any_sql('domain', ['news', 'times', 'post', 'tribune', 'herald', 'journal', 'src13'])} THEN {b} ELSE {c} END")
 
 
 @query("credibility_simple", "J6", f"""
@@ -377,6 +375,3 @@ def _(t: Tables):
     df = G.language_scores(t.articles)
     return S.chart_rows(df, "id", "language", {"Capitalization": F.round("capitalization", 6),
                                                 "Complexity": F.round("complexity", 6)})
-
-
-_ = (B, X, REQUESTS_SQL)
