@@ -67,13 +67,14 @@ def feature_pipeline(classifier, tfidf: bool = True, columns: Sequence[str] = tu
     return Pipeline(stages=[*stages, combine_stage(tfidf, bool(columns)), classifier])
 
 
-def linear_svc(max_iter: int = 100, reg: float = 0.1, weighted: bool = False) -> LinearSVC:
+def linear_svc(max_iter: int = 100, reg: float = 0.1, weighted: bool = False, tol: float = 1e-6) -> LinearSVC:
+    """``tol`` is the relative improvement at which iterations end before ``max_iter``."""
     extra = {"weightCol": "weight"} if weighted else {}
-    return LinearSVC(maxIter=max_iter, regParam=reg, featuresCol="features", labelCol="label", **extra)
+    return LinearSVC(maxIter=max_iter, regParam=reg, tol=tol, featuresCol="features", labelCol="label", **extra)
 
 
-def logistic(max_iter: int = 1000) -> LogisticRegression:
-    return LogisticRegression(maxIter=max_iter, labelCol="label", weightCol="weight", regParam=1e-4)
+def logistic(max_iter: int = 1000, tol: float = 1e-4) -> LogisticRegression:
+    return LogisticRegression(maxIter=max_iter, tol=tol, labelCol="label", weightCol="weight", regParam=1e-4)
 
 
 def forest(trees: int = 100, depth: int = 20) -> RandomForestClassifier:

@@ -86,7 +86,7 @@ def _(t: Tables):
 
 @query("cross_validate", "K8 E3")
 def _(t: Tables):
-    return M.cross_validate(features(t), M.feature_pipeline(M.linear_svc(weighted=True)))
+    return M.cross_validate(features(t), M.feature_pipeline(E.experiment_svc()))
 
 
 @query("compare_models", "K9 F5")
@@ -113,8 +113,8 @@ def _(t: Tables):
 @query("training_report", "K11")
 def _(t: Tables):
     data = features(t)
-    m = M.train(data, M.feature_pipeline(M.linear_svc()))
-    cv = M.cross_validate(data, M.feature_pipeline(M.linear_svc()))
+    m = M.train(data, M.feature_pipeline(E.experiment_svc()), fit_on="train")
+    cv = M.cross_validate(data, M.feature_pipeline(E.experiment_svc()))
     report = E.training_report(M.evaluate(m.model.transform(m.test)), M.evaluate(m.model.transform(m.train)), cv,
                                t.corpus.count(), len(L.FEATURE_NAMES), 0.0, F.lit("2024-06-01"))
     return report.select("finished_at", "dataset.samples", "features.count", "test.f1_score",
