@@ -116,7 +116,7 @@ def _(t: Tables):
     m = M.train(data, M.feature_pipeline(E.experiment_svc()), fit_on="train")
     cv = M.cross_validate(data, M.feature_pipeline(E.experiment_svc()))
     report = E.training_report(M.evaluate(m.model.transform(m.test)), M.evaluate(m.model.transform(m.train)), cv,
-                               t.corpus.count(), len(L.FEATURE_NAMES), 0.0, F.lit("2024-06-01"))
+                               t.corpus.count(), int(m.model.stages[-1].coefficients.size), 0.0, F.lit("2024-06-01"))
     return report.select("finished_at", "dataset.samples", "features.count", "test.f1_score",
                          F.col("train.accuracy").alias("train_accuracy"), F.col("cross_validation.mean").alias("cv_mean"))
 
