@@ -67,8 +67,9 @@ def feature_pipeline(classifier, tfidf: bool = True, columns: Sequence[str] = tu
     return Pipeline(stages=[*stages, combine_stage(tfidf, bool(columns)), classifier])
 
 
-def linear_svc(max_iter: int = 100, reg: float = 0.1, weighted: bool = False, tol: float = 1e-6) -> LinearSVC:
-    """``tol`` is the relative improvement at which iterations end before ``max_iter``."""
+def linear_svc(max_iter: int = 100, reg: float = 0.1, weighted: bool = False, tol: float = 1e-4) -> LinearSVC:
+    """``tol`` is the relative improvement at which iterations end before ``max_iter``; each takes several passes, because
+    the hinge loss has no slope at its edge for the line search to follow."""
     extra = {"weightCol": "weight"} if weighted else {}
     return LinearSVC(maxIter=max_iter, regParam=reg, tol=tol, featuresCol="features", labelCol="label", **extra)
 
