@@ -1,15 +1,14 @@
-"""Benchmark decontamination: CGK embedding, bit sampling, exact edit verification.
+"""Benchmark decontamination: CGK embedding of an item's pieces, exact edit verification.
 
-The embedding walks over a sequence of words with a random bit per (step, word): each step writes the current word and
-moves on if the bit is set. Sequences within a small edit distance fall into step again soon, so their embeddings differ
-in few places (Hamming distance). A repetition starts the walk at its own place in the item and samples ``PICKS`` places
-of the embedding; the sampled words are a key. Every word of every document is tried as that place of an item-sized
-window. Keys are compared place by place, so windows that differ from all items early are dropped early. What shares a
-whole key in any repetition is verified: the item's exact word edit distance to the best part of the window and its
-surroundings, in words, at most ``(1 - similarity)`` of the item's words.
+An item of which ``most`` words may be edited is cut into ``most + 1`` pieces that cover it evenly, of two words at least
+at the default similarity. An edit touches one piece only, so some piece stands unedited in every passage that is near
+enough: the pieces are the places at which walks start, and none within the distance is missed, at any item length.
 
-With a fifth of the words changed at random, a key survives with probability about 0.8**6; 24 repetitions leave a
-chance of about 0.001 to miss (``expected_recall``).
+The embedding walks over a piece with a random bit per (step, word): each step writes the current word and moves on if
+the bit is set, until the walk leaves the piece or ``STEPS`` are done. All places written are sampled; their words are
+the key. Every word of every document is tried as the start of such a walk. Keys are compared place by place, so walks
+that differ from all pieces are dropped early. What shares a whole key is verified: the item's exact word edit distance
+to the best part of the window and its surroundings, in words, at most ``(1 - similarity)`` of the item's words.
 
 Words are lower-cased runs of letters and digits. Defined cases: null and empty texts hold no word and never match;
 items of fewer than five words match nothing; equal items of different ids are reported each; repeated documents are
@@ -29,22 +28,19 @@ from pyspark.sql import DataFrame, functions as F
 from pressgauge.llm.common import arrow_stage
 
 WORD = re.compile(r"[^\W_]+").findall
-REPETITIONS = 24          # at most 32: one bit each
 STEPS = 12
-PICKS = 5
 LEAST_WORDS = 5
 TABLE = 1 << 20
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 BLOCK_WORDS = 2_000_000   # words of the items that one pass over the documents holds (about 100 MB of index)
-NEAR = 3                  # a walk starts at the word of the fewest items, so far from its own place at most
 CHUNK_WORDS = 300_000
 CACHE_WORDS = 600_000
 _WORDS: dict[str, int] = {}
 
 
-def expected_recall(changed: float = 0.2, repetitions: int = REPETITIONS, steps: int = STEPS) -> float:
-    """Chance that some repetition meets no changed word, at a share of ``changed`` words."""
-    return 1 - (1 - (1 - changed) ** (steps / 2)) ** repetitions
+def most_edits(words: int, similarity: float) -> int:
+    """Edits that an item of so many words may have."""
+    return int((1 - similarity) * words + 1e-9)
 
 
 def word_codes(text: str | None) -> np.ndarray:
@@ -63,69 +59,56 @@ def word_codes(text: str | None) -> np.ndarray:
 
 
 class Index:
-    """Items and, per repetition, their keys place by place."""
+    """Items and the keys of their pieces, place by place."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], similarity: float = 0.8, seed: int = 11) -> None:
         rng = np.random.default_rng(seed)
         self.similarity = similarity
         self.items = [(i, w) for i, w in items if len(w) >= LEAST_WORDS]
-        self.odd = (rng.integers(0, 1 << 31, (REPETITIONS, STEPS), dtype=np.int64) * 2 + 1).astype(np.uint32)
-        self.picked = [{0, *rng.choice(np.arange(1, STEPS), PICKS - 1, replace=False).tolist()} for _ in range(REPETITIONS)]
-        self.anchor = np.zeros(TABLE, dtype=np.uint32)
-        seen, times = np.unique(np.concatenate([np.unique(w) for _, w in self.items] or [np.zeros(0, np.uint32)]),
-                                return_counts=True)
-        common = dict(zip(seen.tolist(), times.tolist()))
-        self.onward: list[list[np.ndarray]] = []
-        self.final: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = []
-        for r in range(REPETITIONS):
-            onward, final = [set() for _ in range(PICKS)], [[] for _ in range(PICKS)]
-            for row, (_, words) in enumerate(self.items):
-                plain = round(r / (REPETITIONS - 1) * max(0, len(words) - STEPS // 2 - 1))
-                near = range(max(0, plain - NEAR), min(len(words) - LEAST_WORDS, plain + NEAR) + 1)
-                at = start = min(near, key=lambda k: (common[int(words[k])], abs(k - plain), k))
-                self.anchor[words[start] % TABLE] |= np.uint32(1 << r)
-                keys, key = [], 0
+        self.odd = (rng.integers(0, 1 << 31, STEPS, dtype=np.int64) * 2 + 1).astype(np.uint32)
+        self.anchor = np.zeros(TABLE, dtype=bool)
+        onward: list[set[int]] = [set() for _ in range(STEPS)]
+        final: list[list[tuple[int, int, int]]] = [[] for _ in range(STEPS)]
+        for row, (_, words) in enumerate(self.items):
+            pieces = min(most_edits(len(words), similarity) + 1, len(words))
+            cuts = [len(words) * k // pieces for k in range(pieces + 1)]
+            for start, end in zip(cuts, cuts[1:]):
+                self.anchor[words[start] % TABLE] = True
+                keys, key, at = [], 0, start
                 for j in range(STEPS):
-                    if at >= len(words):
+                    if at >= end:
                         break
-                    if j in self.picked[r]:
-                        key = (key * int(PRIME) + int(words[at])) % (1 << 64)
-                        keys.append(key)
-                    at += int(self.odd[r, j]) * int(words[at]) >> 31 & 1
-                for t, k in enumerate(keys[:-1]):
-                    onward[t].add(k)
+                    key = (key * int(PRIME) + int(words[at])) % (1 << 64)
+                    keys.append(key)
+                    at += (int(self.odd[j]) * int(words[at]) >> 31) & 1
+                for j, k in enumerate(keys[:-1]):
+                    onward[j].add(k)
                 final[len(keys) - 1].append((keys[-1], row, start))
-            self.onward.append([np.array(sorted(x), dtype=np.uint64) for x in onward])
-            self.final.append([_columns(sorted(x)) for x in final])
+        self.onward = [np.array(sorted(x), dtype=np.uint64) for x in onward]
+        self.final = [_columns(sorted(x)) for x in final]
 
     def candidates(self, x: np.ndarray) -> np.ndarray:
-        """Rows (item row, window start) that share a key; ``x`` ends with at least STEPS zeros."""
-        mask = self.anchor[x % np.uint32(TABLE)]
-        mask[x == 0] = 0
-        some, out = np.flatnonzero(mask), []
-        mask = mask[some]
-        for r in range(REPETITIONS):
-            place = some[(mask >> np.uint32(r)) & np.uint32(1) == 1]
-            at, key, t = place, np.zeros(len(place), dtype=np.uint64), 0
-            for j in range(STEPS):
-                if not len(place):
-                    break
-                w = x[at]
-                if j in self.picked[r]:
-                    key = key * PRIME + w
-                    keys, rows, starts = self.final[r][t]
-                    if len(keys):
-                        lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-                        for q in np.flatnonzero(hi > lo).tolist():
-                            span = slice(lo[q], hi[q])
-                            out.append(np.stack([rows[span], place[q] - starts[span]], 1))
-                    more = self.onward[r][t]
-                    if not len(more):
-                        break
-                    go = more[np.minimum(np.searchsorted(more, key), len(more) - 1)] == key
-                    place, at, key, w, t = place[go], at[go], key[go], w[go], t + 1
-                at = at + ((self.odd[r, j] * w) >> np.uint32(31))
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), dtype=np.int64)
+        """Rows (item row, window start, place of the shared piece); ``x`` ends with at least STEPS zeros."""
+        place = np.flatnonzero(self.anchor[x % np.uint32(TABLE)] & (x != 0))
+        at, key, out = place, np.zeros(len(place), dtype=np.uint64), []
+        for j in range(STEPS):
+            w = x[at]
+            key = key * PRIME + w
+            keys, rows, starts = self.final[j]
+            if len(keys):
+                lo, hi = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+                some = np.flatnonzero(hi > lo)
+                lo, times = lo[some], (hi - lo)[some]
+                entry = np.repeat(lo - np.cumsum(times) + times, times) + np.arange(times.sum())
+                where = np.repeat(place[some], times)
+                out.append(np.stack([rows[entry], where - starts[entry], where], 1))
+            more = self.onward[j]
+            if not len(more) or not len(place):
+                break
+            go = more[np.minimum(np.searchsorted(more, key), len(more) - 1)] == key
+            place, at, key, w = place[go], at[go], key[go], w[go]
+            at = at + ((self.odd[j] * w) >> np.uint32(31))
+        return np.concatenate(out) if out else np.zeros((0, 3), dtype=np.int64)
 
 
 def _columns(rows: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,6 +130,24 @@ def edit_distance_in(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
+def best_part(item: np.ndarray, words: np.ndarray, at: np.ndarray, most: int) -> tuple[int, int] | None:
+    """Least distance up to ``most`` and the first end of such a part, near the window starts ``at`` (ascending)."""
+    lo, hi = np.maximum(at - most, 0), np.minimum(at + len(item) + most, len(words))
+    base = int(lo[0])
+    inside = np.concatenate([[0], np.cumsum(np.isin(words[base:int(hi[-1])], item))])
+    # A part that is near enough shares so many words with the item at least.
+    good = inside[hi - base] - inside[lo - base] >= len(item) - most
+    lo, hi = lo[good], hi[good]
+    best = None
+    # Windows that overlap are one region.
+    cuts = np.flatnonzero(lo[1:] > hi[:-1]) + 1
+    for a, b in zip(lo[[0, *cuts]] if len(lo) else [], hi[[*(cuts - 1), -1]] if len(hi) else []):
+        distance, end = edit_distance_in(item, words[a:b])
+        if distance <= most and (best is None or distance < best[0]):
+            best = (distance, int(a) + end)
+    return best
+
+
 def matches(index: Index, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
     """Per text: (item id, item words, least distance, word at which the match ends), one for each item that it holds."""
     found: list[list] = [[] for _ in texts]
@@ -156,32 +157,18 @@ def matches(index: Index, texts: list[str | None]) -> list[list[tuple[int, int,
     def flush() -> None:
         starts = np.cumsum([0] + [len(w) + len(gap) for _, w in held])
         x = np.concatenate([y for _, w in held for y in (w, gap)])
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        last: tuple = ()
-        for row, start in index.candidates(x).tolist():
-            item_id, item = index.items[row]
-            most = int((1 - index.similarity) * len(item) + 1e-9)
-            # The window start can lie before its document by edits; any word of the window tells the document.
-            d = int(np.searchsorted(starts, max(0, start + len(item) // 2), side="right")) - 1
-            for doc in {d, int(np.searchsorted(starts, max(0, start), side="right")) - 1}:
-                if doc >= len(held):
-                    continue
-                words, at = held[doc][1], start - int(starts[doc])
-                lo, hi = max(0, at - most), min(len(words), at + len(item) + most)
-                if hi - lo < len(item) - most or (doc, row, lo, hi) == last:
-                    continue
-                last = (doc, row, lo, hi)
-                region = words[lo:hi]
-                if np.isin(region, item).sum() < len(item) - most:
-                    continue
-                if best.get((doc, row), (most + 1, 0))[0] == 0:
-                    continue
-                distance, end = edit_distance_in(item, region)
-                if distance <= most:
-                    best[doc, row] = min(best.get((doc, row), (most + 1, 0)), (distance, lo + end))
-        for (doc, row), (distance, end) in sorted(best.items()):
-            item_id, item = index.items[row]
-            found[held[doc][0]].append((item_id, len(item), distance, end))
+        row, start, place = index.candidates(x).T
+        doc = np.searchsorted(starts, place, side="right") - 1
+        order = np.lexsort((start, row, doc))
+        row, start, doc = row[order], start[order], doc[order]
+        edges = np.flatnonzero(np.diff(doc) | np.diff(row)) + 1
+        for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(row)]):
+            if lo == hi:
+                continue
+            d, (item_id, item) = int(doc[lo]), index.items[int(row[lo])]
+            best = best_part(item, held[d][1], np.unique(start[lo:hi]) - starts[d], most_edits(len(item), index.similarity))
+            if best:
+                found[held[d][0]].append((item_id, len(item), *best))
 
     for i, text in enumerate(texts):
         words = word_codes(text)

@@ -158,6 +158,28 @@ def test_op7_finds_edited_passages_and_no_others(spark, texts):
     assert sum(any(m[0] == items[k % len(items)][0] for m in f) for k, f in enumerate(found)) >= 195
 
 
+@pytest.mark.parametrize("n", [5, 6, 7, 8, 9, 10, 12, 14, 15, 19, 20, 30, 59])
+def test_op7_recall_by_length(n):
+    rng = random.Random(n)
+    vocabulary = [f"w{k}" for k in range(300)]
+    items = [(i, rng.choices(vocabulary, k=n)) for i in range(40)]
+    index = decontam.Index([(i, decontam.word_codes(" ".join(w))) for i, w in items])
+    planted, tests = [], []
+    for k in range(400):
+        i, words = items[k % 40]
+        words, kind = list(words), k // 40 % 3
+        for at in sorted(rng.sample(range(n), n // 5), reverse=True):
+            words[at:at + (kind < 2)] = [] if kind == 1 else ["zz"]  # substituted, left out or put in between
+        planted.append(i)
+        tests.append(" ".join([*rng.choices(vocabulary, k=7), *words, *rng.choices(vocabulary, k=7)]))
+    found = decontam.matches(index, tests)
+    assert all(i in {m[0] for m in f} for i, f in zip(planted, found))
+    for text, f in zip(tests, found):
+        codes = decontam.word_codes(text)
+        assert {(m[0], m[2]) for m in f} == {(i, d) for i, w in items if (d := decontam.edit_distance_in(
+            decontam.word_codes(" ".join(w)), codes)[0]) <= n // 5}
+
+
 def test_edit_distance():
     rng = np.random.default_rng(1)
     for _ in range(50):
