@@ -82,6 +82,48 @@ def test_secret_network_learns_and_generalises():
     assert (new >= net.threshold).mean() > 0.9 and (plain >= net.threshold).mean() < 0.05
 
 
+def _secret_rows(rng, token):
+    """Texts with base findings, harmless runs and, in a third of the rows, ``token()``; and where the tokens stand."""
+    hexed = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    word = lambda: "".join(rng.choice("bdfglmnrst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4)))
+    rows, planted = [], {}
+    for i in range(1800):
+        words = [word() for _ in range(10)]
+        if i % 3 == 0:
+            words.insert(5, rng.choice([f"password={hexed(16)}", f"token = {hexed(24)}", hexed(40), "AKIA" + hexed(16).upper()]))
+        elif i % 3 == 1:
+            words.insert(5, rng.choice([str(rng.randrange(10 ** 15, 10 ** 16)), f"/{word()}/{word()}/{word()}/{word()}7", f"{word()}_{word()}_{word()}_{word()}_12"]))
+        else:
+            words.insert(5, token())
+            at = len(" ".join(words[:5])) + 1
+            planted[i] = (at, at + len(words[5]))
+        rows.append((i, " ".join(words)))
+    return rows, planted
+
+
+def _covered(row, span):
+    got = [tuple(map(int, x.split(":")[1:])) for x in row.spans.split(",") if x.startswith("model:")]
+    return any(s <= span[0] and span[1] <= e for s, e in got)
+
+
+@pytest.mark.parametrize("prefix,n", [("ghp_", 36), ("", 24)])
+def test_op1_finds_a_frequent_shape_that_no_base_pattern_knows(spark, prefix, n):
+    rng = random.Random(n)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows, planted = _secret_rows(rng, lambda: prefix + "".join(rng.choice(signs) for _ in range(n - 2)) + "x7")
+    got = {r.doc_id: r for r in secret_scan.findings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(_covered(got[i], span) for i, span in planted.items()) / len(planted) > 0.8
+    assert sum("model" in got[i].spans for i, _ in rows if i % 3 == 1) < 30
+
+
+def test_harmless_runs_are_words_and_numbers_only():
+    for run in ("4041894974608795", "2024-05-12-17", "/usr/local/share/data7", "my_long_variable_name_12", "SomeClassName2"):
+        assert secret_scan.harmless(run), run
+    for run in ("ghp_16C7e42F292c6912E7710c838347Ae178B4a", "sk-proj1a2b3c4d5e6f7g8h", "eyJhbGciOiJIUzI1NiJ9", "dGhpcyBpcyBub3Q0",
+                "deadbeef01234567aa", "qzxvkwpjh-2024-data"):
+        assert secret_scan.harmless(run) is None, run
+
+
 def test_op2_held_out(spark):
     rows = toxicity.judge(spark.read.parquet(f"{LARGER}/documents.parquet"), spark.read.parquet(f"{LARGER}/labels.parquet")).collect()
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{LARGER}/labels.parquet").collect()}
