@@ -116,6 +116,27 @@ def test_op1_finds_a_frequent_shape_that_no_base_pattern_knows(spark, prefix, n)
     assert sum("model" in got[i].spans for i, _ in rows if i % 3 == 1) < 30
 
 
+def test_op1_reads_long_runs_whole(spark):
+    rng = random.Random(8)
+    value = lambda: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(24)) + "x7"
+    chain = lambda n: "".join("/" + rng.choice(["usr", "local", "share", "data", "lib", "report", "home"]) for _ in range(n))
+    rows, planted = _secret_rows(rng, lambda: chain(16) + "1/" + value() + chain(rng.randint(0, 9)))
+    plain = {i: f"see {chain(16)}1{chain(8)} there" for i in range(5000, 5100)}
+    got = {r.doc_id: r for r in secret_scan.findings(spark.createDataFrame(rows + list(plain.items()), "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    spans = {i: re.search(r"1/(\w{24}x7)", texts[i]).span(1) for i in planted}
+    assert min(s - planted[i][0] for i, (s, _) in spans.items()) > secret_scan.INSIDE
+    assert sum(_covered(got[i], span) for i, span in spans.items()) / len(spans) > 0.8
+    assert sum("model" in got[i].spans for i in plain) < 5
+    assert all(x.split(":")[1] != str(planted[i][0]) for i in list(planted)[:50] for x in got[i].spans.split(",") if x)
+
+
+def test_windows_cover_a_run():
+    for n in (8, 48, 49, 60, 61, 500):
+        at = secret_scan.places(10, 10 + n)
+        assert {k for a in at for k in range(a, min(10 + n, a + secret_scan.INSIDE))} == set(range(10, 10 + n))
+
+
 def test_harmless_runs_are_words_and_numbers_only():
     for run in ("4041894974608795", "2024-05-12-17", "/usr/local/share/data7", "my_long_variable_name_12", "SomeClassName2"):
         assert secret_scan.harmless(run), run
