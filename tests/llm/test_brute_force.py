@@ -131,6 +131,15 @@ def test_op1_reads_long_runs_whole(spark):
     assert all(x.split(":")[1] != str(planted[i][0]) for i in list(planted)[:50] for x in got[i].spans.split(",") if x)
 
 
+def test_threshold_keeps_the_recall_where_secrets_look_like_others():
+    rng = random.Random(12)
+    make = lambda: secret_scan.window("".join(rng.choice("0123456789") for _ in range(16)), 0, 16)
+    positive = [make() for _ in range(300)]
+    net = secret_scan.train(positive, [make() for _ in range(900)])
+    held = [w for w in positive if zlib.crc32(w.encode()) % 4 == 0]
+    assert (net.probability(held) >= net.threshold - 1e-9).mean() >= 0.98 - 1 / len(held)
+
+
 def test_windows_cover_a_run():
     for n in (8, 48, 49, 60, 61, 500):
         at = secret_scan.places(10, 10 + n)
