@@ -135,3 +135,17 @@ def chat_format(spark: SparkSession, folder: str) -> DataFrame:
     from pressgauge.llm.snapshots import render
 
     return render(table(spark, folder, "conversations"))
+
+
+def _merkle_sql() -> str:
+    from pressgauge.llm.merkle import SQL as sql
+
+    return sql
+
+
+@register("op11_merkle_manifest", _merkle_sql())
+def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf, subroot, root and climbed proof of every document."""
+    from pressgauge.llm.merkle import manifest
+
+    return manifest(table(spark, folder, "documents"))
