@@ -149,3 +149,17 @@ def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     from pressgauge.llm.merkle import manifest
 
     return manifest(table(spark, folder, "documents"))
+
+
+def _phrase_sql() -> str:
+    from pressgauge.llm.collocations import SQL as sql
+
+    return sql
+
+
+@register("op13_collocations", _phrase_sql())
+def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The best phrases of every language."""
+    from pressgauge.llm.collocations import collocations
+
+    return collocations(table(spark, folder, "documents"))
