@@ -163,3 +163,11 @@ def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
     from pressgauge.llm.collocations import collocations
 
     return collocations(table(spark, folder, "documents"))
+
+
+@register("op12_quality")
+def quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document."""
+    from pressgauge.llm.quality import judge
+
+    return judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
