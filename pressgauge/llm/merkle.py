@@ -38,12 +38,12 @@ WITH RECURSIVE climb(at, src, block, level, parent, slot, folded, siblings) AS (
   SELECT at, src, block, 0, parent, slot, folded, CAST('' AS BINARY) FROM {leaves}
   UNION ALL
   SELECT c.at, c.src, c.block, p.level, p.parent, p.slot,
-         sha2(concat(lower(hex(substring(p.children, 1, 32 * c.slot))), c.folded,
-                     lower(hex(substring(p.children, 32 * c.slot + 33, 512)))), 256),
+         unhex(sha2(lower(hex(concat(substring(p.children, 1, 32 * c.slot), c.folded,
+                                     substring(p.children, 32 * c.slot + 33, 512)))), 256)),
          concat(substring(p.children, 1, 32 * c.slot), substring(p.children, 32 * c.slot + 33, 512))
   FROM climb c JOIN {nodes} p ON p.src = c.src AND p.block = c.block AND p.level = c.level + 1 AND p.idx = c.parent
 )
-SELECT at, level, folded, siblings FROM climb
+SELECT at, src, block, level, folded, siblings FROM climb
 """
 
 
@@ -54,7 +54,12 @@ def said(value: Column) -> Column:
 
 
 def leaf_digest(fields: dict[str, Column]) -> Column:
-    return F.sha2(F.concat(*(said(fields[f]) for f in FIELDS)), 256)
+    return F.unhex(F.sha2(F.concat(*(said(fields[f]) for f in FIELDS)), 256))
+
+
+def shown(digest: Column) -> Column:
+    """Digests are stored as 32 bytes and shown, and hashed again, as lowercase hex."""
+    return F.lower(F.hex(digest))
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -116,8 +121,8 @@ def levels(nodes: DataFrame) -> list[DataFrame]:
         run = F.array_sort(F.collect_list(F.struct("idx", "digest")))
         grouped = (nodes.where("size > 1").groupBy("tree", F.shiftright("idx", BITS).alias("up"), "size", "n").agg(run.alias("run"))
                    .select("tree", F.col("up").alias("idx"), F.ceil(F.col("size") / FAN).cast("long").alias("size"), "n",
-                           F.array_join(F.transform("run", lambda x: x["digest"]), "").alias("said")))
-        level = grouped.select("tree", "idx", "size", "n", F.sha2("said", 256).alias("digest"), F.unhex("said").alias("children"),
+                           F.unhex(F.array_join(F.transform("run", lambda x: F.hex(x["digest"])), "")).alias("children")))
+        level = grouped.select("tree", "idx", "size", "n", F.unhex(F.sha2(shown(F.col("children")), 256)).alias("digest"), "children",
                                F.lit(len(out) + 1).alias("level"))
         nodes = written(level, "merkle-level")
         out.append(nodes)
@@ -173,15 +178,18 @@ def manifest(docs: DataFrame) -> DataFrame:
     start = start.select("at", "src", F.shiftright("no", BITS * BLOCK_LEVELS).alias("block"), F.shiftright("next", BITS).alias("parent"),
                          F.col("next").bitwiseAND(FAN - 1).cast("int").alias("slot"), "folded")
     met = climbed(start, written(reduce(DataFrame.union, linked), "merkle-nodes")) if linked else leaves.select(
-        "at", F.lit(0).alias("level"), "folded", F.lit(b"").alias("siblings"))
+        "at", "src", F.lit(0).cast("long").alias("block"), F.lit(0).alias("level"), "folded", F.lit(b"").alias("siblings"))
 
+    # Dealt out by block: the leaves of a run stay neighbours, and their siblings compress to little.
     path = F.array_sort(F.collect_list(F.struct("level", "siblings")))
-    proofs = met.groupBy("at").agg(F.max_by("folded", "level").alias("folded_root"), path.alias("path"))
-    proof = F.sha2(F.array_join(F.transform("path", lambda x: F.lower(F.hex(x["siblings"]))), ""), 256)
+    proofs = met.repartition("src", "block").groupBy("src", "block", "at").agg(
+        F.max_by("folded", "level").alias("folded_root"), path.alias("path"))
+    proof = F.sha2(F.array_join(F.transform("path", lambda x: shown(x["siblings"])), ""), 256)
     own = spans.join(subroots.select(F.col("tree").alias("src"), F.col("digest").alias("subroot")), "src").select("part", "src", "subroot")
     return (leaves.join(own, ["part", "src"]).join(proofs.select("at", "folded_root", proof.alias("proof_sha256")), "at")
-            .select("doc_id", "leaf", "subroot", F.lit(root).alias("root"), "proof_sha256", "folded_root",
-                    (F.col("folded_root") == root).alias("verified")))
+            .select("doc_id", shown(F.col("leaf")).alias("leaf"), shown(F.col("subroot")).alias("subroot"),
+                    F.lit(root.hex()).alias("root"), "proof_sha256", shown(F.col("folded_root")).alias("folded_root"),
+                    (F.col("folded_root") == F.lit(bytes(root))).alias("verified")))
 
 
 def climbed(start: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -198,7 +206,7 @@ def climbed(start: DataFrame, nodes: DataFrame) -> DataFrame:
     before = spark.conf.get(bound)
     spark.conf.set(bound, "-1")
     try:
-        return written(spark.sql(CLIMB.format(**names)), "merkle-climb", "lz4")
+        return written(spark.sql(CLIMB.format(**names)), "merkle-climb")
     finally:
         spark.conf.set(bound, before)
         for name in names.values():
