@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pressgauge.functions import text as X
 from pressgauge.operators.linguistic import english_stop_words
@@ -105,23 +105,23 @@ def vocabulary(lists: DataFrame, settings: TfidfSettings, documents: int | None
 
 
 def _held(vocab: DataFrame, settings: TfidfSettings) -> DataFrame:
-    """The vocabulary has at most ``max_features`` rows; broadcast it where that is few, else leave the join to Spark."""
+    """A vocabulary of a few thousand terms is broadcast; one of any size (``max_features=None``) is left to Spark."""
     return F.broadcast(vocab) if settings.max_features is not None and settings.max_features <= SMALL_ROWS else vocab
 
 
 def tfidf_weights(lists: DataFrame, vocab: DataFrame, settings: TfidfSettings) -> DataFrame:
     """``id, term, idx, weight``, L2-normalised per document.
 
-    The vocabulary is small by construction (``max_features``), so the join
-    keeps the documents in place; only vocabulary hits go on to the aggregates.
+    Terms are counted before they meet the vocabulary, so one row per document and distinct term is shuffled; weights and
+    norm come out of one grouping by document.
     """
-    hits = lists.select("id", F.explode_outer("terms").alias("term")).join(
-        _held(vocab, settings), "term")
-    counted = hits.groupBy("id", "term", "idx", "idf").agg(F.count(F.lit(1)).alias("tf"))
+    counted = (lists.select("id", F.explode_outer("terms").alias("term")).where("term IS NOT NULL")
+               .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))
+    hits = counted.join(_held(vocab, settings), "term")
     tf = (1.0 + F.log("tf")) if settings.sublinear else F.col("tf").cast("double")
-    weighted = counted.withColumn("w", tf * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
-    return weighted.select("id", "term", "idx", (F.col("w") / norm).alias("weight"))
+    weighted = hits.select("id", F.struct("term", "idx", (tf * F.col("idf")).alias("w")).alias("x"))
+    whole = weighted.groupBy("id").agg(F.collect_list("x").alias("v"), F.sqrt(F.sum(F.col("x.w") * F.col("x.w"))).alias("_n"))
+    return whole.select("id", "_n", F.explode("v").alias("x")).select("id", "x.term", "x.idx", (F.col("x.w") / F.col("_n")).alias("weight"))
 
 
 def tfidf_vocab(df: DataFrame, key: str, text: str, settings: TfidfSettings = TRAINER) -> DataFrame:
@@ -133,19 +133,21 @@ def tfidf_vocab(df: DataFrame, key: str, text: str, settings: TfidfSettings = TR
 def sparse_vectors(lists: DataFrame, vocab: DataFrame, settings: TfidfSettings) -> DataFrame:
     """``id, idx, val`` per document; a document without vocabulary terms has empty arrays.
 
-    Hits carry their idf; counting and normalising happen inside the collected
-    array, so there is one shuffle, of vocabulary hits only.
+    Terms are counted first, combined before the shuffle, so one row per distinct term meets the vocabulary. The norm is an aggregate of the
+    grouping that makes the row: as an expression over the finished array it would be computed again for every term.
     """
-    small = _held(vocab.select("term", "idx", "idf"), settings)
-    hits = lists.select("id", F.explode_outer("terms").alias("term")).join(small, "term", "left")
-    counted = hits.groupBy("id", "idx", "idf").agg(F.count(F.lit(1)).alias("tf"))
+    counted = (lists.select("id", F.explode_outer("terms").alias("term")).where("term IS NOT NULL")
+               .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))
+    known = counted.join(_held(vocab.select("term", "idx", "idf"), settings), "term")
     tf = (1.0 + F.log("tf")) if settings.sublinear else F.col("tf").cast("double")
-    item = F.when(F.col("idx").isNotNull(), F.struct("idx", (tf * F.col("idf")).alias("w")))
-    rows = counted.groupBy("id").agg(F.sort_array(F.collect_list(item)).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
-    return rows.withColumn("_n", norm).select(
-        "id", F.transform("v", lambda x: x["idx"]).alias("idx"),
-        F.transform("v", lambda x: x["w"] / F.col("_n")).alias("val"))
+    weighted = known.select("id", "idx", (tf * F.col("idf")).alias("w"))
+    rows = weighted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("idx", "w"))).alias("v"),
+                                      F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_n"))
+    full = rows.select("id", F.transform("v", lambda x: x["idx"]).alias("idx"),
+                       F.transform("v", lambda x: x["w"] / F.col("_n")).alias("val"))
+    none = lists.select("id").join(rows.select("id"), "id", "left_anti").select(
+        "id", F.array().cast("array<long>").alias("idx"), F.array().cast("array<double>").alias("val"))
+    return full.unionByName(none)
 
 
 def tfidf_cosine(queries: DataFrame, corpus: DataFrame, key: str, text: str, k: int = 10,
