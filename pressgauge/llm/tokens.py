@@ -2,7 +2,8 @@
 
 A byte-pair tokenizer first splits a text into words by a fixed pattern, then merges inside each word. Equal words give
 equal ids, so each distinct word goes through the library's model once per worker and a text is the joined ids of its
-words. Texts with characters outside the Latin range below are handed to the library whole.
+words. Texts with characters outside the Latin range below, and texts that hold the string of an added token, are handed
+to the library whole, in its default setting.
 """
 
 from __future__ import annotations
@@ -59,15 +60,17 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         if self.whole.get_vocab_size() > 1 << 16 or sys.byteorder != "little":
             raise ValueError("ids must fit 16 bits, least byte first")
         self.lower = bool(spec.get("normalizer"))
+        added = [re.escape(t["content"]) for t in spec.get("added_tokens", [])]
+        # In either case: the library may look for them before or after it lower-cases a text.
+        self.special = re.compile("|".join(added), re.I).search if added else lambda text: None
         self.split = (WORD_SPLIT if self.lower else BYTE_SPLIT).findall
         self.of_word = Words(self.whole.model).__getitem__
 
     def ids(self, text: str) -> bytes:
-        if OUTSIDE.search(text):
+        if OUTSIDE.search(text) or self.special(text):
             return array("H", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.of_word, self.split(text.lower() if self.lower else text)))
 

@@ -3,8 +3,8 @@
 A document's terms are its distinct lower-cased words and their leading four and five letters, hashed. The score is the
 logistic of a bias, a weight per term and the inner products of the term factors of all pairs, so that two terms can say
 together what neither says alone. It is fitted on a bounded sample of labelled documents (``per_class`` of either
-label, drawn by a hash of the id), then calibrated on a part of that sample that the fit has not seen, weighted back to
-the classes' shares among all labelled rows.
+label, drawn by a hash of the id). The calibration is a logistic curve over the scores that each third of that sample gets
+from a machine fitted to the others, weighted back to the classes' shares among all labelled rows.
 
 Defined cases: a null text counts as empty and gets the score of no term; labels repeated for an id count once, 1 before
 0, null labels not at all; rows of a null id are scored but never learned from; without labels of both classes every
@@ -33,6 +33,8 @@ FACTORS = 4
 MIN_DOCS = 5              # of the sample that hold a term
 FREQUENT = 2_048          # most frequent terms, kept whatever they say alone
 EVIDENCE = 8.0            # likelihood-ratio statistic from which another term is kept
+CROSS = 3                 # parts of the sample that are scored by machines of the others, for the calibration
+STEPS = 200               # of a fit on a small sample
 CACHE_WORDS = 400_000
 
 
@@ -108,14 +110,31 @@ def constant(share: float) -> Machine:
 
 
 def fit_machine(labels: np.ndarray, terms: list[np.ndarray], importance: np.ndarray, epochs: int = 12,
-                rate: float = 0.1, l1: float = 2e-4, l2: float = 1e-3, batch: int = 256) -> Machine:
-    """Adaptive gradient descent with soft-thresholded weights; every fifth row is kept for the calibration."""
-    n = len(labels)
-    flat = np.concatenate(terms) if n else np.zeros(0, np.int32)
-    size = np.array([len(t) for t in terms])
+                parts: int = CROSS) -> Machine:
+    """The machine of all rows, calibrated on scores that each part of them gets from a machine of the other parts."""
     y = labels.astype(float)
+    raw, group = np.zeros(len(y)), np.arange(len(y)) % parts
+    for g in range(parts):
+        mine, others = np.flatnonzero(group == g), np.flatnonzero(group != g)
+        if len(mine) and len(others) and y[others].min() < y[others].max():
+            machine, place = descend(y[others], [terms[i] for i in others], epochs)
+            raw[mine] = machine.raw([_placed(place, terms[i]) for i in mine])
+    machine, _ = descend(y, terms, epochs)
+    machine.slope, machine.shift = calibration(raw, y, importance)
+    return machine
+
+
+def _placed(place: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    at = place[terms]
+    return at[at >= 0]
+
+
+def informative(y: np.ndarray, terms: list[np.ndarray]) -> np.ndarray:
+    """Terms, ascending, that are frequent or tell the classes apart by their likelihood-ratio statistic."""
+    n = len(y)
+    flat = np.concatenate(terms) if n else np.zeros(0, np.int32)
     all_docs = np.bincount(flat, minlength=SPACE)
-    in_one = np.bincount(flat, weights=np.repeat(y, size), minlength=SPACE)
+    in_one = np.bincount(flat, weights=np.repeat(y, [len(t) for t in terms]), minlength=SPACE)
     seen = np.flatnonzero(all_docs >= MIN_DOCS)
     a, b = in_one[seen], (all_docs - in_one)[seen]
     ones, zeros = y.sum(), n - y.sum()
@@ -123,16 +142,25 @@ def fit_machine(labels: np.ndarray, terms: list[np.ndarray], importance: np.ndar
     stat = 2 * (a * np.log(np.maximum(a, 1e-9) / expected[0]) + b * np.log(np.maximum(b, 1e-9) / expected[1]))
     often = np.zeros(len(seen), bool)
     often[np.argsort(-all_docs[seen], kind="stable")[:FREQUENT]] = True
-    kept = seen[(stat >= EVIDENCE) | often]
+    return seen[(stat >= EVIDENCE) | often]
+
+
+def descend(y: np.ndarray, terms: list[np.ndarray], epochs: int, rate: float = 0.1, l1: float = 2e-4, l2: float = 1e-3,
+            batch: int = 256) -> tuple[Machine, np.ndarray]:
+    """Adaptive gradient descent with soft-thresholded weights; the machine, not calibrated, and every term's place in it.
+
+    Small samples take more rounds, so that each fit makes about as many steps.
+    """
+    n = len(y)
+    kept = informative(y, terms)
     place = np.full(SPACE, -1, dtype=np.int32)
     place[kept] = np.arange(len(kept))
-    rows = [p[p >= 0] for p in (place[t] for t in terms)]
+    rows = [_placed(place, t) for t in terms]
     rng = np.random.default_rng(7)
     machine = Machine(kept, np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), FACTORS)), 0.0)
-    train, held = np.flatnonzero(np.arange(n) % 5 != 4), np.flatnonzero(np.arange(n) % 5 == 4)
     grown_w, grown_v, grown_b = np.full(len(kept), 1e-6), np.full((len(kept), FACTORS), 1e-6), 1e-6
-    for _ in range(epochs):
-        order = rng.permutation(train)
+    for _ in range(max(epochs, min(3 * epochs, -(-STEPS * batch // n)))):
+        order = rng.permutation(n)
         for lo in range(0, len(order), batch):
             part = order[lo:lo + batch]
             mine = [rows[i] for i in part]
@@ -155,8 +183,7 @@ def fit_machine(labels: np.ndarray, terms: list[np.ndarray], importance: np.ndar
                 machine.factors[used, f] -= 0.3 * rate * gv / np.sqrt(grown_v[used, f])
             grown_b += float(error.mean()) ** 2
             machine.bias -= rate * float(error.mean()) / grown_b ** 0.5
-    machine.slope, machine.shift = calibration(machine.raw([rows[i] for i in held]), y[held], importance[held])
-    return machine
+    return machine, place
 
 
 def calibration(raw: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[float, float]:
