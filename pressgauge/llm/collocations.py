@@ -1,9 +1,10 @@
 """Phrase collocation mining over count streams in prefix and suffix order.
 
-Counting goes by length. A pass over the texts counts the phrases of one length whose two shorter parts may be frequent:
-tasks add up what their chunk holds, Spark adds up the tasks. Which parts are frequent is told by a bitmap of fixed size
-(``FILTER_BITS``) over hashes; a hit that is none only costs a counted row, never a result, since counts are exact and
-rare phrases are left out by their count.
+Counting goes by length. A pass over the texts adds up, for 40-bit hashes of the phrases of one length whose two shorter
+parts may be frequent, how often they occur: in a task over its chunks, then in Spark. The hashes that reach the least
+count are kept as a bitmap of fixed size (``FILTER_BITS``). A last pass counts the phrases themselves, of all lengths,
+that these bitmaps may know. A hash that two phrases share, or a hit in a bitmap that is none, only costs a counted row,
+never a result, since the last counts are exact and rare phrases are left out by their count.
 
 The counted phrases, parts of every candidate included, are then kept as a stream sorted by (lang, first word, …, last
 word). There a phrase follows its first parts, and what extends it to the right follows the phrase: one walk in lockstep
@@ -35,7 +36,8 @@ from pressgauge.session import cut_lineage
 LONGEST = 5
 FILTER_BITS = 1 << 27         # 16 MB on the driver and in a task
 BITMAP = 1 << 15              # bits in one of the bitmaps that Spark builds
-CHUNK = 2_000_000             # words that a task counts at once
+KEY_BITS = 40                 # of a phrase's hash
+CHUNK = 4_000_000             # words that a task counts at once
 ROWS_A_PART = 1_000_000       # of a stream
 PARTS = 4_096
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -67,75 +69,103 @@ class Chunk:
         self.codes.append(np.fromiter(map(self.words.__getitem__, found), np.int32, len(found)))
         self.size += len(found)
 
-    def counts(self, n: int, known: np.ndarray | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Phrases of ``n`` words, the hashes of them, their counts here."""
-        codes = np.concatenate(self.codes) if self.codes else np.zeros(0, np.int32)
+    def closed(self) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """The words' codes in a row, the hash of every word of the chunk, and the words."""
         words = list(self.words)
         seed = zlib.crc32(self.lang.encode())
-        own = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], dtype=np.uint64)
-        last = len(codes) - n + 1
-        if last <= 0:
-            return [], np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        whole = codes[:last] > 0
-        for j in range(1, n):
-            whole &= codes[j:last + j] > 0
-        if n > 1:
-            part = mixed([own[codes[j:len(codes) - n + 2 + j]] for j in range(n - 1)])
-            hit = known[part >> np.uint64(3)] >> (part & np.uint64(7)).astype(np.uint8) & 1
-            whole &= (hit[:last] & hit[1:last + 1]).astype(bool)
-        at = np.flatnonzero(whole)
-        key = codes[at].astype(np.int64)
-        for j in range(1, n):                  # the parts seen so far are renumbered, so keys stay small and exact
-            if j > 1:
-                key = np.unique(key, return_inverse=True)[1]
-            key = key * len(words) + codes[at + j]
-        _, first, count = np.unique(key, return_index=True, return_counts=True)
-        rows = codes[at[first][:, None] + np.arange(n)] if len(first) else np.zeros((0, n), np.int32)
-        hashes = mixed([own[rows[:, j]] for j in range(n)])
-        return [b" ".join([words[c] for c in r]) for r in rows.tolist()], hashes, count
+        codes = np.concatenate([*self.codes, np.zeros(1, np.int32)])
+        return codes, np.array([xxhash.xxh64_intdigest(w, seed) for w in words], dtype=np.uint64), words
+
+
+def whole(codes: np.ndarray, n: int) -> np.ndarray:
+    """Where ``n`` words of one piece start."""
+    last = max(0, len(codes) - n + 1)
+    ok = codes[:last] > 0
+    for j in range(1, n):
+        ok &= codes[j:last + j] > 0
+    return np.flatnonzero(ok)
+
+
+def hashed(own: np.ndarray, codes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the phrases of ``n`` words that start at ``at``."""
+    return mixed([own[codes[at + j]] for j in range(n)])
+
+
+def known_in(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    place = key >> np.uint64(KEY_BITS - FILTER_BITS.bit_length() + 1)
+    return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
 def mixed(words: list[np.ndarray]) -> np.ndarray:
-    """A place in the filter for phrases given as the hashes of their words, first to last."""
+    """A hash of ``KEY_BITS`` for phrases given as the hashes of their words, first to last."""
     out = np.zeros(len(words[0]), np.uint64)
     for w in words:
         out = (out ^ w) * MIX
         out ^= out >> np.uint64(29)
-    return (out * MIX) >> np.uint64(64 - (FILTER_BITS.bit_length() - 1))
+    return (out * MIX) >> np.uint64(64 - KEY_BITS)
 
 
-def count_batches(batches: Iterator[pa.RecordBatch], n: int, known: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Task: (lang, text) to (lang, phrase, place, count); for one word also the language's words, as the phrase ``''``."""
-    def rows(chunk: Chunk) -> pa.RecordBatch:
-        phrases, places, count = chunk.counts(n, known)
-        if n == 1:
-            phrases, places, count = [b"", *phrases], np.append(np.uint64(0), places), np.append(count.sum(), count)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([chunk.lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()),
-             pa.array(places.astype(np.int64)), pa.array(count.astype(np.int64))], names=["lang", "phrase", "place", "f"])
-
-    open_chunks: dict[str, Chunk] = {}
-    held = 0
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+    """(lang, text) rows as chunks of about ``CHUNK`` words, by language."""
+    held: dict[str, Chunk] = {}
+    size = 0
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            chunk = open_chunks.get(lang)
+            chunk = held.get(lang)
             if chunk is None:
-                chunk = open_chunks[lang] = Chunk(lang)
-            before = chunk.size
+                chunk = held[lang] = Chunk(lang)
+            size -= chunk.size
             chunk.add(text.as_py())
-            held += chunk.size - before
-            if held >= CHUNK:
-                for c in open_chunks.values():
-                    yield rows(c)
-                open_chunks, held = {}, 0
-    for c in open_chunks.values():
-        yield rows(c)
-
-
-def filter_of(counted: DataFrame) -> np.ndarray:
-    """Bitmap of the places of the counted phrases: at most ``FILTER_BITS`` / 8 bytes reach the driver."""
-    maps = counted.groupBy(F.floor(F.col("place") / BITMAP).cast("long").alias("b")).agg(
-        F.bitmap_construct_agg((F.col("place") % BITMAP).cast("long")).alias("m"))
+            size += chunk.size
+            if size >= CHUNK:
+                yield from held.values()
+                held, size = {}, 0
+    yield from held.values()
+
+
+def hash_batches(batches: Iterator[pa.RecordBatch], n: int, filters) -> Iterator[pa.RecordBatch]:
+    """Task: (lang, text) to (key, count) of the phrases of ``n`` words whose parts the filter of ``n - 1`` may know."""
+    for chunk in chunks(batches):
+        codes, own, _ = chunk.closed()
+        at = whole(codes, n)
+        if n > 1:
+            bits = filters.value[-1]
+            at = at[known_in(bits, hashed(own, codes, at, n - 1))]
+            at = at[known_in(bits, hashed(own, codes, at + 1, n - 1))]
+        key, count = np.unique(hashed(own, codes, at, n), return_counts=True)
+        for lo in range(0, len(key), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(key[lo:lo + 100_000].astype(np.int64)), pa.array(count[lo:lo + 100_000])],
+                                             names=["key", "f"])
+
+
+def phrase_batches(batches: Iterator[pa.RecordBatch], filters) -> Iterator[pa.RecordBatch]:
+    """Task: (lang, text) to (lang, phrase, size, count) of what the filters may know, of each length; the language's
+    words are counted as the phrase ``''`` of size 0."""
+    for chunk in chunks(batches):
+        codes, own, words = chunk.closed()
+        out = [([b""], 0, np.array([(codes > 0).sum()]))]
+        for n, bits in enumerate(filters.value, 1):
+            at = whole(codes, n)
+            at = at[known_in(bits, hashed(own, codes, at, n))]
+            key = codes[at].astype(np.int64)
+            for j in range(1, n):              # the parts seen so far are renumbered, so keys stay small and exact
+                if j > 1:
+                    key = np.unique(key, return_inverse=True)[1]
+                key = key * len(words) + codes[at + j]
+            _, first, count = np.unique(key, return_index=True, return_counts=True)
+            rows = codes[at[first][:, None] + np.arange(n)] if len(first) else np.zeros((0, n), np.int32)
+            out.append(([b" ".join([words[c] for c in r]) for r in rows.tolist()], n, count))
+        for phrases, n, count in out:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([chunk.lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()),
+                 pa.array(np.full(len(phrases), n), pa.int32()), pa.array(count.astype(np.int64))], names=["lang", "phrase", "size", "f"])
+
+
+def filter_of(keys: DataFrame) -> np.ndarray:
+    """Bitmap of ``key``s: at most ``FILTER_BITS`` / 8 bytes reach the driver."""
+    place = F.shiftright("key", KEY_BITS - FILTER_BITS.bit_length() + 1)
+    maps = keys.groupBy(F.shiftright(place, BITMAP.bit_length() - 1).alias("b")).agg(
+        F.bitmap_construct_agg(place.bitwiseAND(F.lit(BITMAP - 1))).alias("m"))
     out = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in maps.collect():
         out[r.b * BITMAP // 8:(r.b + 1) * BITMAP // 8] = np.frombuffer(r.m, np.uint8)
@@ -145,33 +175,23 @@ def filter_of(counted: DataFrame) -> np.ndarray:
 def frequent(docs: DataFrame, least: int, longest: int = LONGEST, *, lang_col: str = "lang",
              text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, size, f`` of all phrases of up to ``longest`` words that occur ``least`` times, and ``lang, n``."""
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    known, out, words = None, [], None
+    filters, shared = [], None
     for n in range(1, longest + 1):
-        shared = None if known is None else spark.sparkContext.broadcast(known)
-        counted = arrow_stage(texts, count_shared, "lang string, phrase string, place long, f long", n, shared)
-        summed = written(counted.groupBy("lang", "phrase", "place").agg(F.sum("f").alias("f"))
-                         .where((F.col("f") >= least) | (F.col("phrase") == "")), f"phrases-{n}")
-        if shared is not None:
-            shared.destroy()
-        if n == 1:
-            words = summed.where("phrase = ''").select("lang", F.col("f").alias("n"))
-            summed = summed.where("phrase <> ''")
-        out.append(summed.select("lang", "phrase", F.lit(n).alias("size"), "f"))
-        if n < longest:
-            known = filter_of(summed)
-            if not known.any():
-                break
-    all_sizes = out[0]
-    for o in out[1:]:
-        all_sizes = all_sizes.unionByName(o)
-    return all_sizes, words
-
-
-def count_shared(batches: Iterator[pa.RecordBatch], n: int, shared) -> Iterator[pa.RecordBatch]:
-    """Task: ``count_batches`` with the filter from a broadcast variable."""
-    yield from count_batches(batches, n, None if shared is None else shared.value)
+        shared = context.broadcast(filters[-1:])
+        counted = arrow_stage(texts, hash_batches, "key long, f long", n, shared)
+        found = filter_of(counted.groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
+        shared.destroy()
+        if not found.any():
+            break
+        filters.append(found)
+    shared = context.broadcast(filters)
+    counted = arrow_stage(texts, phrase_batches, "lang string, phrase string, size int, f long", shared)
+    summed = written(counted.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f"))
+                     .where((F.col("f") >= least) | (F.col("size") == 0)), "phrases")
+    shared.destroy()
+    return summed.where("size > 0"), summed.where("size = 0").select("lang", F.col("f").alias("n"))
 
 
 def partition_tables(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
@@ -291,10 +311,10 @@ def collocations(docs: DataFrame, least: int = 100, top: int | None = 2000, shar
     full = kept.join(words, "lang").select("lang", "phrase", F.col("f").alias("a"), "lefts", F.col("parts").alias("rights"), "n")
     scored = arrow_stage(full, score_batches, "lang string, phrase string, a long, l long, r long, n long, score long")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = scored.withColumn("rank", F.row_number().over(order).cast("long"))
+    ranked = scored.withColumn("rank", F.row_number().over(order))
     if top is not None:
         ranked = ranked.where(F.col("rank") <= top)
-    return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 SQL = r"""

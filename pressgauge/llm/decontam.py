@@ -9,7 +9,7 @@ the anchors of an item's repetitions are spread over all its places, so one edit
 made of the words at the sampled steps, until ``DISTINCT`` different places are among them or the item-sized window
 ends. A document's words are tried as the start of such a walk wherever they are an anchor of some item; keys are
 compared step by step, so walks that differ from all items are dropped early. The number of repetitions is taken, for
-each item length, from simulated edits: until ``recall`` of the passages with as many edits as are allowed are found.
+each item length, from simulated edits: twice as many as find ``recall`` of the passages with the most edits allowed.
 
 What shares a whole key is verified: the item's exact word edit distance to the best part of the window and its
 surroundings, in words, at most ``(1 - similarity)`` of the item's words. Candidates come in slices of bounded size,
@@ -39,8 +39,9 @@ WORD = re.compile(r"[^\W_]+").findall
 STEPS = 14                # of a walk, at most
 DISTINCT = 3              # different places of a whole key
 SAMPLED = 0.7             # share of the steps that are sampled
-RECALL = 0.985            # of simulated passages with the most edits allowed
-TRIALS = 400              # simulated passages for each item length
+RECALL = 1.0              # of simulated passages with the most edits allowed
+TRIALS = 1_000            # simulated passages for each item length
+MARGIN = 2                # times the repetitions that found them are made
 LEAST_WORDS = 5
 TABLE = 1 << 20
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -106,7 +107,8 @@ def key_path(words: list[int], start: int, end: int, repetition: int) -> list[in
 
 @cache
 def repetitions(words: int, similarity: float, recall: float) -> int:
-    """Repetitions after which ``recall`` of simulated passages of the most edits share a whole key with their item."""
+    """``MARGIN`` times the repetitions after which ``recall`` of simulated passages with the most edits share a whole key
+    with their item."""
     most = most_edits(words, similarity)
     if not most:
         return 1
@@ -129,17 +131,18 @@ def repetitions(words: int, similarity: float, recall: float) -> int:
             if place < 0 or len(whole) > len(path := key_path(passage, place, len(passage), done)) or path[len(whole) - 1] != whole[-1]:
                 rest.append((item, passage))
         left, done = rest, done + 1
-    return done
+    return MARGIN * done
 
 
 class Index:
     """Items and, for each repetition, the keys of their walks, step by step."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], similarity: float = 0.8, recall: float = RECALL,
-                 least_words: int = LEAST_WORDS) -> None:
+    def __init__(self, items: list[tuple[int, np.ndarray]], similarity: float = 0.8, least_words: int = LEAST_WORDS,
+                 planned: dict[int, int] | None = None) -> None:
+        """``planned``: repetitions by item length; simulated here where not given."""
         self.similarity = similarity
         self.items = [(i, w) for i, w in items if len(w) >= max(1, least_words)]
-        times = [repetitions(len(w), similarity, recall) for _, w in self.items]
+        times = [planned[len(w)] if planned else repetitions(len(w), similarity, RECALL) for _, w in self.items]
         self.count = max(times, default=0)
         #: Bit r of a word's entry: it is an anchor in repetition r, 64 repetitions a table.
         self.anchors = [np.zeros(TABLE, dtype=np.uint64) for _ in range(0, self.count, 64)]
@@ -279,11 +282,11 @@ def matches(index: Index, texts: list[str | None]) -> list[list[tuple[int, int,
 _READY: dict[tuple, Index] = {}
 
 
-def _index(items: list[tuple[int, bytes]], similarity: float, recall: float, least_words: int) -> Index:
-    name = (zlib.crc32(b"".join(w for _, w in items)), tuple(i for i, _ in items[:16]), len(items), similarity, recall, least_words)
+def _index(items: list[tuple[int, bytes]], similarity: float, least_words: int, planned: dict[int, int]) -> Index:
+    name = (zlib.crc32(b"".join(w for _, w in items)), tuple(i for i, _ in items[:16]), len(items), similarity, least_words)
     if name not in _READY:
         _READY.clear()
-        _READY[name] = Index([(i, np.frombuffer(w, np.uint64)) for i, w in items], similarity, recall, least_words)
+        _READY[name] = Index([(i, np.frombuffer(w, np.uint64)) for i, w in items], similarity, least_words, planned)
     return _READY[name]
 
 
@@ -325,6 +328,11 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words:
         yield block
 
 
+def planned(block: list[tuple[int, bytes]], similarity: float, recall: float) -> dict[int, int]:
+    """Repetitions for each length of the items, in words of 8 bytes."""
+    return {n: repetitions(n, similarity, recall) for n in sorted({len(w) // 8 for _, w in block})}
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, block_words: int = BLOCK_WORDS, *,
                  recall: float = RECALL, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """``doc_id, item_id, item_words, distance, end_word``: a row for each document and item that it holds.
@@ -335,7 +343,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     schema = "doc_id long, item_id long, item_words int, distance int, end_word long"
     out = None
     for block in item_blocks(benchmark, item_col, "text", block_words, least_words):
-        part = arrow_stage(narrow, match_batches, schema, block, similarity, recall, least_words)
+        part = arrow_stage(narrow, match_batches, schema, block, similarity, least_words, planned(block, similarity, recall))
         out = part if out is None else out.unionByName(part)
     return narrow.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -345,5 +353,6 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, b
     """The rows of ``docs`` that hold no item."""
     out, names = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))]), docs.columns
     for block in item_blocks(benchmark, "item_id", "text", block_words, least_words):
-        out = arrow_stage(out, clean_batches, out.schema, names.index(text_col), block, similarity, recall, least_words)
+        out = arrow_stage(out, clean_batches, out.schema, names.index(text_col), block, similarity, least_words,
+                          planned(block, similarity, recall))
     return out.toDF(*names)
