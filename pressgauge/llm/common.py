@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,10 +17,16 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in ``spark.checkpoint.dir``; one of our own only where none is named."""
+    """The folder that the session names in ``spark.checkpoint.dir``.
+
+    Without one, a session on one machine, as in tests, gets a folder of its own; a cluster must name one, because its
+    executors do not see the driver's folders.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -62,14 +69,16 @@ def bounded_sample(df: DataFrame, class_col: str, key: Column, per_class: int) -
     """At most about ``per_class`` rows of each class, chosen by a hash of ``key``.
 
     Classes are counted over all rows with map-side combining; then a row stays if its hash lies below the share its
-    class needs. No row is moved. A final limit of twice the expected size bounds it where hashes tie.
+    class needs. No row is moved. Only classes of more than ``per_class`` rows need a share, so the shares that reach the
+    plan are few however many values the class column has. A final limit of twice the expected size bounds the sample
+    where hashes tie.
     """
-    counts = df.groupBy(class_col).count().collect()
-    if not counts:
-        return df.limit(0)
-    share = F.lit(0.0)
-    for row in counts:
-        rate = min(1.0, per_class / row["count"])
-        share = F.when(F.col(class_col).eqNullSafe(F.lit(row[class_col])), F.lit(rate)).otherwise(share)
+    counts = df.groupBy(class_col).count()
+    classes = counts.count()
+    large = counts.where(F.col("count") > per_class).where(F.col(class_col).isNotNull()).collect()
+    share = F.lit(1.0)
+    if large:
+        rates = F.create_map(*(F.lit(v) for row in large for v in (row[class_col], per_class / row["count"])))
+        share = F.coalesce(F.try_element_at(rates, F.col(class_col)), F.lit(1.0))
     unit = (F.xxhash64(key, F.lit("sample")).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30))
-    return df.where(unit < share).limit(2 * per_class * len(counts))
+    return df.where(unit < share).limit(2 * per_class * classes)

@@ -44,15 +44,24 @@ def class_table() -> np.ndarray:
 
 
 def gram_codes(text: str) -> np.ndarray:
-    """Codes of all n-grams of the text, with repetition; empty if it has no letter."""
-    table, out = class_table(), []
+    """Codes of all n-grams of the text, with repetition; empty if it has no letter.
+
+    Long texts are coded in pieces; each starts with the last two classes of the one before, so no n-gram is cut.
+    """
+    table, out, tail = class_table(), [], np.zeros(1, np.uint32)
     for at in range(0, len(text), PIECE):
         raw = np.frombuffer(text[at:at + PIECE].lower().encode("utf-32-le", "surrogatepass"), "<u4")
-        c = np.concatenate(([0], table[raw], [0])).astype(np.uint32)
-        c = c[np.concatenate(([True], (c[1:] | c[:-1]) > 0))]          # blanks next to blanks fall together
+        new, k = table[raw].astype(np.uint32), len(tail)
+        if at + PIECE >= len(text):
+            new = np.append(new, np.uint32(0))
+        c = np.concatenate((tail, new))
+        c = c[np.concatenate((np.ones(k, bool), (c[k:] | c[k - 1:-1]) > 0))]  # blanks next to blanks fall together
         two = (c[:-1] << np.uint32(8)) | c[1:]
         three = (two[:-1] << np.uint32(8)) | c[2:]
-        out += [c[c > 0], two[two > 255] + np.uint32(1 << 24), three[(c[:-2] | c[2:]) > 0] + np.uint32(1 << 25)]
+        whole = (c[:-2] | c[2:]) > 0
+        one, two, first = c[k:], two[k - 1:], max(0, k - 2)
+        out += [one[one > 0], two[two > 255] + np.uint32(1 << 24), three[first:][whole[first:]] + np.uint32(1 << 25)]
+        tail = c[-2:]
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 

@@ -39,7 +39,9 @@ COST = 4.0
 FOLDS = 4
 CACHE_WORDS = 400_000
 # The runs of a shape and the letters that stand for them.
-RUNS = re.compile(r"([^\W\d_a-zß-öø-ÿ]+)|([^\W\d_]+)|(\d+)|((.)\5*)", re.S)
+CAPITALS = "A-ZÀ-ÖØ-Þ"
+RUNS = re.compile(rf"([{CAPITALS}]+)|((?:(?![{CAPITALS}])[^\W\d_])+)|(\d+)|((.)\5*)", re.S)
+CAPITAL = re.compile(f"[{CAPITALS}]").match
 SEEDS = tuple(np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) & (1 << 64) - 1) for i in range(8))
 
 
@@ -48,7 +50,7 @@ def shape(word: str) -> str:
     if word.isalpha():
         if word.islower():
             return "x"
-        if word[0].isupper() and word[1:].islower():
+        if CAPITAL(word) and word[1:].islower():
             return "Xx"
     return "".join("X" if a else "x" if b else "9" if c else e for a, b, c, _, e in RUNS.findall(word))
 

@@ -15,8 +15,9 @@ through the driver.
 
 Defined cases: vectors that are null, or hold a null or non-finite component, take no part; missing trailing components
 count as zero; repeated rows and rows of null id are candidates of their own (null ids sort last among ties and are no
-queries); components must stay below 2**26 in magnitude after scaling, so that scores are exact in 64 bits; an empty
-table gives no row; other columns are ignored.
+queries); components of any size up to 2**62 after scaling are scored exactly, in Python's integers where 64 bits might
+not hold a sum, and a score that itself needs more than 64 bits ends the job; an empty table gives no row; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ QUERY_ROWS = 4096
 LANES = 64
 SLAB = 512                # rows of a chunk whose bounds are held at once
 HELD_BLOCKS = 64          # query blocks whose best bounds a task keeps
-LARGEST = 1 << 26
+LARGEST = 1 << 62
 
 
 def whole_vectors(rows: pa.Array, dims: int, scale: int) -> np.ndarray:
@@ -46,13 +47,32 @@ def whole_vectors(rows: pa.Array, dims: int, scale: int) -> np.ndarray:
     flat = np.floor(np.asarray(rows.flatten(), dtype=np.float64) * scale)
     if len(flat) and np.abs(flat).max() >= LARGEST:
         raise ValueError("a component is too large for exact scores")
-    out = np.zeros((len(sizes), dims), dtype=np.int32)
-    out[np.arange(dims)[None] < sizes[:, None]] = flat.astype(np.int32)
+    out = np.zeros((len(sizes), dims), dtype=np.int64)
+    out[np.arange(dims)[None] < sizes[:, None]] = flat.astype(np.int64)
+    return out
+
+
+def stored(low: list[int], width: list[int], bits: int) -> str:
+    """The type in which exact components are kept: 32 bits where all of them fit."""
+    ends = [abs(v) for a, w in zip(low, width) for v in (a, a + (w << bits))]
+    return "<i4" if max(ends, default=0) < 1 << 31 else "<i8"
+
+
+def products(exact: np.ndarray, q: np.ndarray) -> list[int]:
+    """Inner products of rows with a vector, exact at any size."""
+    if not len(exact):
+        return []
+    largest = int(max(abs(int(exact.max())), abs(int(exact.min())))) * sum(abs(v) for v in q.tolist())
+    if largest < 1 << 62:
+        return (exact.astype(np.int64) @ q).tolist()
+    out = [sum(a * b for a, b in zip(row, q.tolist())) for row in exact.tolist()]
+    if any(abs(v) >= 1 << 63 for v in out):
+        raise OverflowError("a score needs more than 64 bits")
     return out
 
 
 def chunk_batches(batches: Iterator[pa.RecordBatch], dims: int, scale: int, low: list[int], width: list[int],
-                  rows: int) -> Iterator[pa.RecordBatch]:
+                  rows: int, kind: str) -> Iterator[pa.RecordBatch]:
     """Task: (id, vector) to packed chunks of at most ``rows`` vectors."""
     lo, wide, part, number = np.array(low), np.array(width), TaskContext.get().partitionId(), 0
     for batch in batches:
@@ -65,18 +85,18 @@ def chunk_batches(batches: Iterator[pa.RecordBatch], dims: int, scale: int, low:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([(part << 32) + number], pa.int64()), pa.array([len(x)], pa.int32()),
                  pa.array([ids.tobytes()], pa.binary()), pa.array([known.astype(np.uint8).tobytes()], pa.binary()),
-                 pa.array([cells.tobytes()], pa.binary()), pa.array([x.astype("<i4").tobytes()], pa.binary())],
+                 pa.array([cells.tobytes()], pa.binary()), pa.array([x.astype(kind).tobytes()], pa.binary())],
                 names=["chunk", "size", "ids", "known", "cells", "exact"])
             number += 1
 
 
-def query_batches(batches: Iterator[pa.RecordBatch], dims: int, divisor: int) -> Iterator[pa.RecordBatch]:
+def query_batches(batches: Iterator[pa.RecordBatch], dims: int, divisor: int, kind: str) -> Iterator[pa.RecordBatch]:
     """Task: chunks to the queries among their vectors, a narrow row each."""
     for batch in batches:
         for chunk, ids, known, exact in zip(*(batch.column(k).to_pylist() for k in ("chunk", "ids", "known", "exact"))):
             ids, known = np.frombuffer(ids, "<i8"), np.frombuffer(known, np.uint8)
             asked = np.flatnonzero((known == 1) & (ids % divisor == 0))
-            x = np.frombuffer(exact, "<i4").reshape(-1, dims)[asked]
+            x = np.frombuffer(exact, kind).reshape(-1, dims)[asked]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[asked]), pa.array(np.full(len(asked), chunk)), pa.array(asked.astype(np.int64)),
                  pa.array([r.tobytes() for r in x], pa.binary())], names=["q_id", "own_chunk", "own_row", "q"])
@@ -105,18 +125,20 @@ def block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def bounds(cells: np.ndarray, q: np.ndarray, lo: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Upper and lower bounds of the inner products, cells by queries."""
+    """Upper and lower bounds of the inner products, cells by queries, widened by what rounding may have taken."""
     base = cells.astype(np.float64) * width @ q.T + q @ lo
     rest = width - 1
-    return base + np.maximum(q, 0) @ rest, base + np.minimum(q, 0) @ rest
+    slack = 8 * (q.shape[1] + 4) * 2.0 ** -53 * (np.abs(q) @ (np.abs(lo) + width * 256)) + 2.0 ** -20
+    return base + np.maximum(q, 0) @ rest + slack, base + np.minimum(q, 0) @ rest - slack
 
 
-def _unpacked(batch: pa.RecordBatch, i: int, dims: int) -> tuple[np.ndarray, ...]:
+def _unpacked(batch: pa.RecordBatch, i: int, dims: int, kind: str) -> tuple[np.ndarray, ...]:
+    """Query ids, their own places, exact vectors as integers and as floating point, and the chunk's cells."""
     q_ids = np.frombuffer(batch.column("q_ids")[i].as_py(), "<i8")
     q_own = np.frombuffer(batch.column("q_own")[i].as_py(), "<i8").reshape(-1, 2)
-    q = np.frombuffer(batch.column("q_exact")[i].as_py(), "<i4").reshape(-1, dims).astype(np.float64)
+    whole = np.frombuffer(batch.column("q_exact")[i].as_py(), kind).reshape(-1, dims).astype(np.int64)
     cells = np.frombuffer(batch.column("cells")[i].as_py(), np.uint8).reshape(-1, dims)
-    return q_ids, q_own, q, cells
+    return q_ids, q_own, whole, whole.astype(np.float64), cells
 
 
 def _not_own(value: np.ndarray, own: np.ndarray, chunk: int, start: int) -> None:
@@ -125,7 +147,7 @@ def _not_own(value: np.ndarray, own: np.ndarray, chunk: int, start: int) -> None
     value[own[mine, 1] - start, mine] = -np.inf
 
 
-def lower_batches(batches: Iterator[pa.RecordBatch], dims: int, k: int, low: list[int], width: list[int]) -> Iterator[pa.RecordBatch]:
+def lower_batches(batches: Iterator[pa.RecordBatch], dims: int, k: int, low: list[int], width: list[int], kind: str) -> Iterator[pa.RecordBatch]:
     """Task: chunks with query blocks to the k largest lower bounds of each query in all chunks of the task."""
     lo, wide = np.array(low, np.float64), np.array(width, np.float64)
     best: dict[int, np.ndarray] = {}
@@ -139,7 +161,7 @@ def lower_batches(batches: Iterator[pa.RecordBatch], dims: int, k: int, low: lis
 
     for batch in batches:
         for i in range(batch.num_rows):
-            q_ids, own, q, cells = _unpacked(batch, i, dims)
+            q_ids, own, _, q, cells = _unpacked(batch, i, dims, kind)
             chunk, block = batch.column("chunk")[i].as_py(), batch.column("block")[i].as_py()
             if len(best) >= HELD_BLOCKS and block not in best:
                 yield from emptied()
@@ -153,18 +175,17 @@ def lower_batches(batches: Iterator[pa.RecordBatch], dims: int, k: int, low: lis
     yield from emptied()
 
 
-def exact_batches(batches: Iterator[pa.RecordBatch], dims: int, k: int, low: list[int], width: list[int]) -> Iterator[pa.RecordBatch]:
+def exact_batches(batches: Iterator[pa.RecordBatch], dims: int, k: int, low: list[int], width: list[int], kind: str) -> Iterator[pa.RecordBatch]:
     """Task: chunk with query block and floors to the chunk's best k of each query, in exact scores."""
     lo, wide = np.array(low, np.float64), np.array(width, np.float64)
     for batch in batches:
         for i in range(batch.num_rows):
-            q_ids, own, q, cells = _unpacked(batch, i, dims)
+            q_ids, own, whole, q, cells = _unpacked(batch, i, dims, kind)
             floors = np.array(batch.column("floors")[i].as_py(), np.float64)
             chunk = batch.column("chunk")[i].as_py()
             ids = np.frombuffer(batch.column("ids")[i].as_py(), "<i8")
             known = np.frombuffer(batch.column("known")[i].as_py(), np.uint8)
-            exact = np.frombuffer(batch.column("exact")[i].as_py(), "<i4").reshape(-1, dims)
-            whole = q.astype(np.int64)
+            exact = np.frombuffer(batch.column("exact")[i].as_py(), kind).reshape(-1, dims)
             near: list[list] = [[] for _ in q_ids]
             for s in range(0, len(cells), SLAB):
                 upper = bounds(cells[s:s + SLAB], q, lo, wide)[0]
@@ -191,7 +212,7 @@ def nearest(q: np.ndarray, some: list[tuple[float, int]], exact: np.ndarray, ids
         if len(best) == k and some[at][0] < best[-1][0]:
             break
         rows = np.array([r for _, r in some[at:at + 2 * k]])
-        scores = exact[rows].astype(np.int64) @ q
+        scores = products(exact[rows], q)
         best += [(int(x), 1 - int(known[r]), int(ids[r]), int(r)) for x, r in zip(scores, rows)]
         best.sort(key=lambda b: (-b[0], b[1], b[2], b[3]))
         del best[k:]
@@ -213,10 +234,11 @@ def top_k(vectors: DataFrame, k: int = 10, divisor: int = 100, scale: int = SCAL
     row = ends.agg(*(f(f"d{d}") for d in range(dims) for f in (F.min, F.max))).first()
     low = [int(row[2 * d] or 0) for d in range(dims)]
     width = [(int(row[2 * d + 1] or 0) - low[d]) // (1 << bits) + 1 for d in range(dims)]
+    kind = stored(low, width, bits)
     chunks = written(arrow_stage(narrow, chunk_batches, "chunk long, size int, ids binary, known binary, cells binary, "
-                                 "exact binary", dims, scale, low, width, chunk_rows), "va-file", "none")
+                                 "exact binary", dims, scale, low, width, chunk_rows, kind), "va-file", "none")
     asked = written(arrow_stage(chunks.select("chunk", "ids", "known", "exact"), query_batches,
-                                "q_id long, own_chunk long, own_row long, q binary", dims, divisor), "queries", "none")
+                                "q_id long, own_chunk long, own_row long, q binary", dims, divisor, kind), "queries", "none")
     count = -(-asked.count() // query_rows) or 1
     numbered = asked.withColumn("block", F.pmod(F.xxhash64("own_chunk", "own_row"), F.lit(count)))
     blocks = written(arrow_stage(numbered.repartition("block").sortWithinPartitions("block"), block_batches,
@@ -234,7 +256,7 @@ def top_k(vectors: DataFrame, k: int = 10, divisor: int = 100, scale: int = SCAL
         return left.join(right, ["block", "lane"])
 
     first = arrow_stage(grid(chunks.select("chunk", "cells"), blocks), lower_batches, "block long, nth long, lowers array<double>",
-                        dims, k, low, width)
+                        dims, k, low, width, kind)
     ranked = first.select("block", "nth", F.explode("lowers").alias("lower")).withColumn(
         "r", F.row_number().over(Window.partitionBy("block", "nth").orderBy(F.desc("lower")))).where(F.col("r") <= k)
     floors = (ranked.groupBy("block", "nth").agg(F.when(F.count("*") == k, F.min("lower")).otherwise(float("-inf")).alias("floor"))
@@ -242,7 +264,7 @@ def top_k(vectors: DataFrame, k: int = 10, divisor: int = 100, scale: int = SCAL
               .select("block", F.col("f.floor").alias("floors"), F.col("f.nth").alias("nths")))
     with_floors = written(blocks.join(floors.select("block", "floors"), "block"), "floors", "none")
     second = arrow_stage(grid(chunks.select("chunk", "ids", "known", "cells", "exact"), with_floors), exact_batches, result,
-                         dims, k, low, width)
+                         dims, k, low, width, kind)
     order = Window.partitionBy("query_id", "own_chunk", "own_row").orderBy(
         F.desc("score"), F.asc_nulls_last("vec_id"), "chunk", "row")
     return (second.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

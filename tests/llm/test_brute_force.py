@@ -13,7 +13,7 @@ from xxhash import xxh64_intdigest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from pressgauge.llm import components, decontam, langid, packing, rans, secret_scan, simhash, tokens, toxicity
+from pressgauge.llm import collocations, components, decontam, langid, merkle, packing, quality, rans, secret_scan, simhash, tokens, toxicity, vafile
 from pressgauge.llm.queries import SQL, tokenizer_file
 
 SMALL, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
@@ -363,3 +363,219 @@ def test_pipeline_stages(spark, texts):
     assert set(four) == set(three) and not any(secret_scan.base_findings(t or "") for t in four.values())
     assert {r.doc_id for r in kept[-1].collect()} == set(four)
     assert sum(r.length for r in kept[-1].collect()) == sum(len(whole("word_bpe_49k.json", t, 2)) for t in four.values())
+
+
+def test_machine_is_the_sum_over_pairs():
+    rng = np.random.default_rng(6)
+    machine = toxicity.Machine(np.arange(30), rng.normal(size=30), rng.normal(size=(30, toxicity.FACTORS)), 0.4, 1.3, -0.2)
+    for n in (0, 1, 2, 9):
+        row = rng.choice(30, n, replace=False)
+        told = 0.4 + sum(machine.weights[i] for i in row) + sum(
+            float(machine.factors[i] @ machine.factors[j]) for a, i in enumerate(row) for j in row[:a])
+        assert machine.score([row])[0] == pytest.approx(1 / (1 + np.exp(-(1.3 * told - 0.2))))
+
+
+def _grams(text):
+    """Padded letter runs, as classes, and their n-grams of one to three, counted."""
+    table, counts = langid.class_table(), {}
+    runs = re.findall(r"[\x01-\xff]+", "".join(chr(table[ord(c)]) for c in text.lower()))
+    line = "\0" + "".join(r + "\0" for r in runs)
+    for n in (1, 2, 3):
+        for i in range(len(line) - n + 1):
+            g = line[i:i + n]
+            if (g[0] != "\0" if n < 3 else g[0] != "\0" or g[2] != "\0"):
+                code = sum(ord(c) << 8 * (n - 1 - k) for k, c in enumerate(g)) + (0, 1 << 24, 1 << 25)[n - 1]
+                counts[code] = counts.get(code, 0) + 1
+    return counts
+
+
+def test_op6_by_plain_counters(spark, texts):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    lang = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    best = lambda counts: [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:langid.PROFILE]]
+    sums = {}
+    for d, t in texts.items():
+        if lang[d] is not None and zlib.crc32(str(d).encode()) % 3 != 1:
+            for g, n in _grams(t or "").items():
+                sums.setdefault(lang[d], {}).setdefault(g, 0)
+                sums[lang[d]][g] += n
+    profiles = {name: {g: k for k, g in enumerate(best(c))} for name, c in sums.items()}
+    for r in run(spark, "op6_language_id"):
+        mine = best(_grams(texts[r.doc_id] or ""))
+        far = {name: sum(abs(p[g] - k) if g in p else langid.PROFILE for k, g in enumerate(mine)) for name, p in profiles.items()}
+        name = min(sorted(far), key=far.get) if mine else "und"
+        assert r.lang_pred == name and r.score == pytest.approx(1 - far[name] / (langid.PROFILE * len(mine)) if mine else 0)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 50])
+def test_language_pieces_cut_no_word(monkeypatch, size):
+    text = "Über  den Wolken, 12 muss -- die Freiheit wohl  grenzenlos sein"
+    want = np.sort(langid.gram_codes(text))
+    monkeypatch.setattr(langid, "PIECE", size)
+    assert (np.sort(langid.gram_codes(text)) == want).all()
+    counts = _grams(text)
+    assert dict(zip(*(x.tolist() for x in langid.counted(want)))) == counts
+
+
+def _climbed(rows):
+    """Leaves, subroots, root and proofs by plain hashing; rows are (doc_id, source, lang, n_chars, text)."""
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    said = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+    leaf_of = lambda r, text: digest("".join(map(said, (*r[:4], text))))
+    lower = lambda t: t if t is None else "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+
+    def grow(nodes):
+        levels = [nodes]
+        while len(levels[-1]) > 1:
+            levels.append([digest("".join(levels[-1][i:i + 16])) for i in range(0, len(levels[-1]), 16)])
+        return levels
+
+    def climb(levels, i, folded, proof):
+        for level in levels[:-1]:
+            run, at = level[i // 16 * 16:i // 16 * 16 + 16], i % 16
+            proof += "".join(run[:at] + run[at + 1:])
+            folded, i = digest("".join(run[:at] + [folded] + run[at + 1:])), i // 16
+        return folded, proof
+
+    groups = {}
+    for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, leaf_of(r, r[4]))):
+        groups.setdefault(r[1], []).append(r)
+    names = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {s: grow([leaf_of(r, r[4]) for r in groups[s]]) for s in names}
+    top = grow([trees[s][-1][0] for s in names])
+    out = []
+    for k, s in enumerate(names):
+        for i, r in enumerate(groups[s]):
+            hit = r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0
+            folded, proof = climb(top, k, *climb(trees[s], i, leaf_of(r, lower(r[4]) if hit else r[4]), ""))
+            out.append((r[0], trees[s][0][i], trees[s][-1][0], top[-1][0], digest(proof), folded, folded == top[-1][0]))
+    return out
+
+
+def test_op11_over_several_levels_and_blocks(spark):
+    rng = random.Random(11)
+    name = lambda: rng.choices(["hot", *(f"s{k}" for k in range(40)), None, "é", ""], [4000, *[10] * 40, 30, 5, 5])[0]
+    rows = [(rng.choice([None, i]) if i % 97 == 0 else i, name(), rng.choice(["en", None]), rng.choice([None, i % 7]),
+             rng.choice([None, "", f"text {i}", f"Text É {i % 5}"])) for i in range(6000)]
+    rows += [rows[5], rows[5]]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, source string, lang string, n_chars long, text string, root string")
+    got = sorted(map(tuple, merkle.manifest(docs.repartition(7)).collect()), key=repr)
+    want = sorted(_climbed(rows), key=repr)
+    assert got == want and 0 < sum(not r[6] for r in got) < len(got)
+    assert max(sum(r[1] == "hot" for r in rows), 0) > 4096
+
+
+def test_op12_held_out(spark):
+    rows = quality.judge(spark.read.parquet(f"{LARGER}/documents.parquet"), spark.read.parquet(f"{LARGER}/labels.parquet")).collect()
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{LARGER}/labels.parquet").collect()}
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == (r.score >= 0.7)
+    held = [(labels[r.doc_id], r.predicted) for r in rows if r.held_out and r.doc_id in labels]
+    right = sum(y and p for y, p in held)
+    assert right / sum(y for y, _ in held) > 0.97 and right / sum(p for _, p in held) > 0.97
+    assert sum(not p for y, p in held if not y) / sum(not y for y, _ in held) > 0.9
+
+
+def test_quality_indicators_by_plain_strings():
+    words = quality.Grams()
+    for text in ("", "one", "The the THE end!!", "a1 a1 a1 b22,,, É-x x_y __ 3.14", "日本 語 語"):
+        found = text.split()
+        told = {("w", w.lower()) for w in found} | {("a", w[:3]) for w in found} | {("z", w[-3:]) for w in found}
+        form = ["=" if i and w.lower() == found[i - 1].lower() else quality.shape(w) for i, w in enumerate(found)]
+        told |= {("ww", found[i].lower(), found[i + 1].lower()) for i in range(len(found) - 1)}
+        told |= {("f", f) for f in form} | {("ff", *form[i:i + 2]) for i in range(len(form) - 1)} | {("fff", *form[i:i + 3]) for i in range(len(form) - 2)}
+        assert len(quality.indicators(text, words)) == len(told)
+    assert [quality.shape(w) for w in ("Ab12,,", "HELLO!!", "x", "É", "McX", "a-b", "ЯЖ", "Éa")] == ["Xx9,", "X!", "x", "X", "XxX", "x-x", "x", "Xx"]
+
+
+def test_dual_descent_reaches_the_optimum():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, 6))
+    y = np.where(x[:, 0] + 0.4 * rng.normal(size=80) > 0, 1.0, -1.0)
+    cost = np.where(y > 0, 0.7, 0.4)
+    w = quality.dual_descent([(np.arange(6), r) for r in x], y, cost, 6, epochs=3000, tolerance=1e-7)
+    full = np.column_stack([x, np.ones(80)])
+    loss = lambda w: 0.5 * w @ w + (cost * np.maximum(0, 1 - y * (full @ w))).sum()
+    assert all(loss(w) <= loss(w + 1e-3 * rng.normal(size=7)) + 1e-9 for _ in range(200))
+
+
+def test_log_ratios():
+    ones, zeros = np.array([9.0, 1, 0, 5]), np.array([0.0, 1, 3, 5])
+    p, q = (ones + 1) / (ones + 1).sum(), (zeros + 1) / (zeros + 1).sum()
+    assert quality.log_ratios(ones, zeros) == pytest.approx(np.where([True, False, True, True], np.log(p / q), 0))
+
+
+def _collocations(rows, least, share, longest=5):
+    """(lang, phrase, a, l, r, n, score) by plain counting; rows are (lang, text)."""
+    counts, totals = {}, {}
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        text = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split("[.,;:!?\x0a-\x0d]", text):
+            words = re.findall("[^\x20\x09]+", piece)
+            totals[lang] = totals.get(lang, 0) + len(words)
+            for n in range(1, longest + 1):
+                for i in range(len(words) - n + 1):
+                    key = lang, tuple(words[i:i + n])
+                    counts[key] = counts.get(key, 0) + 1
+    many = {k: f for k, f in counts.items() if f >= least}
+    gone = {(lang, p[i:i + m]) for (lang, p), f in many.items() for m in range(1, len(p)) for i in range(len(p) - m + 1)
+            if 100 * f >= share * many[lang, p[i:i + m]]}
+    out = []
+    for (lang, p), a in many.items():
+        if len(p) > 1 and (lang, p) not in gone:
+            s, _, l, r = min((1000 * a * totals[lang] // (many[lang, p[:k]] * many[lang, p[k:]]), k, many[lang, p[:k]], many[lang, p[k:]])
+                             for k in range(1, len(p)))
+            out.append((lang, " ".join(p), a, l, r, totals[lang], s))
+    return out
+
+
+@pytest.mark.parametrize("least,share,rows_a_part", [(3, 100, 1_000_000), (3, 100, 40), (2, 60, 17), (5, 80, 3)])
+def test_op13_by_plain_counting(spark, texts, monkeypatch, least, share, rows_a_part):
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    rng, words = random.Random(5), ["a", "b", "c", "dd", "É", "x-y", "z\x00"]
+    rows = [(lang[d], t) for d, t in sorted(texts.items())[:25]]
+    rows += [(rng.choice(["q", None, "und"]), "".join(rng.choice(words) + rng.choice([" ", " ", " ", "\t", "  ", ". ", "\n", "\x0b", ",,"])
+             for _ in range(60))) for _ in range(40)] + [("q", None), ("q", ""), ("long", "k " * 5000)]
+    monkeypatch.setattr(collocations, "ROWS_A_PART", rows_a_part)
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "lang string, text string, n int, phrase string").repartition(5)
+    got = [tuple(r)[:1] + tuple(r)[2:] for r in collocations.collocations(df, least, None, share).collect()]
+    want = _collocations(rows, least, share)
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    if rows_a_part == 40:
+        top = collocations.collocations(df, least, 7, share).collect()
+        for name in {r.lang for r in top}:
+            best = sorted((w for w in want if w[0] == name), key=lambda w: (-w[6], -w[2], w[1].encode()))[:7]
+            assert [(r.phrase, r["rank"]) for r in sorted(top, key=lambda r: r["rank"]) if r.lang == name] == [(w[1], k) for k, w in enumerate(best, 1)]
+
+
+def test_op7_items_of_one_template(monkeypatch):
+    rng = random.Random(1)
+    items = [(i, f"of the w{i % 50} and v{i // 50}") for i in range(2000)]
+    index = decontam.Index([(i, decontam.word_codes(t)) for i, t in items])
+    monkeypatch.setattr(decontam, "SLICE", 1000)
+    text = " ".join(rng.choice(["of the", "and", "x", "w7"]) for _ in range(300)) + " of the w7 and v3 end"
+    found = {m[0]: m[2] for m in decontam.matches(index, [text])[0]}
+    codes = decontam.word_codes(text)
+    assert found == {i: d for i, t in items if (d := decontam.edit_distance_in(decontam.word_codes(t), codes)[0]) <= 1}
+
+
+def test_op7_short_items():
+    index = decontam.Index([(i, decontam.word_codes(t)) for i, t in enumerate(["solo", "two words", "now three words", "four of these words"])], least_words=1)
+    found = decontam.matches(index, ["a solo act", "two  Words.", "two other words", "now three words, four of these words", None, ""])
+    assert [[m[0] for m in f] for f in found] == [[0], [1], [], [2, 3], [], []]
+
+
+def test_search_of_large_components(spark):
+    rng = random.Random(9)
+    size = lambda k: 1 if k == 7 else 10 ** rng.choice([0, 3, 5])
+    rows = [(i, [float(rng.choice([-1, 1]) * rng.random() * size(k)) for k in range(8)]) for i in range(300)]
+    rows += [(1000 + i, [2.0 ** 20 + i / 1024 if k == 0 else 0.0 for k in range(8)]) for i in range(20)]
+    rows += [(2001, [2.0 ** 35 if k == 7 else 0.5 for k in range(8)])]
+    whole = {i: [int(np.floor(1024 * x)) for x in v] for i, v in rows}
+    got = {}
+    for r in vafile.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), scale=1024).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q in [i for i in whole if i % 100 == 0]:
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:10]
+        assert sorted(got[q]) == [(k, i, -s) for k, (s, i) in enumerate(scores, 1)]

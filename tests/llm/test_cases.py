@@ -5,7 +5,8 @@ import zlib
 import numpy as np
 import pytest
 
-from pressgauge.llm import decontam, langid, packing, rans, secret_scan, simhash, snapshots, toxicity, urlmodel, vafile
+from pressgauge.llm import (collocations, decontam, langid, merkle, packing, quality, rans, secret_scan, simhash, snapshots,
+                            toxicity, urlmodel, vafile)
 from pressgauge.llm.queries import tokenizer_file
 
 BYTE, WORD = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("word_bpe_49k.json")
@@ -158,3 +159,40 @@ def test_chats(spark):
 def test_crc_of_empty_document(docs):
     got = rans.decode_documents(rans.write_token_ids(docs.where("doc_id = 1"), BYTE)).first()
     assert got.ids_crc32 == zlib.crc32(b"\0\0\0\0") and got.start == 0
+
+
+def test_manifest(docs, none):
+    wide = docs.withColumnsRenamed({"score": "leaf", "fp": "at", "_row": "part", "key": "src"})
+    got = merkle.manifest(wide).collect()
+    assert len(got) == docs.count() and len({r.root for r in got}) == 1 and {r.subroot for r in got} == {got[0].root}
+    assert all(r.verified for r in got if r.doc_id in (None, 0, 1))
+    one = merkle.manifest(docs.where("doc_id = 3")).first()
+    assert one.leaf == one.subroot == one.root == one.folded_root and one.verified
+    assert one.proof_sha256 == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+    empty = merkle.manifest(none)
+    assert empty.count() == 0 and empty.columns == merkle.manifest(docs.limit(1)).columns
+
+
+def test_quality(docs, none, labels):
+    got = quality.judge(docs, labels).collect()
+    assert len(got) == docs.count() and all(0 <= r.score <= 1 for r in got)
+    assert len({r.score for r in got if r.doc_id in (0, 1, 2)}) == 1 and {r.held_out for r in got if r.doc_id is None} == {False}
+    assert quality.judge(none, labels).count() == 0
+    assert quality.judge(docs, labels.limit(0)).where("score > 0.001 or predicted = 1").count() == 0
+
+
+def test_collocations(docs, none):
+    got = collocations.collocations(docs, 100).collect()
+    assert {r.lang for r in got} == {"en"} and all(r["rank"] >= 1 and "alpha" in r.phrase for r in got)
+    assert collocations.collocations(none).count() == 0 and collocations.collocations(docs, 10 ** 6).count() == 0
+
+
+def test_shared_folder_must_be_named_on_a_cluster(monkeypatch, spark):
+    from types import SimpleNamespace as Some
+
+    from pressgauge.llm.common import shared_folder
+
+    conf = Some(get=lambda *a: None)
+    far = Some(conf=conf, sparkContext=Some(getConf=lambda: conf, master="spark://host:7077", applicationId="x"))
+    with pytest.raises(ValueError):
+        shared_folder(far)
