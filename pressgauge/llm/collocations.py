@@ -1,10 +1,10 @@
 """Phrase collocation mining over count streams in prefix and suffix order.
 
-Counting goes by length. A pass over the texts adds up, for 40-bit hashes of the phrases of one length whose two shorter
+Counting goes by length. A pass over the texts adds up, for 40-bit hashes of the phrases of n words whose two shorter
 parts may be frequent, how often they occur: in a task over its chunks, then in Spark. The hashes that reach the least
-count are kept as a bitmap of fixed size (``FILTER_BITS``). A last pass counts the phrases themselves, of all lengths,
-that these bitmaps may know. A hash that two phrases share, or a hit in a bitmap that is none, only costs a counted row,
-never a result, since the last counts are exact and rare phrases are left out by their count.
+count are kept as a bitmap of fixed size (``FILTER_BITS``), and the next pass counts, beside the hashes of n + 1 words, the
+phrases themselves that the bitmap may know. A hash that two phrases share, or a hit in a bitmap that is none, only costs
+a counted row, never a result, since the last counts are exact and rare phrases are left out by their count.
 
 The counted phrases, parts of every candidate included, are then kept as a stream sorted by (lang, first word, …, last
 word). There a phrase follows its first parts, and what extends it to the right follows the phrase: one walk in lockstep
@@ -123,42 +123,46 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
     yield from held.values()
 
 
-def hash_batches(batches: Iterator[pa.RecordBatch], n: int, filters) -> Iterator[pa.RecordBatch]:
-    """Task: (lang, text) to (key, count) of the phrases of ``n`` words whose parts the filter of ``n - 1`` may know."""
-    for chunk in chunks(batches):
-        codes, own, _ = chunk.closed()
-        at = whole(codes, n)
-        if n > 1:
-            bits = filters.value[-1]
-            at = at[known_in(bits, hashed(own, codes, at, n - 1))]
-            at = at[known_in(bits, hashed(own, codes, at + 1, n - 1))]
-        key, count = np.unique(hashed(own, codes, at, n), return_counts=True)
-        for lo in range(0, len(key), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(key[lo:lo + 100_000].astype(np.int64)), pa.array(count[lo:lo + 100_000])],
-                                             names=["key", "f"])
-
-
-def phrase_batches(batches: Iterator[pa.RecordBatch], filters) -> Iterator[pa.RecordBatch]:
-    """Task: (lang, text) to (lang, phrase, size, count) of what the filters may know, of each length; the language's
-    words are counted as the phrase ``''`` of size 0."""
+def hash_counts(own: np.ndarray, codes: np.ndarray, n: int, bits: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the phrases of ``n`` words, both of whose shorter parts ``bits`` may know, and their counts."""
+    at = whole(codes, n)
+    if bits is not None:
+        at = at[known_in(bits, hashed(own, codes, at, n - 1))]
+        at = at[known_in(bits, hashed(own, codes, at + 1, n - 1))]
+    return np.unique(hashed(own, codes, at, n), return_counts=True)
+
+
+def phrase_counts(own: np.ndarray, codes: np.ndarray, words: list[bytes], n: int, bits: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The phrases of ``n`` words that ``bits`` may know, and their counts."""
+    at = whole(codes, n)
+    at = at[known_in(bits, hashed(own, codes, at, n))]
+    key = codes[at].astype(np.int64)
+    for j in range(1, n):                      # the parts seen so far are renumbered, so keys stay small and exact
+        if j > 1:
+            key = np.unique(key, return_inverse=True)[1]
+        key = key * len(words) + codes[at + j]
+    _, first, count = np.unique(key, return_index=True, return_counts=True)
+    rows = codes[at[first][:, None] + np.arange(n)] if len(first) else np.zeros((0, n), np.int32)
+    return [b" ".join([words[c] for c in r]) for r in rows.tolist()], count
+
+
+def count_batches(batches: Iterator[pa.RecordBatch], n: int, longest: int, filters) -> Iterator[pa.RecordBatch]:
+    """Task: (lang, text) to (key, phrase, f): hashes of ``n`` words, without a phrase, and counted phrases of ``n - 1``
+    words, as phrase, tab and language under the key ``n - 1``; the language's words count as the phrase ``''``."""
+    bits = filters.value[-1] if filters.value else None
     for chunk in chunks(batches):
         codes, own, words = chunk.closed()
-        out = [([b""], 0, np.array([(codes > 0).sum()]))]
-        for n, bits in enumerate(filters.value, 1):
-            at = whole(codes, n)
-            at = at[known_in(bits, hashed(own, codes, at, n))]
-            key = codes[at].astype(np.int64)
-            for j in range(1, n):              # the parts seen so far are renumbered, so keys stay small and exact
-                if j > 1:
-                    key = np.unique(key, return_inverse=True)[1]
-                key = key * len(words) + codes[at + j]
-            _, first, count = np.unique(key, return_index=True, return_counts=True)
-            rows = codes[at[first][:, None] + np.arange(n)] if len(first) else np.zeros((0, n), np.int32)
-            out.append(([b" ".join([words[c] for c in r]) for r in rows.tolist()], n, count))
-        for phrases, n, count in out:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk.lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()),
-                 pa.array(np.full(len(phrases), n), pa.int32()), pa.array(count.astype(np.int64))], names=["lang", "phrase", "size", "f"])
+        if n <= longest:
+            key, count = hash_counts(own, codes, n, bits)
+            for lo in range(0, len(key), 100_000):
+                part = key[lo:lo + 100_000].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.nulls(len(part), pa.string()), pa.array(count[lo:lo + 100_000])],
+                                                 names=["key", "phrase", "f"])
+        phrases, count = ([b""], np.array([(codes > 0).sum()])) if n == 1 else phrase_counts(own, codes, words, n - 1, bits)
+        end = b"\t" + chunk.lang.encode()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(phrases), n - 1)), pa.array([p + end for p in phrases], pa.binary()).cast(pa.string()),
+             pa.array(count.astype(np.int64))], names=["key", "phrase", "f"])
 
 
 def filter_of(keys: DataFrame) -> np.ndarray:
@@ -177,21 +181,22 @@ def frequent(docs: DataFrame, least: int, longest: int = LONGEST, *, lang_col: s
     """``lang, phrase, size, f`` of all phrases of up to ``longest`` words that occur ``least`` times, and ``lang, n``."""
     context = docs.sparkSession.sparkContext
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    filters, shared = [], None
-    for n in range(1, longest + 1):
-        shared = context.broadcast(filters[-1:])
-        counted = arrow_stage(texts, hash_batches, "key long, f long", n, shared)
-        found = filter_of(counted.groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
+    known, out = None, None
+    for n in range(1, longest + 2):
+        shared = context.broadcast([] if known is None else [known])
+        counted = arrow_stage(texts, count_batches, "key long, phrase string, f long", n, longest, shared)
+        summed = written(counted.groupBy("key", "phrase").agg(F.sum("f").alias("f"))
+                         .where((F.col("f") >= least) | (F.col("key") == 0) & F.col("phrase").isNotNull()), f"phrases-{n}")
         shared.destroy()
-        if not found.any():
-            break
-        filters.append(found)
-    shared = context.broadcast(filters)
-    counted = arrow_stage(texts, phrase_batches, "lang string, phrase string, size int, f long", shared)
-    summed = written(counted.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f"))
-                     .where((F.col("f") >= least) | (F.col("size") == 0)), "phrases")
-    shared.destroy()
-    return summed.where("size > 0"), summed.where("size = 0").select("lang", F.col("f").alias("n"))
+        exact = summed.where("phrase is not null").select(
+            F.substring_index("phrase", "\t", 1).alias("phrase"), F.expr("substring(phrase, instr(phrase, '\t') + 1)").alias("lang"),
+            F.lit(n - 1).alias("size"), "f")
+        out = exact if out is None else out.unionByName(exact)
+        if n <= longest:
+            known = filter_of(summed.where("phrase is null").select("key"))
+            if not known.any():
+                break
+    return out.where("size > 0").select("lang", "phrase", "size", "f"), out.where("size = 0").select("lang", F.col("f").alias("n"))
 
 
 def partition_tables(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
