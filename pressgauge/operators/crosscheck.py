@@ -131,7 +131,7 @@ def crosscheck(requests: DataFrame, corpus: DataFrame, reliable: Sequence[str] =
                k: int = 20, settings: TfidfSettings = CROSSCHECK, hold: str = "requests",
                key: str = "id", text: str = "content") -> DataFrame:
     """Text path of the cross-check: joint tf-idf, k best candidates that share a term, score formula."""
-    pairs = tfidf_cosine(requests, corpus, key, text, k, settings, hold=hold).where("similarity > 0")
+    pairs = tfidf_cosine(requests, corpus, key, text, k, settings, keep_unrelated=False).where("similarity > 0")
     return crosscheck_score(requests, describe_candidates(pairs, corpus, reliable, key, hold=hold), key=key)
 
 
@@ -152,7 +152,7 @@ def crosscheck_points(candidates: DataFrame, similarities: DataFrame, shown: int
 
 
 def related_articles(queries: DataFrame, corpus: DataFrame, reliable: Sequence[str] = tuple(L.RELIABLE_SOURCES),
-                     k: int = 8, settings: TfidfSettings = RELATED, key: str = "id", hold: str = "requests") -> DataFrame:
+                     k: int = 8, settings: TfidfSettings = RELATED, key: str = "id") -> DataFrame:
     """Cards of the k most relevant corpus articles from reliable domains other than the query's.
 
     Both sides have ``key, url, title, content``; title and whole content are compared, the snippet is for display.
@@ -161,7 +161,7 @@ def related_articles(queries: DataFrame, corpus: DataFrame, reliable: Sequence[s
         (F.col("domain") != "") & F.col("url").startswith("http") & U.is_reliable(F.col("domain"), reliable))
     cards = cards.withColumn("_card", F.concat(F.col("title"), F.lit(" "), F.col("content")))
     asked = queries.withColumn("domain", U.domain_of(F.col("url"))).withColumn("_card", F.col("content"))
-    pairs = tfidf_cosine(asked, cards, key, "_card", k, settings, domain="domain", hold=hold)
+    pairs = tfidf_cosine(asked, cards, key, "_card", k, settings, domain="domain")
     shown = cards.select(F.col(key).cast("long").alias("cand_id"), F.substring("title", 1, 150).alias("title"),
                          F.col("domain").alias("source"), "url", F.substring("content", 1, 250).alias("snippet"))
     return shown.join(settled(pairs), "cand_id").select(

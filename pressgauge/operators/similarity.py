@@ -83,12 +83,6 @@ def dense_cosine(held: pd.DataFrame) -> Callable[[pd.DataFrame], np.ndarray]:
     return lambda batch: units @ _unit(_dense(batch["vec"])).T
 
 
-def sparse_dot(held: pd.DataFrame) -> Callable[[pd.DataFrame], np.ndarray]:
-    """Scores of sparse rows (``idx``, ``val``)."""
-    postings = Postings(held["idx"], held["val"])
-    return lambda batch: postings.dot(batch["idx"], batch["val"])
-
-
 def sparse_jaccard(held: pd.DataFrame) -> Callable[[pd.DataFrame], np.ndarray]:
     """Shared over all distinct words; ``size`` is a row's number of distinct words."""
     postings, sizes = Postings(held["idx"], held["val"]), held["size"].to_numpy()[:, None]
@@ -100,17 +94,6 @@ def sparse_jaccard(held: pd.DataFrame) -> Callable[[pd.DataFrame], np.ndarray]:
     return score
 
 
-def different_site(held: pd.DataFrame, batch: pd.DataFrame) -> np.ndarray:
-    """True where two ``domain`` values are not the same site."""
-    other, codes = np.unique(batch["domain"].fillna("").to_numpy(dtype=object), return_inverse=True)
-
-    def same(a: str, b: str) -> bool:
-        return a == b or a in b or b in a or a.split(".")[0] == b.split(".")[0]
-
-    table = np.array([[not same(a, b) for b in other] for a in held["domain"].fillna("")])
-    return table[:, codes]
-
-
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best finite scores, ties by id; the k-th value's ties are all considered."""
     usable = np.flatnonzero(np.isfinite(scores))
@@ -120,13 +103,12 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return usable[np.lexsort((ids[usable], -scores[usable]))][:k]
 
 
-def top_matches(requests: DataFrame, corpus: DataFrame, k: int, scorer, allowed=None, hold: str = "requests",
+def top_matches(requests: DataFrame, corpus: DataFrame, k: int, scorer, hold: str = "requests",
                 digits: int = 9) -> DataFrame:
     """``query_id, cand_id, similarity, rank`` of the k best candidates per request.
 
     ``requests`` and ``corpus`` have ``id`` (long) and the scorer's columns.
-    ``hold`` names the side that is brought to the tasks. ``allowed`` is an
-    optional mask function of (held, batch). Scores are rounded to ``digits``
+    ``hold`` names the side that is brought to the tasks. Scores are rounded to ``digits``
     before ranking, so summation order cannot change a rank. The streamed side
     is written once, so a further block reads rows, not their making.
     """
@@ -135,7 +117,7 @@ def top_matches(requests: DataFrame, corpus: DataFrame, k: int, scorer, allowed=
     held_df, stream = (requests, corpus) if hold == "requests" else (corpus, requests)
     stream, parts = cut_lineage(stream), []
     for block in held_blocks(held_df):
-        parts.append(_one_pass(stream, block, k, scorer, allowed, hold, digits))
+        parts.append(_one_pass(stream, block, k, scorer, hold, digits))
     if not parts:
         return requests.sparkSession.createDataFrame([], "query_id long, cand_id long, similarity double, rank int")
     merged = parts[0]
@@ -166,8 +148,7 @@ _PASS_SCHEMA = T.StructType([T.StructField("query_id", T.LongType()), T.StructFi
                              T.StructField("similarity", T.DoubleType())])
 
 
-def _one_pass(stream: DataFrame, block: pd.DataFrame, k: int, scorer: Scorer, allowed, hold: str,
-              digits: int) -> DataFrame:
+def _one_pass(stream: DataFrame, block: pd.DataFrame, k: int, scorer: Scorer, hold: str, digits: int) -> DataFrame:
     shared = stream.sparkSession.sparkContext.broadcast(block)
     # A batch is scored in slices, so that the table of scores stays small.
     step = max(1, SLICE_NUMBERS // len(block))
@@ -177,12 +158,6 @@ def _one_pass(stream: DataFrame, block: pd.DataFrame, k: int, scorer: Scorer, al
             for start in range(0, len(batch), step):
                 yield batch.iloc[start:start + step]
 
-    def scores_of(score, held: pd.DataFrame, batch: pd.DataFrame) -> np.ndarray:
-        out = np.round(score(batch), digits)
-        if allowed is not None:
-            out = np.where(allowed(held, batch), out, -np.inf)
-        return out
-
     def by_request(batches):
         # Held side = requests: running k best per request over the partition.
         held = shared.value
@@ -191,7 +166,7 @@ def _one_pass(stream: DataFrame, block: pd.DataFrame, k: int, scorer: Scorer, al
         best_i = [np.empty(0, dtype=np.int64)] * len(held)
         for batch in slices(batches):
             ids = batch["id"].to_numpy()
-            table = scores_of(score, held, batch)
+            table = np.round(score(batch), digits)
             for q in range(len(held)):
                 pick = _best(table[q], ids, k)
                 s = np.concatenate([best_s[q], table[q][pick]])
@@ -208,7 +183,7 @@ def _one_pass(stream: DataFrame, block: pd.DataFrame, k: int, scorer: Scorer, al
         score = scorer(held)
         ids = held["id"].to_numpy()
         for batch in slices(batches):
-            table = scores_of(score, held, batch).T
+            table = np.round(score(batch), digits).T
             out = [(qid, _best(table[r], ids, k), r) for r, qid in enumerate(batch["id"])]
             yield pd.DataFrame({
                 "query_id": np.concatenate([np.full(len(p), q, dtype=np.int64) for q, p, _ in out]),

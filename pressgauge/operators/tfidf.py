@@ -9,9 +9,11 @@ from functools import cache
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pressgauge.functions import text as X
+from pressgauge.functions import text as X, urls as U
 from pressgauge.operators.linguistic import english_stop_words
-from pressgauge.operators.similarity import different_site, indexed, sparse_dot, top_matches
+from pressgauge.operators.inverted import best_matches, build_index, filled
+from pressgauge.operators.ranking import top_k
+from pressgauge.operators.similarity import indexed
 from pressgauge.session import SMALL_ROWS, cut_lineage
 
 
@@ -115,9 +117,7 @@ def tfidf_weights(lists: DataFrame, vocab: DataFrame, settings: TfidfSettings) -
     Terms are counted before they meet the vocabulary, so one row per document and distinct term is shuffled; weights and
     norm come out of one grouping by document.
     """
-    counted = (lists.select("id", F.explode_outer("terms").alias("term")).where("term IS NOT NULL")
-               .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))
-    hits = counted.join(_held(vocab, settings), "term")
+    hits = counted_terms(lists).join(_held(vocab, settings), "term")
     tf = (1.0 + F.log("tf")) if settings.sublinear else F.col("tf").cast("double")
     weighted = hits.select("id", F.struct("term", "idx", (tf * F.col("idf")).alias("w")).alias("x"))
     whole = weighted.groupBy("id").agg(F.collect_list("x").alias("v"), F.sqrt(F.sum(F.col("x.w") * F.col("x.w"))).alias("_n"))
@@ -130,44 +130,73 @@ def tfidf_vocab(df: DataFrame, key: str, text: str, settings: TfidfSettings = TR
     return tfidf_weights(lists, vocabulary(lists, settings), settings)
 
 
-def sparse_vectors(lists: DataFrame, vocab: DataFrame, settings: TfidfSettings) -> DataFrame:
-    """``id, idx, val`` per document; a document without vocabulary terms has empty arrays.
-
-    Terms are counted first, combined before the shuffle, so one row per distinct term meets the vocabulary. The norm is an aggregate of the
-    grouping that makes the row: as an expression over the finished array it would be computed again for every term.
-    """
-    counted = (lists.select("id", F.explode_outer("terms").alias("term")).where("term IS NOT NULL")
-               .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))
-    known = counted.join(_held(vocab.select("term", "idx", "idf"), settings), "term")
-    tf = (1.0 + F.log("tf")) if settings.sublinear else F.col("tf").cast("double")
-    weighted = known.select("id", "idx", (tf * F.col("idf")).alias("w"))
-    rows = weighted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("idx", "w"))).alias("v"),
-                                      F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_n"))
-    full = rows.select("id", F.transform("v", lambda x: x["idx"]).alias("idx"),
-                       F.transform("v", lambda x: x["w"] / F.col("_n")).alias("val"))
-    none = lists.select("id").join(rows.select("id"), "id", "left_anti").select(
-        "id", F.array().cast("array<long>").alias("idx"), F.array().cast("array<double>").alias("val"))
-    return full.unionByName(none)
+def counted_terms(lists: DataFrame) -> DataFrame:
+    """``id, term, tf``, combined before the shuffle."""
+    return (lists.select("id", F.explode_outer("terms").alias("term")).where("term IS NOT NULL")
+            .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
 def tfidf_cosine(queries: DataFrame, corpus: DataFrame, key: str, text: str, k: int = 10,
-                 settings: TfidfSettings = CROSSCHECK, domain: str | None = None, hold: str = "requests",
-                 query_text: str | None = None) -> DataFrame:
-    """k most similar corpus texts per query in one joint tf-idf space.
+                 settings: TfidfSettings = CROSSCHECK, domain: str | None = None, query_text: str | None = None,
+                 idf_scope: str = "corpus", pool: int = 50, keep_unrelated: bool = True) -> DataFrame:
+    """``query_id, cand_id, similarity, rank`` of the k most similar corpus texts per query.
 
-    Vocabulary and idf are fitted once over queries and corpus together. With
-    ``domain`` both sides carry that column and same-site pairs are left out.
+    Vocabulary and idf are fitted once over queries and corpus together, the corpus becomes an inverted index, and the
+    best matches come out of it exactly. With ``domain`` both sides carry that column and same-site pairs are left out.
+    Texts that share no term have similarity 0 and fill up a request's k unless ``keep_unrelated`` is off.
+
+    ``idf_scope="query"`` fits vocabulary and idf anew for every request, over itself and its ``pool`` best candidates:
+    a word that all candidates of a story share then weighs little in comparing them.
     """
-    q = term_lists(queries, key, query_text or text, settings)
-    c = term_lists(corpus, key, text, settings)
-    joint = q.select("terms").unionByName(c.select("terms"))
+    if idf_scope not in ("corpus", "query"):
+        raise ValueError("idf_scope must be 'corpus' or 'query'")
+    q = cut_lineage(term_lists(queries, key, query_text or text, settings))
+    c = cut_lineage(term_lists(corpus, key, text, settings))
     # The vocabulary feeds both sides: fit it once.
-    vocab = cut_lineage(vocabulary(joint, settings))
-    qv, cv = sparse_vectors(q, vocab, settings), sparse_vectors(c, vocab, settings)
+    vocab = cut_lineage(vocabulary(q.select("terms").unionByName(c.select("terms")), settings))
+    qw = tfidf_weights(q, vocab, settings).select(F.col("id").alias("query_id"), "idx", "weight")
+    cw = tfidf_weights(c, vocab, settings)
+    site = lambda df: df.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(domain), F.lit("")).alias("site"))
+    allowed = (lambda a, b: ~U.same_site(a, b)) if domain else None
+    asked, stored = queries.select(F.col(key).cast("long").alias("id")), corpus.select(F.col(key).cast("long").alias("id"))
     if domain:
-        names = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(domain).alias("domain"))
-        qv, cv = qv.join(names(queries), "id"), cv.join(names(corpus), "id")
-    return top_matches(qv, cv, k, sparse_dot, allowed=different_site if domain else None, hold=hold)
+        asked, stored = site(queries), site(corpus)
+        qw = qw.join(asked.withColumnRenamed("id", "query_id"), "query_id")
+        cw = cw.join(stored, "id")
+    wanted = k if idf_scope == "corpus" else max(k, pool)
+    found = best_matches(build_index(cw), qw, wanted, allowed)
+    if idf_scope == "query":
+        found = refitted(found, q, c, k, settings)
+    return filled(cut_lineage(found), asked, stored, k, allowed) if keep_unrelated else found
+
+
+def refitted(pairs: DataFrame, queries: DataFrame, corpus: DataFrame, k: int, settings: TfidfSettings, digits: int = 9) -> DataFrame:
+    """The pairs (``query_id, cand_id``) ranked by cosine with a vocabulary and idf of each request's own candidates.
+
+    A request's documents are itself and its candidates; frequencies are grouped by (request, term), norms by (request,
+    document), and products are taken over the request's terms only. ``min_df`` and ``max_df`` hold per request.
+    """
+    pairs = cut_lineage(pairs.select("query_id", "cand_id"))
+    sizes = pairs.groupBy("query_id").agg((F.count(F.lit(1)) + 1).alias("n"))
+    qt, ct = counted_terms(queries), counted_terms(corpus)
+    docs = (pairs.join(ct.withColumnRenamed("id", "cand_id"), "cand_id").select("query_id", "cand_id", "term", "tf")
+            .unionByName(qt.withColumnRenamed("id", "query_id").join(sizes.select("query_id"), "query_id", "left_semi")
+                         .select("query_id", F.lit(None).cast("long").alias("cand_id"), "term", "tf")))
+    docs = cut_lineage(docs)
+    df = docs.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).join(sizes, "query_id")
+    df = df.where((F.col("df") >= settings.min_df) & (F.col("df") <= settings.max_df * F.col("n")))
+    if settings.max_features is not None:
+        df = top_k(df, "query_id", [F.desc("cf"), F.asc("term")], settings.max_features)
+    idf = df.select("query_id", "term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    tf = (1.0 + F.log("tf")) if settings.sublinear else F.col("tf").cast("double")
+    weighted = cut_lineage(docs.join(idf, ["query_id", "term"]).select("query_id", "cand_id", "term", (tf * F.col("idf")).alias("w")))
+    own = weighted.where("cand_id IS NULL").select("query_id", "term", F.col("w").alias("qw"))
+    square = F.sum(F.col("w") * F.col("w"))
+    sides = weighted.where("cand_id IS NOT NULL").join(own, ["query_id", "term"], "left").groupBy("query_id", "cand_id").agg(
+        F.sqrt(square).alias("norm"), F.sum(F.col("w") * F.coalesce("qw", F.lit(0.0))).alias("dot"))
+    lengths = own.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("own"))
+    scored = sides.join(lengths, "query_id").select("query_id", "cand_id", F.round(F.col("dot") / (F.col("norm") * F.col("own")), digits).alias("similarity"))
+    return top_k(scored, "query_id", [F.desc("similarity"), F.asc("cand_id")], k)
 
 
 def experiment_settings(stop_words: Sequence[str] = ()) -> TfidfSettings:

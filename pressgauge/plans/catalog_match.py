@@ -278,6 +278,26 @@ def _(t: Tables):
         "query_id", "cand_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+@query("tfidf_cosine_per_request", "I6", f"""
+WITH {ARTICLES_SQL}, {REQUESTS_SQL}, l AS (SELECT id, content AS body FROM requests), r AS (SELECT id, content AS body FROM articles),
+{cosine_sql(CROSS, 'l', 'r', 50)}, pairs AS (SELECT query_id, cand_id FROM best WHERE similarity > 0),
+own_n AS (SELECT query_id, count(*) + 1 AS n FROM pairs GROUP BY query_id),
+own_docs AS (SELECT query_id, cand_id, term, tf FROM pairs JOIN tfs ON side = 1 AND id = cand_id
+  UNION ALL SELECT query_id, NULL, term, tf FROM own_n JOIN tfs ON side = 0 AND id = query_id),
+own_idf AS (SELECT query_id, term, ln((1 + any_value(n))::DOUBLE / (1 + count(*))) + 1 AS idf FROM own_docs JOIN own_n USING (query_id) GROUP BY 1, 2),
+own_w AS (SELECT query_id, cand_id, term, tf * idf AS w FROM own_docs JOIN own_idf USING (query_id, term)),
+own_len AS (SELECT query_id, cand_id, sqrt(sum(w * w)) AS length FROM own_w GROUP BY 1, 2),
+own_dot AS (SELECT a.query_id, b.cand_id, sum(a.w * b.w) AS s FROM own_w a JOIN own_w b ON a.query_id = b.query_id AND a.term = b.term
+  AND a.cand_id IS NULL AND b.cand_id IS NOT NULL GROUP BY 1, 2),
+own_best AS (SELECT d.query_id, d.cand_id, round(s / (q.length * c.length), 9) AS similarity FROM own_dot d
+  JOIN own_len q ON q.query_id = d.query_id AND q.cand_id IS NULL JOIN own_len c ON c.query_id = d.query_id AND c.cand_id = d.cand_id)
+SELECT query_id, cand_id, round(similarity, 6) AS similarity, (row_number() OVER w)::INTEGER AS rank FROM own_best
+WINDOW w AS (PARTITION BY query_id ORDER BY own_best.similarity DESC, cand_id) QUALIFY row_number() OVER w <= 10""")
+def _(t: Tables):
+    out = TF.tfidf_cosine(t.requests, t.articles, "id", "content", 10, CROSS, idf_scope="query", pool=50)
+    return out.select("query_id", "cand_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 CROSSCHECK_SQL = f"""
 pairs AS (SELECT b.*, {domain_sql('a.url')} AS domain, a.url AS cand_url, {reliable_sql(domain_sql('a.url'), RELIABLE)} AS is_reliable
   FROM best b JOIN articles a ON a.id = b.cand_id WHERE b.similarity > 0), {METRICS_SQL}"""

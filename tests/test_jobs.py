@@ -262,21 +262,90 @@ def test_class_weights_and_folds(spark):
     assert pipe.fit(df).transform(df).count() == 10
 
 
-def test_matching_in_several_blocks(spark, monkeypatch):
-    from pressgauge.operators import similarity as V
+def _cosines(rows, k, idf_docs=None):
+    """Plain tf-idf cosines of (id, text) rows among themselves; words and pairs, no limits. Zero-overlap rows fill up."""
+    import math
+    import re
+    from collections import Counter
+
+    def terms(t):
+        w = re.findall(r"\w{2,}", t.lower())
+        return Counter(w + [" ".join(p) for p in zip(w, w[1:])])
+    bags = {i: terms(t) for i, t in rows}
+
+    def vectors(docs):
+        n, df = len(docs), Counter(x for d in docs for x in d)
+        out = []
+        for d in docs:
+            v = {x: (1 + math.log(f)) * (math.log((1 + n) / (1 + df[x])) + 1) for x, f in d.items()}
+            length = math.sqrt(sum(w * w for w in v.values()))
+            out.append({x: w / length for x, w in v.items()})
+        return out
+    every = vectors([bags[i] for i, _ in rows] * 2)[:len(rows)]
+    found = set()
+    for q, (i, _) in enumerate(rows):
+        s = {j: round(sum(w * every[c].get(x, 0) for x, w in every[q].items()), 9) for c, (j, _) in enumerate(rows)}
+        order = sorted(s, key=lambda j: (-s[j], j))
+        if idf_docs:
+            pool = [j for j in order if s[j] > 0][:idf_docs]
+            own = vectors([bags[i]] + [bags[j] for j in pool])
+            s = {j: round(sum(w * v.get(x, 0) for x, w in own[0].items()), 9) for j, v in zip(pool, own[1:])}
+            rest = [j for j in sorted(bags) if j not in s]
+            order = sorted(s, key=lambda j: (-s[j], j)) + rest
+        found |= {(i, j, round(s.get(j, 0.0), 7), r) for r, j in enumerate(order[:k], 1)}
+    return found
+
+
+@pytest.mark.parametrize("block,seed,scope", [(1024, 8192, "corpus"), (3, 5, "corpus"), (2, 1, "corpus"), (3, 5, "query")])
+def test_inverted_index_is_exact(spark, monkeypatch, block, seed, scope):
+    from pressgauge.operators import inverted as I
+
+    monkeypatch.setattr(I, "BLOCK", block)
+    monkeypatch.setattr(I, "SEED", seed)
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in range(40)]
+    weight = 1 / np.arange(1, 41)
+    rows = [(i, " ".join(rng.choice(words, rng.integers(2, 25), p=weight / weight.sum()))) for i in range(70)]
+    rows += [(100, rows[3][1]), (101, rows[3][1]), (102, "alone here"), (103, "lonely")]
+    df = spark.createDataFrame(rows, "id long, t string")
+    settings = TF.TfidfSettings(None, (1, 2), 1, 1.0, strip_accents=False)
+    got = TF.tfidf_cosine(df, df, "id", "t", 4, settings, idf_scope=scope, pool=9)
+    assert {(r.query_id, r.cand_id, round(r.similarity, 7), r["rank"]) for r in got.collect()} == _cosines(rows, 4, 9 if scope == "query" else None)
+
+
+def test_index_keeps_blocks_small_and_prunes(spark, monkeypatch):
+    from pressgauge.operators import inverted as I
+
+    monkeypatch.setattr(I, "BLOCK", 8)
+    rows = [(i, t, w) for i in range(400) for t, w in ((0, 0.1 + (i == 7) * 0.8), (i % 40 + 1, 0.9))]
+    index = I.build_index(spark.createDataFrame(rows, "id long, idx long, weight double"))
+    sizes = [len(r.entries) for r in index.blocks.where("idx = 0").collect()]
+    assert sum(sizes) == 400 and max(sizes) < 40
+    q = spark.createDataFrame([(1, 0, 0.1), (1, 4, 0.9)], "query_id long, idx long, weight double")
+    got = I.best_matches(index, q, 3).collect()
+    assert [r.cand_id for r in sorted(got, key=lambda r: r["rank"])] == [3, 43, 83]
+    plan = I.best_matches(index, q, 3)._jdf.queryExecution().toString()
+    assert "Pandas" not in plan and "Cartesian" not in plan and "BroadcastNestedLoop" not in plan
+
 
+def test_matching_plan_has_no_python_and_no_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame as D
+
+    def none(*args, **kwargs):
+        raise AssertionError("rows through the driver")
+    monkeypatch.setattr(D, "toLocalIterator", none)
     rows = [(i, f"w{i} w{i + 1} common w{i % 7}") for i in range(60)]
     df = spark.createDataFrame(rows, "id long, t string")
-    settings = TF.TfidfSettings(None, (1, 2), 1, 1.0)
-    one = sorted(map(tuple, TF.tfidf_cosine(df, df, "id", "t", 4, settings).collect()))
-    monkeypatch.setattr(V, "BLOCK_ROWS", 7)
-    many = TF.tfidf_cosine(df, df, "id", "t", 4, settings)
+    many = TF.tfidf_cosine(df, df, "id", "t", 4, TF.TfidfSettings(None, (1, 2), 1, 1.0))
     plan = many._jdf.queryExecution().optimizedPlan().toString()
-    assert "regexp_extract_all" not in plan and plan.count("MapInPandas") > 5
-    assert sorted(map(tuple, many.collect())) == one
-    for q, c, s, r in one:
-        if r == 1:
-            assert q == c and s == pytest.approx(1.0)
+    assert "Pandas" not in plan and "regexp_extract_all" not in plan
+    assert sum(r.query_id == r.cand_id for r in many.where("rank = 1").collect()) == 60
+
+
+def test_no_sum_inside_a_lambda(spark):
+    df = spark.createDataFrame([(1, "aa bb aa"), (2, "bb")], "id long, t string")
+    plan = TF.tfidf_vocab(df, "id", "t", TF.TfidfSettings(10, (1, 1), 1, 1.0))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan.split("collect_list")[0]
 
 
 def test_features_are_fitted_on_the_training_part(spark):
