@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import partial
+from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (LinearSVC, LinearSVCModel, LogisticRegression, NaiveBayes,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import (IDF, CountVectorizer, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer,
+from pyspark.ml.feature import (IDF, CountVectorizer, ElementwiseProduct, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer,
                                 StandardScaler, StopWordsRemover, Tokenizer, VectorAssembler)
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pressgauge.functions import lexicons as L
@@ -18,6 +22,7 @@ from pressgauge.operators.ranking import class_weights, kfold, stratified_split
 from pressgauge.session import cut_lineage, small_side
 
 SEED = 42
+ROWS_A_TASK = 20_000      # rows of a partition that classifiers pass over
 
 
 def tfidf_stages(text: str = "text_full", num_features: int = 50000, output: str = "tfidf_features") -> list:
@@ -95,16 +100,38 @@ class Trained:
     test: DataFrame
 
 
+def sized(df: DataFrame, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
+    """``df`` written, in partitions of about ``rows_a_task`` rows.
+
+    A classifier passes over its rows some thousand times, and a pass costs a task for each partition: few rows belong
+    into few partitions. Partitions are only merged, so no row is shuffled.
+    """
+    held = cut_lineage(df)
+    return held.coalesce(max(1, -(-held.count() // rows_a_task)))
+
+
+def in_parallel(jobs: Sequence[Callable], threads: int = 5) -> list:
+    """Results of independent fits, in order. Each waits for many small jobs, so several share the cluster."""
+    from pyspark import inheritable_thread_target
+
+    with ThreadPool(min(threads, max(1, len(jobs)))) as pool:
+        return pool.map(lambda job: job(), [inheritable_thread_target(j) for j in jobs])
+
+
 def train(df: DataFrame, pipeline: Pipeline, key: str = "doc_id", test: float = 0.2, fit_on: str = "train") -> Trained:
     """Fit on the training part of a stratified split.
 
-    ``fit_on="all"`` fits every stage, scaler and idf included, on all rows.
+    Vectors are made once, by the stages before the classifier, and written; the classifier reads them. ``fit_on="all"``
+    fits every stage, scaler and idf included, on all rows.
     """
-    # Training passes over the rows many times: the text features are computed once and written.
     split = cut_lineage(stratified_split(df, "label", key, test, SEED))
     fit_rows, test_rows = split.filter(~F.col("is_test")), split.filter("is_test")
-    model = pipeline.fit(split if fit_on == "all" else fit_rows)
-    return Trained(model, fit_rows, test_rows)
+    own = split if fit_on == "all" else fit_rows
+    *stages, classifier = pipeline.getStages()
+    features = Pipeline(stages=stages).fit(own)
+    columns = [key, "label", "features", *(["weight"] if "weight" in df.columns else [])]
+    fitted = classifier.fit(sized(features.transform(own).select(*columns)))
+    return Trained(PipelineModel([*features.stages, fitted]), fit_rows, test_rows)
 
 
 def confusion_counts(predictions: DataFrame) -> DataFrame:
@@ -151,21 +178,100 @@ def evaluate(predictions: DataFrame) -> DataFrame:
         + ", tn long, fp long, fn long, tp long")
 
 
-def cross_validate(df: DataFrame, pipeline: Pipeline, k: int = 5, metric: str = "f1", key: str = "doc_id") -> DataFrame:
+@dataclass
+class FoldStatistics:
+    """What the stages learn, for every fold alone: all of it can be added up over folds.
+
+    ``frequency``: rows that hold a term, by fold; ``rows``; ``labels``: rows by label; ``moments``: rows, means and summed
+    squared deviations of the scaled columns.
+    """
+
+    rows: dict[int, int]
+    frequency: dict[int, np.ndarray]
+    labels: dict[int, dict[float, int]]
+    moments: dict[int, tuple[int, np.ndarray, np.ndarray]]
+
+    def idf(self, fold: int) -> np.ndarray:
+        """Inverse document frequencies of all rows outside the fold: the total minus the fold."""
+        n = sum(self.rows.values()) - self.rows[fold]
+        df = sum(self.frequency.values()) - self.frequency[fold]
+        return np.log((n + 1.0) / (df + 1.0))
+
+    def scale(self, fold: int) -> tuple[np.ndarray, np.ndarray]:
+        """Means and sample deviations of all rows outside the fold, from the other folds' moments."""
+        n, mean, squares = 0, 0.0, 0.0
+        for other, (m, x, s) in self.moments.items():
+            if other != fold and m:
+                apart = x - mean
+                squares = squares + s + apart ** 2 * n * m / (n + m)
+                mean = mean + apart * m / (n + m)
+                n += m
+        return mean, np.sqrt(squares / max(1, n - 1))
+
+    def weights(self, fold: int) -> dict[float, float]:
+        """Balanced class weights of all rows outside the fold."""
+        counts: dict[float, int] = {}
+        for other, of in self.labels.items():
+            if other != fold:
+                for label, n in of.items():
+                    counts[label] = counts.get(label, 0) + n
+        return {label: sum(counts.values()) / (len(counts) * n) for label, n in counts.items()}
+
+
+def fold_rows(df: DataFrame, k: int, columns: Sequence[str], num_features: int, key: str = "doc_id") -> DataFrame:
+    """``key, label, fold, raw_features`` and the columns: hashed counts depend on no other row and are made once."""
+    counts = Pipeline(stages=tfidf_stages(num_features=num_features)[:-1]).fit(df)
+    folded = kfold(df.drop("weight"), k, "label", key, SEED)
+    return sized(counts.transform(folded).select(key, "label", "fold", "raw_features", *columns))
+
+
+def fold_statistics(rows: DataFrame, columns: Sequence[str]) -> FoldStatistics:
+    """One pass for the document frequencies, one for counts and moments; a fold sends its sums only."""
+    figures = [f for c in columns for f in (F.avg(c).alias(f"m_{c}"), F.coalesce(F.var_pop(c), F.lit(0.0)).alias(f"v_{c}"))]
+    table = rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), *figures).collect()
+    labels: dict[int, dict[float, int]] = {r.fold: {} for r in table}
+    for r in rows.groupBy("fold", "label").count().collect():
+        labels[r.fold][r.label] = r["count"]
+    moments = {r.fold: (r.n, np.array([r[f"m_{c}"] for c in columns], float), r.n * np.array([r[f"v_{c}"] for c in columns], float))
+               for r in table}
+    frequency = {r.fold: np.array(IDF(inputCol="raw_features").fit(rows.filter(F.col("fold") == r.fold)).docFreq, float) for r in table}
+    return FoldStatistics({r.fold: r.n for r in table}, frequency, labels, moments)
+
+
+def fold_vectors(rows: DataFrame, statistics: FoldStatistics, fold: int, columns: Sequence[str], key: str = "doc_id") -> DataFrame:
+    """``key, label, weight, features, is_test``: vectors by statistics of the rows outside the fold, which is the test."""
+    mean, spread = statistics.scale(fold)
+    weights = statistics.weights(fold)
+    scaled = [F.when(F.lit(bool(s > 0)), (F.col(c) - float(m)) / float(s or 1)).otherwise(0.0).alias(c)
+              for c, m, s in zip(columns, mean, spread)]
+    weight = F.element_at(F.create_map(*(F.lit(v) for pair in weights.items() for v in (float(pair[0]), float(pair[1])))),
+                          F.col("label").cast("double"))
+    base = rows.select(key, "label", "raw_features", F.coalesce(weight, F.lit(1.0)).alias("weight"),
+                       (F.col("fold") == fold).alias("is_test"), *scaled)
+    product = ElementwiseProduct(scalingVec=Vectors.dense(statistics.idf(fold)), inputCol="raw_features", outputCol="tfidf_features")
+    joined = VectorAssembler(inputCols=["tfidf_features", *columns], outputCol="features").transform(product.transform(base))
+    return joined.select(key, "label", "weight", "features", "is_test")
+
+
+def cross_validate(df: DataFrame, classifier: Callable, k: int = 5, metric: str = "f1", key: str = "doc_id",
+                   columns: Sequence[str] = tuple(L.FEATURE_NAMES), num_features: int = 50000) -> DataFrame:
     """Mean, deviation, minimum and maximum of a metric over stratified folds.
 
-    All stages of ``pipeline``, and the class weights, are fitted on the other folds.
+    tf-idf, scaling and class weights of each training part are those of the total minus the fold, so texts are hashed
+    once and not once per fold; the vectors equal those of stages fitted anew. ``classifier`` makes an estimator. Folds
+    are fitted side by side.
     """
-    folded = cut_lineage(kfold(df.drop("weight"), k, "label", key, SEED))
-    scores = []
-    for fold in range(1, k + 1):
-        model = pipeline.fit(with_weights(folded.filter(F.col("fold") != fold)))
-        predictions = model.transform(folded.filter(F.col("fold") == fold))
+    rows = fold_rows(df, k, columns, num_features, key)
+    statistics = fold_statistics(rows, columns)
+
+    def score(fold: int) -> tuple[int, float]:
+        data = sized(fold_vectors(rows, statistics, fold, columns, key))
+        predictions = classifier().fit(data.filter(~F.col("is_test"))).transform(data.filter("is_test"))
         if metric == "auc":
-            score = BinaryClassificationEvaluator(labelCol="label").evaluate(predictions)
-        else:
-            score = binary_metrics(confusion_counts(predictions)).first().f1_score
-        scores.append((fold, float(score)))
+            return fold, float(BinaryClassificationEvaluator(labelCol="label").evaluate(predictions))
+        return fold, float(binary_metrics(confusion_counts(predictions)).first().f1_score)
+
+    scores = in_parallel([partial(score, fold) for fold in sorted(statistics.rows)])
     table = df.sparkSession.createDataFrame(scores, "fold int, score double")
     return table.agg(F.lit(metric).alias("metric"), F.count(F.lit(1)).alias("folds"), F.avg("score").alias("mean"),
                      F.stddev_pop("score").alias("std"), F.min("score").alias("min"), F.max("score").alias("max"))
@@ -198,8 +304,10 @@ def feature_summary(df: DataFrame, vector: str = "features") -> DataFrame:
 
 def split_and_prepared(df: DataFrame, tfidf: bool = True, columns: Sequence[str] = tuple(L.FEATURE_NAMES),
                        num_features: int = 5000, key: str = "doc_id", test: float = 0.2) -> DataFrame:
-    """For experiments, which hash terms to 5,000 features: ``key, label, weight, features, is_test``: vectors of all rows by stages and class weights that only the training
-    part has fitted. Rows are split first and written once; the test part has a weight too, that of its class.
+    """For experiments, which hash terms to 5,000 features: ``key, label, weight, features, is_test``.
+
+    Vectors of all rows by stages and class weights that only the training part has fitted. Rows are split first and
+    written once; the test part has a weight too, that of its class.
     """
     split = cut_lineage(stratified_split(df, "label", key, test, SEED))
     train_rows = split.filter(~F.col("is_test"))
@@ -207,4 +315,4 @@ def split_and_prepared(df: DataFrame, tfidf: bool = True, columns: Sequence[str]
     stages = (tfidf_stages(num_features=num_features) if tfidf else []) + (scale_stages(columns) if columns else [])
     fitted = Pipeline(stages=[*stages, combine_stage(tfidf, bool(columns))]).fit(train_rows)
     out = fitted.transform(split).join(small_side(weights), "label", "left")
-    return cut_lineage(out.select(key, "label", F.coalesce("weight", F.lit(1.0)).alias("weight"), "features", "is_test"))
+    return sized(out.select(key, "label", F.coalesce("weight", F.lit(1.0)).alias("weight"), "features", "is_test"))

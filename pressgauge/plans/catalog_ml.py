@@ -3,21 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from functools import partial, reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from pressgauge.functions import lexicons as L
 from pressgauge.operators import experiments as E, linguistic as G, ml as M, sensationalism as Z
 from pressgauge.plans.catalog_corpus import stand_in_lists
 from pressgauge.plans.catalog_store import _scratch
 from pressgauge.plans.registry import CORPUS_SQL, Tables, query
-
-# Iterations of the linear classifiers in these queries; the operators' own defaults are 100 and 1,000. One iteration
-# takes several jobs, so the defaults would take minutes a query. Rows, features and trees are not cut.
-ITERATIONS = 20
-
+from pressgauge.session import cut_lineage
 
 def features(t: Tables):
     """Labelled corpus with the 28 features; the clean columns' own counts are left out."""
@@ -25,7 +22,7 @@ def features(t: Tables):
 
 
 def trained(t: Tables) -> M.Trained:
-    return M.train(features(t), M.feature_pipeline(M.linear_svc(ITERATIONS)))
+    return M.train(features(t), M.feature_pipeline(M.linear_svc()))
 
 
 @query("tfidf_hashed", "I4")
@@ -68,11 +65,13 @@ def _(t: Tables):
 @query("train_others", "K5 K6")
 def _(t: Tables):
     data = M.split_and_prepared(features(t))
-    rows = []
-    for name, make in (("logistic", lambda: M.logistic(ITERATIONS)), ("forest", M.forest), ("naive_bayes", M.gaussian_bayes)):
+
+    def run(name, make):
         model = make().fit(data.filter(~F.col("is_test")))
-        rows.append(M.evaluate(model.transform(data.filter("is_test"))).withColumn("model_name", F.lit(name)))
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+        return M.evaluate(model.transform(data.filter("is_test"))).withColumn("model_name", F.lit(name))
+
+    made = (("logistic", M.logistic), ("forest", M.forest), ("naive_bayes", M.gaussian_bayes))
+    return reduce(DataFrame.unionByName, M.in_parallel([partial(run, *m) for m in made]))
 
 
 @query("confusion_and_metrics", "D8 K7", f"""
@@ -90,17 +89,17 @@ def _(t: Tables):
 
 @query("cross_validate", "K8 E3")
 def _(t: Tables):
-    return M.cross_validate(features(t), M.feature_pipeline(E.experiment_svc(ITERATIONS)))
+    return M.cross_validate(features(t), E.experiment_svc)
 
 
 @query("compare_models", "K9 F5")
 def _(t: Tables):
-    return E.compare_models(features(t), E.baselines(max_iter=ITERATIONS))
+    return E.compare_models(features(t))
 
 
 @query("ablation", "K10 F5")
 def _(t: Tables):
-    return E.ablation(features(t), max_iter=ITERATIONS // 2)
+    return E.ablation(features(t))
 
 
 @query("ablation_deltas", "K10", f"""
@@ -116,9 +115,9 @@ def _(t: Tables):
 
 @query("training_report", "K11")
 def _(t: Tables):
-    data = features(t)
-    m = M.train(data, M.feature_pipeline(M.linear_svc(ITERATIONS)))
-    cv = M.cross_validate(data, M.feature_pipeline(E.experiment_svc(ITERATIONS // 2)), 3)
+    data = cut_lineage(features(t))
+    m = M.train(data, M.feature_pipeline(M.linear_svc()))
+    cv = M.cross_validate(data, E.experiment_svc)
     report = E.training_report(M.evaluate(m.model.transform(m.test)), M.evaluate(m.model.transform(m.train)), cv,
                                t.corpus.count(), int(m.model.stages[-1].coefficients.size), 0.0, F.lit("2024-06-01"))
     return report.select("finished_at", "dataset.samples", "features.count", "test.f1_score",

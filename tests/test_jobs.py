@@ -370,3 +370,36 @@ def test_accents(spark):
     df = spark.createDataFrame([(1, "česko źąle őr łódź ét")], "id long, t string")
     got = TF.term_lists(df, "id", "t", TF.TfidfSettings(None, (1, 1), 1, 1.0)).first().terms
     assert got == ["cesko", "zale", "or", "łodz", "et"]
+
+
+def test_folds_by_subtraction_equal_refitting(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    from pressgauge.operators import ml as M
+
+    rng = np.random.default_rng(5)
+    rows = [(i, int(rng.random() < 0.3), " ".join(f"w{rng.integers(0, 30)}" for _ in range(rng.integers(1, 12))),
+             float(rng.normal(1000, 3)), 7.0) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, label int, text_full string, x double, same double")
+    held = M.fold_rows(df, 4, ["x", "same"], 64)
+    statistics = M.fold_statistics(held, ["x", "same"])
+    texts = held.select("doc_id", "fold").join(df, "doc_id")
+    for fold in (1, 3):
+        got = {r.doc_id: r for r in M.fold_vectors(held, statistics, fold, ["x", "same"]).withColumn("v", vector_to_array("features")).collect()}
+        part = M.with_weights(texts.where(F.col("fold") != fold))
+        stages = [*M.tfidf_stages(num_features=64), *M.scale_stages(["x", "same"]), M.combine_stage()]
+        want = Pipeline(stages=stages).fit(part).transform(texts).withColumn("v", vector_to_array("features")).collect()
+        weight = {r.label: r.weight for r in part.select("label", "weight").distinct().collect()}
+        assert len(want) == len(got) == 90
+        for r in want:
+            assert got[r.doc_id].v == pytest.approx(r.v, abs=1e-8) and got[r.doc_id].weight == pytest.approx(weight[r.label])
+            assert got[r.doc_id].is_test == (r.fold == fold)
+
+
+def test_cross_validation_uses_every_row_once(spark):
+    from pressgauge.operators import ml as M
+
+    rows = [(i, i % 2, "good " * 3 if i % 2 else "bad " * 2, float(i % 2)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, label int, text_full string, x double")
+    got = M.cross_validate(df, lambda: M.logistic(50), 4, columns=["x"], num_features=32).first()
+    assert (got.folds, got["mean"], got["min"], got["max"]) == (4, 1.0, 1.0, 1.0)
