@@ -8,11 +8,11 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from pressgauge.functions import text as X
 from pressgauge.operators.cleaning import needs_embedding
-from pressgauge.operators.store import upsert_articles
+from pressgauge.operators.store import merge_store, read_buckets, upsert_articles
 
 Encoder = Callable[[Sequence[str]], np.ndarray]
 
@@ -69,3 +69,11 @@ def backfill_embeddings(store: DataFrame, factory: Callable[[], Encoder] | None
     missing = needs_embedding(store)
     vectors = embed_documents(missing, "id", "content", factory)
     return upsert_articles(store, missing.drop("embedding").join(vectors, "id"))
+
+
+def backfill_store(spark: SparkSession, path: str, factory: Callable[[], Encoder] | None = None, buckets: int = 64) -> int:
+    """Embed the articles of a bucketed store that lack a vector; only their buckets are rewritten. Returns how many."""
+    missing = needs_embedding(read_buckets(spark, path))
+    vectors = embed_documents(missing, "id", "content", factory)
+    fresh = missing.drop("embedding", "bucket").join(vectors, "id")
+    return merge_store(spark, path, fresh, "id", ("id",), buckets)

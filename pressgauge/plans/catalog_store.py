@@ -165,6 +165,31 @@ def _(t: Tables):
     return D.insert_if_absent(keyed.filter("lang = 'en'").drop("lang"), keyed.drop("lang"))
 
 
+@query("merge_store_upsert", "A10 A20", f"""
+WITH {_UPSERT} SELECT id, doc_id, source FROM both_rows
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY doc_id DESC, fresh DESC) = 1""")
+def _(t: Tables):
+    keyed = t.documents.withColumn("id", F.md5("text"))
+    existing = keyed.filter("lang = 'en'").select("id", "doc_id", "source")
+    batch = keyed.select("id", (F.col("doc_id") + 1).alias("doc_id"), F.concat(F.lit("new-"), "source").alias("source"))
+    path = f"{_scratch(t)}/buckets"
+    D.write_store(D.upsert_articles(existing.limit(0), existing, "id", ("doc_id",)), path)
+    D.merge_store(t.spark, path, batch, "id", ("doc_id",))
+    return D.read_buckets(t.spark, path).select("id", "doc_id", "source")
+
+
+@query("merge_store_insert", "A11 A20", """
+WITH e AS (SELECT doc_id AS id, text AS content FROM documents WHERE lang = 'en' AND doc_id % 2 = 0)
+SELECT id, md5(content) AS content FROM e
+UNION ALL SELECT doc_id, md5('second ' || text) FROM documents WHERE doc_id NOT IN (SELECT id FROM e)""")
+def _(t: Tables):
+    rows = t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "lang")
+    path = f"{_scratch(t)}/buckets"
+    D.write_store(rows.filter("lang = 'en' AND id % 2 = 0").drop("lang"), path)
+    D.merge_store(t.spark, path, rows.select("id", F.concat(F.lit("second "), "content").alias("content")), "id", ("id",), insert_only=True)
+    return D.read_buckets(t.spark, path).select("id", F.md5("content").alias("content"))
+
+
 @query("lookup_by_url", "A12", f"""
 WITH {STORE_SQL} SELECT id, url, {_SCORES} FROM store WHERE id IN (SELECT doc_id FROM labels)""")
 def _(t: Tables):

@@ -403,3 +403,85 @@ def test_cross_validation_uses_every_row_once(spark):
     df = spark.createDataFrame(rows, "doc_id long, label int, text_full string, x double")
     got = M.cross_validate(df, lambda: M.logistic(50), 4, columns=["x"], num_features=32).first()
     assert (got.folds, got["mean"], got["min"], got["max"]) == (4, 1.0, 1.0, 1.0)
+
+
+def test_containment_join_equals_brute_force(spark):
+    from pressgauge.operators import store as D
+
+    rng = np.random.default_rng(8)
+    hosts = ["https://a.com", "https://www.bb.org", "http://c.net/x", "ftp://d"]
+    urls = [hosts[rng.integers(0, 4)] + "/" + "/".join("pqr"[rng.integers(0, 3)] * rng.integers(1, 5) for _ in range(rng.integers(0, 5)))
+            for _ in range(150)] + ["", "a", "a.com", "/", "HTTPS://A.com/", "https://a.com/q/", "zzzzzzzzzz"]
+    store = [(i, u, "x" * (50 if i % 11 == 0 else 200), i % 3) for i, u in enumerate(urls)] + [(3, urls[3], "x" * 200, 0)]
+    asked = [u[:rng.integers(0, len(u) + 1)] for u in urls[::3]] + [urls[5] + "/more", "", "q", "nowhere.example", "https://a.com"]
+    norm = lambda u: u.strip(" ").lower().rstrip("/")
+    want = {}
+    for r in {norm(u) for u in asked}:
+        hits = [(norm(u) != r, len(u), u, i) for i, u, c, _ in store if len(c) > 100 and (r == norm(u) or r in norm(u) or norm(u) in r)]
+        if hits:
+            want[r] = min(hits)[2:]
+    df = spark.createDataFrame(store, "id long, source_url string, content string, n int")
+    found = D.lookup_by_url_loose(df, spark.createDataFrame([(u,) for u in asked], "url string"))
+    assert found.columns == ["request", *df.columns]
+    rows = found.collect()
+    assert {r.request: (r.source_url, r.id) for r in rows} == want and len(rows) == len(want)
+
+
+def _stamps(path):
+    import os
+
+    files = (os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet"))
+    return {f: os.stat(f).st_mtime_ns for f in files}
+
+
+def test_store_merge_rewrites_touched_buckets_only(spark, tmp_path):
+    from pressgauge.operators import store as D
+
+    path = str(tmp_path / "store")
+    rows = [(f"k{i}", i, f"text {i}") for i in range(300)]
+    schema = "id string, ingested_at long, content string"
+    D.write_store(spark.createDataFrame(rows, schema), path, buckets=16)
+    before = _stamps(path)
+    batch = [("k7", 1, "older"), ("k9", 9, "tie"), ("new", 5, "first"), ("new", 6, "second"), ("k20", 1000, "newer")]
+    written = D.merge_store(spark, path, spark.createDataFrame(batch, schema), buckets=16, merge_keys=1)
+    got = {r.id: r.content for r in D.read_buckets(spark, path).collect()}
+    want = {k: c for k, _, c in rows} | {"k9": "tie", "new": "second", "k20": "newer"}
+    assert got == want and D.read_buckets(spark, path).count() == 301
+    after = _stamps(path)
+    kept = {f for f in before if after.get(f) == before[f]}
+    assert 1 <= written <= 3 and len(kept) >= len(before) * (16 - written) / 16 - 1 and len(kept) < len(before)
+    D.merge_store(spark, path, spark.createDataFrame(batch, schema), buckets=16)
+    assert {r.id: r.content for r in D.read_buckets(spark, path).collect()} == want
+    assert D.merge_store(spark, path, spark.createDataFrame([("k7", 1, "older")], schema), buckets=16) == 0
+    D.merge_store(spark, path, spark.createDataFrame([("k1", 0, "no"), ("late", 3, "b"), ("late", 2, "a")], schema), buckets=16, insert_only=True)
+    got = {r.id: r.content for r in D.read_buckets(spark, path).collect()}
+    assert got == want | {"late": "a"}
+
+
+def test_backfill_touches_only_what_lacks_a_vector(spark, tmp_path):
+    from pressgauge.operators import embedding as E, store as D
+
+    path = str(tmp_path / "store")
+    rows = [(i, "scraped_news", "plain words " * 20, [0.5] if i % 25 else None) for i in range(200)]
+    D.write_store(spark.createDataFrame(rows, "id long, article_type string, content string, embedding array<float>"), path, buckets=32)
+    before = _stamps(path)
+    done = E.backfill_store(spark, path, buckets=32)
+    got = D.read_buckets(spark, path).collect()
+    assert len(got) == 200 and all(r.embedding for r in got) and {len(r.embedding) for r in got if r.id % 25 == 0} == {64}
+    after = _stamps(path)
+    assert 1 <= done <= 8 and any(after.get(f) == t for f, t in before.items())
+
+
+def test_store_merge_moves_no_text(spark, tmp_path, monkeypatch):
+    from pressgauge.operators import store as D
+
+    plans, write = [], D._write_buckets
+
+    def keep(df, path, mode):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        write(df, path, mode)
+    path, schema = str(tmp_path / "store"), "id string, ingested_at long, content string"
+    D.write_store(spark.createDataFrame([(f"k{i}", i, "t") for i in range(50)], schema), path)
+    monkeypatch.setattr(D, "_write_buckets", keep)
+    D.merge_store(spark, path, spark.createDataFrame([("k1", 99, "u")], schema))
+    assert plans and all("Sort" not in p and "Exchange hashpartitioning" not in p for p in plans)
