@@ -4,11 +4,11 @@ A text's n-grams, as indicators, are of four kinds, all hashed: words and pairs
 the end of a word; and one, two and three neighbouring word shapes, where a run of capitals, of other letters, of digits
 or of one sign is one letter of the shape and a word that repeats the one before has a shape of its own.
 
-Every indicator is scaled by the log of the ratio of its shares in the two classes, counted over all labelled rows, and
-the scaled vector is brought to length 1, so long texts weigh no more than short ones. A linear hinge-loss model is
-fitted to a bounded sample (``per_class`` labelled documents of either class, drawn by a hash of the id) by dual
-coordinate descent. Margins become probabilities by a logistic curve fitted to margins that each part of the sample gets
-from the model of the other parts, weighted back to the classes' shares among all labelled rows.
+Every indicator is scaled by the log of the ratio of its shares in the two classes, and the scaled vector is brought to
+length 1, so long texts weigh no more than short ones; a linear hinge-loss model is fitted to it by dual coordinate
+descent. Both learn from a bounded sample, about ``per_class`` labelled documents of either class, drawn by a hash of the
+id, so no text is shuffled. Margins become probabilities by a logistic curve fitted to margins that each part of the
+sample gets from ratios and model of the other parts, weighted back to the classes' shares among all labelled rows.
 
 Defined cases: a null text counts as empty and gets the score of no indicator; labels repeated for an id count once, 1
 before 0, null labels not at all; rows of a null id are scored but never learned from; without labels of both classes
@@ -32,8 +32,8 @@ from pressgauge.llm.toxicity import calibration
 
 SPACE_BITS = 19
 SPACE = 1 << SPACE_BITS       # hashed indicators
-PER_CLASS = 4_000             # labelled documents of either class that the hinge loss reads
-MIN_DOCS = 3                  # labelled documents that hold an indicator
+PER_CLASS = 4_000             # labelled documents of either class that a fit reads
+MIN_DOCS = 3                  # of the sample that hold an indicator
 SMOOTH = 1.0
 COST = 4.0
 FOLDS = 4
@@ -105,17 +105,6 @@ def indicators(text: str | None, words: Grams) -> np.ndarray:
     return np.unique(np.concatenate(out)).astype(np.int32)
 
 
-def class_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task: (label, text) to (term, ones, zeros), added up over the task."""
-    words, counts = Grams(), np.zeros((2, SPACE), np.int64)
-    for batch in batches:
-        for label, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            counts[label, indicators(text.as_py(), words)] += 1
-    used = np.flatnonzero(counts.any(0))
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(counts[1, used]), pa.array(counts[0, used])],
-                                     names=["term", "ones", "zeros"])
-
-
 def sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Task: (label, key, text) to the same with the indicators for the text."""
     words = Grams()
@@ -184,8 +173,15 @@ def dual_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, cost:
     return w
 
 
-def fit_model(labels: np.ndarray, terms: list[np.ndarray], scale: np.ndarray, importance: np.ndarray) -> Model:
-    """The hinge-loss model of all rows, calibrated on margins from models that have not seen the row."""
+def class_counts(labels: np.ndarray, terms: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of class 1, and of class 0, that hold each indicator."""
+    count = lambda y: np.bincount(np.concatenate([np.zeros(0, np.int64), *(t for t, v in zip(terms, labels) if v == y)]), minlength=SPACE)
+    return count(1).astype(float), count(0).astype(float)
+
+
+def descended(labels: np.ndarray, terms: list[np.ndarray]) -> Model:
+    """Ratios and hinge-loss model of some rows, not calibrated. Classes weigh the same altogether."""
+    scale = log_ratios(*class_counts(labels, terms))
     place = np.full(SPACE, -1, np.int64)
     kept = np.flatnonzero(scale)
     place[kept] = np.arange(len(kept))
@@ -196,24 +192,28 @@ def fit_model(labels: np.ndarray, terms: list[np.ndarray], scale: np.ndarray, im
         rows.append((place[t], r / max(1e-9, np.sqrt(r @ r))))
     y = np.where(labels == 1, 1.0, -1.0)
     cost = COST * np.where(labels == 1, len(y) / max(1, (labels == 1).sum()), len(y) / max(1, (labels == 0).sum())) / 2
-    fit = lambda part: dual_descent([rows[i] for i in part], y[part], cost[part], len(kept))
-    margins, group = np.zeros(len(y)), np.arange(len(y)) % FOLDS
-    for g in range(FOLDS):
-        mine = np.flatnonzero(group == g)
-        others = np.flatnonzero(group != g)
-        if len(mine) and len(others) and len(np.unique(labels[others])) == 2:
-            w = fit(others)
-            margins[mine] = [w[rows[i][0]] @ rows[i][1] + w[-1] for i in mine]
-    w = fit(np.arange(len(y)))
+    w = dual_descent(rows, y, cost, len(kept))
     weights = np.zeros(SPACE)
     weights[kept] = w[:-1] * scale[kept]
-    slope, shift = calibration(margins, labels.astype(float), importance)
-    return Model(scale.astype(np.float32), weights.astype(np.float32), float(w[-1]), slope, shift)
+    return Model(scale.astype(np.float32), weights.astype(np.float32), float(w[-1]))
+
+
+def fit_model(labels: np.ndarray, terms: list[np.ndarray], importance: np.ndarray) -> Model:
+    """The model of all rows, calibrated on margins from models that have not seen the row."""
+    margins, group = np.zeros(len(labels)), np.arange(len(labels)) % FOLDS
+    for g in range(FOLDS):
+        mine, others = np.flatnonzero(group == g), np.flatnonzero(group != g)
+        if len(mine) and len(others) and len(np.unique(labels[others])) == 2:
+            model = descended(labels[others], [terms[i] for i in others])
+            margins[mine] = [model.margin(terms[i]) for i in mine]
+    model = descended(labels, terms)
+    model.slope, model.shift = calibration(margins, labels.astype(float), importance)
+    return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, *, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "quality", folds: int = 4, held_fold: int = 2) -> Model:
-    """Log-count ratios over all labelled documents outside the held-out fold, the hinge loss over a sample of them."""
+    """Fit on a sample of about ``per_class`` labelled documents of either class outside the held-out fold."""
     marked = (labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("label"))
               .where("label is not null and k is not null").where(fold(F.col("k"), folds) != held_fold)
               .groupBy("k").agg(F.max("label").alias("label")).where("label in (0, 1)"))
@@ -221,13 +221,6 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, *, id_co
     if len(counts) < 2:
         return constant(counts.get(1, 0) / max(1, sum(counts.values())))
     texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("text"))
-    told = texts.join(marked, "k").select("label", "text")
-    # At most SPACE rows of three numbers.
-    table = (arrow_stage(told, class_batches, "term long, ones long, zeros long").groupBy("term")
-             .agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros")).toArrow())
-    both = np.zeros((2, SPACE))
-    at = np.asarray(table["term"])
-    both[1, at], both[0, at] = np.asarray(table["ones"]), np.asarray(table["zeros"])
     chosen = bounded_sample(marked, "label", F.col("k"), per_class)
     # At most four times per_class rows of 12 bytes: a proven bound.
     drawn = texts.join(F.broadcast(chosen), "k").select("label", F.xxhash64("k").alias("k"), "text")
@@ -237,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, *, id_co
     if not len(y) or y.min() == y.max():
         return constant(counts[1] / sum(counts.values()))
     share = np.array([counts[0] / max(1, (y == 0).sum()), counts[1] / max(1, (y == 1).sum())])
-    return fit_model(y, [np.frombuffer(r.terms, "<i4") for r in got], log_ratios(both[1], both[0]), (share / share.min())[y])
+    return fit_model(y, [np.frombuffer(r.terms, "<i4") for r in got], (share / share.min())[y])
 
 
 def score_batches(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
