@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pressgauge.functions import ladders, lexicons as L, urls as U
+from pressgauge.operators.cleaning import candidate_filter
 from pressgauge.operators.ranking import top_k
-from pressgauge.operators.similarity import settled
+from pressgauge.operators.similarity import settled, top_similar
 from pressgauge.operators.tfidf import CROSSCHECK, RELATED, TfidfSettings, tfidf_cosine
-from pressgauge.session import small_side
+from pressgauge.session import cut_lineage, small_side
 
 
 def corroboration_metrics(pairs: DataFrame, group: str = "query_id", extra: Sequence[Column] = ()) -> DataFrame:
@@ -47,7 +48,7 @@ def corroboration(metrics: DataFrame) -> DataFrame:
 
 def corroboration_description(score: Column) -> Column:
     """Wording of the corroboration status."""
-    pct = F.format_number(score * 100, "0.0")
+    pct = F.format_string("%.1f", score * 100)
     sources = F.col("source_diversity").cast("string")
     return (
         F.when(score >= 0.7, F.concat(F.lit("Strong similarity ("), pct, F.lit("%) found from "), sources,
@@ -135,8 +136,36 @@ def crosscheck(requests: DataFrame, corpus: DataFrame, reliable: Sequence[str] =
     return crosscheck_score(requests, describe_candidates(pairs, corpus, reliable, key, hold=hold), key=key)
 
 
-def crosscheck_points(candidates: DataFrame, similarities: DataFrame, shown: int = 50) -> DataFrame:
-    """Chart points of a query's candidates: similarity where known, else 0.
+def crosscheck_stored(requests: DataFrame, store: DataFrame, reliable: Sequence[str] = tuple(L.RELIABLE_SOURCES),
+                      k: int = 20, settings: TfidfSettings = CROSSCHECK, exclude_url: str = "", min_len: int = 100,
+                      key: str = "id", text: str = "content") -> tuple[DataFrame, DataFrame]:
+    """The cross-check against a store: scores, and the described pairs that they come from.
+
+    Stored articles pass the candidate filter first (``article_type, source_url, content``). Requests and candidates that
+    both have an ``embedding`` are compared by it; requests left without a pair are compared by text. Every request knows
+    how many candidates there were, so one that could be compared with none of them scores 0.40, and one without any
+    candidate 0.30.
+    """
+    candidates = candidate_filter(store, exclude_url, min_len)
+    has = lambda df: "embedding" in df.columns
+    pairs = None
+    if has(requests) and has(store):
+        vectors = lambda df: df.select(F.col(key).alias("id"), F.col("embedding").alias("vec"))
+        pairs = cut_lineage(top_similar(vectors(requests), vectors(candidates), k).where("similarity > 0"))
+        rest = requests.join(pairs.select(F.col("query_id").alias(key)).distinct(), key, "left_anti")
+    else:
+        rest = requests
+    by_text = tfidf_cosine(rest, candidates, key, text, k, settings, keep_unrelated=False).where("similarity > 0")
+    both = by_text if pairs is None else pairs.select(*by_text.columns).unionByName(by_text)
+    described = cut_lineage(describe_candidates(both, candidates.withColumn("url", F.col("source_url")), reliable, key))
+    found = candidates.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    compared = requests.select(F.col(key).cast("long").alias("query_id"), F.lit(found).alias("found"))
+    return crosscheck_score(requests, described, compared, key), described
+
+
+def crosscheck_points(candidates: DataFrame, similarities: DataFrame, shown: int | None = 50, title: int | None = 60) -> DataFrame:
+    """Chart points of a query's candidates: similarity where known, else 0; ``shown`` points and ``title`` characters
+    each (all: None).
 
     ``candidates``: ``query_id, cand_id, title, domain, is_reliable``;
     ``similarities``: ``query_id, cand_id, similarity``.
@@ -146,9 +175,9 @@ def crosscheck_points(candidates: DataFrame, similarities: DataFrame, shown: int
         "query_id", "cand_id", F.round(F.coalesce("similarity", F.lit(0.0)), 3).alias("x"),
         F.when(F.col("is_reliable"), 0.85).otherwise(0.50).alias("y"),
         F.round(F.coalesce(F.col("similarity") * 100, F.lit(0.0)), 1).alias("similarity_pct"),
-        F.substring("title", 1, 60).alias("title"), "domain", "is_reliable",
+        (F.substring("title", 1, title) if title else F.col("title")).alias("title"), "domain", "is_reliable",
         F.col("similarity").isNotNull().alias("has_similarity_data"))
-    return top_k(points, "query_id", [F.desc("x"), F.asc("cand_id")], shown).drop("rank")
+    return top_k(points, "query_id", [F.desc("x"), F.asc("cand_id")], shown).drop("rank") if shown else points
 
 
 def related_articles(queries: DataFrame, corpus: DataFrame, reliable: Sequence[str] = tuple(L.RELIABLE_SOURCES),

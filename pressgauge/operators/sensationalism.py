@@ -97,6 +97,49 @@ def sensationalism_model(df: DataFrame, model=None) -> DataFrame:
     return scored.withColumns({"sensationalism": 1.0 / (1.0 + F.exp(-margin)), "analysis_available": F.lit(True)})
 
 
+def sensationalism_chain(df: DataFrame, stats: DataFrame | None = None, model=None, title: str = "title",
+                         content: str = "content", lists=None, words: Sequence[str] = tuple(L.SUSPICIOUS_WORDS),
+                         model_words: int = 20, zscore_words: int = 5) -> DataFrame:
+    """``sensationalism`` and ``sensationalism_method``, row by row: the trained model, else z-scores, else the heuristic.
+
+    The model scores texts of at least ``model_words`` words, z-scores over ``stats`` (``feature_statistics`` of a
+    reference corpus) those of at least ``zscore_words``; a method that is not given, or that has no finite result for a
+    row, leaves the row to the next. The 28 features are computed once and serve both. All is one projection.
+    """
+    from pressgauge.operators.linguistic import linguistic_features
+
+    kept = df.columns
+    staged = sensationalism_heuristic(df, title, content, words=words).withColumnRenamed("sensationalism", "_heuristic")
+    keep = [*kept, *(c for c in staged.columns if c not in kept)]
+    available = F.lit(False), F.lit(False)
+    by_model, by_z = F.lit(None).cast("double"), F.lit(None).cast("double")
+    extra = ["combined_z", "top_contributors"]
+    if stats is None and model is None:
+        staged = staged.withColumns({"combined_z": by_z, "top_contributors": F.lit(None).cast("array<struct<feature:string,contribution:double>>")})
+    else:
+        staged = linguistic_features(staged, content, lists)
+        if model is not None:
+            text = F.concat(F.coalesce(title, F.lit("")), F.lit("\n\n"), F.coalesce(content, F.lit("")))
+            ready = staged.withColumn("text_full", text) if "text_full" not in staged.columns else staged
+            margin = vector_to_array("rawPrediction")[1]
+            staged = model.transform(ready).withColumn("_model", 1.0 / (1.0 + F.exp(-margin))).select(*keep, *L.FEATURE_NAMES, "_model")
+            keep, by_model = [*keep, "_model"], F.col("_model")
+            available = F.lit(True), available[1]
+        if stats is not None:
+            staged = sensationalism_zscore(staged, stats).withColumnRenamed("sensationalism", "_z").select(*keep, "_z", *extra)
+            by_z, available = F.col("_z"), (available[0], F.lit(True))
+        else:
+            staged = staged.select(*keep).withColumns({"combined_z": by_z, "top_contributors": F.lit(None).cast("array<struct<feature:string,contribution:double>>")})
+    n = X.whitespace_words(F.coalesce(F.col(content), F.lit("")))
+    good = lambda c: c.isNotNull() & ~F.isnan(c)
+    method = (F.when(available[0] & (n >= model_words) & good(by_model), "model")
+              .when(available[1] & (n >= zscore_words) & good(by_z), "z_score").otherwise("heuristic"))
+    out = staged.withColumn("sensationalism_method", method)
+    chosen = (F.when(F.col("sensationalism_method") == "model", by_model)
+              .when(F.col("sensationalism_method") == "z_score", by_z).otherwise(F.col("_heuristic")))
+    return out.withColumn("sensationalism", chosen).drop("_heuristic", "_model", "_z")
+
+
 def predict_batch(df: DataFrame, model=None) -> DataFrame:
     """Score and interpretation of many texts."""
     out = sensationalism_model(df, model)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pressgauge.functions import lexicons as L, urls as U
 from pressgauge.operators import credibility as C, linguistic as G, scoring as S, sensationalism as Z, sentiment as M
 from pressgauge.plans import analysis as AN
-from pressgauge.plans.catalog_corpus import LANGUAGE_SQL, WORDS_A, features_sql, stand_in_lists
+from pressgauge.plans.catalog_corpus import LANGUAGE_SQL, WORDS_A, WORDS_B, features_sql, stand_in_lists
 from pressgauge.plans.registry import (ARTICLES_SQL, REQUESTS_SQL, Tables, base_sql, char_count, contains_any_sql,
                                        domain_sql, path_sql, query, sql_count_phrases, sql_count_words, sql_in, tok,
                                        ws_count)
@@ -243,6 +243,32 @@ def _(t: Tables):
     return out.select("doc_id", *[F.round(c, 5).alias(c) for c in ("combined_z", "calmness", "sensationalism")])
 
 
+_MARGIN = "40.0 * caps_density + 0.4 * avg_word_length - 3.0"
+
+
+def stand_in_model():
+    """A linear classifier with fixed coefficients, in the shape of a saved pipeline: a twin can state it."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import SQLTransformer, VectorAssembler
+
+    return PipelineModel([SQLTransformer(statement=f"SELECT *, {_MARGIN} AS margin, -({_MARGIN}) AS margin_0 FROM __THIS__"),
+                          VectorAssembler(inputCols=["margin_0", "margin"], outputCol="rawPrediction")])
+
+
+@query("sensationalism_chain", "J11 J12 J13", f"""
+WITH {ARTICLES_SQL}, {heuristic_sql('content', 'title')}, zs AS ({zscore_sql()}), fs AS ({features_sql(stand_in_lists())}),
+c AS (SELECT a.id, {ws_count('a.content')} AS n, h.sensationalism AS by_heuristic, zs.sensationalism AS by_z,
+  1 / (1 + exp(-({_MARGIN}))) AS by_model FROM articles a JOIN heuristic h USING (id) JOIN zs ON zs.doc_id = a.id JOIN fs ON fs.doc_id = a.id)
+SELECT id, CASE WHEN n >= 200 THEN 'model' WHEN n >= 60 THEN 'z_score' ELSE 'heuristic' END AS method,
+  round(CASE WHEN n >= 200 THEN by_model WHEN n >= 60 THEN by_z ELSE by_heuristic END, 5) AS sensationalism FROM c""")
+def _(t: Tables):
+    """Long texts by the model, shorter ones by z-scores, the shortest by the heuristic."""
+    feats = G.linguistic_features(t.articles.select("content"), "content", stand_in_lists())
+    out = Z.sensationalism_chain(t.articles, Z.feature_statistics(feats), stand_in_model(), lists=stand_in_lists(), words=HEURISTIC_WORDS,
+                                 model_words=200, zscore_words=60)
+    return out.select("id", F.col("sensationalism_method").alias("method"), F.round("sensationalism", 5).alias("sensationalism"))
+
+
 @query("zscore_contributors", "J12")
 def _(t: Tables):
     feats = G.linguistic_features(t.texts.select("doc_id", "text"), "text", stand_in_lists()).drop("text")
@@ -367,6 +393,21 @@ def _(t: Tables):
                       "known_source", "cross_check_status", "word_count", "total_words", "unique_words")
 
 
+@query("stored_analysis", "J16 J18 J9 C5")
+def _(t: Tables):
+    """Every benchmark item as a new article against the stored documents: the whole stored row."""
+    store = t.store.withColumn("source_url", F.col("url"))
+    settings = AN.AnalysisSettings(words=stand_in_lists(), sources=SOURCES, credible_words=WORDS_A, suspicious_words=HEURISTIC_WORDS,
+                                   tfidf=CROSS, positive=WORDS_A, negative=WORDS_B, lexicon=lexicon(t))
+    out = AN.stored_analysis(t.requests, store, settings, analyzed_at=F.lit("2024-06-01"))
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    return out.select("id", "language_score", "credibility_score", "cross_check_score", "sensationalism", "sensationalism_method",
+                      "overall_score", "cross_check_status", "cross_check_description", "tone", "enhanced_info",
+                      size("cross_check_points").alias("cross_check_points"), size("similarity_map").alias("similarity_map"),
+                      size("related_articles").alias("related_articles"), size("sentiment_flow").alias("sentiment_flow"),
+                      F.element_at("similarity_map", 1)["overall_score"].alias("own_point"))
+
+
 @query("chart_tables", "J18 DM11", f"""
 WITH {ARTICLES_SQL}, {LANGUAGE_SQL}
 SELECT id, 'language' AS chart, 'Capitalization' AS label, round(capitalization, 6) AS value FROM lang

@@ -485,3 +485,41 @@ def test_store_merge_moves_no_text(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(D, "_write_buckets", keep)
     D.merge_store(spark, path, spark.createDataFrame([("k1", 99, "u")], schema))
     assert plans and all("Sort" not in p and "Exchange hashpartitioning" not in p for p in plans)
+
+
+def test_sensationalism_goes_from_model_to_zscore_to_heuristic(spark):
+    from pressgauge.operators import linguistic as G, sensationalism as Z
+    from pressgauge.plans.catalog_scores import stand_in_model
+
+    rows = [(1, "t", " ".join(["word"] * 40)), (2, "t", " ".join(["other"] * 8)), (3, "Shock!", "no way"), (4, None, None)]
+    df = spark.createDataFrame(rows, "id long, title string, content string")
+    stats = Z.feature_statistics(G.linguistic_features(df.select("content"), "content"))
+    run = lambda **kw: {r.id: (r.sensationalism_method, r.sensationalism) for r in Z.sensationalism_chain(df, **kw).collect()}
+    plain = {r.id: r.sensationalism for r in Z.sensationalism_heuristic(df).collect()}
+    every = run(stats=stats, model=stand_in_model())
+    assert [every[i][0] for i in (1, 2, 3, 4)] == ["model", "z_score", "heuristic", "heuristic"]
+    assert every[3][1] == plain[3] and every[4][1] == plain[4]
+    only = run(stats=stats)
+    assert only[1][0] == "z_score" and only[2] == every[2]
+    assert {i: ("heuristic", v) for i, v in plain.items()} == run()
+    assert run(model=stand_in_model())[2] == ("heuristic", plain[2])
+
+
+def test_stored_crosscheck_by_embedding_then_text(spark):
+    from pressgauge.operators import crosscheck as K
+
+    long = "storm over the northern harbour destroyed many boats " * 4
+    store = [(1, "http://a.com/x", long, "scraped_news", [1.0, 0.0]), (2, "http://b.com/y", "short", "scraped_news", [1.0, 0.0]),
+             (3, "http://c.com/z", "quiet election in a small village far away " * 4, "scraped_news", None),
+             (4, "http://d.com/w", long, "user_article", [1.0, 0.0])]
+    store = spark.createDataFrame([(i, u, u, "t", c, "s", k, e) for i, u, c, k, e in store],
+                                  "id long, url string, source_url string, title string, content string, source string, article_type string, embedding array<float>")
+    asked = spark.createDataFrame([(10, "http://q.com/1", long, [0.8, 0.6]), (11, "http://q.com/2", "quiet election in a village", None),
+                                   (12, "http://q.com/3", "zzz yyy", None)], "id long, url string, content string, embedding array<float>")
+    scores, pairs = K.crosscheck_stored(asked, store)
+    got = {r.query_id: r for r in scores.collect()}
+    assert {(r.query_id, r.cand_id) for r in pairs.collect()} == {(10, 1), (11, 3)}
+    assert round(got[10].max_similarity, 6) == 0.8 and got[11].total_compared == 1
+    assert (got[12].cross_check_score, got[12].status, got[12].total_compared) == (0.4, "Comparison Failed", 2)
+    none, _ = K.crosscheck_stored(asked, store.where("id = 4"))
+    assert {r.cross_check_score for r in none.collect()} == {0.3}
