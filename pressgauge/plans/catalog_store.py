@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pressgauge.functions import ladders as B, lexicons as L, text as X, urls as
 from pressgauge.operators import cleaning as N, embedding as E, pages as P, statistics as ST, store as D
 from pressgauge.plans.registry import (ARTICLES_SQL, STORE_SQL, Tables, base_sql, clean_url_sql, contains_any_sql,
                                        domain_sql, host_sql, path_sql, query, sql_in, ws_count)
+from pressgauge.session import shared_folder
 from pressgauge.streaming import ingest as I
 
 # Stand-in domain list: the fixture sites are not real outlets.
@@ -136,9 +136,8 @@ def _(t: Tables):
 
 
 def _scratch(t: Tables) -> str:
-    """New folder for tables a query writes: below the cluster's shared one where it names one."""
-    shared = t.spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{shared}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """New folder, below the shared one, for tables that a query writes."""
+    return f"{shared_folder(t.spark)}/{uuid.uuid4().hex}"
 
 
 _UPSERT = """both_rows AS (

@@ -29,7 +29,8 @@ def write_clean(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     if fmt == "parquet":
         df.write.mode("overwrite").parquet(path)
     elif fmt == "csv":
-        df.select(*CLEAN_COLUMNS).write.mode("overwrite").options(header=True, escape='"').csv(path)
+        df.select(*CLEAN_COLUMNS).write.mode("overwrite").options(
+            header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     else:
         raise ValueError(f"unsupported format {fmt}")
 
@@ -56,8 +57,27 @@ def append_articles(df: DataFrame, path: str, partition_by: str | None = "domain
     df.write.mode("append").parquet(path)
 
 
+def compact_articles(spark: SparkSession, path: str, partition_by: str = "domain", file_bytes: int = 128 << 20) -> int:
+    """Rewrite the folders of domains whose files are many and small, and return how many.
+
+    Sizes come from the files' own metadata, a row per file. A folder is rewritten when its files would fit in less than
+    half as many of ``file_bytes``; each is dealt to tasks by size, others keep their files. Names stay what the appends
+    wrote, so a compaction that is run again finds nothing to do.
+    """
+    files = spark.read.parquet(path).select(partition_by, F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("size"))
+    sizes = files.groupBy(partition_by, "f").agg(F.max("size").alias("size")).groupBy(partition_by).agg(
+        F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
+    small = sizes.where(F.col("files") > 2 * F.ceil(F.col("bytes") / file_bytes)).select(partition_by)
+    done = small.count()
+    if done:
+        rows = spark.read.parquet(path).join(small, partition_by, "left_semi").hint("rebalance", F.col(partition_by))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path)
+    return done
+
+
 def export_articles_csv(store: DataFrame, path: str) -> None:
-    export_rows(store).write.mode("overwrite").options(header=True, quoteAll=False, escape='"').csv(path)
+    export_rows(store).write.mode("overwrite").options(
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def output_inventory(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
