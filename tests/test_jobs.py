@@ -523,3 +523,44 @@ def test_stored_crosscheck_by_embedding_then_text(spark):
     assert (got[12].cross_check_score, got[12].status, got[12].total_compared) == (0.4, "Comparison Failed", 2)
     none, _ = K.crosscheck_stored(asked, store.where("id = 4"))
     assert {r.cross_check_score for r in none.collect()} == {0.3}
+
+
+def test_a_micro_batch_reads_the_folders_of_its_ids_only(spark, tmp_path):
+    from pressgauge.streaming import ingest as I
+
+    store = str(tmp_path / "store")
+    schema = "title string, content string, source_url string, published_at string"
+    text = "a text that is long enough to be stored as an article of its own " * 3
+    make = lambda ids: spark.createDataFrame([(f"t{i}", text, f"https://a.com/{i}", None) for i in ids], schema)
+    I.store_batch(make(range(300)), 0, store, F.lit("2024-01-01").cast("timestamp"))
+    I.store_batch(make([5, 6, 1000]), 1, store, F.lit("2024-01-01").cast("timestamp"))
+    I.store_batch(make([5, 6, 1000]), 1, store, F.lit("2024-01-01").cast("timestamp"))
+    assert I.read_store(spark, store).count() == 301
+    one = I.seen_ids(spark, store, ["a"])
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "prefix" in plan.split("PartitionFilters: [")[1][:200]
+    assert {r.id[:1] for r in one.collect()} == {"a"} and one.count() < 60
+
+
+def test_compaction_keeps_rows_and_leaves_large_folders(spark, tmp_path):
+    from pressgauge.sources import articles as A
+
+    path = str(tmp_path / "by_domain")
+    rows = spark.createDataFrame([(i, "hot.com" if i % 3 else f"d{i % 5}.com", "x" * 50) for i in range(300)], "id long, domain string, content string")
+    for part in range(4):
+        A.append_articles(rows.where(F.col("id") % 4 == part), path)
+    files = len(spark.read.parquet(path).inputFiles())
+    assert A.compact_articles(spark, path) == 6 and A.compact_articles(spark, path) == 0
+    again = spark.read.parquet(path)
+    assert len(again.inputFiles()) < files and again.count() == 300 and again.select("id").distinct().count() == 300
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace as Some
+
+    from pressgauge.session import shared_folder
+
+    conf = Some(get=lambda *a: None)
+    far = Some(conf=conf, sparkContext=Some(getConf=lambda: conf, master="spark://host:7077", applicationId="x", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError):
+        shared_folder(far)
