@@ -81,7 +81,7 @@ def parse_whois(df: DataFrame, raw: str, as_of: Column, keep: Sequence[str] = ("
         F.datediff(day(expires), as_of).alias("days_until_expiry"),
         F.substring_index(updated, "T", 1).alias("updated_date"),
         F.datediff(as_of, day(updated)).alias("days_since_update"),
-        F.slice(servers, 1, 3).alias("name_servers"),
+        servers.alias("name_servers"),
         hosting.alias("hosting_provider"),
         signed.isin(*L.DNSSEC_ON).alias("dnssec_enabled"),
         F.exists(statuses, lambda s: U.contains_any(s, L.LOCK_CODES)).alias("domain_locked"),

@@ -181,18 +181,21 @@ def crosscheck_points(candidates: DataFrame, similarities: DataFrame, shown: int
 
 
 def related_articles(queries: DataFrame, corpus: DataFrame, reliable: Sequence[str] = tuple(L.RELIABLE_SOURCES),
-                     k: int = 8, settings: TfidfSettings = RELATED, key: str = "id") -> DataFrame:
+                     k: int = 8, settings: TfidfSettings = RELATED, key: str = "id",
+                     title: int | None = 150, snippet: int | None = 250) -> DataFrame:
     """Cards of the k most relevant corpus articles from reliable domains other than the query's.
 
-    Both sides have ``key, url, title, content``; title and whole content are compared, the snippet is for display.
+    Both sides have ``key, url, title, content``; title and whole content are compared. ``title`` and
+    ``snippet`` are the characters shown of title and content (all: None).
     """
     cards = corpus.withColumn("domain", U.domain_of(F.col("url"))).filter(
         (F.col("domain") != "") & F.col("url").startswith("http") & U.is_reliable(F.col("domain"), reliable))
     cards = cards.withColumn("_card", F.concat(F.col("title"), F.lit(" "), F.col("content")))
     asked = queries.withColumn("domain", U.domain_of(F.col("url"))).withColumn("_card", F.col("content"))
     pairs = tfidf_cosine(asked, cards, key, "_card", k, settings, domain="domain")
-    shown = cards.select(F.col(key).cast("long").alias("cand_id"), F.substring("title", 1, 150).alias("title"),
-                         F.col("domain").alias("source"), "url", F.substring("content", 1, 250).alias("snippet"))
+    cut = lambda c, n: (F.substring(c, 1, n) if n else F.col(c)).alias(c)
+    shown = cards.select(F.col(key).cast("long").alias("cand_id"), cut("title", title),
+                         F.col("domain").alias("source"), "url", cut("content", snippet).alias("snippet"))
     return shown.join(settled(pairs), "cand_id").select(
         "query_id", "rank", "cand_id", "title", "source", "url", "snippet",
         F.round(ladders.relevance_scale(F.col("similarity")), 2).alias("relevance"),

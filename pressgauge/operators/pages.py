@@ -208,7 +208,7 @@ def feed_links(feeds: DataFrame, xml: str = "xml") -> DataFrame:
         F.regexp_replace("link", r"(?s)[?#].*$", "").alias("link")).distinct()
 
 
-def feed_items(feeds: DataFrame, key: str, xml: str = "xml") -> DataFrame:
+def feed_items(feeds: DataFrame, key: str, xml: str = "xml", title: int | None = 150, snippet: int | None = 250) -> DataFrame:
     """Title, link, source, date and snippet per feed item, in feed order.
 
     Every item is cut out of the feed once; its fields are read from the item.
@@ -226,11 +226,12 @@ def feed_items(feeds: DataFrame, key: str, xml: str = "xml") -> DataFrame:
     domain = U.domain_of(link)
     domain = F.when((domain == "news.google.com") & (source_url != ""), U.domain_of(source_url)).otherwise(domain)
     plain = lambda c: X.clean_html(X.decode_entities(c))
+    cut = lambda c, n: F.substring(c, 1, n) if n else c
     return rows.select(
-        key, (F.col("pos") + 1).alias("item_number"), F.substring(plain(field("title")), 1, 150).alias("title"),
+        key, (F.col("pos") + 1).alias("item_number"), cut(plain(field("title")), title).alias("title"),
         link.alias("link"), domain.alias("domain"), F.coalesce(plain(field("source")), domain).alias("source"),
         X.parse_published(field("pubDate", "published")).alias("published_on"),
-        F.substring(F.coalesce(plain(field("description", "summary")), F.lit("")), 1, 250).alias("snippet"),
+        cut(F.coalesce(plain(field("description", "summary")), F.lit("")), snippet).alias("snippet"),
     ).filter(F.col("link") != "")
 
 

@@ -85,3 +85,18 @@ def top_k(df: DataFrame, group: str | list[str], order: list[Column], k: int) ->
     keys = [group] if isinstance(group, str) else group
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
+
+
+def positions(ordered: DataFrame, name: str = "position") -> DataFrame:
+    """Number the rows of a sorted table from 1, without bringing them into one task.
+
+    The sorted partitions are written; each is numbered on its own, from the rows of the partitions before it. Only one
+    count per partition meets in a task, and that table is broadcast.
+    """
+    held = cut_lineage(ordered.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = held.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = F.broadcast(counts.select("_part", before.alias("_before")))
+    within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return held.withColumn("_part", part).join(spans, "_part").select(*ordered.columns, (F.col("_before") + within + 1).alias(name))

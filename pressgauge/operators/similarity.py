@@ -231,12 +231,14 @@ def word_sets(df: DataFrame, key: str, text: str, vocabulary: DataFrame) -> Data
         "val", F.transform("idx", lambda i: F.lit(1.0)))
 
 
-def jaccard_map(queries: DataFrame, corpus: DataFrame, key: str, text: str, shown: int = 30) -> DataFrame:
+def jaccard_map(queries: DataFrame, corpus: DataFrame, key: str, text: str, shown: int = 30,
+                title: int | None = 50) -> DataFrame:
     """Points of the similarity map: word Jaccard of each query with its closest articles.
 
     Both sides have ``key, text, title, source, credibility_score,
     overall_score``. The query itself is the first point at x = 1. All
-    articles are compared; ``shown`` points are displayed, the query included.
+    articles are compared; ``shown`` points are displayed, the query included, with
+    ``title`` characters of each title (all: None).
     Missing scores count as 0.5.
     """
     from pressgauge.functions import text as X
@@ -249,13 +251,14 @@ def jaccard_map(queries: DataFrame, corpus: DataFrame, key: str, text: str, show
     c = word_sets(corpus.filter(F.length(text) > 0), key, text, vocabulary)
     pairs = settled(top_matches(q, c, shown - 1, sparse_jaccard))
     score = lambda c: F.coalesce(c.cast("double"), F.lit(0.5))
+    head = F.substring("title", 1, title) if title else F.col("title")
     others = pairs.join(corpus, pairs.cand_id == corpus[key]).select(
         "query_id", (F.col("rank") + 1).alias("point"), F.col("similarity").alias("x"),
-        score(F.col("credibility_score")).alias("y"), F.substring("title", 1, 50).alias("title"),
+        score(F.col("credibility_score")).alias("y"), head.alias("title"),
         "source", score(F.col("overall_score")).alias("overall_score"), F.lit(False).alias("is_current"))
     own = queries.select(
         F.col(key).cast("long").alias("query_id"), F.lit(1).alias("point"), F.lit(1.0).alias("x"),
-        score(F.col("credibility_score")).alias("y"), F.substring("title", 1, 50).alias("title"),
+        score(F.col("credibility_score")).alias("y"), head.alias("title"),
         "source", score(F.col("overall_score")).alias("overall_score"), F.lit(True).alias("is_current"))
     return own.unionByName(others)
 

@@ -120,18 +120,18 @@ def phrase_counts(df: DataFrame, phrases: Sequence[str]) -> DataFrame:
     return per_label.select("label", "documents", F.inline_outer(F.array(*rows)))
 
 
-def phrase_lift(df: DataFrame, phrases: Sequence[str], top: int = 20) -> DataFrame:
+def phrase_lift(df: DataFrame, phrases: Sequence[str], top: int | None = None) -> DataFrame:
     """How much more often a phrase occurs per fake than per real document.
 
-    A phrase without real occurrences has infinite lift; one without any is left out.
+    A phrase without real occurrences has infinite lift; one without any is left out. ``top`` limits the report.
     """
     per = phrase_counts(df, phrases).groupBy("phrase").agg(
         F.max(F.when(F.col("label") == 1, F.col("occurrences") / F.col("documents"))).alias("fake_rate"),
         F.max(F.when(F.col("label") == 0, F.col("occurrences") / F.col("documents"))).alias("real_rate"))
     lift = F.when(F.col("real_rate") > 0, F.col("fake_rate") / F.col("real_rate")).when(
         F.col("fake_rate") > 0, F.lit(float("inf")))
-    return (per.withColumn("lift", lift).filter(F.col("lift").isNotNull())
-            .orderBy(F.desc("lift"), "phrase").limit(top))
+    ranked = per.withColumn("lift", lift).filter(F.col("lift").isNotNull()).orderBy(F.desc("lift"), "phrase")
+    return ranked if top is None else ranked.limit(top)
 
 
 def with_word_frequency(df: DataFrame, text: str, credible: Sequence[str], suspicious: Sequence[str]) -> DataFrame:

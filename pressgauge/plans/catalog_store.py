@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pressgauge.functions import ladders as B, lexicons as L, text as X, urls as U
 from pressgauge.operators import cleaning as N, embedding as E, pages as P, statistics as ST, store as D
+from pressgauge.operators.ranking import positions
 from pressgauge.plans.registry import (ARTICLES_SQL, STORE_SQL, Tables, base_sql, clean_url_sql, contains_any_sql,
                                        domain_sql, host_sql, path_sql, query, sql_in, ws_count)
 from pressgauge.session import shared_folder
@@ -284,16 +285,10 @@ def _(t: Tables):
 
 @query("credible_first", "F3", f"""
 WITH {ARTICLES_SQL}, r AS (SELECT id, title, {reliable_sql(domain_sql('url'), FEW)} AS is_reliable FROM articles)
-SELECT id, is_reliable, row_number() OVER (ORDER BY is_reliable DESC, length(title) DESC, id) AS position FROM r
-QUALIFY position <= 50""")
+SELECT id, is_reliable, row_number() OVER (ORDER BY is_reliable DESC, length(title) DESC, id) AS position FROM r""")
 def _(t: Tables):
     rows = t.articles.select("id", "title", U.is_reliable(U.domain_of(F.col("url")), FEW).alias("is_reliable"))
-    top = N.credible_first(rows).limit(50)
-    from pyspark.sql import Window
-
-    order = Window.orderBy(F.desc("is_reliable"), F.desc(F.length("title")), "id")
-    return top.withColumn("position", F.row_number().over(order)).select("id", "is_reliable",
-                                                                         F.col("position").cast("long").alias("position"))
+    return positions(N.credible_first(rows)).select("id", "is_reliable", "position")
 
 
 @query("score_bands", "B23 B24 B25 B28", f"""

@@ -564,3 +564,12 @@ def test_shared_folder_must_be_named_on_a_cluster():
     far = Some(conf=conf, sparkContext=Some(getConf=lambda: conf, master="spark://host:7077", applicationId="x", getCheckpointDir=lambda: None))
     with pytest.raises(ValueError):
         shared_folder(far)
+
+
+def test_positions_number_a_sorted_table(spark):
+    from pressgauge.operators.ranking import positions
+
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x")).repartition(7).orderBy("x")
+    out = positions(df)
+    assert {(r.x, r.position) for r in out.collect()} == {(i, i + 1) for i in range(1000)}
+    assert positions(df.limit(0)).count() == 0

@@ -70,7 +70,7 @@ def test_whois(spark):
     out = C.parse_whois(df, "raw", F.lit("2024-06-01").cast("date")).withColumn("text", C.whois_description())
     a, b, c = sorted(out.collect(), key=lambda r: r.domain)
     assert a.age_years == 14.0 and a.registrar_trusted and not a.privacy_protected and a.registrant_org == "News Ltd"
-    assert a.hosting_provider == "AWS Route 53" and a.dnssec_enabled and a.domain_locked and len(a.name_servers) == 3
+    assert a.hosting_provider == "AWS Route 53" and a.dnssec_enabled and a.domain_locked and len(a.name_servers) == 4
     assert a.days_until_expiry == 19 and a.days_since_update == 2
     assert "expires in 19 days" in a.text and "DNSSEC, Transfer Lock" in a.text
     assert not b.verified and b.text is None and not c.verified
