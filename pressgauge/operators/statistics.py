@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pressgauge.functions import text as X
-from pressgauge.session import small_side
+from pressgauge.operators.ranking import positions
+from pressgauge.session import cut_lineage, small_side
 
 
 def label_distribution(df: DataFrame) -> DataFrame:
@@ -36,11 +37,12 @@ def text_statistics(df: DataFrame) -> DataFrame:
 
 def data_summary(df: DataFrame) -> DataFrame:
     """Total, per-label and per-source counts with shares, and text statistics, in one pass."""
-    grouped = df.groupingSets([["source"], ["label"], []], "source", "label").agg(
-        F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("n"), *_text_aggregates())
+    grouped = cut_lineage(df.groupingSets([["source"], ["label"], []], "source", "label").agg(
+        F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("n"), *_text_aggregates()))
     section = F.when(F.col("gid") == 1, "source").when(F.col("gid") == 2, "label").otherwise("total")
-    # The grouping sets are a handful of rows: the total row gives the share base.
-    total = F.max(F.when(F.col("gid") == 3, F.col("n"))).over(Window.partitionBy(F.lit(1)))
+    # One number: the share base.
+    whole = grouped.where("gid = 3").first()
+    total = F.lit(whole["n"] if whole else None).cast("long")
     return grouped.select(
         section.alias("section"),
         F.when(F.col("gid") == 1, F.col("source")).when(F.col("gid") == 2, F.col("label").cast("string"))
@@ -62,11 +64,12 @@ def perform_aggregations(df: DataFrame) -> dict[str, DataFrame]:
 
 
 def ranked_sources(df: DataFrame) -> DataFrame:
-    """Sources by count with their share of all rows; the window runs over the counts."""
-    counts = df.groupBy("source").agg(F.count(F.lit(1)).alias("count"))
-    everything = Window.partitionBy(F.lit(1))
-    return counts.withColumn("percent", F.col("count") / F.sum("count").over(everything) * 100).withColumn(
-        "position", F.row_number().over(everything.orderBy(F.desc("count"), "source")))
+    """Sources by count with their share of all rows. Any number of sources is sorted and numbered by partition."""
+    counts = cut_lineage(df.groupBy("source").agg(F.count(F.lit(1)).alias("count")))
+    total = counts.agg(F.sum("count")).first()[0]
+    shares = counts.withColumn("percent", F.col("count") / F.lit(total).cast("long") * 100)
+    ranked = positions(shares.orderBy(F.desc("count"), "source"))
+    return ranked.withColumn("position", F.col("position").cast("int"))
 
 
 def profile_source(df: DataFrame, label: str | None = None) -> DataFrame:
