@@ -185,14 +185,3 @@ def test_collocations(docs, none):
     got = collocations.collocations(docs, 100).collect()
     assert {r.lang for r in got} == {"en"} and all(r["rank"] >= 1 and "alpha" in r.phrase for r in got)
     assert collocations.collocations(none).count() == 0 and collocations.collocations(docs, 10 ** 6).count() == 0
-
-
-def test_shared_folder_must_be_named_on_a_cluster(monkeypatch, spark):
-    from types import SimpleNamespace as Some
-
-    from pressgauge.llm.common import shared_folder
-
-    conf = Some(get=lambda *a: None)
-    far = Some(conf=conf, sparkContext=Some(getConf=lambda: conf, master="spark://host:7077", applicationId="x"))
-    with pytest.raises(ValueError):
-        shared_folder(far)
