@@ -193,8 +193,9 @@ class Index:
             more = self.onward[r][j]
             if not len(more):
                 return
-            go = more[np.minimum(np.searchsorted(more, key), len(more) - 1)] == key
-            place, at, key, w = place[go], at[go], key[go], w[go]
+            if j and sampled[j]:               # before that, a key is the anchor word, which the table has told
+                go = more[np.minimum(np.searchsorted(more, key), len(more) - 1)] == key
+                place, at, key, w = place[go], at[go], key[go], w[go]
             at = at + (np.uint64(odd[j]) * w >> np.uint64(63)).astype(np.int64)
 
 
