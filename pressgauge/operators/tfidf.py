@@ -164,7 +164,9 @@ def tfidf_cosine(queries: DataFrame, corpus: DataFrame, key: str, text: str, k:
         qw = qw.join(asked.withColumnRenamed("id", "query_id"), "query_id")
         cw = cw.join(stored, "id")
     wanted = k if idf_scope == "corpus" else max(k, pool)
-    found = best_matches(build_index(cw), qw, wanted, allowed)
+    # A term that no request has adds to no score: the index leaves it out.
+    met = cw.join(qw.select("idx").distinct(), "idx", "left_semi")
+    found = best_matches(build_index(met), qw, wanted, allowed)
     if idf_scope == "query":
         found = refitted(found, q, c, k, settings)
     return filled(cut_lineage(found), asked, stored, k, allowed) if keep_unrelated else found
