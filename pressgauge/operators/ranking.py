@@ -33,7 +33,7 @@ def hash_rank(df: DataFrame, group: str, key: str, seed: int | str) -> DataFrame
         F.sum("_n").over(by_group).alias("group_size"))
     within = Window.partitionBy(group, "_b").orderBy("order")
     ranked = hashed.withColumn("_r", F.row_number().over(within))
-    joined = ranked.join(small_side(cut_lineage(offsets)), (F.col(group) == F.col("_g")) & (F.col("_b") == F.col("_gb")))
+    joined = ranked.join(small_side(offsets), (F.col(group) == F.col("_g")) & (F.col("_b") == F.col("_gb")))
     return joined.select(group, key, "order", (F.col("_before") + F.col("_r")).alias("hash_rank"), "group_size")
 
 
@@ -48,7 +48,7 @@ def stratified_split(df: DataFrame, label: str = "label", key: str = "doc_id", t
     ranked = hash_rank(df, label, key, seed)
     percent_rank = (F.col("hash_rank") - 1) / F.greatest(F.lit(1), F.col("group_size") - 1)
     cut = ranked.filter(percent_rank < test).groupBy(label).agg(F.max("order").alias("_cut"))
-    marked = df.join(small_side(cut_lineage(cut)), label, "left")
+    marked = df.join(small_side(cut), label, "left")
     return marked.withColumn("is_test", F.coalesce(_order(key, seed) <= F.col("_cut"), F.lit(False))).select(
         *df.columns, "is_test")
 
@@ -63,7 +63,7 @@ def kfold(df: DataFrame, k: int, label: str = "label", key: str = "doc_id", seed
         extra + F.floor((F.col("hash_rank") - 1 - extra * (small + 1)) / F.greatest(F.lit(1), small)))
     ends = ranked.groupBy(label, tile.alias("_tile")).agg(F.max("order").alias("_end"))
     cuts = ends.groupBy(label).agg(F.collect_list("_end").alias("_ends"))
-    marked = df.join(small_side(cut_lineage(cuts)), label, "left").withColumn("_o", _order(key, seed))
+    marked = df.join(small_side(cuts), label, "left").withColumn("_o", _order(key, seed))
     fold = F.size(F.filter("_ends", lambda end: end < F.col("_o"))) + 1
     return marked.select(*df.columns, fold.cast("int").alias("fold"))
 

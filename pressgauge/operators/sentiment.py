@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pressgauge.functions import lexicons as L, text as X
+from pressgauge.operators.lexicon import word_mask
 from pressgauge.session import small_side
 
 # Longest phrase boosters, looked up on the two or three words before.
@@ -31,22 +35,16 @@ def _negates(word: Column) -> Column:
     return F.coalesce(F.lower(word).isin(*L.NEGATIONS) | F.lower(word).contains("n't"), F.lit(False))
 
 
-# Lexicon words up to which membership is tested inside the row.
-_INLINE_WORDS = 50_000
-
-
 def _charged_tokens(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
     """Lexicon tokens of every document, with neighbours, and one summary row (``i`` = -1) per document.
 
-    ``w, low`` is the token, ``p1 p2 p3`` the words before and ``n1 n2`` the
-    words after it, ``lv`` its valence, ``k_*`` whether a neighbour is in the
-    lexicon. With a lexicon of ordinary size the words enter the plan as a
-    hash set, so only lexicon tokens are exploded; a larger one is joined.
+    ``w, low`` is the token, ``p1 p2 p3`` the words before and ``n1 n2`` the words after it, ``lv`` its valence, ``k_*``
+    whether a neighbour is in the lexicon. A mask of the lexicon's words leaves few other tokens to explode, one join
+    decides, and neighbours that are in the lexicon are lexicon tokens of the same document at the place before or behind.
     """
     lex = lexicon.groupBy(F.lower("word").alias("lw")).agg(F.max(F.col("valence").cast("double")).alias("lv"))
-    inline = lex.select("lw").limit(_INLINE_WORDS + 1).collect()
-    known = [r.lw for r in inline] if len(inline) <= _INLINE_WORDS else None
-    lex = F.broadcast(lex) if known is not None else lex
+    lex = small_side(lex.where("lw IS NOT NULL AND lv IS NOT NULL"))
+    listed = word_mask(lex, "lw")
 
     staged = df.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn(
         "_w", _tokens(F.col("_t"))).withColumn("_l", F.transform("_w", F.lower))
@@ -64,9 +62,7 @@ def _charged_tokens(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> D
         return F.struct(i.alias("i"), F.get(w, i).alias("w"), F.get(low, i).alias("low"),
                         *[at(w, i, s).alias(c) for c, s in neighbours.items()])
 
-    places = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
-    if known is not None:
-        places = F.filter(places, lambda i: F.get(low, i).isin(*known)) if known else F.array().cast("array<int>")
+    places = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: listed(F.get(low, i)) & (i < n))
     text_null = F.lit(None).cast("string")
     summary = F.array(F.struct(F.lit(-1).alias("i"), text_null.alias("w"), text_null.alias("low"),
                                *[text_null.alias(c) for c in neighbours]))
@@ -78,24 +74,26 @@ def _charged_tokens(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> D
         F.concat(summary, F.transform(places, row)).alias("_x"))
     exploded = per_doc.select(key, "n", "but", "cap_diff", "emphasis", F.explode_outer("_x").alias("x")).select(
         key, "n", "but", "cap_diff", "emphasis", "x.*")
-    hit = exploded.join(lex, exploded.low == lex.lw, "left").filter((F.col("i") == -1) | F.col("lv").isNotNull())
-    for name in ("p1", "p2", "p3", "n1"):
-        if known is not None:
-            member = F.lower(F.col(name)).isin(*known) if known else F.lit(False)
-            hit = hit.withColumn(f"k_{name}", F.when(member, True))
-        else:
-            other = lex.select(F.col("lw").alias(f"k_{name}"))
-            hit = hit.join(other, F.lower(F.col(name)) == F.col(f"k_{name}"), "left")
-    return hit
+    # Summary rows have no word: each gets a key of its own that no word has, or they would all meet in one task.
+    met = exploded.withColumn("_j", F.coalesce("low", F.concat(F.lit(" "), F.xxhash64(key).cast("string"))))
+    hit = met.join(lex, met["_j"] == lex["lw"], "left").drop("_j", "lw").where((F.col("i") == -1) | F.col("lv").isNotNull())
+    order = Window.partitionBy(key).orderBy("i")
+    near = {f"b{d}": F.lag("i", d).over(order) for d in (1, 2, 3)} | {"a1": F.lead("i").over(order)}
+    hit = hit.withColumns(near)
+
+    def found(shift: int, columns: tuple[str, ...]) -> Column:
+        there = reduce(or_, [F.coalesce(F.col(c) == F.col("i") + shift, F.lit(False)) for c in columns])
+        return F.when(there & (F.col("i") + shift >= 0), True)
+
+    return hit.withColumns({"k_p1": found(-1, ("b1",)), "k_p2": found(-2, ("b1", "b2")), "k_p3": found(-3, ("b1", "b2", "b3")),
+                            "k_n1": found(1, ("a1",))}).drop(*near)
 
 
 def sentiment_scores(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
     """``compound``, ``pos``, ``neg``, ``neu`` per document.
 
-    ``lexicon`` is a dictionary table ``(word, valence)``. Every lexicon token
-    carries its neighbours along, so the neighbour rules need no window. All
-    rows of a document stay in its scan partition, where the partial aggregate
-    folds them before anything is shuffled.
+    ``lexicon`` is a dictionary table ``(word, valence)`` of any size. Every lexicon token carries its neighbours along;
+    lexicon tokens alone are shuffled, by document, once for the neighbours' flags and the sums.
 
     The contrast rule for "but" weighs words by position in the text.
     """
@@ -189,8 +187,12 @@ def sentiment_features(scores: DataFrame) -> DataFrame:
 
 def subjectivity(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
     """Mean subjectivity of the lexicon words in a document; 0 where there are none."""
-    tokens = df.select(key, F.explode_outer(X.word_tokens(F.col(text))).alias("word"))
-    return tokens.join(small_side(lexicon.select("word", "subjectivity")), "word", "left").groupBy(key).agg(
+    lex = small_side(lexicon.where("word IS NOT NULL").select("word", "subjectivity"))
+    listed = word_mask(lex, "word")
+    tokens = df.select(key, F.explode_outer(F.filter(X.word_tokens(F.col(text)), listed)).alias("word"))
+    # Documents without such a word get a key of their own.
+    tokens = tokens.withColumn("word", F.coalesce("word", F.concat(F.lit(" "), F.xxhash64(key).cast("string"))))
+    return tokens.join(lex, "word", "left").groupBy(key).agg(
         F.coalesce(F.avg("subjectivity"), F.lit(0.0)).alias("sentiment_subjectivity"))
 
 

@@ -225,7 +225,7 @@ def word_sets(df: DataFrame, key: str, text: str, vocabulary: DataFrame) -> Data
     tokens = df.select(F.col(key).cast("long").alias("id"), F.array_distinct(X.word_tokens(F.col(text))).alias("_w"))
     sized = tokens.select("id", F.size("_w").alias("size"), "_w")
     flat = sized.select("id", "size", F.explode_outer("_w").alias("term"))
-    hit = flat.join(small_side(vocabulary), "term", "left")
+    hit = flat.join(vocabulary, "term", "left")
     return hit.groupBy("id").agg(
         F.sort_array(F.collect_list("idx")).alias("idx"), F.max("size").alias("size")).withColumn(
         "val", F.transform("idx", lambda i: F.lit(1.0)))
@@ -265,7 +265,7 @@ def jaccard_map(queries: DataFrame, corpus: DataFrame, key: str, text: str, show
 
 def settled(pairs: DataFrame) -> DataFrame:
     """Computed match rows (k per request), ready to be joined to a large corpus from the small side."""
-    return small_side(cut_lineage(pairs))
+    return small_side(pairs)
 
 
 def indexed(df: DataFrame, column: str) -> DataFrame:

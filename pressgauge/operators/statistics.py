@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pressgauge.functions import text as X
 from pressgauge.operators.ranking import positions
+from pressgauge.operators.lexicon import word_mask
 from pressgauge.session import cut_lineage, small_side
 
 
@@ -174,8 +175,9 @@ def word_frequency(df: DataFrame, key: str, text: str, credible: Sequence[str],
 def lexicon_matches(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
     """Occurrences of lexicon words per document and category.
 
-    The lexicon is broadcast if its checked size allows. All tokens of one document sit in one
-    partition, so the partial aggregate already folds them before the shuffle.
+    A mask of the lexicon's words leaves few other tokens to explode. All tokens of one document sit in one partition, so
+    the partial aggregate already folds them before the shuffle.
     """
-    tokens = df.select(key, F.explode_outer(X.word_tokens(F.col(text))).alias("word"))
-    return tokens.join(small_side(lexicon), "word").groupBy(key, "category").agg(F.count(F.lit(1)).alias("hits"))
+    lex = small_side(lexicon)
+    tokens = df.select(key, F.explode_outer(F.filter(X.word_tokens(F.col(text)), word_mask(lex, "word"))).alias("word"))
+    return tokens.where("word IS NOT NULL").join(lex, "word").groupBy(key, "category").agg(F.count(F.lit(1)).alias("hits"))

@@ -14,7 +14,7 @@ from pressgauge.operators.linguistic import english_stop_words
 from pressgauge.operators.inverted import best_matches, build_index, filled
 from pressgauge.operators.ranking import top_k
 from pressgauge.operators.similarity import indexed
-from pressgauge.session import SMALL_ROWS, cut_lineage
+from pressgauge.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -106,18 +106,13 @@ def vocabulary(lists: DataFrame, settings: TfidfSettings, documents: int | None
         "term", "idx", "df", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
-def _held(vocab: DataFrame, settings: TfidfSettings) -> DataFrame:
-    """A vocabulary of a few thousand terms is broadcast; one of any size (``max_features=None``) is left to Spark."""
-    return F.broadcast(vocab) if settings.max_features is not None and settings.max_features <= SMALL_ROWS else vocab
-
-
 def tfidf_weights(lists: DataFrame, vocab: DataFrame, settings: TfidfSettings) -> DataFrame:
     """``id, term, idx, weight``, L2-normalised per document.
 
     Terms are counted before they meet the vocabulary, so one row per document and distinct term is shuffled; weights and
-    norm come out of one grouping by document.
+    norm come out of one grouping by document. A vocabulary small enough is broadcast by the optimizer.
     """
-    hits = counted_terms(lists).join(_held(vocab, settings), "term")
+    hits = counted_terms(lists).join(vocab, "term")
     tf = (1.0 + F.log("tf")) if settings.sublinear else F.col("tf").cast("double")
     weighted = hits.select("id", F.struct("term", "idx", (tf * F.col("idf")).alias("w")).alias("x"))
     whole = weighted.groupBy("id").agg(F.collect_list("x").alias("v"), F.sqrt(F.sum(F.col("x.w") * F.col("x.w"))).alias("_n"))

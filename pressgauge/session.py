@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "pressgauge", master: str | None = None, **conf: str) -> SparkSession:
@@ -47,26 +48,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder: later stages start from files, not from lost executors."""
-    sc = df.sparkSession.sparkContext
-    # The driver may have set the folder through either route.
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """``df`` written once as Parquet in the shared folder and read back: later stages start from files, not from lost
+    executors, and the optimizer knows their bytes. (An eager checkpoint would run the last stage twice.)"""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-# Rows up to which a narrow table may be broadcast (about 20 MB at 100 bytes a row).
-SMALL_ROWS = 200_000
+def small_side(df: DataFrame) -> DataFrame:
+    """``df`` written, for the side of a join that is usually small: dictionaries, vocabularies, counts.
 
-
-def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is.
-
-    Meant for narrow tables that do not grow with the corpus: dictionaries,
-    vocabularies, counts. Beyond the limit the join is left to the optimizer,
-    which shuffles both sides.
+    Whether it is broadcast is left to the optimizer, which compares the bytes written with
+    ``spark.sql.autoBroadcastJoinThreshold``; beyond that both sides are shuffled and skewed partitions split.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return cut_lineage(df)
 
 
 def spread(df: DataFrame) -> DataFrame:

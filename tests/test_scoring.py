@@ -39,12 +39,28 @@ def test_sentiment(spark, lexicon, text, total):
     assert M.sentiment_scores(df, "id", "t", lexicon).first().compound == pytest.approx(compound(total), abs=1e-4)
 
 
-def test_sentiment_join_path_equals_inline_path(spark, lexicon, monkeypatch):
-    rows = [(i, t) for i, t in enumerate(["very good, not bad!", "a GREAT and no good but bad", "kind of great", "x"])]
+def test_sentiment_neighbours_in_the_lexicon(spark, monkeypatch):
+    """A booster that is itself a lexicon word does not boost, at any of the three places; masks of any width agree."""
+    lex = spark.createDataFrame([*LEX, ("very", 0.5), ("least", 0.1)], "word string, valence double")
+    rows = [(0, "very good"), (1, "very it good"), (2, "very it is good"), (3, "least good"), (4, "no good"), (5, "no very"),
+            (6, None), (7, "x")]
     df = spark.createDataFrame(rows, "id int, t string")
-    inline = sorted(M.sentiment_scores(df, "id", "t", lexicon).collect())
-    monkeypatch.setattr(M, "_INLINE_WORDS", 1)
-    assert sorted(M.sentiment_scores(df, "id", "t", lexicon).collect()) == inline
+    got = {r.id: r.compound for r in M.sentiment_scores(df, "id", "t", lex).collect()}
+    # "very" is silent as a booster word, and no booster as a lexicon word.
+    totals = [1.9, 1.9, 1.9, 0.1 + 1.9, 1.9 * -0.74, 0.0, 0.0, 0.0]
+    assert got == {i: pytest.approx(compound(t), abs=1e-4) for i, t in enumerate(totals)}
+    from pressgauge.operators import lexicon as X
+
+    monkeypatch.setattr(X, "MASK_BITS", 64)
+    assert {r.id: r.compound for r in M.sentiment_scores(df, "id", "t", lex).collect()} == got
+
+
+def test_sentiment_plan_takes_any_lexicon(spark):
+    lex = spark.range(200_000).selectExpr("concat('w', id) AS word", "0.5 AS valence")
+    df = spark.createDataFrame([(1, "w7 and w199999 or x")], "id int, t string")
+    out = M.sentiment_scores(df, "id", "t", lex)
+    assert out.first().compound == pytest.approx(compound(1.0), abs=1e-4)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
 
 
 def test_sentiment_shares(spark, lexicon):
