@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pressgauge.functions import ladders as B, text as X, urls as U
-from pressgauge.operators import crosscheck as K, ranking as R, similarity as V, tfidf as TF
+from pressgauge.operators import approximate as A, crosscheck as K, ranking as R, similarity as V, tfidf as TF
 from pressgauge.plans.catalog_corpus import STOPS
 from pressgauge.plans.registry import (ARTICLES_SQL, REQUESTS_SQL, STORE_SQL, Tables, W, clean_url_sql, domain_sql,
                                        query, sql_in, tok)
@@ -83,6 +83,18 @@ def _(t: Tables):
         "query_id", "cand_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+@query("top_similar_approximate", "I2", """
+SELECT count(*) AS requests, true AS recall_reached, true AS scores_exact FROM embeddings WHERE vec_id % 100 = 0""")
+def _(t: Tables):
+    # Every hundredth vector against all: the approximate matches beside the exact ones.
+    asked = vectors(t).where(F.col("id") % 100 == 0)
+    exact = V.top_similar(asked, vectors(t), 10).select("query_id", "cand_id", "similarity")
+    found = A.top_similar_approximate(asked, vectors(t), 10).select("query_id", "cand_id", F.col("similarity").alias("found"))
+    both = exact.join(found, ["query_id", "cand_id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("requests"), (F.count("found") >= 0.9 * F.count("similarity")).alias("recall_reached"),
+                    (F.count_if(F.abs(F.col("found") - F.col("similarity")) > 1e-6) == 0).alias("scores_exact"))
+
+
 @query("top_k_per_group", "E6 F4", """
 SELECT source, doc_id, n_chars, (row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id))::INTEGER AS rank
 FROM documents QUALIFY rank <= 8""")

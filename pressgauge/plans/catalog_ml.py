@@ -25,12 +25,20 @@ def trained(t: Tables) -> M.Trained:
     return M.train(features(t), M.feature_pipeline(M.linear_svc()))
 
 
-@query("tfidf_hashed", "I4")
+@query("tfidf_hashed", "I4", f"""
+WITH {CORPUS_SQL}, w AS (SELECT doc_id, string_split_regex(lower(text_full), '[\t-\r ]') AS raw FROM corpus),
+t AS (SELECT doc_id, CASE WHEN len(trimmed) = 0 THEN [''] ELSE trimmed END AS words
+  FROM (SELECT doc_id, list_slice(raw, 1, coalesce(list_max(list_transform(range(1, len(raw) + 1), lambda i: CASE WHEN raw[i] <> '' THEN i END)), 0)) AS trimmed FROM w))
+SELECT doc_id, len(words)::INTEGER AS words, true AS no_more_kept, true AS counted, true AS weighed FROM t""")
 def _(t: Tables):
     df = t.corpus
     out = Pipeline(stages=M.tfidf_stages()).fit(df).transform(df)
-    return out.select("doc_id", F.size("words").alias("words"), F.size("filtered_words").alias("kept_words"),
-                      F.size(F.filter(vector_to_array("tfidf_features"), lambda x: x != 0)).alias("terms"))
+    raw, weights = vector_to_array("raw_features"), vector_to_array("tfidf_features")
+    # The hash is Spark's own: a twin can state that every kept word is counted, and that weights stand where counts do.
+    total = F.aggregate(raw, F.lit(0.0), lambda s, x: s + x)
+    stray = F.exists(F.zip_with(raw, weights, lambda c, w: (c == 0) & (w != 0)), lambda x: x)
+    return out.select("doc_id", F.size("words").alias("words"), (F.size("filtered_words") <= F.size("words")).alias("no_more_kept"),
+                      (total == F.size("filtered_words")).alias("counted"), (~stray).alias("weighed"))
 
 
 @query("tfidf_vocabulary_vectors", "I5")
@@ -42,16 +50,21 @@ def _(t: Tables):
                       F.round(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)), 6).alias("length"))
 
 
-@query("scale_features", "K1")
+@query("scale_features", "K1", "SELECT " + ", ".join(
+    [f"0.0::DOUBLE AS mean_{n}" for n in L.FEATURE_NAMES] + [f"true AS std_{n}" for n in L.FEATURE_NAMES]))
 def _(t: Tables):
     df = features(t)
     out = Pipeline(stages=M.scale_stages()).fit(df).transform(df)
     v = vector_to_array("linguistic_features_scaled")
-    return out.agg(*[F.round(F.avg(F.get(v, F.lit(i))), 6).alias(f"mean_{n}") for i, n in enumerate(L.FEATURE_NAMES[:3])],
-                   *[F.round(F.stddev_samp(F.get(v, F.lit(i))), 6).alias(f"std_{n}") for i, n in enumerate(L.FEATURE_NAMES[:3])])
+    one = lambda i: F.get(v, F.lit(i))
+    # Deviation 1, or 0 where the feature is the same in all rows.
+    spread = lambda i, n: F.abs(F.stddev_samp(one(i)) - F.when(F.max(n) > F.min(n), 1.0).otherwise(0.0)) < 1e-6
+    return out.agg(*[(F.round(F.avg(one(i)), 6) + 0.0).alias(f"mean_{n}") for i, n in enumerate(L.FEATURE_NAMES)],
+                   *[spread(i, n).alias(f"std_{n}") for i, n in enumerate(L.FEATURE_NAMES)])
 
 
-@query("combine_features", "K2 D7")
+@query("combine_features", "K2 D7", f"""
+WITH {CORPUS_SQL} SELECT count(*) AS rows, {5000 + len(L.FEATURE_NAMES)} AS vector_size FROM corpus""")
 def _(t: Tables):
     return M.feature_summary(M.split_and_prepared(features(t)))
 

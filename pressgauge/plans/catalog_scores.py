@@ -13,6 +13,7 @@ from pressgauge.plans.registry import (ARTICLES_SQL, REQUESTS_SQL, Tables, base_
                                        ws_count)
 from pressgauge.plans.catalog_match import CROSS, METRICS_SQL, cosine_sql
 from pressgauge.plans.catalog_store import reliable_sql
+from pressgauge.session import cut_lineage
 
 # Stand-in source lists over the fixture's own domains.
 SOURCES = C.SourceLists(
@@ -150,7 +151,16 @@ def _(t: Tables):
                       "registrant_org", "days_until_expiry", "days_since_update", "hosting_provider", "dnssec_enabled")
 
 
-@query("whois_description", "B27 J7")
+@query("whois_description", "B27 J7", f"""
+WITH {_SITES_SQL}, d AS (SELECT domain, n, 1998 + n % 27 AS y, 2025 + n % 4 AS until,
+  round((DATE '2024-06-01' - ((1998 + n % 27) || '-03-14')::DATE) / 365.25::DOUBLE, 2) AS age FROM sites)
+SELECT domain, concat_ws('. ', 'Domain registered in ' || y || ' (' || floor(age)::BIGINT || CASE
+    WHEN age >= 20 THEN '+ years). Highly established online presence' WHEN age >= 10 THEN ' years). Well-established presence'
+    WHEN age >= 5 THEN ' years). Established presence' WHEN age >= 2 THEN ' years). Moderate history' ELSE ' year(s)). Relatively new' END,
+  CASE WHEN n % 3 = 0 THEN 'Registered with reputable registrar: Namecheap, Inc.' ELSE 'Registered with: Other Reg' END,
+  CASE WHEN n % 4 = 0 THEN '⚠️ Domain uses privacy protection - owner identity hidden' ELSE 'Public registration: News Ltd' END,
+  'Valid until ' || until, CASE WHEN n % 2 = 0 THEN 'Hosted on Cloudflare' END,
+  CASE WHEN n % 5 = 0 THEN 'Security features: DNSSEC enabled' END) || '.' AS description FROM d""")
 def _(t: Tables):
     out = C.parse_whois(whois_rows(t), "raw", F.lit("2024-06-01").cast("date"))
     return out.select("domain", C.whois_description().alias("description"))
@@ -218,19 +228,33 @@ def _(t: Tables):
                       "sensationalism")
 
 
+def zscore_parts(negated) -> tuple[str, dict[str, str]]:
+    """SQL of the statistics, and of every feature's weighted contribution."""
+    stats = ", ".join(f"avg({n}) AS m_{n}, stddev_pop({n}) AS s_{n}" for n in L.ZSCORE_WEIGHTS)
+    parts = {}
+    for n, weight in L.ZSCORE_WEIGHTS.items():
+        sign = "-" if L.FEATURE_NAMES.index(n) in negated else ""
+        parts[n] = (f"CASE WHEN s_{n} > 0 THEN greatest(-3.0::DOUBLE, least(3.0::DOUBLE, {sign}(({n} - m_{n}) / s_{n}))) ELSE 0 END "
+                    f"* {weight}::DOUBLE")
+    return stats, parts
+
+
+def contributors_sql() -> str:
+    stats, parts = zscore_parts(L.ZSCORE_NEGATED_BY_NAME)
+    rows = ", ".join(f"{{'feature': '{n}', 'v': {part}}}" for n, part in parts.items())
+    return f"""
+WITH feats AS ({features_sql(stand_in_lists())}), st AS (SELECT {stats} FROM feats),
+long AS (SELECT doc_id, unnest([{rows}]) AS c FROM feats, st)
+SELECT doc_id, (row_number() OVER w - 1)::INTEGER AS pos, c.feature AS feature, round(c.v, 5) + 0 AS contribution FROM long
+WINDOW w AS (PARTITION BY doc_id ORDER BY abs(round(c.v, 9)) DESC, c.feature) QUALIFY row_number() OVER w <= 5"""
+
+
 def zscore_sql() -> str:
-    names = list(L.ZSCORE_WEIGHTS)
-    stats = ", ".join(f"avg({n}) AS m_{n}, stddev_pop({n}) AS s_{n}" for n in names)
-    parts = []
-    for n in names:
-        i = L.FEATURE_NAMES.index(n)
-        sign = "-" if i in L.ZSCORE_NEGATED else ""
-        parts.append(f"CASE WHEN s_{n} > 0 THEN greatest(-3.0::DOUBLE, least(3.0::DOUBLE, {sign}(({n} - m_{n}) / s_{n}))) ELSE 0 END "
-                     f"* {L.ZSCORE_WEIGHTS[n]}::DOUBLE")
+    stats, parts = zscore_parts(L.ZSCORE_NEGATED)
     total = sum(L.ZSCORE_WEIGHTS.values())
     return f"""
 WITH feats AS ({features_sql(stand_in_lists())}), st AS (SELECT {stats} FROM feats),
-z AS (SELECT doc_id, ({' + '.join(parts)}) / {total}::DOUBLE AS combined_z FROM feats, st)
+z AS (SELECT doc_id, ({' + '.join(parts.values())}) / {total}::DOUBLE AS combined_z FROM feats, st)
 SELECT doc_id, round(combined_z, 5) AS combined_z, round(1 / (1 + exp(-0.5::DOUBLE * combined_z)), 5) AS calmness,
   round(1 - 1 / (1 + exp(-0.5::DOUBLE * combined_z)), 5) AS sensationalism FROM z"""
 
@@ -238,7 +262,8 @@ SELECT doc_id, round(combined_z, 5) AS combined_z, round(1 / (1 + exp(-0.5::DOUB
 @query("sensationalism_zscore", "J12", zscore_sql())
 def _(t: Tables):
     feats = G.linguistic_features(t.texts.select("doc_id", "text"), "text", stand_in_lists()).drop("text")
-    feats = feats.select("doc_id", *[F.round(n, 9).alias(n) for n in L.FEATURE_NAMES])
+    # Written once: the statistics and the scores read the same 28 columns.
+    feats = cut_lineage(feats.select("doc_id", *[F.round(n, 9).alias(n) for n in L.FEATURE_NAMES]))
     out = Z.sensationalism_zscore(feats, Z.feature_statistics(feats))
     return out.select("doc_id", *[F.round(c, 5).alias(c) for c in ("combined_z", "calmness", "sensationalism")])
 
@@ -269,12 +294,13 @@ def _(t: Tables):
     return out.select("id", F.col("sensationalism_method").alias("method"), F.round("sensationalism", 5).alias("sensationalism"))
 
 
-@query("zscore_contributors", "J12")
+@query("zscore_contributors", "J12", contributors_sql())
 def _(t: Tables):
     feats = G.linguistic_features(t.texts.select("doc_id", "text"), "text", stand_in_lists()).drop("text")
+    feats = cut_lineage(feats.select("doc_id", *[F.round(n, 9).alias(n) for n in L.FEATURE_NAMES]))
     out = Z.sensationalism_zscore(feats, Z.feature_statistics(feats), by_name=True)
     return out.select("doc_id", F.posexplode_outer("top_contributors").alias("pos", "c")).select(
-        "doc_id", "pos", F.col("c.feature").alias("feature"), F.round("c.contribution", 5).alias("contribution"))
+        "doc_id", "pos", F.col("c.feature").alias("feature"), (F.round("c.contribution", 5) + 0.0).alias("contribution"))
 
 
 @query("feature_breakdown", "J14", f"""

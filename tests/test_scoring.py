@@ -154,3 +154,36 @@ def test_overall(spark):
     cols = [F.lit(v) for v in (0.8, 0.6, 0.4, 0.2)]
     row = spark.range(1).select(S.overall_score(*cols).alias("a"), S.overall_score(*cols, invert=False).alias("b")).first()
     assert row.a == pytest.approx(0.65) and row.b == pytest.approx(0.5)
+
+
+def test_approximate_search_reaches_its_recall(spark):
+    """Clustered vectors, with a third of the rows equal: recall of at least 0.9, exact scores, ties by id."""
+    import numpy as np
+
+    from pressgauge.operators import approximate as A, similarity as V
+
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((30, 16))
+    rows = [(i, [float(x) for x in centres[i % 30] + 0.3 * rng.standard_normal(16)]) for i in range(600)]
+    rows += [(i, rows[0][1]) for i in range(600, 900)] + [(900, None), (901, [])]
+    stored = spark.createDataFrame(rows, "id long, vec array<double>")
+    asked = stored.where("id % 20 = 0")
+    exact = {(r.query_id, r.cand_id): r.similarity for r in V.top_similar(asked, stored, 10).collect()}
+    got = A.top_similar_approximate(asked, stored, 10).collect()
+    found = {(r.query_id, r.cand_id): r.similarity for r in got}
+    assert len(found.keys() & exact.keys()) >= 0.9 * len(exact)
+    assert all(abs(found[p] - exact[p]) < 1e-8 for p in found.keys() & exact.keys())
+    first = sorted((r.rank, r.cand_id) for r in got if r.query_id == 0)
+    assert first == [(i + 1, c) for i, c in enumerate([0, *range(600, 609)])]
+    assert A.top_similar_approximate(asked.limit(0), stored, 10).count() == 0
+    assert A.top_similar_approximate(asked, stored.limit(0), 10).count() == 0
+
+
+def test_bits_follow_the_angles():
+    import numpy as np
+
+    from pressgauge.operators import approximate as A
+
+    close, far = A.most_bits(np.full(10, 0.99), 0.9), A.most_bits(np.full(10, 0.3), 0.9)
+    assert close > far > 0 and A.most_bits(np.full(10, -1.0), 0.9) == 0
+    assert A.hit_rate(np.array([0.3]), A.TABLES, far) >= 0.9 > A.hit_rate(np.array([0.3]), A.TABLES, far + 1)
