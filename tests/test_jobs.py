@@ -98,8 +98,7 @@ def test_store_merges(spark):
     assert {(r.url, r.id) for r in D.insert_if_absent(have, batch).collect()} == {("u1", 1), ("u2", 3)}
 
 
-def test_lookup_loose_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(D, "REQUEST_BLOCK", 1)
+def test_lookup_loose(spark):
     store = spark.createDataFrame([("1", "https://a.com/x/", "c" * 200), ("2", "https://a.com/x/y", "c" * 200),
                                    ("3", "https://b.com", "short")], "id string, source_url string, content string")
     asked = spark.createDataFrame([("https://A.com/x",), ("https://b.com",), ("https://a.com/x/y?q",)], "url string")
@@ -107,10 +106,18 @@ def test_lookup_loose_in_blocks(spark, monkeypatch):
     assert got == {"https://a.com/x": "1", "https://a.com/x/y?q": "1"}
 
 
-def test_small_side_checks_size(spark):
-    df = spark.range(10)
-    plan = lambda d: d._jdf.queryExecution().logical().toString()
-    assert "broadcast" in plan(small_side(df, 10)) and "broadcast" not in plan(small_side(df, 9))
+def test_small_side_goes_by_the_bytes_written(spark):
+    """The optimizer broadcasts the written side by its size, and shuffles both beyond the threshold."""
+    def plan():
+        return spark.range(1_000_000).join(small_side(spark.range(10)), "id")._jdf.queryExecution().sparkPlan().toString()
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        assert "BroadcastHashJoin" in plan()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16b")
+        assert "BroadcastHashJoin" not in plan()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 PAGE = """<html><head><title>Site | T</title><meta property="og:site_name" content="The Site">
