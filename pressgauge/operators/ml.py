@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pressgauge.functions import lexicons as L
 from pressgauge.operators.ranking import class_weights, kfold, stratified_split
-from pressgauge.session import cut_lineage, small_side
+from pressgauge.session import checkpointed, small_side
 
 SEED = 42
 ROWS_A_TASK = 20_000      # rows of a partition that classifiers pass over
@@ -106,7 +106,7 @@ def sized(df: DataFrame, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
     A classifier passes over its rows some thousand times, and a pass costs a task for each partition: few rows belong
     into few partitions. Partitions are only merged, so no row is shuffled.
     """
-    held = cut_lineage(df)
+    held = checkpointed(df)
     return held.coalesce(max(1, -(-held.count() // rows_a_task)))
 
 
@@ -124,7 +124,7 @@ def train(df: DataFrame, pipeline: Pipeline, key: str = "doc_id", test: float =
     Vectors are made once, by the stages before the classifier, and written; the classifier reads them. ``fit_on="all"``
     fits every stage, scaler and idf included, on all rows.
     """
-    split = cut_lineage(stratified_split(df, "label", key, test, SEED))
+    split = checkpointed(stratified_split(df, "label", key, test, SEED))
     fit_rows, test_rows = split.filter(~F.col("is_test")), split.filter("is_test")
     own = split if fit_on == "all" else fit_rows
     *stages, classifier = pipeline.getStages()
@@ -309,7 +309,7 @@ def split_and_prepared(df: DataFrame, tfidf: bool = True, columns: Sequence[str]
     Vectors of all rows by stages and class weights that only the training part has fitted. Rows are split first and
     written once; the test part has a weight too, that of its class.
     """
-    split = cut_lineage(stratified_split(df, "label", key, test, SEED))
+    split = checkpointed(stratified_split(df, "label", key, test, SEED))
     train_rows = split.filter(~F.col("is_test"))
     weights = class_weights(train_rows).select("label", "weight")
     stages = (tfidf_stages(num_features=num_features) if tfidf else []) + (scale_stages(columns) if columns else [])

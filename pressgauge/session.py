@@ -55,6 +55,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` materialised partition by partition in the shared folder.
+
+    Files of a table are read in the order of their sizes; here partitions keep theirs, so that sums of floating-point
+    numbers that models are fitted on come out the same.
+    """
+    sc = df.sparkSession.sparkContext
+    # The driver may have set the folder through either route.
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
 def small_side(df: DataFrame) -> DataFrame:
     """``df`` written, for the side of a join that is usually small: dictionaries, vocabularies, counts.
 
