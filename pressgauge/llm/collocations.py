@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pressgauge.llm.common import arrow_stage, written
-from pressgauge.session import cut_lineage
+from pressgauge.session import checkpointed
 
 LONGEST = 5
 FILTER_BITS = 1 << 27         # 16 MB on the driver and in a task
@@ -272,10 +272,11 @@ def walk_batches(batches: Iterator[pa.RecordBatch], longest: int, before: dict,
 def walked(stream: DataFrame, order: list[Column], rows: int, longest: int) -> DataFrame:
     """``stream`` sorted by ``order`` over partitions, then walked: ``parts`` and ``ext`` are appended.
 
-    The sorted partitions are checkpointed, because both walks must meet the same ones.
+    The sorted partitions are checkpointed, because both walks must meet the same ones in the order of the sort: files of
+    a written table would be read by size, several in one partition.
     """
     count = min(PARTS, max(1, -(-rows // ROWS_A_PART)))
-    held = cut_lineage(stream.repartitionByRange(count, *order).sortWithinPartitions(*order))
+    held = checkpointed(stream.repartitionByRange(count, *order).sortWithinPartitions(*order))
     edges = arrow_stage(held.select("size", "f"), edge_batches, "part int, k int, last long, head long", longest).collect()
     schema = ", ".join(f"{n} {t}" for n, t in held.dtypes) + ", parts array<long>, ext long"
     return arrow_stage(held, walk_batches, schema, longest, *settle(edges, longest))

@@ -8,6 +8,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from xxhash import xxh64_intdigest
 
@@ -549,6 +550,17 @@ def test_op13_by_plain_counting(spark, texts, monkeypatch, least, share, rows_a_
             assert [(r.phrase, r["rank"]) for r in sorted(top, key=lambda r: r["rank"]) if r.lang == name] == [(w[1], k) for k, w in enumerate(best, 1)]
 
 
+def test_op13_partitions_are_walked_in_the_order_of_the_sort(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "ROWS_A_PART", 2)
+    rows = [("x", f"w{i:02d}", 1, 100 + i) for i in range(30)]
+    rows += [("x", f"w{i:02d} v{j}", 2, 10 + j) for i in range(30) for j in range(i * 7 % 5)]
+    stream = spark.createDataFrame(rows, "lang string, phrase string, size int, f long").withColumn("w", F.split("phrase", " "))
+    order = [F.coalesce(F.get("w", F.lit(i)), F.lit("")) for i in range(2)]
+    got = {r.phrase: (list(r.parts), r.ext) for r in collocations.walked(stream, order, len(rows), 2).collect()}
+    most = {i: max((10 + j for j in range(i * 7 % 5)), default=0) for i in range(30)}
+    assert got == {p: ([], most[int(p[1:])]) if n == 1 else ([100 + int(p[1:3])], 0) for _, p, n, _ in rows}
+
+
 def test_op7_items_of_one_template(monkeypatch):
     rng = random.Random(1)
     items = [(i, f"of the w{i % 50} and v{i // 50}") for i in range(2000)]
