@@ -31,8 +31,11 @@ def hashing_encoder(dimensions: int = 64) -> Callable[[], Encoder]:
             for row, text in enumerate(texts):
                 hashes = np.fromiter((zlib.crc32(w.encode()) for w in word.findall(text.lower())), dtype=np.int64)
                 if len(hashes):
-                    sign = np.where(hashes & 1, 1.0, -1.0)
-                    out[row] = np.bincount((hashes >> 1) % dimensions, weights=sign, minlength=dimensions)
+                    sign, place = np.where(hashes & 1, 1.0, -1.0), (hashes >> 1) % dimensions
+                    out[row] = np.bincount(place, weights=sign, minlength=dimensions)
+                    if not out[row].any():
+                        # All words cancelled each other: their plain counts tell more than nothing.
+                        out[row] = np.bincount(place, minlength=dimensions)
             return np.sign(out) * np.log1p(np.abs(out))
 
         return encode
@@ -42,7 +45,8 @@ def hashing_encoder(dimensions: int = 64) -> Callable[[], Encoder]:
 
 def embed_documents(df: DataFrame, key: str, text: str, factory: Callable[[], Encoder] | None = None,
                     min_len: int = 10) -> DataFrame:
-    """``key, embedding`` (unit length) of texts with at least ``min_len`` non-blank characters.
+    """``key, embedding`` (unit length; zero where the encoder finds no word) of texts with at least ``min_len``
+    non-blank characters.
 
     Only key and text go to the workers. Batches are Arrow sized; the encoder
     is built once per worker process.

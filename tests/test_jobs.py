@@ -1,12 +1,15 @@
 """Set-level jobs against brute force and invariants."""
 
 import itertools
+import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from pressgauge.operators import (cleaning as N, embedding as E, ml as M, pages as P, ranking as R, similarity as V,
                                   store as D, tfidf as TF)
 from pressgauge.operators import experiments as X
@@ -171,6 +174,21 @@ def test_embeddings(spark):
     assert np.linalg.norm(rows[1]) == pytest.approx(1.0, abs=1e-6)
 
 
+def test_embed_documents_query_on_words_that_cancel(spark, tmp_path):
+    signs, pair = {}, None
+    for word in (f"word{i}" for i in range(1000)):
+        h = zlib.crc32(word.encode())
+        pair = pair or ((signs[(h >> 1) % 64, 1 - h % 2], word) if ((h >> 1) % 64, 1 - h % 2) in signs else None)
+        signs[(h >> 1) % 64, h % 2] = word
+    rows = [(1, " ".join(pair)), (2, "--- ... !!! ???"), (3, "plain words here")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["embed_documents"](spark, str(tmp_path)).collect()
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = con.execute(entry.oracle_sql()["embed_documents"]).fetchall()
+    assert sorted(tuple(r) for r in got) == sorted(want) == [(1, 64, 1.0), (3, 64, 1.0)]
+
+
 def article(i, url, text="long enough content " * 5):
     return (f"title {i}", text, url, f"2024-01-{i:02d}")
 
