@@ -8,8 +8,8 @@ so a term that every text has is many rows and no long one. All weights are posi
 * a term adds at most the request's weight times the term's largest weight. The terms whose bounds together stay under
   the floor cannot lift a text over it alone, so candidates come from the other, essential terms only, and among their
   blocks only from those whose own largest weight can still reach the floor;
-* a candidate whose score over the essential terms and the bounds of the rest stays under the floor goes; the others
-  get the missing products from the texts' weights, by text and term.
+* a candidate whose score over the essential terms and the bounds of the rest stays under the floor, or then under the
+  k-th best score over the essential terms, goes; the others get the missing products from the texts' weights, by text and term.
 
 Every step is a join or a grouping by (term, block), (request, text) or (text, term). Nothing passes through the driver
 but the number of postings, and more requests mean more rows in the same joins, not further passes over the corpus.
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pressgauge.operators.ranking import top_k
-from pressgauge.session import cut_lineage
+from pressgauge.session import cut_lineage, small_side
 
 BLOCK = 1_024          # postings of a block, about
 SEED = 8_192           # postings that give a request its floor
@@ -93,9 +93,15 @@ def best_matches(index: Index, requests: DataFrame, k: int, allowed=None, digits
     planned = cut_lineage(planned)
     strong = planned.where("essential").withColumn("least", F.col("floor") - F.col("all") + F.col("bound"))
     scored = _hits(index, strong, F.col("blocks"), allowed)
-    limits = planned.select("query_id", "floor", "rest").distinct()
+    # Written, so that the optimizer knows how small it is and leaves the scores where they are.
+    limits = small_side(planned.select("query_id", "floor", "rest").distinct())
     near = scored.join(limits, "query_id").where(F.col("s") + F.col("rest") >= F.col("floor")).select("query_id", "id", "s", "rest")
     near = cut_lineage(near)
+    # The k-th best score over the essential terms is a higher floor: what stays under it with all the rest goes as well.
+    lower = top_k(near, "query_id", [F.desc("s"), F.asc("id")], k).groupBy("query_id").agg(
+        F.when(F.count(F.lit(1)) == k, F.min("s") - SLACK).alias("higher"))
+    near = near.join(small_side(lower), "query_id", "left").where("higher IS NULL OR s + rest >= higher").drop("higher")
+    near = cut_lineage(near)
 
     # What the other terms add to the survivors.
     weak = planned.where(~F.col("essential")).select("query_id", "idx", "qw")

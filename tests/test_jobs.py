@@ -338,6 +338,23 @@ def test_inverted_index_is_exact(spark, monkeypatch, block, seed, scope):
     assert {(r.query_id, r.cand_id, round(r.similarity, 7), r["rank"]) for r in got.collect()} == _cosines(rows, 4, 9 if scope == "query" else None)
 
 
+def test_tfidf_cosine_writes_only_what_requests_ask_for(spark, monkeypatch):
+    # A corpus' terms are shuffled once; what is written are the weights of the terms that a request has.
+    held = []
+    monkeypatch.setattr(TF, "cut_lineage", lambda df, cut=TF.cut_lineage: held.append(cut(df)) or held[-1])
+    corpus = [(i, f"shared only{i} other{i} other{i} third{i}") for i in range(50)]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, t string")
+    got = TF.tfidf_cosine(frame([(1, "shared words")]), frame(corpus), "id", "t", 2, TF.CROSSCHECK).collect()
+    assert [(r.query_id, r.cand_id) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 0), (1, 1)]
+    assert not any("terms" in df.columns or "term" in df.columns for df in held)
+    assert max(df.count() for df in held) == 50 + 3
+
+
+def test_term_counts(spark):
+    df = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, None), (4, ["x"])], "id long, terms array<string>")
+    assert sorted(tuple(r) for r in TF.term_counts(df).collect()) == [(1, "a", 1), (1, "b", 2), (4, "x", 1)]
+
+
 def test_index_keeps_blocks_small_and_prunes(spark, monkeypatch):
     from pressgauge.operators import inverted as I
 
