@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from pressgauge.functions import lexicons as L, text as X, urls as U
 
+PARSED = 64               # pages of which a worker holds the parts at once
+
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 PAGE_PARTS = T.StructType([
@@ -118,18 +121,28 @@ def page_parts(html: str | None) -> dict:
     return parser.parts()
 
 
+def parsed_batches(batches: Iterator[pa.RecordBatch], names: list[str], html: str) -> Iterator[pa.RecordBatch]:
+    """Task: pages to their kept columns and parts, ``PARSED`` pages at a time, so that a worker never holds the parts of a
+    whole batch."""
+    texts = pa.list_(pa.string())
+    types = {"meta": pa.map_(pa.string(), pa.string()), "article_paragraphs": texts, "paragraphs": texts, "text_divs": texts}
+    for batch in batches:
+        for lo in range(0, batch.num_rows, PARSED):
+            some = batch.slice(lo, PARSED)
+            parts = [page_parts(h.as_py()) for h in some.column(html)]
+            for p in parts:
+                p["meta"] = list(p["meta"].items())
+            yield pa.RecordBatch.from_arrays(
+                [*(some.column(n) for n in names), *(pa.array([p[n] for p in parts], types.get(n, pa.string())) for n in PAGE_PARTS.names)],
+                names=[*names, *PAGE_PARTS.names])
+
+
 def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Raw parts of every page, in Arrow batches. All choices between them are made by columns later."""
+    """Raw parts of every page, in small Arrow batches. All choices between them are made by columns later."""
     keep = [f for f in pages.schema.fields if f.name != html]
     schema = T.StructType([*keep, *PAGE_PARTS.fields])
     names = [f.name for f in keep]
-
-    def run(batches):
-        for batch in batches:
-            parsed = pd.DataFrame([page_parts(h) for h in batch[html]], columns=PAGE_PARTS.names)
-            yield pd.concat([batch[names].reset_index(drop=True), parsed], axis=1)
-
-    return pages.mapInPandas(run, schema)
+    return pages.mapInArrow(lambda batches: parsed_batches(batches, names, html), schema)
 
 
 def _long(paragraphs: str, n: int) -> Column:

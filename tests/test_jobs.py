@@ -5,6 +5,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
@@ -159,6 +160,16 @@ def test_feeds(spark):
     assert str(items[1].published_on) == "2024-05-14" and items[2].link == "https://b.com/2#x"
 
 
+def test_pages_are_parsed_a_few_at_a_time():
+    pages = [f"<title>t{i}</title><meta name='a' content='{i}'><p>text {i}</p>" for i in range(150)]
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(150)), "html": pages})
+    got = list(P.parsed_batches(iter([batch]), ["page_id"], "html"))
+    assert max(b.num_rows for b in got) == P.PARSED < 150
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [(r["page_id"], r["title_tag"], r["meta"], r["paragraphs"]) for r in rows] == [
+        (i, f"t{i}", [("a", str(i))], [f"text {i}"]) for i in range(150)]
+
+
 def test_sitemap_limits(spark):
     urls = "".join(f"<url><loc>https://a.com/news/2024/{i}</loc></url>" for i in range(250))
     df = spark.createDataFrame([(1, f"<urlset>{urls}</urlset>")], "id int, xml string")
