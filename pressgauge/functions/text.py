@@ -15,6 +15,8 @@ from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
+from pressgauge.functions import lexicons as L
+
 WORD = r"[\p{L}\p{N}_]"
 SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 NOT_SPACE = r"[^\t-\r\x1c-\x20\x{85}\p{Z}]"
@@ -26,9 +28,13 @@ def literal_regex(text: str) -> str:
 
 
 def whole(alternatives: Sequence[str], quoted: bool = True) -> str:
-    """Pattern matching any alternative as a whole word or phrase."""
+    """Pattern matching any alternative as a whole word or phrase.
+
+    Quoted alternatives are looked for only where one of their first characters stands.
+    """
     parts = [literal_regex(a) if quoted else a for a in alternatives]
-    return f"(?<!{WORD})(?:{'|'.join(parts)})(?!{WORD})"
+    first = f"(?=[{''.join(sorted({literal_regex(a[0]) for a in alternatives}))}])" if quoted and all(alternatives) else ""
+    return f"{first}(?<!{WORD})(?:{'|'.join(parts)})(?!{WORD})"
 
 
 def strip(text: Column) -> Column:
@@ -53,7 +59,12 @@ def single_space_words(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Maximal runs of non-space characters, in order."""
-    return F.regexp_extract_all(text, F.lit(f"({NOT_SPACE}+)"))
+    return F.array_remove(F.split(text, f"{SPACE}+", -1), "")
+
+
+def blank_words(text: Column) -> Column:
+    """``words`` of a text whose only white space is the blank, as ``normalize_text`` leaves it; no pattern is needed."""
+    return F.array_remove(F.split(text, " ", -1), "")
 
 
 def whitespace_words(text: Column) -> Column:
@@ -63,7 +74,7 @@ def whitespace_words(text: Column) -> Column:
 
 def word_tokens(text: Column) -> Column:
     """Lower-case runs of word characters, in order."""
-    return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD}+)"))
+    return F.array_remove(F.split(F.lower(text), f"[^{WORD[1:-1]}]+", -1), "")
 
 
 def let(value: Column, body) -> Column:
@@ -87,10 +98,10 @@ def normalize_text(text: Column) -> Column:
     out = let(out, gated(lambda t: t.contains("http") | t.contains("www."),
                          rf"https?://{NOT_SPACE}+|www\.{NOT_SPACE}+"))
     # A match can only begin where a run of non-space characters begins.
-    out = let(out, gated(lambda t: t.contains("@"), rf"(?<!{NOT_SPACE}){NOT_SPACE}+@{NOT_SPACE}+"))
+    out = let(out, gated(lambda t: t.contains("@"), rf"(?<!{NOT_SPACE}){NOT_SPACE}[^@{SPACE[1:-1]}]*+@{NOT_SPACE}+"))
     out = let(out, gated(lambda t: t.contains("<"), "<[^\n]*?>"))
-    out = F.regexp_replace(out, r"[^\p{L}\p{N}_\t-\r\x1c-\x20\x{85}\p{Z}.!?]", " ")
-    return strip(out)
+    # Most characters are settled by the first class. Blanks are the only white space left.
+    return F.trim(F.regexp_replace(out, r"[[^a-z ]&&[^\p{L}\p{N}_.!?]]", " "))
 
 
 def content_tokens(text: Column, stop_words: Sequence[str]) -> Column:
@@ -107,11 +118,29 @@ def count_matches(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def count_phrases(text: Column, phrases: Sequence[str]) -> Column:
+    """Whole matches of literal phrases; a text that holds none of them is not searched by the pattern."""
+    found = F.lit(False)
+    for phrase in phrases:
+        found = found | text.contains(phrase)
+    return F.when(found, count_matches(text, whole(phrases))).otherwise(F.when(text.isNotNull(), 0))
+
+
 def count_patterns(text: Column, patterns: Sequence[str]) -> Column:
     """Sum of matches over patterns; a span matched by two patterns counts twice."""
     return _total([count_matches(text, p) for p in patterns])
 
 
+def count_data_references(text: Column, patterns: Sequence[str] = tuple(L.DATA_REFERENCE_PATTERNS)) -> Column:
+    """``count_patterns`` of the data references; a pattern that needs a mark is left out for texts without it."""
+    terms = []
+    for pattern in patterns:
+        count = count_matches(text, pattern)
+        mark = next((m for p, m in ((r"%", "%"), (r"\$", "$"), (r"\.", ".")) if p in pattern), None)
+        terms.append(F.when(text.contains(mark), count).otherwise(F.when(text.isNotNull(), 0)) if mark else count)
+    return _total(terms)
+
+
 def count_words(text: Column, entries: Sequence[str]) -> Column:
     """Whole-word matches summed over list entries; a repeated entry counts twice."""
     lowered = F.lower(text)
@@ -141,10 +170,10 @@ def count_alternations(tokens: Column, lowered: Column, groups: Sequence[Sequenc
     for group in groups:
         phrases = [p for p in group if not re.fullmatch(r"\w+", p)]
         if any(_overlap(p, q) for p in phrases for q in phrases if p != q):
-            terms.append(count_matches(lowered, whole(phrases)))
+            terms.append(count_phrases(lowered, phrases))
         else:
             loose += phrases
-    terms += [count_matches(lowered, whole(batch)) for batch in _batches(loose)]
+    terms += [count_phrases(lowered, batch) for batch in _batches(loose)]
     return _total(terms)
 
 
@@ -178,6 +207,12 @@ def _count_in(tokens: Column, entries: Sequence[str]) -> Column:
     return F.size(F.filter(tokens, lambda w: w.isin(*entries)))
 
 
+def listed_tokens(tokens: Column, *lists: Sequence[str]) -> Column:
+    """The tokens that are in any of the lists: ``count_listed`` finds the same in them as in all."""
+    entries = sorted({w for entries in lists for w in entries if re.fullmatch(r"\w+", w)})
+    return F.filter(tokens, lambda w: w.isin(*entries)) if entries else F.slice(tokens, 1, 0)
+
+
 def _layers(entries: Sequence[str]) -> list[list[str]]:
     """Split a list with repeats into lists without, so that repeats count again."""
     layers: list[list[str]] = []
@@ -200,7 +235,7 @@ def _total(terms: list[Column]) -> Column:
 
 def is_upper(word: Column) -> Column:
     """At least one upper-case letter and no other cased letter."""
-    return word.rlike(r"\p{Lu}") & ~word.rlike(r"[\p{Ll}\p{Lt}]")
+    return word.rlike(r"^[^\p{Lu}\p{Ll}\p{Lt}]*+\p{Lu}[^\p{Ll}\p{Lt}]*+\z")
 
 
 def count_upper_letters(text: Column) -> Column:
@@ -229,14 +264,8 @@ def total_length(parts: Column) -> Column:
 
 def repetition_ratio(tokens: Column) -> Column:
     """Distinct tokens that occur more than once, as a share of distinct tokens."""
-    ordered = F.sort_array(tokens)
-    n = F.size(tokens)
-    again = F.zip_with(
-        F.slice(ordered, F.lit(1), F.greatest(n - 1, F.lit(0))),
-        F.slice(ordered, F.lit(2), F.greatest(n - 1, F.lit(0))),
-        lambda a, b: F.when(a == b, a),
-    )
-    repeated = F.size(F.array_distinct(F.filter(again, lambda w: w.isNotNull())))
+    repeated = let(F.sort_array(tokens), lambda ordered: F.size(F.array_distinct(
+        F.filter(ordered, lambda w, i: w == F.get(ordered, i + 1)))))
     return repeated / F.greatest(F.lit(1), F.size(F.array_distinct(tokens)))
 
 

@@ -49,11 +49,16 @@ def linguistic_features(df: DataFrame, text: str, lists: WordLists | None = None
     kept = [c for c in df.columns if c not in L.FEATURE_NAMES]
     base = df.withColumn("_t", body).withColumns({
         "_low": F.lower("_t"),
-        "_words": X.words(F.col("_t")),
+        "_words": X.words(F.col("_t")) if raw else X.blank_words(F.col("_t")),
         "_all": X.word_tokens(F.col("_t")),
-    }).withColumn("_tok", F.filter("_all", lambda w: (F.length(w) > 2) & ~w.isin(*stops)))
+    }).withColumns({
+        "_tok": F.filter("_all", lambda w: (F.length(w) > 2) & ~w.isin(*stops)),
+        # One pass finds the tokens that any list holds; the lists are counted on these few.
+        "_listed": X.listed_tokens(F.col("_all"), *lists.clickbait, lists.emotional, lists.intensifiers, lists.tentative,
+                                   lists.evidence, lists.professional, lists.balanced),
+    })
 
-    t, low, words, every, tokens = (F.col(c) for c in ("_t", "_low", "_words", "_all", "_tok"))
+    t, low, words, every, tokens = (F.col(c) for c in ("_t", "_low", "_words", "_listed", "_tok"))
     counted = base.withColumns({
         "_clickbait": X.count_alternations(every, low, lists.clickbait),
         "_emotional": X.count_listed(every, low, lists.emotional),
@@ -66,7 +71,7 @@ def linguistic_features(df: DataFrame, text: str, lists: WordLists | None = None
         "_questions": X.count_char(t, "?"),
         "_caps": F.size(F.filter(words, lambda w: (F.length(w) > 1) & X.is_upper(w))),
         "_sentences": F.size(X.non_blank(X.sentence_pieces(t))),
-        "_refs": X.count_patterns(t, L.DATA_REFERENCE_PATTERNS),
+        "_refs": X.count_data_references(t),
         "_n": F.size(words),
         "_k": F.size(tokens),
         "_chars": X.total_length(words),

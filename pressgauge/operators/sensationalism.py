@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.ml.functions import vector_to_array
@@ -57,34 +58,40 @@ def sensationalism_heuristic(df: DataFrame, title: str = "title", content: str =
                              words: Sequence[str] = tuple(L.SUSPICIOUS_WORDS)) -> DataFrame:
     """Keyword, punctuation, title, emotion, clickbait and hyperbole terms, each with its cap."""
     t, head = F.coalesce(F.col(content), F.lit("")), F.coalesce(F.col(title), F.lit(""))
-    staged = df.withColumn("_low", F.lower(t)).withColumn("_all", X.word_tokens(t)).withColumn("_hlow", F.lower(head))
-    low, every, head_low = F.col("_low"), F.col("_all"), F.col("_hlow")
-    n = F.greatest(X.whitespace_words(t), F.lit(1))
+    # The first three emotion patterns are lists of words: words are counted on the tokens, as keywords are.
+    emotive = [p[3:-1].split("|") for p in L.HEURISTIC_EMOTION if re.fullmatch(r"\(\?:[\w|]+\)", p)]
+    staged = df.withColumns({
+        "_low": F.lower(t), "_all": X.word_tokens(t), "_hlow": F.lower(head), "_head": X.word_tokens(head),
+        "_n": F.greatest(X.whitespace_words(t), F.lit(1))}).withColumn("_all", X.listed_tokens(F.col("_all"), words, *emotive))
+    low, every, head_low, n = F.col("_low"), F.col("_all"), F.col("_hlow"), F.col("_n")
     cap = lambda c, top: F.least(c, F.lit(top))
 
     keyword_hits = X.count_listed(every, low, words)
     marks, asks = X.count_char(t, "!"), X.count_char(t, "?")
     caps_ratio = X.count_upper_letters(t) / F.greatest(F.length(t), F.lit(1))
-    title_hits = X._total([head_low.rlike(X.whole([w])).cast("int") for w in words])
+    title_hits = X._total([(F.array_contains("_head", w) if re.fullmatch(r"\w+", w) else head_low.contains(w) & head_low.rlike(
+        X.whole([w]))).cast("int") for w in words])
     title_caps = X.count_upper_letters(head) / F.greatest(F.length(head), F.lit(1))
     title_part = F.when(F.length(head) > 0, cap(title_hits * 0.1, 0.2) + cap(X.count_char(head, "!") * 0.08, 0.15)
                         + cap(X.count_char(head, "?") * 0.04, 0.08) + cap(title_caps * 2, 0.15)).otherwise(F.lit(0.0))
     emotion = F.lit(0.0)
-    for pattern in L.HEURISTIC_EMOTION:
-        emotion = emotion + cap(X.count_matches(low, X.whole([pattern], quoted=False)) / n * 20, 0.15)
+    for entries in emotive:
+        emotion = emotion + cap(X.count_listed(every, low, list(dict.fromkeys(entries))) / n * 20, 0.15)
+    for pattern in L.HEURISTIC_EMOTION[len(emotive):]:
+        urged = low.rlike("must|have to|need to|should")
+        emotion = emotion + cap(F.when(urged, X.count_matches(low, X.whole([pattern], quoted=False))).otherwise(0) / n * 20, 0.15)
     clickbait = X._total([low.rlike(p).cast("int") for p in L.HEURISTIC_CLICKBAIT]) * 0.2
     hyperbole = cap(X._total([X.count_char(low, w) for w in L.HEURISTIC_INTENSIFIERS]) / n * 15, 0.2)
     out = staged.withColumns({
         "suspicious_keywords": keyword_hits, "exclamations": marks, "questions": asks, "caps_ratio": caps_ratio,
         "emotional_language": emotion, "clickbait_patterns": clickbait, "title_part": title_part,
-        "hyperbole": hyperbole, "_n": n})
-    n = F.col("_n")
+        "hyperbole": hyperbole})
     score = (base + cap(F.col("suspicious_keywords") / n * 30, 0.3) + cap(F.col("exclamations") / n * 12, 0.2)
              + cap(F.col("questions") / n * 6, 0.15) + cap(F.col("caps_ratio") * 2.5, 0.2)
              + F.col("title_part") * 0.4 + cap(F.col("emotional_language"), 0.15)
              + cap(F.col("clickbait_patterns"), 0.25) + cap(F.col("hyperbole"), 0.15))
     bounded = F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))
-    return out.withColumn("sensationalism", F.round(bounded, 6)).drop("_low", "_all", "_hlow", "_n", "title_part",
+    return out.withColumn("sensationalism", F.round(bounded, 6)).drop("_low", "_all", "_hlow", "_head", "_n", "title_part",
                                                                       "hyperbole")
 
 

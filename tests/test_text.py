@@ -169,3 +169,29 @@ def test_word_frequency_maps(spark):
     row = ST.word_frequency(df, "id", "t", L.CREDIBLE_WORDS, L.SUSPICIOUS_WORDS).first()
     assert row.credible_words == {"data": 2} and row.suspicious_words == {"shocking": 1}
     assert row.total_words == 10 and row.unique_words == 6 and row.listed_phrases == 2
+
+
+ODD = ["", " ", "a@b c@ @d @e@f g@@h x @", "İstanbul DİNÇ. ﬁn ß ǅ ⅷ Ⅷ A1 B-C ÀÉ", "x y z\x1cq\x85r\t\n w  v", "12.5 1.2.3 2024 $5 5% 1..2",
+       "of the of the, of\nthe often the of theme", "áb \U0001d400\U0001f600 ퟿_9", "must see must read cover-up covered-up", "AB!CD?E.f " * 3]
+
+
+def test_split_tokens_equal_matched_ones(spark):
+    df = spark.createDataFrame([(t,) for t in ODD], "t string").withColumn("n", X.normalize_text(F.col("t")))
+    cased = F.filter(X.words(F.col("t")), lambda w: w.rlike(r"\p{Lu}") & ~w.rlike(r"[\p{Ll}\p{Lt}]"))
+    lists = [["of", "the", "must see", "a"], ["the", "cover-up", "often"]]
+    few = X.listed_tokens(X.word_tokens(F.col("t")), *lists)
+    mails = rf"(?<!{X.NOT_SPACE}){X.NOT_SPACE}+@{X.NOT_SPACE}+"
+    pairs = {
+        "words": (X.words(F.col("t")), F.regexp_extract_all("t", F.lit(f"({X.NOT_SPACE}+)"))),
+        "blanks": (X.blank_words(F.col("n")), F.regexp_extract_all("n", F.lit(f"({X.NOT_SPACE}+)"))),
+        "tokens": (X.word_tokens(F.col("t")), F.regexp_extract_all(F.lower("t"), F.lit(f"({X.WORD}+)"))),
+        "upper": (F.filter(X.words(F.col("t")), X.is_upper), cased),
+        "listed": (F.array(*[X.count_listed(few, F.lower("t"), x) for x in lists]),
+                   F.array(*[X.count_words(F.col("t"), x) for x in lists])),
+        "refs": (X.count_data_references(F.col("t")), X.count_patterns(F.col("t"), L.DATA_REFERENCE_PATTERNS)),
+        "clean": (F.col("n"), X.strip(F.regexp_replace(F.regexp_replace(X.collapse(F.col("t")), mails, " "),
+                                                       r"[^\p{L}\p{N}_\t-\r\x1c-\x20\x{85}\p{Z}.!?]", " "))),
+    }
+    for row in df.select("t", *[F.struct(a.alias("a"), b.alias("b")).alias(k) for k, (a, b) in pairs.items()]).collect():
+        for name in pairs:
+            assert row[name].a == row[name].b, (name, row.t)
