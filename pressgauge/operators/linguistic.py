@@ -97,6 +97,14 @@ def linguistic_features(df: DataFrame, text: str, lists: WordLists | None = None
     return counted.select(*kept, *named)
 
 
+def with_sentiment(features: DataFrame, mood: DataFrame, key: str, sentiment: Sequence[str]) -> DataFrame:
+    """``features``, made without sentiment, with the polarity, subjectivity, intensity and balance columns of ``mood`` in
+    their four places; rows without a score go. The same as ``sentiment`` columns given before, but no text is shuffled."""
+    names = L.FEATURE_NAMES[5:9]
+    four = mood.select(F.col(key), *[F.col(c).cast("double").alias(n) for c, n in zip(sentiment, names)])
+    return features.drop(*names).join(four, key).select(*[c for c in features.columns if c not in L.FEATURE_NAMES], *L.FEATURE_NAMES)
+
+
 def linguistic_features_inline(df: DataFrame, text: str, sentiment: Sequence[str] | None = None) -> DataFrame:
     """The shorter variant: no normalisation, all tokens, and list words counted by presence."""
     kept = [c for c in df.columns if c not in L.FEATURE_NAMES]

@@ -13,13 +13,13 @@ from pressgauge.session import small_side
 
 # Longest phrase boosters, looked up on the two or three words before.
 _PHRASE_BOOSTERS = [p for p in L.BOOSTERS_DOWN if " " in p]
-_PUNCTUATION = r"[!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]+"
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _tokens(text: Column) -> Column:
     """Words without surrounding punctuation; what is left of up to two characters is kept whole."""
     def bare(word: Column) -> Column:
-        inner = F.regexp_replace(word, rf"^{_PUNCTUATION}|{_PUNCTUATION}\z", "")
+        inner = F.btrim(word, F.lit(_PUNCTUATION))
         return F.when(F.length(inner) <= 2, word).otherwise(inner)
 
     return F.transform(X.words(text), bare)

@@ -356,9 +356,9 @@ def _(t: Tables):
 @query("features_with_sentiment", "H13 H21 H22 H23")
 def _(t: Tables):
     mood = M.sentiment_features(M.sentiment_scores(t.texts, "doc_id", "text", lexicon(t))).withColumn("subj", F.lit(0.0))
-    joined = t.texts.select("doc_id", "text").join(mood, "doc_id").withColumnsRenamed(
-        {"sentiment_polarity": "s1", "sentiment_intensity": "s3", "sentiment_balance": "s4"})
-    return G.linguistic_features(joined, "text", stand_in_lists(), sentiment=["s1", "subj", "s3", "s4"]).select(
+    # The features are counted where the texts lie; only numbers meet the scores.
+    counted = G.linguistic_features(t.texts.select("doc_id", "text"), "text", stand_in_lists()).drop("text")
+    return G.with_sentiment(counted, mood, "doc_id", ["sentiment_polarity", "subj", "sentiment_intensity", "sentiment_balance"]).select(
         "doc_id", *[F.round(n, 6).alias(n) for n in L.FEATURE_NAMES])
 
 
