@@ -626,3 +626,30 @@ def test_positions_number_a_sorted_table(spark):
     out = positions(df)
     assert {(r.x, r.position) for r in out.collect()} == {(i, i + 1) for i in range(1000)}
     assert positions(df.limit(0)).count() == 0
+
+
+def test_vocabulary_fitted_by_grouping_gives_the_same_vectors(spark):
+    texts = ["red green red blue", "green blue blue", "red red sky", "", "sky blue sky green", "red sky at night"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, t string")
+
+    def vectors(model):
+        words = model.stages[3].vocabulary
+        return {r.doc_id: {words[i]: round(float(r.v[int(i)]), 9) for i in r.v.indices}
+                for r in model.transform(df).select("doc_id", F.col("v").alias("v")).collect()}
+
+    for limit, low, high in ((50, 2, 0.95), (50, 0.3, 4), (50, 1, 1.0)):
+        old = Pipeline(stages=M.vocabulary_stages("t", limit, low, high, "v")).fit(df)
+        assert vectors(M.fit_vocabulary(df, "t", limit, low, high, "v")) == vectors(old)
+    assert M.fit_vocabulary(df, "t", 3, 1, 10, "v").stages[3].vocabulary == ["red", "blue", "sky"]
+
+
+def test_sentiment_joins_counted_features(spark):
+    from pressgauge.functions import lexicons as L
+    from pressgauge.operators import linguistic as G
+
+    texts = spark.createDataFrame([(1, "Very good. Very bad!"), (2, ""), (3, "left out")], "doc_id long, text string")
+    mood = spark.createDataFrame([(1, 0.5, 0.1, 0.2, 0.3), (2, -0.5, 0.4, 0.5, 0.6)], "doc_id long, a double, b double, c double, d double")
+    names = ["a", "b", "c", "d"]
+    want = G.linguistic_features(texts.join(mood, "doc_id"), "text", sentiment=names).select("doc_id", *L.FEATURE_NAMES)
+    got = G.with_sentiment(G.linguistic_features(texts, "text").drop("text"), mood, "doc_id", names)
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
