@@ -185,3 +185,21 @@ def test_collocations(docs, none):
     got = collocations.collocations(docs, 100).collect()
     assert {r.lang for r in got} == {"en"} and all(r["rank"] >= 1 and "alpha" in r.phrase for r in got)
     assert collocations.collocations(none).count() == 0 and collocations.collocations(docs, 10 ** 6).count() == 0
+
+
+def test_secret_threshold_is_set_by_all_held_windows(spark):
+    rng = np.random.default_rng(3)
+    signs = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789")
+    texts = [f"note {i} password={''.join(rng.choice(signs, 18))} and some ordinary words, number {i * 7919 % 100000}" for i in range(400)]
+    found = secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    net = secret_scan.learn(found, 80)
+    windows = {w for r in found.select("base_windows").collect() for w in r.base_windows}
+    assert len(windows) == 400
+    x = secret_scan.encoded(sorted(w for w in windows if zlib.crc32(w.encode()) % 4 == 0))
+    raw = np.concatenate([net.forward(x)[0], net.forward(secret_scan.hidden(x))[0]])
+    p = 1 / (1 + np.exp(-(net.slope * raw + net.shift)))
+    assert len(x) > 80 and 0 < net.threshold < 1 and net.slope > 0
+    # The generated values are held to the same threshold, so the base ones alone may keep a little more or less.
+    assert abs(np.mean(p >= net.threshold) - secret_scan.RECALL) < 0.06
+    net.threshold = 0.999999
+    assert abs(secret_scan.settle_threshold(net, found, [], 1.0).threshold - p.min()) <= p.min() * net.slope / secret_scan.STEPS + 1e-9
