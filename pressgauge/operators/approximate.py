@@ -11,13 +11,13 @@ smallest ids.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.functions import pandas_udf
 
-from pressgauge.operators.ranking import top_k
-from pressgauge.operators.similarity import cosine_similarity, top_similar
+from pressgauge.operators.similarity import Scorer, _dense, _unit, top_matches, top_similar
 from pressgauge.session import cut_lineage
 
 TABLES = 24
@@ -41,19 +41,35 @@ def most_bits(cosines: np.ndarray, recall: float, tables: int = TABLES) -> int:
     return max((b for b in range(1, MOST_BITS + 1) if hit_rate(cosines, tables, b) >= recall), default=0)
 
 
-def keyed(df: DataFrame, dims: int, tables: int, bits: int, seed: int) -> DataFrame:
-    """A row per table: the columns of ``df`` but ``vec``, and ``band`` = table and key in one number."""
-    @pandas_udf("array<long>")
-    def bands(vec):
-        flat = planes(dims, tables, bits, seed)
-        rows = np.stack([np.asarray(v, dtype=np.float64) for v in vec]) if len(vec) else np.zeros((0, dims))
-        signs = (rows @ flat > 0).reshape(len(rows), tables, bits)
-        keys = signs @ (1 << np.arange(bits, dtype=np.int64)) + (np.arange(tables, dtype=np.int64) << MOST_BITS)
-        import pandas as pd
+def keys(units: np.ndarray, tables: int, bits: int, seed: int) -> np.ndarray:
+    """Rows × tables: the signs of a table's projections as one number."""
+    signs = (units @ planes(units.shape[1], tables, bits, seed) > 0).reshape(len(units), tables, bits)
+    return signs @ (1 << np.arange(bits, dtype=np.int64))
 
-        return pd.Series(list(keys))
 
-    return df.withColumn("band", F.explode(bands("vec"))).drop("vec")
+def groups(column: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Every distinct key with the places that have it."""
+    order = np.argsort(column, kind="stable")
+    found, starts = np.unique(column[order], return_index=True)
+    return zip(found.tolist(), np.split(order, starts[1:]))
+
+
+def hashed_cosine(tables: int, bits: int, seed: int) -> Scorer:
+    """Scores of dense ``vec`` columns: held rows × batch rows, minus infinity for those that meet in no table."""
+    def scorer(held: pd.DataFrame) -> Callable[[pd.DataFrame], np.ndarray]:
+        units = _unit(_dense(held["vec"]))
+        places = [dict(groups(column)) for column in keys(units, tables, bits, seed).T]
+
+        def score(batch: pd.DataFrame) -> np.ndarray:
+            others = _unit(_dense(batch["vec"]))
+            out = np.full((len(units), len(others)), -np.inf)
+            for asked, column in zip(places, keys(others, tables, bits, seed).T):
+                for key, at in groups(column):
+                    if key in asked:
+                        out[np.ix_(asked[key], at)] = units[asked[key]] @ others[at].T
+            return out
+        return score
+    return scorer
 
 
 def top_similar_approximate(queries: DataFrame, corpus: DataFrame, k: int = 10, recall: float = 0.9, tables: int = TABLES,
@@ -79,17 +95,4 @@ def top_similar_approximate(queries: DataFrame, corpus: DataFrame, k: int = 10,
     bits = most_bits(cosines, recall, tables) if len(cosines) else 0
     if not bits:
         return top_similar(queries, corpus, k)
-    # Equal vectors are one entry with its k smallest ids; a vector's hash names it, and its id list is cut exactly.
-    named = stored.withColumn("vid", F.xxhash64("vec"))
-    members = cut_lineage(top_k(named.select("vid", "vec", "id"), ["vid", "vec"], [F.asc("id")], k).drop("rank"))
-    distinct = members.groupBy("vid", "vec").agg(F.min("id").alias("head"))
-    entries = keyed(distinct.select("head", "vec"), dims, tables, bits, seed)
-    wanted = keyed(asked.withColumnRenamed("id", "query_id"), dims, tables, bits, seed)
-    pairs = wanted.join(entries, "band").select("query_id", "head").distinct()
-    scored = (pairs.join(distinct.select("head", F.col("vec").alias("c")), "head")
-              .join(asked.select(F.col("id").alias("query_id"), F.col("vec").alias("q")), "query_id")
-              .select("query_id", "head", F.round(cosine_similarity(F.col("q"), F.col("c")), digits).alias("similarity")))
-    best = top_k(scored, "query_id", [F.desc("similarity"), F.asc("head")], k).drop("rank")
-    heads = members.join(distinct, ["vid", "vec"]).select("head", F.col("id").alias("cand_id"))
-    return top_k(best.join(heads, "head").select("query_id", "cand_id", "similarity"), "query_id",
-                 [F.desc("similarity"), F.asc("cand_id")], k)
+    return top_matches(asked, stored, k, hashed_cosine(tables, bits, seed), digits=digits)

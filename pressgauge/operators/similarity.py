@@ -103,6 +103,44 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return usable[np.lexsort((ids[usable], -scores[usable]))][:k]
 
 
+class Leaders:
+    """The k best finite scores of every held request so far, ties by id.
+
+    A score enters only from its request's k-th best on, so of a later batch few scores are looked at singly.
+    """
+
+    def __init__(self, requests: int, k: int, digits: int) -> None:
+        self.k, self.digits = k, digits
+        self.scores, self.ids = np.full((requests, k), -np.inf), np.zeros((requests, k), dtype=np.int64)
+
+    def add(self, table: np.ndarray, ids: np.ndarray) -> None:
+        """``table``: requests × the batch's rows, not rounded; it may be written to."""
+        if not np.isfinite(table.sum()):
+            table[~np.isfinite(table)] = -np.inf
+        floor = self.scores[:, -1]
+        if len(ids) > self.k:
+            some = np.flatnonzero(np.count_nonzero(table >= floor[:, None], axis=1) > self.k)
+            if len(some):
+                floor = floor.copy()
+                floor[some] = np.maximum(floor[some], np.partition(table[some], len(ids) - self.k, axis=1)[:, len(ids) - self.k])
+        # What rounding lifts to the floor counts; it is ranked by its rounded score.
+        q, at = np.nonzero((table >= (floor - 10.0 ** -self.digits)[:, None]) & (table > -np.inf))
+        if not len(q):
+            return
+        touched = np.unique(q)
+        rows = np.concatenate([np.repeat(touched, self.k), q])
+        scores = np.concatenate([self.scores[touched].ravel(), np.round(table[q, at], self.digits)])
+        names = np.concatenate([self.ids[touched].ravel(), ids[at]])
+        order = np.lexsort((names, -scores, rows))
+        begins = np.searchsorted(rows[order], touched)
+        first = order[begins[:, None] + np.arange(self.k)]
+        self.scores[touched], self.ids[touched] = scores[first], names[first]
+
+    def rows(self, request_ids: np.ndarray) -> pd.DataFrame:
+        q, at = np.nonzero(np.isfinite(self.scores))
+        return pd.DataFrame({"query_id": request_ids[q], "cand_id": self.ids[q, at], "similarity": self.scores[q, at]})
+
+
 def top_matches(requests: DataFrame, corpus: DataFrame, k: int, scorer, hold: str = "requests",
                 digits: int = 9) -> DataFrame:
     """``query_id, cand_id, similarity, rank`` of the k best candidates per request.
@@ -161,21 +199,10 @@ def _one_pass(stream: DataFrame, block: pd.DataFrame, k: int, scorer: Scorer, ho
     def by_request(batches):
         # Held side = requests: running k best per request over the partition.
         held = shared.value
-        score = scorer(held)
-        best_s = [np.empty(0)] * len(held)
-        best_i = [np.empty(0, dtype=np.int64)] * len(held)
+        score, best = scorer(held), Leaders(len(held), k, digits)
         for batch in slices(batches):
-            ids = batch["id"].to_numpy()
-            table = np.round(score(batch), digits)
-            for q in range(len(held)):
-                pick = _best(table[q], ids, k)
-                s = np.concatenate([best_s[q], table[q][pick]])
-                i = np.concatenate([best_i[q], ids[pick]])
-                keep = _best(s, i, k)
-                best_s[q], best_i[q] = s[keep], i[keep]
-        for q, qid in enumerate(held["id"]):
-            if len(best_i[q]):
-                yield pd.DataFrame({"query_id": qid, "cand_id": best_i[q], "similarity": best_s[q]})
+            best.add(score(batch), batch["id"].to_numpy())
+        yield best.rows(held["id"].to_numpy())
 
     def by_corpus(batches):
         # Held side = corpus: the batch rows are requests and are finished here.

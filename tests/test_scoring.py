@@ -187,3 +187,39 @@ def test_bits_follow_the_angles():
     close, far = A.most_bits(np.full(10, 0.99), 0.9), A.most_bits(np.full(10, 0.3), 0.9)
     assert close > far > 0 and A.most_bits(np.full(10, -1.0), 0.9) == 0
     assert A.hit_rate(np.array([0.3]), A.TABLES, far) >= 0.9 > A.hit_rate(np.array([0.3]), A.TABLES, far + 1)
+
+
+def test_approximate_candidates_are_no_rows(spark):
+    """Far neighbours leave few bits and half of all pairs as candidates: the plan has no join of pairs, and no list of keys."""
+    import numpy as np
+
+    from pressgauge.operators import approximate as A
+
+    rng = np.random.default_rng(2)
+    stored = spark.createDataFrame([(i, [float(x) for x in rng.standard_normal(32)]) for i in range(400)], "id long, vec array<double>")
+    found = A.top_similar_approximate(stored.where("id % 10 = 0"), stored, 10)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    assert found.where("rank = 1 AND query_id = cand_id").count() == 40
+
+
+def test_leaders_are_those_of_a_whole_sort():
+    """Batches with ties, copies, NaN and infinity: the k best by rounded score and id, as a sort of everything gives them."""
+    import numpy as np
+
+    from pressgauge.operators import similarity as V
+
+    rng = np.random.default_rng(3)
+    table = np.round(rng.standard_normal((7, 500)), 1) + rng.uniform(-4e-10, 4e-10, (7, 500))
+    table[0, ::3], table[1, 5], table[2, :], table[3, 4:] = np.nan, np.inf, -np.inf, np.nan
+    ids = rng.permutation(500).astype(np.int64)
+    best = V.Leaders(7, 10, 9)
+    for begin in (0, 3, 100, 108, 300):
+        end = {0: 3, 3: 100, 100: 108, 108: 300, 300: 500}[begin]
+        best.add(table[:, begin:end].copy(), ids[begin:end])
+    got = best.rows(np.arange(7) * 10)
+    for q in range(7):
+        usable = np.flatnonzero(np.isfinite(table[q]))
+        want = sorted((-np.round(table[q, i], 9), ids[i]) for i in usable)[:10]
+        mine = got[got.query_id == q * 10]
+        assert [(-s, i) for s, i in zip(mine.similarity, mine.cand_id)] == want
