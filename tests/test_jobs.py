@@ -653,3 +653,28 @@ def test_sentiment_joins_counted_features(spark):
     want = G.linguistic_features(texts.join(mood, "doc_id"), "text", sentiment=names).select("doc_id", *L.FEATURE_NAMES)
     got = G.with_sentiment(G.linguistic_features(texts, "text").drop("text"), mood, "doc_id", names)
     assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+
+
+def test_rows_of_a_fit_lie_in_as_many_tasks_as_it_may_use(spark, monkeypatch):
+    from pressgauge.operators import ml as M
+
+    monkeypatch.setattr(M, "LEAST_ROWS", 10)
+    cores = spark.sparkContext.defaultParallelism
+    parts = lambda n, *a: M.sized(spark.range(0, n, 1, 4 * cores), *a).rdd.getNumPartitions()
+    assert parts(1000 * cores) == cores and parts(1000 * cores, cores) == 1 and parts(9) == 1
+    monkeypatch.setattr(M, "ROWS_A_TASK", 500)
+    assert parts(1000 * cores, cores) == 2 * cores
+
+
+def test_forest_keeps_the_nodes_of_its_rows_and_grows_the_same_trees(spark):
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    from pressgauge.operators import ml as M
+
+    rng = np.random.default_rng(4)
+    rows = [(Vectors.dense(x), float(x[0] + x[1] > 0), 1.0) for x in rng.standard_normal((200, 4))]
+    df = spark.createDataFrame(rows, ["features", "label", "weight"]).coalesce(1).cache()
+    grown = M.forest(5, 6)
+    assert grown.getCacheNodeIds()
+    assert grown.fit(df).toDebugString.split("\n")[1:] == M.forest(5, 6).setCacheNodeIds(False).fit(df).toDebugString.split("\n")[1:]
