@@ -661,7 +661,8 @@ def test_rows_of_a_fit_lie_in_as_many_tasks_as_it_may_use(spark, monkeypatch):
     monkeypatch.setattr(M, "LEAST_ROWS", 10)
     cores = spark.sparkContext.defaultParallelism
     parts = lambda n, *a: M.sized(spark.range(0, n, 1, 4 * cores), *a).rdd.getNumPartitions()
-    assert parts(1000 * cores) == cores and parts(1000 * cores, cores) == 1 and parts(9) == 1
+    assert parts(1000 * cores, 1, None) == cores and parts(1000 * cores, cores) == 1 and parts(9) == 1
+    assert parts(1000 * cores) == min(cores, M.FLAT_TASKS)
     monkeypatch.setattr(M, "ROWS_A_TASK", 500)
     assert parts(1000 * cores, cores) == 2 * cores
 
@@ -678,3 +679,31 @@ def test_forest_keeps_the_nodes_of_its_rows_and_grows_the_same_trees(spark):
     grown = M.forest(5, 6)
     assert grown.getCacheNodeIds()
     assert grown.fit(df).toDebugString.split("\n")[1:] == M.forest(5, 6).setCacheNodeIds(False).fit(df).toDebugString.split("\n")[1:]
+
+
+def test_training_takes_texts_apart_once(spark):
+    """The rows that idf and scaling are fitted on hold counts, not texts, and the model still scores raw rows."""
+    from pyspark.ml.feature import HashingTF, IDF, Tokenizer
+
+    from pressgauge.operators import ml as M
+
+    plain, learned = M.unlearned([*M.tfidf_stages(num_features=64), *M.scale_stages(["x"])])
+    assert isinstance(plain[0], Tokenizer) and isinstance(plain[-1], HashingTF) and isinstance(learned[0], IDF)
+    columns = ["doc_id", "text_full", "words", "raw_features", "x"]
+    assert M.read_by(learned, columns) == ["raw_features", "x"]
+    rows = [(i, f"{'good calm' if i % 2 else 'bad loud'} word{i % 5}", float(i % 2), float(i % 7)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text_full string, label double, x double")
+    done = M.train(df, M.feature_pipeline(M.linear_svc(20), columns=["x"], num_features=64))
+    assert [type(s).__name__ for s in done.model.stages][:3] == ["Tokenizer", "StopWordsRemover", "HashingTF"]
+    again = done.model.transform(done.test)
+    assert again.count() == done.test.count() and again.where("prediction <> label").count() == 0
+
+
+def test_fits_are_not_sent_the_names_of_components(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    from pressgauge.operators import ml as M
+
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(spark.createDataFrame([(1.0, 2.0)], "a double, b double"))
+    assert "ml_attr" in df.schema["features"].metadata
+    assert "ml_attr" not in M.sized(df).schema["features"].metadata and M.sized(df).first().features.toArray().tolist() == [1.0, 2.0]
