@@ -13,10 +13,15 @@ so a term that every text has is many rows and no long one. All weights are posi
 
 Every step is a join or a grouping by (term, block), (request, text) or (text, term). Nothing passes through the driver
 but the number of postings, and more requests mean more rows in the same joins, not further passes over the corpus.
+
+Where one side has few weights (``HELD``), pruning costs more than it saves: over a large corpus of short vocabulary most
+pairs stay near the floor, and they would be shuffled with every term that is still to be added. There the few weights
+meet the other side's texts where these lie (``held_matches``), and only the best matches of a task are shuffled.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -28,6 +33,8 @@ BLOCK = 1_024          # postings of a block, about
 SEED = 8_192           # postings that give a request its floor
 HOT = 4_096            # at most so many terms hold more than one HOT-th of all postings each
 SLACK = 1e-7           # of bounds, for rounding
+HELD = 250_000         # weights of a side that every task may hold: about 20 MB
+PAIRS = 1 << 19        # scored pairs of a task, about
 
 
 @dataclass
@@ -113,6 +120,43 @@ def best_matches(index: Index, requests: DataFrame, k: int, allowed=None, digits
                  [F.desc("similarity"), F.asc("cand_id")], k)
 
 
+def matches(postings: DataFrame, requests: DataFrame, k: int, sites: tuple[DataFrame, DataFrame] | None = None, allowed=None,
+            digits: int = 9) -> DataFrame:
+    """``query_id, cand_id, similarity, rank`` of the k best texts that share a term with the request, by the index or,
+    where a side has at most ``HELD`` weights, with that side held.
+
+    ``postings`` (``id, idx, weight``) and ``requests`` (``query_id, idx, weight``) are written tables; ``sites`` are the
+    texts' (``id, site``) and the requests' (``query_id, site``), for ``allowed``.
+    """
+    size = lambda df, key: df.agg(F.count(F.lit(1)).alias("weights"), F.approx_count_distinct(key).alias("texts")).first()
+    asked, stored = size(requests, "query_id"), size(postings, "id")
+    if min(asked.weights, stored.weights) > HELD:
+        if allowed is not None:
+            postings, requests = postings.join(sites[0], "id"), requests.join(sites[1], "query_id")
+        return best_matches(build_index(postings), requests, k, allowed, digits)
+    parts = max(postings.sparkSession.sparkContext.defaultParallelism, math.ceil(asked.texts * stored.texts / PAIRS))
+    return held_matches(postings, requests, k, "requests" if asked.weights <= stored.weights else "corpus", parts, sites, allowed, digits)
+
+
+def held_matches(postings: DataFrame, requests: DataFrame, k: int, hold: str, parts: int,
+                 sites: tuple[DataFrame, DataFrame] | None = None, allowed=None, digits: int = 9) -> DataFrame:
+    """The same, every pair scored. The side that ``hold`` names has at most ``HELD`` weights and is broadcast; the other is
+    dealt by text over ``parts`` tasks, so a pair's products meet in one of them and a task sends on k texts a request."""
+    asked = requests.select("query_id", "idx", F.col("weight").alias("qw"))
+    held, key, stream, by = (asked, "query_id", postings, "id") if hold == "requests" else (postings, "id", asked, "query_id")
+    stream, also = stream.repartition(parts, by), []
+    if allowed is not None:
+        of_texts, of_requests = sites[0].select("id", "site"), sites[1].select("query_id", F.col("site").alias("q_site"))
+        here, there = (of_requests, of_texts) if hold == "requests" else (of_texts, of_requests)
+        stream, also = stream.join(there.repartition(parts, by), by), [c for c in there.columns if c != by]
+    pairs = stream.join(F.broadcast(held), "idx").groupBy(by, key, *also).agg(F.sum(F.col("qw") * F.col("weight")).alias("s"))
+    if allowed is not None:
+        # Only texts with a weight count, so this is no larger than the held weights.
+        pairs = pairs.join(F.broadcast(here.join(held.select(key).distinct(), key)), key).where(allowed(F.col("q_site"), F.col("site")))
+    return top_k(pairs.select("query_id", F.col("id").alias("cand_id"), F.round("s", digits).alias("similarity")), "query_id",
+                 [F.desc("similarity"), F.asc("cand_id")], k)
+
+
 def filled(found: DataFrame, requests: DataFrame, corpus: DataFrame, k: int, allowed=None) -> DataFrame:
     """``found`` with texts that share no term, similarity 0 and smallest ids first, where a request has fewer than k.
 

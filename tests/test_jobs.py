@@ -381,6 +381,40 @@ def test_index_keeps_blocks_small_and_prunes(spark, monkeypatch):
     assert "Pandas" not in plan and "Cartesian" not in plan and "BroadcastNestedLoop" not in plan
 
 
+@pytest.mark.parametrize("hold", ["requests", "corpus"])
+@pytest.mark.parametrize("domain", [None, "d"])
+def test_held_matches_are_those_of_the_index(spark, monkeypatch, hold, domain):
+    from pressgauge.operators import inverted as I
+
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(rng.choice([f"w{k}" for k in range(30)], rng.integers(2, 20))), f"s{i % 7}.com") for i in range(60)]
+    few, many = (spark.createDataFrame(r, "id long, t string, d string") for r in (rows[::10], rows))
+    q, c = (many, few) if hold == "corpus" else (few, many)
+    settings, how = TF.TfidfSettings(None, (1, 2), 1, 1.0, strip_accents=False), []
+    monkeypatch.setattr(I, "held_matches", lambda p, r, k, h, *a, f=I.held_matches: how.append(h) or f(p, r, k, h, *a))
+    run = lambda: {(r.query_id, r.cand_id, round(r.similarity, 7), r["rank"])
+                   for r in TF.tfidf_cosine(q, c, "id", "t", 4, settings, domain=domain).collect()}
+    monkeypatch.setattr(I, "HELD", 0)
+    index = run()
+    assert not how and len(index) == 4 * q.count()
+    monkeypatch.setattr(I, "HELD", 600)
+    monkeypatch.setattr(I, "PAIRS", 8)
+    assert run() == index and how == [hold]
+
+
+def test_matching_against_few_requests_writes_no_pairs(spark, monkeypatch):
+    # All texts are about as near to all requests: the pairs are more than the weights, and stay where they are scored.
+    from pressgauge.operators import inverted as I
+
+    held = []
+    for module in (I, TF):
+        monkeypatch.setattr(module, "cut_lineage", lambda df, cut=module.cut_lineage: held.append(cut(df)) or held[-1])
+    frame = lambda n: spark.createDataFrame([(i, f"common words w{i % 3}") for i in range(n)], "id long, t string")
+    got = TF.tfidf_cosine(frame(20), frame(300), "id", "t", 2, TF.CROSSCHECK).collect()
+    assert {(r.query_id, r.cand_id) for r in got} == {(i, i % 3 + j) for i in range(20) for j in (0, 3)}
+    assert max(df.count() for df in held) == 5 * 320 < 20 * 300
+
+
 def test_matching_plan_has_no_python_and_no_driver(spark, monkeypatch):
     from pyspark.sql.classic.dataframe import DataFrame as D
 
