@@ -251,8 +251,9 @@ def word_sets(df: DataFrame, key: str, text: str, vocabulary: DataFrame) -> Data
 
     tokens = df.select(F.col(key).cast("long").alias("id"), F.array_distinct(X.word_tokens(F.col(text))).alias("_w"))
     sized = tokens.select("id", F.size("_w").alias("size"), "_w")
-    flat = sized.select("id", "size", F.explode_outer("_w").alias("term"))
-    hit = flat.join(vocabulary, "term", "left")
+    flat = sized.select("id", "size", F.posexplode_outer("_w").alias("_at", "term"))
+    # Only words of the vocabulary are grouped, and each text's first, which carries the size.
+    hit = flat.join(vocabulary, "term", "left").where(F.col("idx").isNotNull() | (F.coalesce("_at", F.lit(0)) == 0))
     return hit.groupBy("id").agg(
         F.sort_array(F.collect_list("idx")).alias("idx"), F.max("size").alias("size")).withColumn(
         "val", F.transform("idx", lambda i: F.lit(1.0)))

@@ -371,6 +371,7 @@ def test_terms_are_shuffled_as_numbers(spark, monkeypatch, most):
     settings = TF.TfidfSettings(most, (1, 1), 1, 1.0, sublinear=False)
     got = TF.asked_weights(lists.where("id = 1"), lists.where("id > 1"), settings)
     assert "hashpartitioning(idx" in plans[-1] and "hashpartitioning(term" not in plans[-1]
+    assert "collect_list" not in plans[-1]
     # Frequencies over four texts: a 2, the others 1; the three commonest terms are a, b and d. Term c adds to a norm only.
     idf = lambda df: math.log(5 / (1 + df)) + 1
     one, two = math.hypot(idf(2), 2 * idf(1)), math.hypot(idf(2), 0 if most else idf(1))
