@@ -305,14 +305,13 @@ def _(t: Tables):
 
 @query("feature_breakdown", "J14", f"""
 WITH feats AS ({features_sql(stand_in_lists())})
-SELECT doc_id, caps_density, clickbait_matches, balanced_ratio, avg_word_length, data_references FROM feats""")
+SELECT doc_id, {', '.join(L.FEATURE_NAMES)} FROM feats""")
 def _(t: Tables):
     feats = G.linguistic_features(t.texts.select("doc_id", "text"), "text", stand_in_lists()).drop("text")
+    # All 28 features, each read from the group that holds it.
     out = G.feature_breakdown(feats)
-    return out.select("doc_id", *[F.round(f"{g}.{n}", 9).alias(n) for g, n in (
-        ("sensationalism_indicators", "caps_density"), ("sensationalism_indicators", "clickbait_matches"),
-        ("language_patterns", "balanced_ratio"), ("text_structure", "avg_word_length"),
-        ("content_quality", "data_references"))])
+    return out.select("doc_id", *[F.round(f"{f.name}.{n}", 9).alias(n) for f in out.schema.fields if f.name != "doc_id"
+                                  for n in f.dataType.names])
 
 
 # --- Sentiment --------------------------------------------------------------------------

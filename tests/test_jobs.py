@@ -759,3 +759,31 @@ def test_fits_are_not_sent_the_names_of_components(spark):
     df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(spark.createDataFrame([(1.0, 2.0)], "a double, b double"))
     assert "ml_attr" in df.schema["features"].metadata
     assert "ml_attr" not in M.sized(df).schema["features"].metadata and M.sized(df).first().features.toArray().tolist() == [1.0, 2.0]
+
+
+def _own_tables(spark, folder, documents, benchmark):
+    spark.createDataFrame([(i, t, "en", f"src{i % 3}", len(t)) for i, t in documents],
+                          "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet/*.parquet'")
+    return con
+
+
+def test_feature_breakdown_gives_all_features(spark, tmp_path):
+    from pressgauge.functions import lexicons as L
+    from pressgauge.operators import linguistic as G
+    from pressgauge.plans.catalog_corpus import stand_in_lists
+
+    texts = [(1, "The THE and 2024! Is that 12% of the study?\nNo."), (2, "de la que und"), (3, ""), (4, "one one two. three")]
+    con = _own_tables(spark, tmp_path, texts, [(0, "x")])
+    got = entry.queries()["feature_breakdown"](spark, str(tmp_path))
+    assert sorted(got.columns) == sorted(["doc_id", *L.FEATURE_NAMES])
+    rows = {r.doc_id: r.asDict() for r in got.collect()}
+    want = G.linguistic_features(spark.createDataFrame(texts, "doc_id long, text string"), "text", stand_in_lists())
+    assert rows == {r.doc_id: {n: round(r[n], 9) if n != "doc_id" else r[n] for n in got.columns}
+                    for r in want.select(*got.columns).collect()}
+    twin = con.execute(entry.oracle_sql()["feature_breakdown"])
+    names = [d[0] for d in twin.description]
+    assert rows == {r["doc_id"]: r for r in (dict(zip(names, r)) for r in twin.fetchall())}
