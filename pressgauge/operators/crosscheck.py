@@ -202,12 +202,14 @@ def related_articles(queries: DataFrame, corpus: DataFrame, reliable: Sequence[s
         U.source_tier(F.col("source")).alias("source_credibility"))
 
 
-def similarity_plot(article: DataFrame, others: DataFrame, k: int, key: str = "id", text: str = "content",
+def similarity_plot(article: DataFrame, others: DataFrame, k: int | None = None, key: str = "id", text: str = "content",
                     own_point: float = 1.0, settings: TfidfSettings = CROSSCHECK) -> DataFrame:
-    """Plot rows: the articles themselves at ``own_point`` and their candidates with a credibility band."""
+    """Plot rows: the articles themselves at ``own_point``, and every other article (with ``k`` the most similar only) with
+    its similarity and credibility band."""
     pairs = tfidf_cosine(article, others, key, text, k, settings)
     shown = others.select(F.col(key).cast("long").alias("cand_id"), "title", "source", "credibility_score")
-    rows = shown.join(settled(pairs), "cand_id").select(
+    # All pairs are many: they meet the others where they were scored and are not written.
+    rows = shown.join(settled(pairs) if k else pairs, "cand_id").select(
         "query_id", "similarity", F.col("credibility_score").alias("credibility"), "title", "source",
         ladders.credibility_band(F.col("credibility_score")).alias("type"))
     own = article.select(F.col(key).cast("long").alias("query_id"), F.lit(own_point).alias("similarity"),

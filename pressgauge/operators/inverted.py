@@ -17,6 +17,8 @@ but the number of postings, and more requests mean more rows in the same joins,
 Where one side has few weights (``HELD``), pruning costs more than it saves: over a large corpus of short vocabulary most
 pairs stay near the floor, and they would be shuffled with every term that is still to be added. There the few weights
 meet the other side's texts where these lie (``held_matches``), and only the best matches of a task are shuffled.
+
+Where all pairs are asked for (``every_pair``) nothing is ranked or left out.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ HOT = 4_096            # at most so many terms hold more than one HOT-th of all
 SLACK = 1e-7           # of bounds, for rounding
 HELD = 250_000         # weights of a side that every task may hold: about 20 MB
 PAIRS = 1 << 19        # scored pairs of a task, about
+CELL = 1_024           # requests and texts that meet under one number, where all pairs are asked for and neither side is held
 
 
 @dataclass
@@ -138,10 +141,11 @@ def matches(postings: DataFrame, requests: DataFrame, k: int, sites: tuple[DataF
     return held_matches(postings, requests, k, "requests" if asked.weights <= stored.weights else "corpus", parts, sites, allowed, digits)
 
 
-def held_matches(postings: DataFrame, requests: DataFrame, k: int, hold: str, parts: int,
+def held_matches(postings: DataFrame, requests: DataFrame, k: int | None, hold: str, parts: int,
                  sites: tuple[DataFrame, DataFrame] | None = None, allowed=None, digits: int = 9) -> DataFrame:
     """The same, every pair scored. The side that ``hold`` names has at most ``HELD`` weights and is broadcast; the other is
-    dealt by text over ``parts`` tasks, so a pair's products meet in one of them and a task sends on k texts a request."""
+    dealt by text over ``parts`` tasks, so a pair's products meet in one of them and a task sends on k texts a request.
+    Without k all of them are returned, without a rank."""
     asked = requests.select("query_id", "idx", F.col("weight").alias("qw"))
     held, key, stream, by = (asked, "query_id", postings, "id") if hold == "requests" else (postings, "id", asked, "query_id")
     stream, also = stream.repartition(parts, by), []
@@ -153,8 +157,46 @@ def held_matches(postings: DataFrame, requests: DataFrame, k: int, hold: str, pa
     if allowed is not None:
         # Only texts with a weight count, so this is no larger than the held weights.
         pairs = pairs.join(F.broadcast(here.join(held.select(key).distinct(), key)), key).where(allowed(F.col("q_site"), F.col("site")))
-    return top_k(pairs.select("query_id", F.col("id").alias("cand_id"), F.round("s", digits).alias("similarity")), "query_id",
-                 [F.desc("similarity"), F.asc("cand_id")], k)
+    return _ranked(pairs, k, digits)
+
+
+def _ranked(pairs: DataFrame, k: int | None, digits: int) -> DataFrame:
+    """Scores ``s`` of ``query_id, id`` rounded; the k best with their rank, or all."""
+    scored = pairs.select("query_id", F.col("id").alias("cand_id"), F.round("s", digits).alias("similarity"))
+    return scored if k is None else top_k(scored, "query_id", [F.desc("similarity"), F.asc("cand_id")], k)
+
+
+def every_pair(postings: DataFrame, requests: DataFrame, stored: DataFrame | None = None, asked: DataFrame | None = None,
+               sites: tuple[DataFrame, DataFrame] | None = None, allowed=None, digits: int = 9) -> DataFrame:
+    """``query_id, cand_id, similarity`` of all pairs that share a term; with ``stored`` (``id``) and ``asked`` (``query_id``)
+    of all their pairs, 0 where none is shared.
+
+    For that both sides get weights of 0 under numbers that stand for no term: every text meets every request under one of
+    them, in the same join and grouping as the terms, and no product changes. As many pairs come out as there are; tasks hold
+    about ``PAIRS`` of them. Where no side is held, numbers are cells of ``CELL`` requests by ``CELL`` texts, so none is hot.
+    """
+    size = lambda *parts: sum(df.count() for df in parts if df is not None)
+    weights, texts = (size(requests, asked), size(postings, stored)), (size(asked), size(stored))
+    held = min(weights) <= HELD
+    if stored is not None:
+        rows, columns = (1, 1) if held else (max(1, math.ceil(n / CELL)) for n in texts)
+        cell = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))
+        each = lambda n, number: F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), number)).alias("idx")
+        none = F.lit(0.0).alias("weight")
+        requests = requests.select("query_id", "idx", "weight").unionByName(
+            asked.select("query_id", each(columns, lambda j: cell("query_id", rows) * columns + j), none))
+        postings = postings.select("id", "idx", "weight").unionByName(
+            stored.select("id", each(rows, lambda i: i * columns + cell("id", columns)), none))
+    if held:
+        few = "requests" if weights[0] <= weights[1] else "corpus"
+        parts = max(postings.sparkSession.sparkContext.defaultParallelism, math.ceil(texts[0] * texts[1] / PAIRS))
+        return held_matches(postings, requests, None, few, parts, sites, allowed, digits)
+    met = postings.join(requests.select("query_id", "idx", F.col("weight").alias("qw")), "idx")
+    pairs = met.groupBy("query_id", "id").agg(F.sum(F.col("qw") * F.col("weight")).alias("s"))
+    if allowed is not None:
+        pairs = pairs.join(sites[0], "id").join(sites[1].withColumnRenamed("site", "q_site"), "query_id").where(
+            allowed(F.col("q_site"), F.col("site")))
+    return _ranked(pairs, None, digits)
 
 
 def filled(found: DataFrame, requests: DataFrame, corpus: DataFrame, k: int, allowed=None) -> DataFrame:

@@ -271,15 +271,16 @@ def _(t: Tables):
     return TF.tfidf_vocab(t.texts, "doc_id", "text", TRAINER).select("id", "term", F.round("weight", 6).alias("weight"))
 
 
-def cosine_sql(settings: TF.TfidfSettings, left: str, right: str, k: int, extra: str = "true") -> str:
-    """CTE best(query_id, cand_id, similarity, rank); left and right are (id, body, domain)."""
+def cosine_sql(settings: TF.TfidfSettings, left: str, right: str, k: int | None, extra: str = "true") -> str:
+    """CTE best(query_id, cand_id, similarity, rank), all pairs without a k; left and right are (id, body, domain)."""
+    limit = "" if k is None else f" QUALIFY rank <= {k}"
     return f"""
 rows_in AS (SELECT id, 0 AS side, body FROM {left} UNION ALL SELECT id, 1, body FROM {right}), {terms_sql(settings, 'rows_in')},
 dots AS (SELECT a.id AS query_id, b.id AS cand_id, sum(a.weight * b.weight) AS s FROM weights a JOIN weights b ON a.term = b.term
   AND a.side = 0 AND b.side = 1 GROUP BY 1, 2),
 every AS (SELECT q.id AS query_id, c.id AS cand_id, round(coalesce(s, 0), 9) AS similarity FROM {left} q JOIN {right} c ON {extra}
   LEFT JOIN dots ON dots.query_id = q.id AND dots.cand_id = c.id),
-best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, cand_id) AS rank FROM every QUALIFY rank <= {k})"""
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, cand_id) AS rank FROM every{limit})"""
 
 
 @query("tfidf_cosine", "I6", f"""
@@ -341,12 +342,12 @@ def _(t: Tables):
 
 @query("similarity_plot", "I11 B25", f"""
 WITH {STORE_SQL}, {REQUESTS_SQL}, l AS (SELECT id, content AS body FROM requests), r AS (SELECT id, content AS body FROM store),
-{cosine_sql(CROSS, 'l', 'r', 12)}
+{cosine_sql(CROSS, 'l', 'r', None)}
 SELECT query_id, round(similarity, 6) AS similarity, credibility_score AS credibility, source,
   CASE WHEN credibility_score >= 0.7 THEN 'real' WHEN credibility_score >= 0.4 THEN 'mixed' ELSE 'fake' END AS type
 FROM best JOIN store ON store.id = cand_id
 UNION ALL SELECT id, 1.0::DOUBLE, 0.5::DOUBLE, source, 'user' FROM requests""")
 def _(t: Tables):
     q = t.requests.withColumn("credibility_score", F.lit(0.5))
-    out = K.similarity_plot(q, t.store, 12, settings=CROSS)
+    out = K.similarity_plot(q, t.store, settings=CROSS)
     return out.select("query_id", F.round("similarity", 6).alias("similarity"), "credibility", "source", "type")

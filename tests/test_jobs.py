@@ -787,3 +787,37 @@ def test_feature_breakdown_gives_all_features(spark, tmp_path):
     twin = con.execute(entry.oracle_sql()["feature_breakdown"])
     names = [d[0] for d in twin.description]
     assert rows == {r["doc_id"]: r for r in (dict(zip(names, r)) for r in twin.fetchall())}
+
+
+def test_similarity_plot_shows_every_other_article(spark, tmp_path):
+    # Twenty texts, of which some share no word with a request: none is left out, one row each.
+    docs = [(i, f"title{i}\nred w{i % 4} green w{i % 7}" if i % 3 else f"alone{i}") for i in range(20)]
+    con = _own_tables(spark, tmp_path, docs, [(0, "red green w1"), (1, "nothing shared")])
+    got = entry.queries()["similarity_plot"](spark, str(tmp_path))
+    rows = sorted((r.query_id, r.similarity, r.credibility, r.source, r.type) for r in got.collect())
+    assert len(rows) == 2 + 2 * 20 and sum(r[1] == 0 for r in rows) == 7 + 20
+    twin = con.execute(f"SELECT query_id, similarity, credibility, source, type FROM ({entry.oracle_sql()['similarity_plot']})")
+    assert rows == sorted(twin.fetchall())
+
+
+@pytest.mark.parametrize("held,cell", [("requests", 1024), ("corpus", 1024), (None, 8)])
+@pytest.mark.parametrize("domain", [None, "d"])
+def test_all_pairs_are_those_of_a_limit_beyond_all(spark, monkeypatch, held, cell, domain):
+    from pressgauge.operators import inverted as I
+
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(rng.choice([f"w{k}" for k in range(25)], rng.integers(0, 9))), f"s{i % 7}.com") for i in range(40)]
+    few, many = (spark.createDataFrame(r, "id long, t string, d string") for r in (rows[::5], rows))
+    q, c = (many, few) if held == "corpus" else (few, many)
+    settings, how = TF.TfidfSettings(None, (1, 2), 1, 1.0, strip_accents=False), []
+    pairs = lambda df: {(r.query_id, r.cand_id, round(r.similarity, 7)) for r in df.collect()}
+    want = pairs(TF.tfidf_cosine(q, c, "id", "t", 99, settings, domain=domain))
+    monkeypatch.setattr(I, "held_matches", lambda p, r, k, h, *a, f=I.held_matches: how.append(h) or f(p, r, k, h, *a))
+    monkeypatch.setattr(I, "CELL", cell)
+    if held is None:
+        monkeypatch.setattr(I, "HELD", 0)
+    got = TF.tfidf_cosine(q, c, "id", "t", None, settings, domain=domain)
+    assert "rank" not in got.columns and got.count() == len(want) and pairs(got) == want
+    assert how == ([] if held is None else [held])
+    shared = TF.tfidf_cosine(q, c, "id", "t", None, settings, domain=domain, keep_unrelated=False)
+    assert pairs(shared) == {p for p in want if p[2] > 0}
