@@ -152,6 +152,27 @@ def fitted(classifier, rows: DataFrame):
     return classifier.fit(rows)
 
 
+def storage_bytes(spark: SparkSession) -> int:
+    """Memory in which the executors can hold rows."""
+    sc = spark.sparkContext._jsc.sc()
+    status, own = sc.getExecutorMemoryStatus(), sc.env().blockManager().blockManagerId().hostPort()
+    each, found = status.iterator(), {}
+    while each.hasNext():
+        entry = each.next()
+        found[entry._1()] = int(entry._2()._1())
+    # The driver holds rows only where it is the one executor.
+    return sum(size for name, size in found.items() if name != own) or sum(found.values())
+
+
+def fits_at_once(rows: DataFrame, vector: str = "features", binned: bool = False, most: int = 5) -> int:
+    """How many fits on ``rows`` run side by side: each holds its own copy of the vectors for all its passes, and the copies
+    may take half of the executors' memory. ``binned`` adds the number that a forest keeps for every place of a vector."""
+    v = F.unwrap_udt(vector)
+    held = F.size(v["values"]) * 12 + (F.coalesce(v["size"], F.size(v["values"])) * 4 if binned else F.lit(0))
+    taken = rows.agg(F.sum(held.cast("long")).alias("n")).first().n or 0
+    return max(1, min(most, storage_bytes(rows.sparkSession) // (2 * max(1, taken))))
+
+
 def in_parallel(jobs: Sequence[Callable], threads: int = 5) -> list:
     """Results of independent fits, in order. Each waits for many small jobs, so several share the cluster."""
     from pyspark import inheritable_thread_target
@@ -321,7 +342,7 @@ def cross_validate(df: DataFrame, classifier: Callable, k: int = 5, metric: str
 
     tf-idf, scaling and class weights of each training part are those of the total minus the fold, so texts are hashed
     once and not once per fold; the vectors equal those of stages fitted anew. ``classifier`` makes an estimator. Folds
-    are fitted side by side.
+    are fitted side by side as far as their rows fit into memory.
     """
     rows = fold_rows(df, k, columns, num_features, key)
     statistics = fold_statistics(rows, columns)
@@ -333,7 +354,7 @@ def cross_validate(df: DataFrame, classifier: Callable, k: int = 5, metric: str
             return fold, float(BinaryClassificationEvaluator(labelCol="label").evaluate(predictions))
         return fold, float(binary_metrics(confusion_counts(predictions)).first().f1_score)
 
-    scores = in_parallel([partial(score, fold) for fold in sorted(statistics.rows)])
+    scores = in_parallel([partial(score, fold) for fold in sorted(statistics.rows)], fits_at_once(rows, "raw_features"))
     table = df.sparkSession.createDataFrame(scores, "fold int, score double")
     return table.agg(F.lit(metric).alias("metric"), F.count(F.lit(1)).alias("folds"), F.avg("score").alias("mean"),
                      F.stddev_pop("score").alias("std"), F.min("score").alias("min"), F.max("score").alias("max"))
