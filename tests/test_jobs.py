@@ -835,3 +835,30 @@ def test_weights_are_those_of_the_smaller_sides_terms(spark, monkeypatch):
     want = round(unit(idf(1), 2 * idf(1)) * unit(idf(1)), 9)
     assert sorted((r.query_id, r.cand_id, r.similarity) for r in got) == [(i, 7, want) for i in range(30)]
     assert held[0].count() == 30 + 2
+
+
+def test_fits_share_the_executors_only_as_far_as_their_rows_fit(spark, monkeypatch):
+    from pressgauge.functions import lexicons as L
+
+    rows = [(i, i % 2, f"word{i % 5} other w{i}", *(float((i * k) % 7) for k in range(28))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, label int, text_full string, " + ", ".join(f"{n} double" for n in L.FEATURE_NAMES))
+
+    class Seen(Exception):
+        pass
+
+    def stop(jobs, threads=5):
+        raise Seen(threads)
+    monkeypatch.setattr(M, "in_parallel", stop)
+
+    def at_once():
+        out = []
+        for run in (lambda: M.cross_validate(df, X.experiment_svc, num_features=64), lambda: X.compare_models(df, num_features=64),
+                    lambda: X.ablation(df, num_features=64)):
+            with pytest.raises(Seen) as seen:
+                run()
+            out.append(seen.value.args[0])
+        return out
+
+    assert M.storage_bytes(spark) > 1 << 28 and at_once() == [5, 5, 5]
+    monkeypatch.setattr(M, "storage_bytes", lambda spark: 0)
+    assert at_once() == [1, 1, 1]
